@@ -24,6 +24,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
@@ -162,7 +163,9 @@ def label_texts(
     if num_partitions:
         req = req.repartition(num_partitions, qcol(fields.key))
     schema_in = req.select(*[qcol(c) for c in keep]).schema
-    out_schema = schema_in.add("response", "string").add("error", "string").add("tries", "int")
+    out_schema = T.StructType(list(schema_in.fields) + [
+        T.StructField("response", T.StringType()), T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType())
+    ])
     fn = _partition_labeller(make_classifier, prompt, fields.key, "user_message", on_error, max_tries, base_backoff, concurrency)
     raw = req.mapInPandas(fn, out_schema)
     return parse_labels(raw, taxonomy, keep)

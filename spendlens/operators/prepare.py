@@ -62,8 +62,10 @@ def prepare_texts(
     src = df
     if fields.purpose_code not in src.columns:
         src = src.withColumn(fields.purpose_code, F.lit(None).cast("string"))
-    if fields.text not in src.columns or fields.key not in src.columns:
+    if fields.text not in src.columns:
         src = with_activity_text(src, fields)
+    elif fields.key not in src.columns:
+        src = src.withColumn(fields.key, text_key(qcol(fields.text)))
     order = list(order) if order is not None else [c for c in (fields.year, fields.ordinal) if c in src.columns]
     if not order:
         raise ValueError("first-wins dedup needs an ordinal column (see sources.ingest.add_ordinal)")

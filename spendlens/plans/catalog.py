@@ -37,7 +37,7 @@ FIXTURE_KEYWORDS = {
 SAMPLE_CODES = ["16030", "16040"]
 ABSENT_CODES = ["99999"]
 SAMPLE_SIZE = 10
-COLLATE_SPLIT_YEAR = 1995
+COLLATE_SPLIT_YEAR = 1998
 MAX_COST = 5.0
 
 
