@@ -53,10 +53,12 @@ def mark(df: DataFrame, taxonomy: Taxonomy, fields: Fields = DEFAULT) -> DataFra
     out = _boolean_classes(df, list(taxonomy.classes) + list(taxonomy.locations))
     classes = [qcol(c) for c in taxonomy.classes]
     sector = sector_flag(qcol(fields.purpose_code), taxonomy.sector_codes)
-    return (
-        out.withColumn(fields.sector_flag, sector)
-        .withColumn(fields.any_sans_sector, kleene_or(classes))
-        .withColumn(fields.any_flag, kleene_or(classes) | qcol(fields.sector_flag))
+    return out.withColumns(
+        {
+            fields.sector_flag: sector,
+            fields.any_sans_sector: kleene_or(classes),
+            fields.any_flag: kleene_or(classes) | sector,
+        }
     )
 
 

@@ -46,10 +46,11 @@ def year_summary(sel: DataFrame, taxonomy: Taxonomy, fields: Fields = DEFAULT) -
         aggs += _agg_cols(f"c{i}", qcol(c), amount)
     for j, c in enumerate(taxonomy.locations):
         aggs += _agg_cols(f"l{j}", qcol(c), amount)
-    if fields.category in sel.columns:
-        grp = F.coalesce(category_group(qcol(fields.category)), F.lit(UNMAPPED))
-        for k, g in enumerate(list(GROUP_ORDER) + [UNMAPPED]):
-            aggs += _agg_cols(f"g{k}", grp == g, amount)
+    # an absent category column counts as NULL category: all spend is unmapped
+    cat = qcol(fields.category) if fields.category in sel.columns else F.lit(None).cast("string")
+    grp = F.coalesce(category_group(cat), F.lit(UNMAPPED))
+    for k, g in enumerate(list(GROUP_ORDER) + [UNMAPPED]):
+        aggs += _agg_cols(f"g{k}", grp == g, amount)
     return sel.groupBy(qcol(fields.year).alias(fields.year)).agg(*aggs)
 
 

@@ -46,9 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def document_count(spark: SparkSession, sf_dir: str) -> int:
-    """Row count of ``documents`` (a footer-level scalar, used as the modulus of the fixture join)."""
-    return table(spark, sf_dir, "documents").count()
+def document_count(spark: SparkSession, sf_dir: str):
+    """Row count of ``documents`` as a scalar-subquery Column: evaluated once inside
+    the query that uses it (reused across the plan), never a driver round trip."""
+    return table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("amount"),
         F.when(prio == "1", "10").when(prio == "2", "21").when(prio == "3", "30").when(prio == "4", "40")
         .otherwise("60").alias("category"),
-        (F.col("o_orderkey") % F.lit(nd)).alias("doc_id"),
+        (F.col("o_orderkey") % nd).alias("doc_id"),
     )
     docs = d.select(
         F.col("doc_id"),

@@ -1,0 +1,153 @@
+"""End-to-end pipeline: land → prepare → label (resumable) → merge → report.
+
+Every stage reads and writes tables under one output root, so each stage can
+be re-run alone and a lost executor only costs the tasks of the running stage.
+The taxonomy is a parameter; stage outputs carry its suffix.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spendlens._compat import qcol
+from spendlens.fields import DEFAULT, Fields
+from spendlens.operators import label as lb
+from spendlens.operators import report as rp
+from spendlens.operators.attach import attach_labels
+from spendlens.operators.marker import false_negatives, mark, select_marked
+from spendlens.operators.prepare import PrepareObservation, prepare_texts, with_activity_text
+from spendlens.sources import ingest, sinks
+from spendlens.streaming.incremental import read_if_exists
+from spendlens.taxonomy import Taxonomy
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Table locations under one root."""
+
+    root: str
+
+    @property
+    def landed(self) -> str:
+        return f"{self.root}/activities"
+
+    @property
+    def prepared(self) -> str:
+        return f"{self.root}/texts_prepared"
+
+    def labels(self, t: Taxonomy) -> str:
+        return f"{self.root}/texts_labeled{t.suffix}"
+
+    def merged(self, t: Taxonomy) -> str:
+        return f"{self.root}/activities_labeled{t.suffix}"
+
+    def selected(self, t: Taxonomy) -> str:
+        return f"{self.root}/activities_selected{t.suffix}"
+
+    def report(self, t: Taxonomy, name: str) -> str:
+        return f"{self.root}/reports{t.suffix}/{name}"
+
+
+def land(activities: DataFrame, layout: Layout, fields: Fields = DEFAULT) -> None:
+    """Keep positive amounts, attach the ingest ordinal, write partitioned by year."""
+    df = ingest.positive_amount(activities, fields=fields)
+    df = ingest.add_ordinal(df, fields)
+    if fields.year in df.columns:
+        df = df.withColumn(fields.year, ingest.to_number(qcol(fields.year)))
+    sinks.write_by_year(df, layout.landed, fields)
+
+
+def land_yearly_csv(spark: SparkSession, pattern: str, years: Iterable[int], layout: Layout, fields: Fields = DEFAULT) -> None:
+    """Yearly CSV downloads (``pattern`` with a ``{year}`` slot) → landed table."""
+    raw = ingest.read_years(spark, pattern, years, fmt="csv", fields=fields)
+    land(ingest.normalize_nulls(raw), layout, fields)
+
+
+def prepare(spark: SparkSession, layout: Layout, fields: Fields = DEFAULT, years: Iterable[int] | None = None) -> dict:
+    """Unique non-blank texts → ``prepared``; returns the funnel counts (observed during the write)."""
+    landed = ingest.read_years(spark, layout.landed, years, fields=fields)
+    obs = PrepareObservation()
+    texts = prepare_texts(landed, fields, observation=obs)
+    sinks.write_table(texts, layout.prepared)
+    return obs.get()
+
+
+def label(
+    spark: SparkSession,
+    layout: Layout,
+    taxonomy: Taxonomy,
+    make_classifier: Callable[[], lb.Classifier],
+    fields: Fields = DEFAULT,
+    max_cost: float | None = None,
+    sample_codes: Sequence[str] | None = None,
+    sample_size: int | None = None,
+    sectors=None,
+    **label_kw,
+) -> int:
+    """Label the prepared texts not labelled yet and append them; returns rows appended.
+
+    ``sample_codes``/``sample_size`` restrict a trial run to the first matching
+    texts (falling back to the first texts). ``max_cost`` gates the run on the
+    estimated price of the requests still to send.
+    """
+    texts = spark.read.parquet(layout.prepared)
+    if sample_size:
+        texts = lb.sample_by_code(texts, fields.purpose_code, sample_codes or taxonomy.sector_codes, sample_size, [fields.ordinal])
+    done = read_if_exists(spark, layout.labels(taxonomy))
+    todo = lb.unprocessed(texts, done, fields.key) if done is not None else texts
+    if max_cost is not None:
+        lb.check_budget(lb.request_frame(todo, fields, sectors), taxonomy.system_prompt(), max_cost)
+    labelled = lb.label_texts(todo, taxonomy, make_classifier, fields, sectors=sectors, **label_kw)
+    before = done.count() if done is not None else 0
+    sinks.append_table(labelled, layout.labels(taxonomy))
+    return spark.read.parquet(layout.labels(taxonomy)).count() - before
+
+
+def merge(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, years: Iterable[int] | None = None) -> None:
+    """Every landed activity with its labels (NULL where unlabelled) → ``merged``."""
+    landed = ingest.read_years(spark, layout.landed, years, fields=fields)
+    acts = with_activity_text(landed, fields)
+    labels = spark.read.parquet(layout.labels(taxonomy)).where(F.col("status") == "ok")
+    keep = ["summary", "reasoning", *taxonomy.vocabulary, fields.purpose_code]
+    sinks.write_table(attach_labels(acts, labels, fields, label_columns=keep), layout.merged(taxonomy))
+
+
+def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, strict_nulls: bool = True) -> dict:
+    """Selected activities, review list and the yearly report tables (CSV, one row per year)."""
+    merged = spark.read.parquet(layout.merged(taxonomy))
+    marked = mark(merged, taxonomy, fields)
+    sel = select_marked(marked, taxonomy, fields)
+    sinks.write_table(sel, layout.selected(taxonomy))
+    sel = spark.read.parquet(layout.selected(taxonomy))
+    sinks.write_table(false_negatives(marked, fields), layout.report(taxonomy, "false_negatives"))
+    tables = rp.all_reports(sel, taxonomy, fields, strict_nulls)
+    tables["selection_summary"] = rp.selection_summary(marked, fields)
+    for name, df in tables.items():
+        sinks.write_report_csv(df, layout.report(taxonomy, name))
+    return {k: [r.asDict() for r in v.collect()] for k, v in tables.items()}
+
+
+def run_all(
+    spark: SparkSession,
+    activities: DataFrame,
+    root: str,
+    taxonomies: Sequence[Taxonomy],
+    make_classifier: Callable[[Taxonomy], Callable[[], lb.Classifier]],
+    fields: Fields = DEFAULT,
+    **label_kw,
+) -> dict:
+    """Land once, prepare once, then label, merge and report per taxonomy."""
+    layout = Layout(root)
+    land(activities, layout, fields)
+    out = {"funnel": prepare(spark, layout, fields)}
+    for t in taxonomies:
+        out[t.name] = {
+            "labelled": label(spark, layout, t, make_classifier(t), fields, **label_kw),
+        }
+        merge(spark, layout, t, fields)
+        out[t.name]["reports"] = report(spark, layout, t, fields)
+    return out

@@ -33,6 +33,8 @@ CSV_READ_OPTIONS = {
     "inferSchema": "false",
     "mode": "PERMISSIVE",
     "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
 }
 
 # Name Spark gives to a blank header cell, i.e. a leaked row-index column.

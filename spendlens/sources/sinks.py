@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame
 
 from spendlens.fields import DEFAULT, Fields
 
-CSV_WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# the writer trims values unless told not to; texts must round-trip byte for byte
+CSV_WRITE_OPTIONS = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def write_by_year(df: DataFrame, path: str, fields: Fields = DEFAULT, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -1,0 +1,83 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from spendlens.fields import Fields
+from spendlens.operators import label as lb
+from spendlens.plans import pipeline as pl
+from spendlens.streaming.incremental import start_incremental_labelling
+from spendlens.taxonomy import HFHI, WB
+
+FLD = Fields()
+
+KEYWORDS = {
+    "hfhi": {"Homelessness": ["homeless"], "Incremental housing": ["slum"], "Social housing": ["social housing"], "Housing in general": ["housing"], "Urban": ["city"], "Rural": ["village"]},
+    "wb": {"Resilience and Reconstruction": ["reconstruction"], "Incremental and Improved Housing": ["slum"], "Housing Supply": ["housing"], "Urban": ["city"]},
+}
+
+
+def _activities(spark):
+    rows = [
+        ("2023", "Slum upgrade", "slum upgrading", "Slum upgrading in the city", "16030", "10", "1.5"),
+        ("2023", "Shelter", None, "Homeless shelter in a village", "16040", "21", "2.0"),
+        ("2024", "Schools", None, "Education for all", "11110", "10", "4.0"),
+        ("2024", "Housing", "Social housing", None, "16040", "30", "3.0"),
+        ("2024", "Housing", "Social housing", None, "16040", "60", "5.0"),  # same text: labelled once
+        ("2024", "Roads", None, "Rural roads", "16030", "10", "0"),  # dropped: amount not positive
+        ("2024", "Post-quake reconstruction", None, "housing reconstruction", "43030", "40", "7.0"),
+        ("2024", None, None, None, "16030", "10", "1.0"),  # blank text, sector code: selected, unlabelled
+    ]
+    return spark.createDataFrame(rows, "Year string, ProjectTitle string, ShortDescription string, LongDescription string, PurposeCode string, Category string, USD_Disbursement_Defl string")
+
+
+def test_pipeline_end_to_end_both_taxonomies(spark, tmp_root):
+    out = pl.run_all(
+        spark, _activities(spark), tmp_root, [HFHI, WB],
+        lambda t: (lambda kw=KEYWORDS[t.name]: lb.KeywordClassifier(kw)),
+        num_partitions=2, system_prompt="test prompt",
+    )
+    assert out["funnel"] == {"n_start": 7, "n_duplicates": 1, "n_blank": 1, "n_end": 5}
+    assert out["hfhi"]["labelled"] == 5 and out["wb"]["labelled"] == 5
+    rep = out["hfhi"]["reports"]
+    spend = {r["Year"]: r for r in rep["spend_by_class"]}
+    share = {r["Year"]: r for r in rep["class_share"]}
+    groups = {r["Year"]: r for r in rep["spend_by_group"]}
+    # 2024 selected: social housing x2 (3+5), reconstruction text (housing: 7), blank sector row (1) = 16
+    total_2024 = sum(v for k, v in groups[2024].items() if k != "Year" and v is not None)
+    assert total_2024 == pytest.approx(16.0)
+    assert spend[2024]["Social housing"] == pytest.approx(8.0)
+    for c in HFHI.classes:
+        if spend[2024][c] is not None:
+            assert share[2024][c] == pytest.approx(spend[2024][c] / total_2024)
+    # residual overwritten: the reconstruction text is only "Housing in general"
+    assert spend[2024]["Housing in general"] == pytest.approx(7.0)
+    assert groups[2024]["unmapped"] == pytest.approx(7.0)
+    summary = rep["selection_summary"][0]
+    assert summary["n_all"] == 7 and summary["n_unlabelled_selected"] == 1
+    merged = spark.read.parquet(pl.Layout(tmp_root).merged(HFHI))
+    assert merged.count() == 7 and "PurposeCode_label" in merged.columns
+    assert os.path.exists(pl.Layout(tmp_root).report(HFHI, "class_share"))
+    # resume: nothing new to label
+    assert pl.label(spark, pl.Layout(tmp_root), HFHI, lambda: lb.KeywordClassifier({}), system_prompt="p") == 0
+
+
+def test_incremental_stream_resumes(spark, tmp_root):
+    src, out, ckpt = (os.path.join(tmp_root, n) for n in ("landing", "labels", "ckpt"))
+    acts = _activities(spark).withColumn("ord", F.monotonically_increasing_id())
+    schema = acts.schema
+    kw = KEYWORDS["hfhi"]
+
+    def label(texts):
+        return lb.keyword_labels(texts, HFHI, kw, FLD)
+
+    acts.limit(3).write.mode("append").parquet(src)
+    start_incremental_labelling(spark, src, schema, out, ckpt, label, FLD, order=["ord"]).awaitTermination()
+    n1 = spark.read.parquet(out).count()
+    acts.write.mode("append").parquet(src)  # all rows again plus the rest
+    start_incremental_labelling(spark, src, schema, out, ckpt, label, FLD, order=["ord"]).awaitTermination()
+    labels = spark.read.parquet(out)
+    assert n1 == 3
+    assert labels.count() == labels.select("text_key").distinct().count() == 6
+    start_incremental_labelling(spark, src, schema, out, ckpt, label, FLD, order=["ord"]).awaitTermination()
+    assert spark.read.parquet(out).count() == 6
