@@ -61,8 +61,13 @@ def activity_text(title: ColumnOrName, short: ColumnOrName, long: ColumnOrName)
 
 
 def text_key(text: ColumnOrName) -> Column:
-    """Content key of a text: hex SHA-256. Shuffles and joins use it instead of the text."""
-    return F.sha2(as_col(text), 256)
+    """Content key of a text: hex SHA-256. Shuffles and joins use it instead of the text.
+
+    A NULL text hashes as the empty text (both are blank, neither is ever
+    labelled); the key is therefore never NULL, so the optimizer adds no
+    ``isnotnull(sha2(..))`` join filter that would hash every text twice.
+    """
+    return F.sha2(F.coalesce(as_col(text), F.lit("")), 256)
 
 
 def user_message(text: ColumnOrName, sector_name: ColumnOrName) -> Column:

@@ -174,6 +174,14 @@ def spend_long(sel: DataFrame, flags: Sequence[str], fields: Fields = DEFAULT, s
     )
 
 
+def pivot_long(long: DataFrame, values: Sequence[str], value_col: str, fields: Fields = DEFAULT, variable: str = "variable") -> DataFrame:
+    """Long (year, variable, value) → one row per year, one column per value in the
+    given order (explicit values: no extra job to discover them). ``(year, variable)``
+    must be unique in ``long``, as ``spend_long`` gives."""
+    wide = long.groupBy(qcol(fields.year)).pivot(variable, list(values)).agg(F.max(qcol(value_col)))
+    return _order(wide, fields)
+
+
 def selection_summary(marked: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
     """One row: activities, selected, selection rate, selected spend (NULL amounts skipped),
     selected but unlabelled, false-negative candidates."""

@@ -24,7 +24,7 @@ from spendlens.plans import fixtures as fx
 from spendlens.plans.fixtures import FIX, FIXTURE_TAXONOMY, LABEL_COLUMNS, table
 from spendlens.session import work_path
 from spendlens.sources import ingest, sinks
-from spendlens.taxonomy import HFHI
+from spendlens.taxonomy import HFHI, WB
 
 # Keyword rule of the fixture classifier (frequent fragments of the test prose).
 FIXTURE_KEYWORDS = {
@@ -34,6 +34,29 @@ FIXTURE_KEYWORDS = {
     "urban": ["the "],
     "rural": ["ein"],
 }
+# Keyword rules standing in for the model on the two shipped taxonomies.
+TAXONOMY_KEYWORDS = {
+    "hfhi": {
+        "Homelessness": ["oir"],
+        "Transitional housing": ["ado"],
+        "Incremental housing": ["sch", "ung"],
+        "Social housing": ["aux"],
+        "Market housing": ["ara"],
+        "Housing in general": ["lle"],
+        "Urban": ["ich"],
+        "Rural": ["que"],
+    },
+    "wb": {
+        "Transitional and Temporary Housing": ["oir"],
+        "Resilience and Reconstruction": ["ón"],
+        "Incremental and Improved Housing": ["sch"],
+        "Social Housing": ["aux", "ara"],
+        "Market Enabling": ["ier"],
+        "Housing Supply": ["lle"],
+        "Urban": ["ich"],
+        "Rural": ["que"],
+    },
+}
 SAMPLE_CODES = ["16030", "16040"]
 ABSENT_CODES = ["99999"]
 SAMPLE_SIZE = 10
@@ -299,6 +322,40 @@ def q_location_share(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("yr", *[_r9(c).alias(c) for c in FIXTURE_TAXONOMY.locations])
 
 
+def q_spend_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """The molten route: unpivot flags, keep TRUE, sum per (year, class), pivot back."""
+    long = rp.spend_long(fx.selected(spark, sf), list(FIXTURE_TAXONOMY.classes), FIX)
+    wide = rp.pivot_long(long, list(FIXTURE_TAXONOMY.classes), "amount", FIX)
+    return wide.select("yr", *[_r2(c).alias(c) for c in FIXTURE_TAXONOMY.classes])
+
+
+def _taxonomy_selected(spark: SparkSession, sf: str, taxonomy):
+    """Activities labelled per unique text with a shipped taxonomy (keyword stand-in),
+    attached back, marked and selected."""
+    from spendlens.operators.marker import mark, select_marked
+
+    acts = fx.activities(spark, sf)
+    texts = prepare_texts(acts, FIX, order=["activity_id"])
+    labels = lb.keyword_labels(texts, taxonomy, TAXONOMY_KEYWORDS[taxonomy.name], FIX)
+    attached = attach_labels(acts, labels, FIX, label_columns=list(taxonomy.vocabulary), dedupe=False)
+    return select_marked(mark(attached, taxonomy, FIX), taxonomy, FIX)
+
+
+def q_hfhi_class_spend(spark: SparkSession, sf: str) -> DataFrame:
+    r = rp.spend_by_class(_taxonomy_selected(spark, sf, HFHI), HFHI, FIX)
+    return r.select("yr", *[_r2(F.col(f"`{c}`")).alias(c) for c in HFHI.classes])
+
+
+def q_wb_class_share(spark: SparkSession, sf: str) -> DataFrame:
+    r = rp.class_share(_taxonomy_selected(spark, sf, WB), WB, FIX)
+    return r.select("yr", *[_r9(F.col(f"`{c}`")).alias(c) for c in WB.classes])
+
+
+def q_wb_location_share(spark: SparkSession, sf: str) -> DataFrame:
+    r = rp.location_share(_taxonomy_selected(spark, sf, WB), WB, FIX)
+    return r.select("yr", *[_r9(F.col(f"`{c}`")).alias(c) for c in WB.locations])
+
+
 def q_sum_strict(spark: SparkSession, sf: str) -> DataFrame:
     """Strict (NULL-propagating) and NULL-skipping sums per year on orders with some NULL amounts."""
     o = table(spark, sf, "orders")
@@ -346,4 +403,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spend_by_group": q_spend_by_group,
     "location_share": q_location_share,
     "sum_strict": q_sum_strict,
+    "spend_pivot": q_spend_pivot,
+    "hfhi_class_spend": q_hfhi_class_spend,
+    "wb_class_share": q_wb_class_share,
+    "wb_location_share": q_wb_location_share,
 }

@@ -14,9 +14,10 @@ from spendlens.plans.catalog import (
     MAX_COST,
     SAMPLE_CODES,
     SAMPLE_SIZE,
+    TAXONOMY_KEYWORDS,
 )
 from spendlens.sources.dimensions import DEFAULT_SECTOR_NAMES
-from spendlens.taxonomy import HFHI
+from spendlens.taxonomy import HFHI, WB
 
 TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 
@@ -95,6 +96,54 @@ def _cost(tokens: str) -> str:
     return f"(CAST({tokens} AS DOUBLE) / 1e6 * 0.025 + CAST({tokens} AS DOUBLE) / 1e6 * 0.2)"
 
 
+def _ident(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _taxonomy_sel(t) -> str:
+    """Keyword labels per distinct text, left-joined to every activity, marked, selected,
+    residual overwritten."""
+    kw = TAXONOMY_KEYWORDS[t.name]
+    flags = []
+    for c in t.vocabulary:
+        words = kw.get(c, [])
+        cond = " OR ".join(f"contains(lower(txt), {_q(w.lower())})" for w in words) or "false"
+        flags.append(f"({cond}) AS {_ident(c)}")
+    sector = f"coalesce(a.purpose_code IN ({_in(t.sector_codes)}), false)"
+    any_cls = " OR ".join(f"l.{_ident(c)}" for c in t.classes)
+    resid = " AND ".join(f"NOT {_ident(c)}" for c in t.specific)
+    cols = ", ".join(f"l.{_ident(c)}" for c in t.vocabulary)
+    return f"""WITH {ACTIVITIES},
+tlab AS (SELECT DISTINCT txt, {", ".join(flags)} FROM activities WHERE length(trim(txt)) > 0),
+tm AS (SELECT a.yr, a.amount, {cols}, ({any_cls} OR {sector}) AS any_flag
+       FROM activities a LEFT JOIN tlab l ON a.txt = l.txt),
+sel AS (SELECT * REPLACE (({resid}) AS {_ident(t.residual)}) FROM tm WHERE any_flag)
+"""
+
+
+def _class_having(t) -> str:
+    return " + ".join(f"count(CASE WHEN {_ident(c)} THEN 1 END)" for c in t.classes) + " > 0"
+
+
+def _hfhi_spend() -> str:
+    cols = ", ".join(f"round(sum(CASE WHEN {_ident(c)} THEN amount END), 2) AS {_ident(c)}" for c in HFHI.classes)
+    return _taxonomy_sel(HFHI) + f"SELECT yr, {cols} FROM sel GROUP BY yr HAVING {_class_having(HFHI)}"
+
+
+def _wb_share() -> str:
+    cols = ", ".join(f"round(sum(CASE WHEN {_ident(c)} THEN amount END) / sum(amount), 9) AS {_ident(c)}" for c in WB.classes)
+    return _taxonomy_sel(WB) + f"SELECT yr, {cols} FROM sel GROUP BY yr HAVING {_class_having(WB)}"
+
+
+def _wb_location() -> str:
+    u, r = (_ident(c) for c in WB.locations)
+    return _taxonomy_sel(WB) + f"""SELECT yr, round(su / (coalesce(su, 0) + coalesce(sr, 0)), 9) AS {u},
+       round(sr / (coalesce(su, 0) + coalesce(sr, 0)), 9) AS {r}
+FROM (SELECT yr, sum(CASE WHEN {u} THEN amount END) AS su, sum(CASE WHEN {r} THEN amount END) AS sr
+      FROM sel GROUP BY yr) t
+WHERE su IS NOT NULL OR sr IS NOT NULL"""
+
+
 ORACLE: dict[str, str] = {
     "positive_amount": "SELECT * FROM customer WHERE c_acctbal > 0",
     "collate_years": f"""
@@ -254,4 +303,13 @@ SELECT yr,
        round(sum(amount), 2) AS lenient_sum,
        count(*) - count(amount) AS n_null
 FROM t GROUP BY yr""",
+    "spend_pivot": BASE + f"""
+SELECT yr,
+       round(sum(CASE WHEN c1 THEN amount END), 2) AS c1,
+       round(sum(CASE WHEN c2 THEN amount END), 2) AS c2,
+       round(sum(CASE WHEN g THEN amount END), 2) AS g
+FROM sel GROUP BY yr HAVING {ANY_CLASS}""",
+    "hfhi_class_spend": _hfhi_spend(),
+    "wb_class_share": _wb_share(),
+    "wb_location_share": _wb_location(),
 }
