@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from spendlens._compat import ColumnOrName, as_col
 
-# Patterns.
-# STRIP removes what Python's str.strip() removes: Unicode White_Space plus the
-# four information separators U+001C..U+001F, at both ends.
-STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Characters Python's str.strip() removes, derived by rule rather than listed:
+# every code point whose str.isspace() is true (Unicode White_Space plus the
+# four information separators U+001C..U+001F), 29 characters.
+WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+
+# Patterns and message format.
 # TOKEN is a tokenizer-free proxy: runs of letters, runs of digits, runs of other
 # non-space symbols. It is not the model's BPE count.
 TOKEN_PATTERN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
@@ -26,8 +28,12 @@ TOKENS_PER_PRICE_UNIT = 1_000_000
 
 
 def ustrip(c: ColumnOrName) -> Column:
-    """Strip Unicode whitespace at both ends (``str.strip()`` semantics)."""
-    return F.regexp_replace(as_col(c), STRIP_PATTERN, "")
+    """Strip Unicode whitespace at both ends (``str.strip()`` semantics).
+
+    ``btrim`` with an explicit character set touches only the two ends of the
+    string; a regex replace would scan and copy the whole text.
+    """
+    return F.btrim(as_col(c), F.lit(WHITESPACE))
 
 
 def is_blank(c: ColumnOrName) -> Column:

@@ -20,6 +20,7 @@ from spendlens.operators import report as rp
 from spendlens.operators.attach import attach_labels
 from spendlens.operators.marker import false_negatives, mark, select_marked
 from spendlens.operators.prepare import PrepareObservation, prepare_texts, with_activity_text
+from spendlens.session import configure
 from spendlens.sources import ingest, sinks
 from spendlens.streaming.incremental import read_if_exists
 from spendlens.taxonomy import Taxonomy
@@ -141,6 +142,7 @@ def run_all(
     **label_kw,
 ) -> dict:
     """Land once, prepare once, then label, merge and report per taxonomy."""
+    configure(spark)
     layout = Layout(root)
     land(activities, layout, fields)
     out = {"funnel": prepare(spark, layout, fields)}

@@ -26,6 +26,19 @@ ENGINE_CONF = {
 }
 
 
+# Runtime SQL settings that a running session can take (the rest of ENGINE_CONF
+# must be given at session start).
+RUNTIME_CONF = {k: v for k, v in ENGINE_CONF.items() if k.startswith("spark.sql.")}
+
+
+def configure(spark: SparkSession, overrides: dict | None = None) -> SparkSession:
+    """Apply the runtime SQL settings the plans rely on (AQE re-planning, skew-join
+    splitting, coalescing) to an existing session, e.g. on a cluster."""
+    for k, v in {**RUNTIME_CONF, **(overrides or {})}.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "spendlens") -> SparkSession:
     """Local session for tests and the benchmark (UI off, no extra ports)."""
     b = (
