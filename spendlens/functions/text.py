@@ -70,10 +70,12 @@ def text_key(text: ColumnOrName) -> Column:
     """Content key of a text: hex SHA-256. Shuffles and joins use it instead of the text.
 
     A NULL text hashes as the empty text (both are blank, neither is ever
-    labelled); the key is therefore never NULL, so the optimizer adds no
-    ``isnotnull(sha2(..))`` join filter that would hash every text twice.
+    labelled). ``sha2`` is declared nullable, so the outer ``coalesce`` makes the
+    key provably non-NULL: the optimizer then infers no ``isnotnull(sha2(..))``
+    join filter, which it would push below the projection and hash every text
+    twice.
     """
-    return F.sha2(F.coalesce(as_col(text), F.lit("")), 256)
+    return F.coalesce(F.sha2(F.coalesce(as_col(text), F.lit("")), 256), F.lit(""))
 
 
 def user_message(text: ColumnOrName, sector_name: ColumnOrName) -> Column:

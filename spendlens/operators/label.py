@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
 from spendlens.functions.labels import FAILED, keyword_classes, multi_hot, parse_response
-from spendlens.functions.text import cost, request_payload, token_count, user_message
+from spendlens.functions.text import SECTOR_SEPARATOR, cost, request_payload, token_count, user_message
 from spendlens.sources.dimensions import sector_lookup
 from spendlens.taxonomy import Taxonomy
 
@@ -91,8 +91,8 @@ class KeywordClassifier:
 def _partition_labeller(
     make_classifier: Callable[[], Classifier],
     system_prompt: str,
-    key: str,
-    message: str,
+    text: str,
+    sector: str,
     on_error: str,
     max_tries: int,
     base: float,
@@ -113,9 +113,11 @@ def _partition_labeller(
 
         try:
             for pdf in batches:
-                msgs = pdf[message].tolist()
+                # same message as functions.text.user_message; built here so the
+                # text crosses to Python once instead of twice
+                msgs = (pdf[text].fillna("") + SECTOR_SEPARATOR + pdf[sector].fillna("")).tolist()
                 results = list(pool.map(one, msgs)) if pool else [one(m) for m in msgs]
-                out = pdf.drop(columns=[message])
+                out = pdf.drop(columns=[sector])
                 out["response"] = [r[0] for r in results]
                 out["error"] = [r[1] for r in results]
                 out["tries"] = [r[2] for r in results]
@@ -157,16 +159,16 @@ def label_texts(
     if on_error not in ("raise", "quarantine"):
         raise ValueError("on_error must be 'raise' or 'quarantine'")
     prompt = system_prompt if system_prompt is not None else taxonomy.system_prompt()
-    req = request_frame(texts, fields, sectors)
+    req = sector_lookup(texts, fields.purpose_code, "sector_name", sectors)
     keep = [c for c in (fields.key, fields.text, fields.purpose_code, fields.ordinal) if c in req.columns]
-    req = req.select(*[qcol(c) for c in keep], F.col("user_message"))
+    req = req.select(*[qcol(c) for c in keep], F.col("sector_name"))
     if num_partitions:
         req = req.repartition(num_partitions, qcol(fields.key))
     schema_in = req.select(*[qcol(c) for c in keep]).schema
     out_schema = T.StructType(list(schema_in.fields) + [
         T.StructField("response", T.StringType()), T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType())
     ])
-    fn = _partition_labeller(make_classifier, prompt, fields.key, "user_message", on_error, max_tries, base_backoff, concurrency)
+    fn = _partition_labeller(make_classifier, prompt, fields.text, "sector_name", on_error, max_tries, base_backoff, concurrency)
     raw = req.mapInPandas(fn, out_schema)
     return parse_labels(raw, taxonomy, keep)
 

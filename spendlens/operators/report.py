@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens._compat import qcol
@@ -156,21 +156,28 @@ def melt_flags(sel: DataFrame, flags: Sequence[str], fields: Fields = DEFAULT, v
 
 
 def spend_long(sel: DataFrame, flags: Sequence[str], fields: Fields = DEFAULT, strict_nulls: bool = True) -> DataFrame:
-    """Long table (year, variable, amount, total, share) of TRUE flags: unpivot,
-    keep TRUE, sum per (year, variable), attach the year total of all selected rows."""
+    """Long table (year, variable, amount, total, share) of TRUE flags.
+
+    One pass over ``sel``: the flags are unpivoted together with an always-TRUE
+    marker column, so a single ``groupBy(year, variable)`` yields the class sums
+    and the year totals; the totals are then attached within each year of the
+    (tiny) aggregate instead of re-reading ``sel`` for a join.
+    """
     amount = qcol(fields.amount).cast("double")
-    long = melt_flags(sel, flags, fields).where(F.col("flag"))
+    all_rows = "__all__"
+    src = sel.withColumn(all_rows, F.lit(True))
+    long = melt_flags(src, list(flags) + [all_rows], fields).where(F.col("flag"))
     agg = long.groupBy(qcol(fields.year), F.col("variable")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(amount).alias("s"), F.count(amount).alias("nn")
     )
-    totals = sel.groupBy(qcol(fields.year)).agg(
-        F.count(F.lit(1)).alias("tn"), F.sum(amount).alias("ts"), F.count(amount).alias("tnn")
-    )
-    strict = (lambda n, s, nn: F.when(nn == n, s)) if strict_nulls else (lambda n, s, nn: s)
-    val = strict(F.col("n"), F.col("s"), F.col("nn"))
-    tot = strict(F.col("tn"), F.col("ts"), F.col("tnn"))
-    return agg.join(totals, on=fields.year, how="inner").select(
-        qcol(fields.year), F.col("variable"), val.alias(fields.amount), tot.alias("total"), F.try_divide(val, tot).alias("share")
+    value = F.when(F.col("nn") == F.col("n"), F.col("s")) if strict_nulls else F.col("s")
+    agg = agg.withColumn("v", value).withColumn("is_total", F.col("variable") == all_rows)
+    # NULL marks "no total" only through the strict rule; use a flag to pick the total row
+    per_year = Window.partitionBy(qcol(fields.year))
+    total = F.max(F.when(F.col("is_total"), F.struct(F.col("v").alias("t")))).over(per_year).getField("t")
+    out = agg.withColumn("total", total).where(~F.col("is_total"))
+    return out.select(
+        qcol(fields.year), F.col("variable"), F.col("v").alias(fields.amount), F.col("total"), F.try_divide(F.col("v"), F.col("total")).alias("share")
     )
 
 

@@ -118,3 +118,21 @@ def test_resume_appends_only_new(spark, tmp_root):
     assert pl.label(spark, layout, T, lambda: lb.KeywordClassifier(kw), system_prompt="p") == 3
     assert pl.label(spark, layout, T, lambda: lb.KeywordClassifier(kw), system_prompt="p") == 0
     assert spark.read.parquet(layout.labels(T)).select("text_key").distinct().count() == 8
+
+
+def test_worker_message_equals_native_user_message(spark):
+    from spendlens.functions.text import user_message
+
+    texts = _texts(spark, ["Build homes", "Ünïcode text\nwith lines"]).union(
+        _texts(spark, ["no code"]).withColumn("PurposeCode", F.lit(None).cast("string"))
+    )
+
+    class Echo:  # returns the message it was sent as the summary
+        def classify(self, system_prompt, message):
+            return json.dumps({"summary": message, "reasoning": system_prompt, "classifications": []})
+
+    out = lb.label_texts(texts, T, Echo, Fields(), system_prompt="P")
+    native = lb.request_frame(texts, Fields()).select("text_key", "user_message")
+    got = {r.text_key: r.summary for r in out.collect()}
+    want = {r.text_key: r.user_message for r in native.collect()}
+    assert got == want and all(v.endswith(("Sector: Housing policy and administrative management", "Sector: ")) for v in got.values())
