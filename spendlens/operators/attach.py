@@ -33,16 +33,28 @@ def labels_unique(labels: DataFrame, fields: Fields = DEFAULT, order: ColumnOrNa
     return keep_first(lab, fields.key, order)
 
 
+SALT = "__salt"
+SALT_BUCKETS = 32
+
+
 def attach_labels(
     activities: DataFrame,
     labels: DataFrame,
     fields: Fields = DEFAULT,
     label_columns: Sequence[str] | None = None,
     dedupe: bool = True,
+    hot_keys: Sequence[str] | None = None,
+    salt_buckets: int = SALT_BUCKETS,
 ) -> DataFrame:
     """Left join labels on the text key: every activity row kept, label columns NULL
     where unlabelled. Label columns that clash with activity columns get the
     ``fields.clash_suffix``; the label table's own text column is not carried.
+
+    ``hot_keys`` (a bounded list, see ``prepare.hot_keys``) are salted: their
+    activity rows are spread over ``salt_buckets`` join partitions by a
+    deterministic hash of the row, and their label rows are replicated once
+    per bucket, so no single task receives all rows of one text. Other keys
+    join with salt 0. Results are identical to the plain join.
     """
     acts = activities
     if fields.key not in acts.columns:
@@ -55,4 +67,16 @@ def attach_labels(
     for c in keep:
         out = c + fields.clash_suffix if c in acts.columns else c
         renamed.append(qcol(c).alias(out))
-    return acts.join(lab.select(*renamed), on=fields.key, how="left")
+    right = lab.select(*renamed)
+    if not hot_keys:
+        return acts.join(right, on=fields.key, how="left")
+    hot_list = list(dict.fromkeys(hot_keys))
+    hot_act = qcol(fields.key).isin(hot_list)
+    row_id = [qcol(fields.ordinal)] if fields.ordinal in acts.columns else [qcol(c) for c in acts.columns]
+    salt = F.when(hot_act, F.pmod(F.xxhash64(*row_id), F.lit(salt_buckets))).otherwise(F.lit(0)).cast("int")
+    replicas = F.when(qcol(fields.key).isin(hot_list), F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))
+    return (
+        acts.withColumn(SALT, salt)
+        .join(right.withColumn(SALT, F.explode(replicas)), on=[fields.key, SALT], how="left")
+        .drop(SALT)
+    )

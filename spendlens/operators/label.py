@@ -202,9 +202,27 @@ def keyword_labels(texts: DataFrame, taxonomy: Taxonomy, keywords: Mapping[str,
     )
 
 
-def unprocessed(texts: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in ``done`` (anti-join; the done side is never collected)."""
-    return texts.join(done.select(qcol(key)), on=key, how="left_anti")
+# Keys of a batch that may be broadcast (64-character keys: about 64 MB).
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def unprocessed(texts: DataFrame, done: DataFrame, key: str, max_broadcast_keys: int | None = None) -> DataFrame:
+    """Rows of ``texts`` whose key is not in ``done`` (the label table is never collected).
+
+    Default: a plain anti-join (AQE broadcasts ``done`` only while it is small).
+    With ``max_broadcast_keys``, a batch whose key count is proven under the
+    bound (count capped at bound + 1) broadcasts its keys instead: the label
+    table, which grows with every run, is only scanned and semi-joined against
+    them — no shuffle of the whole table — and the few matches are removed with
+    a broadcast anti-join. Above the bound the plain anti-join is used.
+    """
+    done_keys = done.select(qcol(key))
+    if max_broadcast_keys:
+        keys = texts.select(qcol(key))
+        if keys.limit(max_broadcast_keys + 1).count() <= max_broadcast_keys:
+            seen = done_keys.join(F.broadcast(keys), on=key, how="left_semi")
+            return texts.join(F.broadcast(seen), on=key, how="left_anti")
+    return texts.join(done_keys, on=key, how="left_anti")
 
 
 def sample_by_code(df: DataFrame, code_col: str, codes: Sequence[str], n: int, order: str | Sequence[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Text preparation: one text per activity, first-wins dedup by content, blank removal, funnel.
 
-Dedup is keyed by ``sha2(text)``: the shuffle moves a 64-char key instead of the
-text, and ``row_number() = 1`` is planned as a partial ``WindowGroupLimit``
-before the exchange, so a text repeated in millions of rows leaves each map
-task as a single row.
+Dedup is keyed by ``sha2(text)``. ``keep_first`` (J1/J2 in general form) is
+``row_number() = 1``, planned as a partial ``WindowGroupLimit`` before the
+exchange; ``prepare_texts`` uses one ``groupBy(key)`` with ``min_by`` and
+``count`` so the same shuffle also yields how many activities carry each text.
+Both reduce a text repeated in millions of rows to one row per map task
+before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -47,17 +49,33 @@ def with_activity_text(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
     return src.withColumn(fields.key, text_key(qcol(fields.text)))
 
 
+N_ACTIVITIES = "n_activities"
+
+
+def _first_order(orders: Sequence[str]):
+    """Ordering struct for min_by: ascending, NULLs last (like ``keep_first``)."""
+    parts = []
+    for o in orders:
+        parts += [qcol(o).isNull(), qcol(o)]
+    return F.struct(*parts)
+
+
 def prepare_texts(
     df: DataFrame,
     fields: Fields = DEFAULT,
     order: Sequence[str] | None = None,
     observation: "PrepareObservation | None" = None,
 ) -> DataFrame:
-    """Unique, non-blank texts with the purpose code of their first activity.
-
-    Output columns: key, text, purpose code, ordinal. ``order`` defaults to
-    (year, ordinal), i.e. collated file order. Pass a ``PrepareObservation``
-    to collect the funnel counts during the write, without another pass.
+    """Unique, non-blank texts with the purpose code of their first activity and the
+    number of activities carrying the text (``n_activities``).
+
+    Output columns: key, text, purpose code, ordinal column(s), n_activities.
+    ``order`` defaults to (year, ordinal), i.e. collated file order. One
+    aggregation by key does both: the first row (``min_by``) and the count;
+    partial aggregation runs before the shuffle, so a text repeated in a large
+    share of rows leaves each map task as one row. The counts give the key
+    histogram that ``hot_keys`` reads to split skewed keys in the label join.
+    Pass a ``PrepareObservation`` to collect the funnel during the write.
     """
     src = df
     if fields.purpose_code not in src.columns:
@@ -69,11 +87,13 @@ def prepare_texts(
     order = list(order) if order is not None else [c for c in (fields.year, fields.ordinal) if c in src.columns]
     if not order:
         raise ValueError("first-wins dedup needs an ordinal column (see sources.ingest.add_ordinal)")
-    cols = [fields.key, fields.text, fields.purpose_code] + [c for c in order if c not in (fields.key, fields.text, fields.purpose_code)]
-    src = src.select(*[qcol(c) for c in cols])
+    payload = [fields.text, fields.purpose_code] + [c for c in order if c not in (fields.key, fields.text, fields.purpose_code)]
+    src = src.select(qcol(fields.key), *[qcol(c) for c in payload])
     if observation is not None:
         src = src.observe(observation.start, F.count(F.lit(1)).alias("n_start"))
-    unique = keep_first(src, fields.key, order)
+    first = F.min_by(F.struct(*[qcol(c) for c in payload]), _first_order(order))
+    grouped = src.groupBy(qcol(fields.key)).agg(first.alias("__first"), F.count(F.lit(1)).alias(N_ACTIVITIES))
+    unique = grouped.select(qcol(fields.key), *[F.col("__first").getField(c).alias(c) for c in payload], F.col(N_ACTIVITIES))
     if observation is not None:
         unique = unique.observe(
             observation.unique,
@@ -83,6 +103,26 @@ def prepare_texts(
     return drop_blank(unique, fields.text)
 
 
+def hot_keys(
+    prepared: DataFrame,
+    fields: Fields = DEFAULT,
+    share: float = 0.001,
+    min_rows: int = 1_000_000,
+    max_keys: int = 1000,
+) -> list[str]:
+    """Text keys carried by at least ``max(min_rows, share × all activities)`` rows.
+
+    At most ``1 / share`` keys can pass the threshold, and at most ``max_keys``
+    (the largest) are returned, so the list has a proven size bound. Keys left
+    out are still joined exactly, just without salting. Reads only the prepared
+    table (one row per text).
+    """
+    total = prepared.agg(F.sum(N_ACTIVITIES)).first()[0] or 0
+    threshold = max(int(min_rows), int(share * total + 0.999999))
+    top = prepared.where(F.col(N_ACTIVITIES) >= threshold).orderBy(F.col(N_ACTIVITIES).desc()).limit(max_keys)
+    return [r[0] for r in top.select(qcol(fields.key)).collect()]
+
+
 class PrepareObservation:
     """Funnel counts gathered by ``Observation`` while the prepared texts are written."""
 

@@ -60,6 +60,7 @@ TAXONOMY_KEYWORDS = {
 SAMPLE_CODES = ["16030", "16040"]
 ABSENT_CODES = ["99999"]
 SAMPLE_SIZE = 10
+HOT_KEYS = 64
 COLLATE_SPLIT_YEAR = 1998
 MAX_COST = 5.0
 
@@ -275,6 +276,17 @@ def q_attach_labels(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("activity_id", *LABEL_COLUMNS)
 
 
+def q_attach_labels_salted(spark: SparkSession, sf: str) -> DataFrame:
+    """The label join with the most shared texts salted (hot keys from the prepared
+    texts' activity counts); must equal the plain join."""
+    from spendlens.operators.prepare import hot_keys
+
+    acts = fx.activities(spark, sf)
+    hot = hot_keys(prepare_texts(acts, FIX, order=["activity_id"]), FIX, share=0.0, min_rows=1, max_keys=HOT_KEYS)
+    a = attach_labels(acts, fx.lab(spark, sf), FIX, label_columns=LABEL_COLUMNS, dedupe=False, hot_keys=hot, salt_buckets=8)
+    return a.select("activity_id", *LABEL_COLUMNS)
+
+
 def q_marker_flags(spark: SparkSession, sf: str) -> DataFrame:
     m = fx.marked(spark, sf)
     return m.select("activity_id", "sector", "any_sans_sector", "any_flag", residual(FIXTURE_TAXONOMY).alias("resid"))
@@ -393,6 +405,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "incremental_label": q_incremental_label,
     "labels_unique": q_labels_unique,
     "attach_labels": q_attach_labels,
+    "attach_labels_salted": q_attach_labels_salted,
     "marker_flags": q_marker_flags,
     "false_negatives": q_false_negatives,
     "selection_summary": q_selection_summary,

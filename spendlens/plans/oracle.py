@@ -243,6 +243,11 @@ FROM documents WHERE length(trim(text)) > 0""",
 WITH {ACTIVITIES},
 {LAB}
 SELECT a.activity_id, l.c1, l.c2, l.g, l.urban, l.rural
+FROM activities a LEFT JOIN lab l ON a.txt = l.txt""",
+    "attach_labels_salted": f"""
+WITH {ACTIVITIES},
+{LAB}
+SELECT a.activity_id, l.c1, l.c2, l.g, l.urban, l.rural
 FROM activities a LEFT JOIN lab l ON a.txt = l.txt""",
     "marker_flags": BASE + "SELECT activity_id, sector, any_sans_sector, any_flag, (NOT c1 AND NOT c2) AS resid FROM m",
     "false_negatives": BASE + "SELECT activity_id, yr, amount, purpose_code FROM m WHERE sector AND NOT any_sans_sector",

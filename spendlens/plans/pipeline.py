@@ -19,7 +19,7 @@ from spendlens.operators import label as lb
 from spendlens.operators import report as rp
 from spendlens.operators.attach import attach_labels
 from spendlens.operators.marker import false_negatives, mark, select_marked
-from spendlens.operators.prepare import PrepareObservation, prepare_texts, with_activity_text
+from spendlens.operators.prepare import PrepareObservation, hot_keys, prepare_texts, with_activity_text
 from spendlens.session import configure
 from spendlens.sources import ingest, sinks
 from spendlens.streaming.incremental import read_if_exists
@@ -99,7 +99,7 @@ def label(
     if sample_size:
         texts = lb.sample_by_code(texts, fields.purpose_code, sample_codes or taxonomy.sector_codes, sample_size, [fields.ordinal])
     done = read_if_exists(spark, layout.labels(taxonomy))
-    todo = lb.unprocessed(texts, done, fields.key) if done is not None else texts
+    todo = lb.unprocessed(texts, done, fields.key, max_broadcast_keys=lb.MAX_BROADCAST_KEYS) if done is not None else texts
     if max_cost is not None:
         lb.check_budget(lb.request_frame(todo, fields, sectors), taxonomy.system_prompt(), max_cost)
     labelled = lb.label_texts(todo, taxonomy, make_classifier, fields, sectors=sectors, **label_kw)
@@ -114,7 +114,9 @@ def merge(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Field
     acts = with_activity_text(landed, fields)
     labels = spark.read.parquet(layout.labels(taxonomy)).where(F.col("status") == "ok")
     keep = ["summary", "reasoning", *taxonomy.vocabulary, fields.purpose_code]
-    sinks.write_table(attach_labels(acts, labels, fields, label_columns=keep), layout.merged(taxonomy))
+    # texts shared by a large share of activities are salted in the join
+    hot = hot_keys(spark.read.parquet(layout.prepared), fields)
+    sinks.write_table(attach_labels(acts, labels, fields, label_columns=keep, hot_keys=hot), layout.merged(taxonomy))
 
 
 def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, strict_nulls: bool = True) -> dict:

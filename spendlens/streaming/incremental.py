@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from spendlens.fields import DEFAULT, Fields
-from spendlens.operators.label import unprocessed
+from spendlens.operators.label import MAX_BROADCAST_KEYS, unprocessed
 from spendlens.operators.prepare import prepare_texts
 from spendlens.session import work_path
 from spendlens.sources import sinks
@@ -43,11 +43,14 @@ def label_batch_fn(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        texts = prepare_texts(batch, fields, order=order)
-        done = read_if_exists(spark, out_path)
-        if done is not None:
-            texts = unprocessed(texts, done, fields.key)
-        sinks.append_table(label(texts), out_path)
+        texts = prepare_texts(batch, fields, order=order).persist()
+        try:
+            done = read_if_exists(spark, out_path)
+            if done is not None:
+                texts = unprocessed(texts, done, fields.key, max_broadcast_keys=MAX_BROADCAST_KEYS)
+            sinks.append_table(label(texts), out_path)
+        finally:
+            texts.unpersist()
 
     return run
 

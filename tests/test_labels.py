@@ -136,3 +136,14 @@ def test_worker_message_equals_native_user_message(spark):
     got = {r.text_key: r.summary for r in out.collect()}
     want = {r.text_key: r.user_message for r in native.collect()}
     assert got == want and all(v.endswith(("Sector: Housing policy and administrative management", "Sector: ")) for v in got.values())
+
+
+def test_unprocessed_broadcast_and_shuffle_paths_agree(spark):
+    texts = _texts(spark, [f"t{i}" for i in range(50)])
+    done = _texts(spark, [f"t{i}" for i in range(0, 50, 3)] + ["other"])
+    a = {r.text for r in lb.unprocessed(texts, done, "text_key").collect()}
+    b = {r.text for r in lb.unprocessed(texts, done, "text_key", max_broadcast_keys=100).collect()}
+    c = {r.text for r in lb.unprocessed(texts, done, "text_key", max_broadcast_keys=10).collect()}
+    assert a == b == c == {f"t{i}" for i in range(50) if i % 3}
+    plan = lb.unprocessed(texts, done, "text_key", max_broadcast_keys=100)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan

@@ -38,3 +38,10 @@ def test_missing_columns_default_to_null(spark):
     df = spark.createDataFrame([("Title only", 1)], "ProjectTitle string, ord long")
     out = prepare_texts(df, F_, order=["ord"]).first()
     assert out.text == "Title only" and out.PurposeCode is None
+
+
+def test_prepare_counts_activities_per_text(spark):
+    rows = [("a", 0), ("b", 1), ("a", 2), ("a", 3)]
+    df = spark.createDataFrame(rows, "LongDescription string, ord long")
+    got = {r.text: (r.ord, r.n_activities) for r in prepare_texts(df, F_, order=["ord"]).collect()}
+    assert got == {"a": (0, 3), "b": (1, 1)}
