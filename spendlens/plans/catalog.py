@@ -174,6 +174,15 @@ def q_token_cost(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_bpe_token_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact-tokenizer backend over every unique text (byte-level encoding)."""
+    from spendlens.functions.tokens import bpe_token_count, byte_level_encoding
+
+    u = _unique_doc_texts(spark, sf)
+    n = bpe_token_count("txt", "byte_level", byte_level_encoding)
+    return u.select(F.col("activity_id").alias("doc_id"), n.alias("n_tokens"))
+
+
 def _unique_activity_texts(spark: SparkSession, sf: str) -> DataFrame:
     return prepare_texts(fx.activities(spark, sf), FIX, order=["activity_id"])
 
@@ -394,6 +403,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keep_first_text": q_keep_first_text,
     "prepare_funnel": q_prepare_funnel,
     "token_cost": q_token_cost,
+    "bpe_token_count": q_bpe_token_count,
     "request_rows": q_request_rows,
     "budget_gate": q_budget_gate,
     "code_sample": q_code_sample,

@@ -188,6 +188,7 @@ t AS (SELECT count(*) AS n_texts,
 SELECT n_texts, n_tokens, n_tokens AS input_tokens, n_tokens AS output_tokens,
        round({_cost('n_tokens')}, 6) AS est_cost
 FROM t""",
+    "bpe_token_count": f"WITH {UNIQUE_DOCS}\nSELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_tokens FROM u",
     "request_rows": f"""
 WITH {ACTIVITIES},
 {REQUESTS}
