@@ -9,6 +9,7 @@ otherwise.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -35,6 +36,9 @@ def labels_unique(labels: DataFrame, fields: Fields = DEFAULT, order: ColumnOrNa
 
 SALT = "__salt"
 SALT_BUCKETS = 32
+# Key of the empty text: every activity without a usable description carries it,
+# which makes it the most likely hot key; it never has a label row.
+BLANK_KEY = hashlib.sha256(b"").hexdigest()
 
 
 def attach_labels(
@@ -53,8 +57,10 @@ def attach_labels(
     ``hot_keys`` (a bounded list, see ``prepare.hot_keys``) are salted: their
     activity rows are spread over ``salt_buckets`` join partitions by a
     deterministic hash of the row, and their label rows are replicated once
-    per bucket, so no single task receives all rows of one text. Other keys
-    join with salt 0. Results are identical to the plain join.
+    per bucket, so no single task receives all rows of one text. The empty
+    text's key is always salted (it has no label row, so this costs nothing on
+    the label side). Other keys join with salt 0. Results are identical to the
+    plain join.
     """
     acts = activities
     if fields.key not in acts.columns:
@@ -68,9 +74,7 @@ def attach_labels(
         out = c + fields.clash_suffix if c in acts.columns else c
         renamed.append(qcol(c).alias(out))
     right = lab.select(*renamed)
-    if not hot_keys:
-        return acts.join(right, on=fields.key, how="left")
-    hot_list = list(dict.fromkeys(hot_keys))
+    hot_list = list(dict.fromkeys([BLANK_KEY, *(hot_keys or [])]))
     hot_act = qcol(fields.key).isin(hot_list)
     row_id = [qcol(fields.ordinal)] if fields.ordinal in acts.columns else [qcol(c) for c in acts.columns]
     salt = F.when(hot_act, F.pmod(F.xxhash64(*row_id), F.lit(salt_buckets))).otherwise(F.lit(0)).cast("int")

@@ -48,3 +48,15 @@ def test_salted_join_equals_plain_and_spreads(spark):
         .count()
     )
     assert spread > 4
+
+
+def test_blank_text_key_is_salted(spark):
+    from spendlens.functions.text import text_key
+    from spendlens.operators.attach import BLANK_KEY
+
+    assert spark.range(1).select(text_key(F.lit("")).alias("k")).first().k == BLANK_KEY
+    acts = spark.range(3000).select(F.col("id").alias("ord"), F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.lit("x")).alias("text"))
+    labels = spark.createDataFrame([("x",)], "text string").select(text_key("text").alias("text_key"), F.lit(True).alias("flag"))
+    out = attach_labels(acts, labels, FX, label_columns=["flag"], dedupe=False)
+    counts = {r.flag: r["count"] for r in out.groupBy("flag").count().collect()}
+    assert counts == {None: 1000, True: 2000}
