@@ -21,6 +21,9 @@ ENGINE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python stages (labeller, BPE counter) see texts of up to ~100 KB: keep
+    # Arrow batches small enough for worker memory and for fine-grained commits
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # the labelling job must never run a task twice on purpose
     "spark.speculation": "false",
 }
@@ -65,6 +68,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder; a machine-local one does not survive executor loss")
         root = tempfile.mkdtemp(prefix="spendlens-ckpt-")
         sc.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
