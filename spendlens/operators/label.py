@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
-from spendlens.functions.labels import FAILED, keyword_classes, multi_hot, parse_response
+from spendlens.functions.labels import keyword_classes, multi_hot, parse_response
 from spendlens.functions.text import SECTOR_SEPARATOR, cost, request_payload, token_count, user_message
 from spendlens.sources.dimensions import sector_lookup
 from spendlens.taxonomy import Taxonomy
@@ -44,10 +44,6 @@ class Classifier(Protocol):
         ...
 
 
-class RetriesExhausted(RuntimeError):
-    pass
-
-
 def backoff_wait(attempt: int, base: float = BASE_BACKOFF, cap: float = MAX_BACKOFF, jitter: float = 1.0, rng: Callable[[], float] = random.random) -> float:
     """Wait after failed try ``attempt`` (1-based): ``min(cap, base * 2^(attempt-1)) + U(0, jitter)``."""
     return min(cap, base * (2 ** (attempt - 1))) + rng() * jitter
@@ -273,6 +269,3 @@ def check_budget(requests: DataFrame, system_prompt: str, max_cost: float, **kw)
 def payload_column(system_prompt: str, message: str = "user_message"):
     """The request as the JSON the client sends."""
     return request_payload(system_prompt, qcol(message))
-
-
-STATUS_FAILED = FAILED
