@@ -30,6 +30,14 @@ def bpe_token_count(text: ColumnOrName, name: str, factory: Callable[[], object]
     """Number of tokens of ``text`` under the encoding ``factory()`` returns
     (anything with ``encode_ordinary(str) -> list``); NULL text counts 0."""
 
+    from pyspark.sql import SparkSession
+
+    from spendlens.session import ship_package
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
+
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
         enc = _encoding(name, factory)

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
+from spendlens.session import ship_package
 from spendlens.functions.labels import keyword_classes, multi_hot, parse_response
 from spendlens.functions.text import SECTOR_SEPARATOR, cost, request_payload, token_count, user_message
 from spendlens.sources.dimensions import sector_lookup
@@ -155,6 +156,7 @@ def label_texts(
     if on_error not in ("raise", "quarantine"):
         raise ValueError("on_error must be 'raise' or 'quarantine'")
     prompt = system_prompt if system_prompt is not None else taxonomy.system_prompt()
+    ship_package(texts.sparkSession)
     req = sector_lookup(texts, fields.purpose_code, "sector_name", sectors)
     keep = [c for c in (fields.key, fields.text, fields.purpose_code, fields.ordinal) if c in req.columns]
     req = req.select(*[qcol(c) for c in keep], F.col("sector_name"))

@@ -49,6 +49,16 @@ def with_activity_text(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
     return src.withColumn(fields.key, text_key(qcol(fields.text)))
 
 
+def ensure_text_key(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
+    """Keep an existing text column (adding its key if missing); otherwise build the
+    activity text from the title and descriptions."""
+    if fields.text not in df.columns:
+        return with_activity_text(df, fields)
+    if fields.key not in df.columns:
+        return df.withColumn(fields.key, text_key(qcol(fields.text)))
+    return df
+
+
 N_ACTIVITIES = "n_activities"
 
 
@@ -80,10 +90,7 @@ def prepare_texts(
     src = df
     if fields.purpose_code not in src.columns:
         src = src.withColumn(fields.purpose_code, F.lit(None).cast("string"))
-    if fields.text not in src.columns:
-        src = with_activity_text(src, fields)
-    elif fields.key not in src.columns:
-        src = src.withColumn(fields.key, text_key(qcol(fields.text)))
+    src = ensure_text_key(src, fields)
     order = list(order) if order is not None else [c for c in (fields.year, fields.ordinal) if c in src.columns]
     if not order:
         raise ValueError("first-wins dedup needs an ordinal column (see sources.ingest.add_ordinal)")
@@ -117,7 +124,7 @@ def hot_keys(
     out are still joined exactly, just without salting. Reads only the prepared
     table (one row per text).
     """
-    total = prepared.agg(F.sum(N_ACTIVITIES)).first()[0] or 0
+    total = (prepared.agg(F.sum(N_ACTIVITIES)).first()[0] or 0) if share > 0 else 0
     threshold = max(int(min_rows), int(share * total + 0.999999))
     top = prepared.where(F.col(N_ACTIVITIES) >= threshold).orderBy(F.col(N_ACTIVITIES).desc()).limit(max_keys)
     return [r[0] for r in top.select(qcol(fields.key)).collect()]

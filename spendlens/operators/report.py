@@ -189,20 +189,45 @@ def pivot_long(long: DataFrame, values: Sequence[str], value_col: str, fields: F
     return _order(wide, fields)
 
 
-def selection_summary(marked: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
-    """One row: activities, selected, selection rate, selected spend (NULL amounts skipped),
-    selected but unlabelled, false-negative candidates."""
+def _selection_aggs(fields: Fields) -> list[Column]:
     anyf, sector, sans = qcol(fields.any_flag), qcol(fields.sector_flag), qcol(fields.any_sans_sector)
-    n_all = F.count(F.lit(1))
-    n_sel = F.count_if(anyf)
-    return marked.agg(
-        n_all.alias("n_all"),
-        n_sel.alias("n_selected"),
-        F.try_divide(n_sel, n_all).alias("selection_rate"),
+    return [
+        F.count(F.lit(1)).alias("n_all"),
+        F.count_if(anyf).alias("n_selected"),
         F.sum(F.when(anyf, qcol(fields.amount).cast("double"))).alias("selected_amount"),
         F.count_if(anyf & sans.isNull()).alias("n_unlabelled_selected"),
         F.count_if(sector & ~sans).alias("n_false_negative"),
-    )
+    ]
+
+
+SELECTION_SCHEMA = "n_all long, n_selected long, selection_rate double, selected_amount double, n_unlabelled_selected long, n_false_negative long"
+SELECTION_COLUMNS = ["n_all", "n_selected", "selection_rate", "selected_amount", "n_unlabelled_selected", "n_false_negative"]
+
+
+def selection_summary(marked: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
+    """One row: activities, selected, selection rate, selected spend (NULL amounts skipped),
+    selected but unlabelled, false-negative candidates."""
+    agg = marked.agg(*_selection_aggs(fields))
+    return agg.select(*[F.try_divide(F.col("n_selected"), F.col("n_all")).alias(c) if c == "selection_rate" else F.col(c) for c in SELECTION_COLUMNS])
+
+
+class SelectionObservation:
+    """The selection summary gathered while another action (e.g. writing the selected
+    activities) scans the marked table: no extra pass."""
+
+    def __init__(self, fields: Fields = DEFAULT, name: str = "selection"):
+        from pyspark.sql import Observation
+
+        self.fields = fields
+        self.obs = Observation(name)
+
+    def attach(self, marked: DataFrame) -> DataFrame:
+        return marked.observe(self.obs, *_selection_aggs(self.fields))
+
+    def get(self) -> dict:
+        m = dict(self.obs.get)
+        m["selection_rate"] = m["n_selected"] / m["n_all"] if m["n_all"] else None
+        return {c: m[c] for c in SELECTION_COLUMNS}
 
 
 def drop_unobserved(report: DataFrame, fields: Fields = DEFAULT) -> DataFrame:

@@ -377,6 +377,24 @@ def q_wb_location_share(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("yr", *[_r9(F.col(f"`{c}`")).alias(c) for c in WB.locations])
 
 
+def q_pipeline_hfhi_share(spark: SparkSession, sf: str) -> DataFrame:
+    """The staged pipeline end to end on written tables: land (year-partitioned),
+    prepare (observed funnel), label (distributed job, keyword classifier),
+    merge (hot keys salted), report; the class shares are read from the written
+    selected activities."""
+    from spendlens.plans import pipeline as pl
+
+    layout = pl.Layout(work_path(spark, "pipeline"))
+    kw = TAXONOMY_KEYWORDS["hfhi"]
+    pl.land(fx.activities(spark, sf), layout, FIX)
+    pl.prepare(spark, layout, FIX)
+    pl.label(spark, layout, HFHI, lambda: lb.KeywordClassifier(kw), FIX, num_partitions=8)
+    pl.merge(spark, layout, HFHI, FIX)
+    pl.report(spark, layout, HFHI, FIX)
+    r = rp.class_share(spark.read.parquet(layout.selected(HFHI)), HFHI, FIX)
+    return r.select(F.col("yr").cast("int").alias("yr"), *[_r9(F.col(f"`{c}`")).alias(c) for c in HFHI.classes])
+
+
 def q_sum_strict(spark: SparkSession, sf: str) -> DataFrame:
     """Strict (NULL-propagating) and NULL-skipping sums per year on orders with some NULL amounts."""
     o = table(spark, sf, "orders")
@@ -428,6 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sum_strict": q_sum_strict,
     "spend_pivot": q_spend_pivot,
     "hfhi_class_spend": q_hfhi_class_spend,
+    "pipeline_hfhi_share": q_pipeline_hfhi_share,
     "wb_class_share": q_wb_class_share,
     "wb_location_share": q_wb_location_share,
 }

@@ -135,6 +135,11 @@ def _wb_share() -> str:
     return _taxonomy_sel(WB) + f"SELECT yr, {cols} FROM sel GROUP BY yr HAVING {_class_having(WB)}"
 
 
+def _hfhi_share() -> str:
+    cols = ", ".join(f"round(sum(CASE WHEN {_ident(c)} THEN amount END) / sum(amount), 9) AS {_ident(c)}" for c in HFHI.classes)
+    return _taxonomy_sel(HFHI) + f"SELECT yr, {cols} FROM sel GROUP BY yr HAVING {_class_having(HFHI)}"
+
+
 def _wb_location() -> str:
     u, r = (_ident(c) for c in WB.locations)
     return _taxonomy_sel(WB) + f"""SELECT yr, round(su / (coalesce(su, 0) + coalesce(sr, 0)), 9) AS {u},
@@ -316,6 +321,7 @@ SELECT yr,
        round(sum(CASE WHEN g THEN amount END), 2) AS g
 FROM sel GROUP BY yr HAVING {ANY_CLASS}""",
     "hfhi_class_spend": _hfhi_spend(),
+    "pipeline_hfhi_share": _hfhi_share(),
     "wb_class_share": _wb_share(),
     "wb_location_share": _wb_location(),
 }

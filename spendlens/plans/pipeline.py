@@ -19,7 +19,7 @@ from spendlens.operators import label as lb
 from spendlens.operators import report as rp
 from spendlens.operators.attach import attach_labels
 from spendlens.operators.marker import false_negatives, mark, select_marked
-from spendlens.operators.prepare import PrepareObservation, hot_keys, prepare_texts, with_activity_text
+from spendlens.operators.prepare import PrepareObservation, ensure_text_key, hot_keys, prepare_texts
 from spendlens.session import configure
 from spendlens.sources import ingest, sinks
 from spendlens.streaming.incremental import read_if_exists
@@ -111,7 +111,7 @@ def label(
 def merge(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, years: Iterable[int] | None = None) -> None:
     """Every landed activity with its labels (NULL where unlabelled) → ``merged``."""
     landed = ingest.read_years(spark, layout.landed, years, fields=fields)
-    acts = with_activity_text(landed, fields)
+    acts = ensure_text_key(landed, fields)
     labels = spark.read.parquet(layout.labels(taxonomy)).where(F.col("status") == "ok")
     keep = ["summary", "reasoning", *taxonomy.vocabulary, fields.purpose_code]
     # texts shared by a large share of activities are salted in the join
@@ -119,19 +119,21 @@ def merge(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Field
     sinks.write_table(attach_labels(acts, labels, fields, label_columns=keep, hot_keys=hot), layout.merged(taxonomy))
 
 
-def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, strict_nulls: bool = True) -> dict:
-    """Selected activities, review list and the yearly report tables (CSV, one row per year)."""
+def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, strict_nulls: bool = True) -> dict[str, DataFrame]:
+    """Selected activities, review list and the yearly report tables (CSV, one row per
+    year). Returns the report DataFrames (backed by the checkpointed per-year summary)."""
     merged = spark.read.parquet(layout.merged(taxonomy))
     marked = mark(merged, taxonomy, fields)
-    sel = select_marked(marked, taxonomy, fields)
-    sinks.write_table(sel, layout.selected(taxonomy))
+    summary = rp.SelectionObservation(fields, f"selection{taxonomy.suffix}")
+    # one scan of the merged table writes the selected activities and gathers the summary
+    sinks.write_table(select_marked(summary.attach(marked), taxonomy, fields), layout.selected(taxonomy))
     sel = spark.read.parquet(layout.selected(taxonomy))
     sinks.write_table(false_negatives(marked, fields), layout.report(taxonomy, "false_negatives"))
     tables = rp.all_reports(sel, taxonomy, fields, strict_nulls)
-    tables["selection_summary"] = rp.selection_summary(marked, fields)
+    tables["selection_summary"] = spark.createDataFrame([summary.get()], rp.SELECTION_SCHEMA)
     for name, df in tables.items():
         sinks.write_report_csv(df, layout.report(taxonomy, name))
-    return {k: [r.asDict() for r in v.collect()] for k, v in tables.items()}
+    return tables
 
 
 def run_all(

@@ -39,7 +39,7 @@ def test_pipeline_end_to_end_both_taxonomies(spark, tmp_root):
     )
     assert out["funnel"] == {"n_start": 7, "n_duplicates": 1, "n_blank": 1, "n_end": 5}
     assert out["hfhi"]["labelled"] == 5 and out["wb"]["labelled"] == 5
-    rep = out["hfhi"]["reports"]
+    rep = {k: [r.asDict() for r in v.collect()] for k, v in out["hfhi"]["reports"].items()}
     spend = {r["Year"]: r for r in rep["spend_by_class"]}
     share = {r["Year"]: r for r in rep["class_share"]}
     groups = {r["Year"]: r for r in rep["spend_by_group"]}
