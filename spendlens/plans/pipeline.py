@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens._compat import qcol
@@ -103,9 +103,9 @@ def label(
     if max_cost is not None:
         lb.check_budget(lb.request_frame(todo, fields, sectors), taxonomy.system_prompt(), max_cost)
     labelled = lb.label_texts(todo, taxonomy, make_classifier, fields, sectors=sectors, **label_kw)
-    before = done.count() if done is not None else 0
-    sinks.append_table(labelled, layout.labels(taxonomy))
-    return spark.read.parquet(layout.labels(taxonomy)).count() - before
+    appended = Observation(f"labelled{taxonomy.suffix}")
+    sinks.append_table(labelled.observe(appended, F.count(F.lit(1)).alias("n")), layout.labels(taxonomy))
+    return appended.get["n"]
 
 
 def merge(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, years: Iterable[int] | None = None) -> None:
