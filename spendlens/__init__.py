@@ -10,6 +10,6 @@ Stages, all DataFrame in / DataFrame out:
 """
 
 from spendlens.fields import Fields
-from spendlens.taxonomy import HFHI, WB, Taxonomy
+from spendlens.taxonomy import CONTINUUM, SUBSECTORS, Taxonomy
 
-__all__ = ["Fields", "Taxonomy", "HFHI", "WB"]
+__all__ = ["Fields", "Taxonomy", "CONTINUUM", "SUBSECTORS"]

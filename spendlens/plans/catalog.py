@@ -24,7 +24,7 @@ from spendlens.plans import fixtures as fx
 from spendlens.plans.fixtures import FIX, FIXTURE_TAXONOMY, LABEL_COLUMNS, table
 from spendlens.session import work_path
 from spendlens.sources import ingest, sinks
-from spendlens.taxonomy import HFHI, WB
+from spendlens.taxonomy import CONTINUUM, SUBSECTORS
 
 # Keyword rule of the fixture classifier (frequent fragments of the test prose).
 FIXTURE_KEYWORDS = {
@@ -36,7 +36,7 @@ FIXTURE_KEYWORDS = {
 }
 # Keyword rules standing in for the model on the two shipped taxonomies.
 TAXONOMY_KEYWORDS = {
-    "hfhi": {
+    "continuum": {
         "Homelessness": ["oir"],
         "Transitional housing": ["ado"],
         "Incremental housing": ["sch", "ung"],
@@ -46,7 +46,7 @@ TAXONOMY_KEYWORDS = {
         "Urban": ["ich"],
         "Rural": ["que"],
     },
-    "wb": {
+    "subsectors": {
         "Transitional and Temporary Housing": ["oir"],
         "Resilience and Reconstruction": ["ón"],
         "Incremental and Improved Housing": ["sch"],
@@ -194,7 +194,7 @@ def q_request_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_budget_gate(spark: SparkSession, sf: str) -> DataFrame:
     req = lb.request_frame(_unique_activity_texts(spark, sf), FIX)
-    b = lb.budget(req, HFHI.system_prompt(), max_cost=MAX_COST)
+    b = lb.budget(req, CONTINUUM.system_prompt(), max_cost=MAX_COST)
     return b.select("n_requests", "input_tokens", "output_tokens", F.round("est_cost", 6).alias("est_cost"), "within_budget")
 
 
@@ -362,22 +362,22 @@ def _taxonomy_selected(spark: SparkSession, sf: str, taxonomy):
     return select_marked(mark(attached, taxonomy, FIX), taxonomy, FIX)
 
 
-def q_hfhi_class_spend(spark: SparkSession, sf: str) -> DataFrame:
-    r = rp.spend_by_class(_taxonomy_selected(spark, sf, HFHI), HFHI, FIX)
-    return r.select("yr", *[_r2(F.col(f"`{c}`")).alias(c) for c in HFHI.classes])
+def q_continuum_class_spend(spark: SparkSession, sf: str) -> DataFrame:
+    r = rp.spend_by_class(_taxonomy_selected(spark, sf, CONTINUUM), CONTINUUM, FIX)
+    return r.select("yr", *[_r2(F.col(f"`{c}`")).alias(c) for c in CONTINUUM.classes])
 
 
-def q_wb_class_share(spark: SparkSession, sf: str) -> DataFrame:
-    r = rp.class_share(_taxonomy_selected(spark, sf, WB), WB, FIX)
-    return r.select("yr", *[_r9(F.col(f"`{c}`")).alias(c) for c in WB.classes])
+def q_subsector_class_share(spark: SparkSession, sf: str) -> DataFrame:
+    r = rp.class_share(_taxonomy_selected(spark, sf, SUBSECTORS), SUBSECTORS, FIX)
+    return r.select("yr", *[_r9(F.col(f"`{c}`")).alias(c) for c in SUBSECTORS.classes])
 
 
-def q_wb_location_share(spark: SparkSession, sf: str) -> DataFrame:
-    r = rp.location_share(_taxonomy_selected(spark, sf, WB), WB, FIX)
-    return r.select("yr", *[_r9(F.col(f"`{c}`")).alias(c) for c in WB.locations])
+def q_subsector_location_share(spark: SparkSession, sf: str) -> DataFrame:
+    r = rp.location_share(_taxonomy_selected(spark, sf, SUBSECTORS), SUBSECTORS, FIX)
+    return r.select("yr", *[_r9(F.col(f"`{c}`")).alias(c) for c in SUBSECTORS.locations])
 
 
-def q_pipeline_hfhi_share(spark: SparkSession, sf: str) -> DataFrame:
+def q_pipeline_continuum_share(spark: SparkSession, sf: str) -> DataFrame:
     """The staged pipeline end to end on written tables: land (year-partitioned),
     prepare (observed funnel), label (distributed job, keyword classifier),
     merge (hot keys salted), report; the class shares are read from the written
@@ -385,14 +385,14 @@ def q_pipeline_hfhi_share(spark: SparkSession, sf: str) -> DataFrame:
     from spendlens.plans import pipeline as pl
 
     layout = pl.Layout(work_path(spark, "pipeline"))
-    kw = TAXONOMY_KEYWORDS["hfhi"]
+    kw = TAXONOMY_KEYWORDS["continuum"]
     pl.land(fx.activities(spark, sf), layout, FIX)
     pl.prepare(spark, layout, FIX)
-    pl.label(spark, layout, HFHI, lambda: lb.KeywordClassifier(kw), FIX, num_partitions=8)
-    pl.merge(spark, layout, HFHI, FIX)
-    pl.report(spark, layout, HFHI, FIX)
-    r = rp.class_share(spark.read.parquet(layout.selected(HFHI)), HFHI, FIX)
-    return r.select(F.col("yr").cast("int").alias("yr"), *[_r9(F.col(f"`{c}`")).alias(c) for c in HFHI.classes])
+    pl.label(spark, layout, CONTINUUM, lambda: lb.KeywordClassifier(kw), FIX, num_partitions=8)
+    pl.merge(spark, layout, CONTINUUM, FIX)
+    pl.report(spark, layout, CONTINUUM, FIX)
+    r = rp.class_share(spark.read.parquet(layout.selected(CONTINUUM)), CONTINUUM, FIX)
+    return r.select(F.col("yr").cast("int").alias("yr"), *[_r9(F.col(f"`{c}`")).alias(c) for c in CONTINUUM.classes])
 
 
 def q_sum_strict(spark: SparkSession, sf: str) -> DataFrame:
@@ -445,8 +445,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "location_share": q_location_share,
     "sum_strict": q_sum_strict,
     "spend_pivot": q_spend_pivot,
-    "hfhi_class_spend": q_hfhi_class_spend,
-    "pipeline_hfhi_share": q_pipeline_hfhi_share,
-    "wb_class_share": q_wb_class_share,
-    "wb_location_share": q_wb_location_share,
+    "continuum_class_spend": q_continuum_class_spend,
+    "pipeline_continuum_share": q_pipeline_continuum_share,
+    "subsector_class_share": q_subsector_class_share,
+    "subsector_location_share": q_subsector_location_share,
 }

@@ -17,7 +17,7 @@ from spendlens.plans.catalog import (
     TAXONOMY_KEYWORDS,
 )
 from spendlens.sources.dimensions import DEFAULT_SECTOR_NAMES
-from spendlens.taxonomy import HFHI, WB
+from spendlens.taxonomy import CONTINUUM, SUBSECTORS
 
 TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 
@@ -125,24 +125,24 @@ def _class_having(t) -> str:
     return " + ".join(f"count(CASE WHEN {_ident(c)} THEN 1 END)" for c in t.classes) + " > 0"
 
 
-def _hfhi_spend() -> str:
-    cols = ", ".join(f"round(sum(CASE WHEN {_ident(c)} THEN amount END), 2) AS {_ident(c)}" for c in HFHI.classes)
-    return _taxonomy_sel(HFHI) + f"SELECT yr, {cols} FROM sel GROUP BY yr HAVING {_class_having(HFHI)}"
+def _continuum_spend() -> str:
+    cols = ", ".join(f"round(sum(CASE WHEN {_ident(c)} THEN amount END), 2) AS {_ident(c)}" for c in CONTINUUM.classes)
+    return _taxonomy_sel(CONTINUUM) + f"SELECT yr, {cols} FROM sel GROUP BY yr HAVING {_class_having(CONTINUUM)}"
 
 
-def _wb_share() -> str:
-    cols = ", ".join(f"round(sum(CASE WHEN {_ident(c)} THEN amount END) / sum(amount), 9) AS {_ident(c)}" for c in WB.classes)
-    return _taxonomy_sel(WB) + f"SELECT yr, {cols} FROM sel GROUP BY yr HAVING {_class_having(WB)}"
+def _subsector_share() -> str:
+    cols = ", ".join(f"round(sum(CASE WHEN {_ident(c)} THEN amount END) / sum(amount), 9) AS {_ident(c)}" for c in SUBSECTORS.classes)
+    return _taxonomy_sel(SUBSECTORS) + f"SELECT yr, {cols} FROM sel GROUP BY yr HAVING {_class_having(SUBSECTORS)}"
 
 
-def _hfhi_share() -> str:
-    cols = ", ".join(f"round(sum(CASE WHEN {_ident(c)} THEN amount END) / sum(amount), 9) AS {_ident(c)}" for c in HFHI.classes)
-    return _taxonomy_sel(HFHI) + f"SELECT yr, {cols} FROM sel GROUP BY yr HAVING {_class_having(HFHI)}"
+def _continuum_share() -> str:
+    cols = ", ".join(f"round(sum(CASE WHEN {_ident(c)} THEN amount END) / sum(amount), 9) AS {_ident(c)}" for c in CONTINUUM.classes)
+    return _taxonomy_sel(CONTINUUM) + f"SELECT yr, {cols} FROM sel GROUP BY yr HAVING {_class_having(CONTINUUM)}"
 
 
-def _wb_location() -> str:
-    u, r = (_ident(c) for c in WB.locations)
-    return _taxonomy_sel(WB) + f"""SELECT yr, round(su / (coalesce(su, 0) + coalesce(sr, 0)), 9) AS {u},
+def _subsector_location() -> str:
+    u, r = (_ident(c) for c in SUBSECTORS.locations)
+    return _taxonomy_sel(SUBSECTORS) + f"""SELECT yr, round(su / (coalesce(su, 0) + coalesce(sr, 0)), 9) AS {u},
        round(sr / (coalesce(su, 0) + coalesce(sr, 0)), 9) AS {r}
 FROM (SELECT yr, sum(CASE WHEN {u} THEN amount END) AS su, sum(CASE WHEN {r} THEN amount END) AS sr
       FROM sel GROUP BY yr) t
@@ -202,7 +202,7 @@ SELECT activity_id, purpose_code, sector_name, user_message FROM req""",
 WITH {ACTIVITIES},
 {REQUESTS},
 t AS (SELECT count(*) AS n_requests,
-             CAST(coalesce(sum(len(regexp_extract_all({_q(HFHI.system_prompt())}, {_q(TOKEN)}))
+             CAST(coalesce(sum(len(regexp_extract_all({_q(CONTINUUM.system_prompt())}, {_q(TOKEN)}))
                                + len(regexp_extract_all(user_message, {_q(TOKEN)}))), 0) AS BIGINT) AS input_tokens
       FROM req)
 SELECT n_requests, input_tokens, input_tokens AS output_tokens,
@@ -320,8 +320,8 @@ SELECT yr,
        round(sum(CASE WHEN c2 THEN amount END), 2) AS c2,
        round(sum(CASE WHEN g THEN amount END), 2) AS g
 FROM sel GROUP BY yr HAVING {ANY_CLASS}""",
-    "hfhi_class_spend": _hfhi_spend(),
-    "pipeline_hfhi_share": _hfhi_share(),
-    "wb_class_share": _wb_share(),
-    "wb_location_share": _wb_location(),
+    "continuum_class_spend": _continuum_spend(),
+    "pipeline_continuum_share": _continuum_share(),
+    "subsector_class_share": _subsector_share(),
+    "subsector_location_share": _subsector_location(),
 }

@@ -5,7 +5,7 @@ from spendlens.fields import Fields
 from spendlens.operators import report as rp
 from spendlens.operators.marker import false_negatives, mark, select_marked
 from spendlens.sources.dimensions import category_group
-from spendlens.taxonomy import HFHI, Taxonomy
+from spendlens.taxonomy import CONTINUUM, Taxonomy
 
 T3 = Taxonomy(name="t", suffix="_t", classes=("k", "g"), residual="g", locations=("Urban", "Rural"), sector_codes=("16030", "16040"))
 FX = Fields(year="Year", amount="amt", purpose_code="code", category="Category")
@@ -127,8 +127,8 @@ def test_selection_summary(spark):
     assert (s.n_all, s.n_selected, s.selection_rate, s.selected_amount, s.n_unlabelled_selected) == (3, 3, 1.0, 100.0, 1)
 
 
-def test_hfhi_taxonomy_shape():
-    assert HFHI.residual == "Housing in general" and len(HFHI.classes) == 6 and HFHI.locations == ("Urban", "Rural")
-    assert HFHI.specific == ("Homelessness", "Transitional housing", "Incremental housing", "Social housing", "Market housing")
-    p = HFHI.system_prompt()
+def test_continuum_taxonomy_shape():
+    assert CONTINUUM.residual == "Housing in general" and len(CONTINUUM.classes) == 6 and CONTINUUM.locations == ("Urban", "Rural")
+    assert CONTINUUM.specific == ("Homelessness", "Transitional housing", "Incremental housing", "Social housing", "Market housing")
+    p = CONTINUUM.system_prompt()
     assert "- Housing in general: when the text explicitly describes" in p and p.endswith("}")

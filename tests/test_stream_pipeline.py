@@ -7,13 +7,13 @@ from spendlens.fields import Fields
 from spendlens.operators import label as lb
 from spendlens.plans import pipeline as pl
 from spendlens.streaming.incremental import start_incremental_labelling
-from spendlens.taxonomy import HFHI, WB
+from spendlens.taxonomy import CONTINUUM, SUBSECTORS
 
 FLD = Fields()
 
 KEYWORDS = {
-    "hfhi": {"Homelessness": ["homeless"], "Incremental housing": ["slum"], "Social housing": ["social housing"], "Housing in general": ["housing"], "Urban": ["city"], "Rural": ["village"]},
-    "wb": {"Resilience and Reconstruction": ["reconstruction"], "Incremental and Improved Housing": ["slum"], "Housing Supply": ["housing"], "Urban": ["city"]},
+    "continuum": {"Homelessness": ["homeless"], "Incremental housing": ["slum"], "Social housing": ["social housing"], "Housing in general": ["housing"], "Urban": ["city"], "Rural": ["village"]},
+    "subsectors": {"Resilience and Reconstruction": ["reconstruction"], "Incremental and Improved Housing": ["slum"], "Housing Supply": ["housing"], "Urban": ["city"]},
 }
 
 
@@ -33,13 +33,13 @@ def _activities(spark):
 
 def test_pipeline_end_to_end_both_taxonomies(spark, tmp_root):
     out = pl.run_all(
-        spark, _activities(spark), tmp_root, [HFHI, WB],
+        spark, _activities(spark), tmp_root, [CONTINUUM, SUBSECTORS],
         lambda t: (lambda kw=KEYWORDS[t.name]: lb.KeywordClassifier(kw)),
         num_partitions=2, system_prompt="test prompt",
     )
     assert out["funnel"] == {"n_start": 7, "n_duplicates": 1, "n_blank": 1, "n_end": 5}
-    assert out["hfhi"]["labelled"] == 5 and out["wb"]["labelled"] == 5
-    rep = {k: [r.asDict() for r in v.collect()] for k, v in out["hfhi"]["reports"].items()}
+    assert out["continuum"]["labelled"] == 5 and out["subsectors"]["labelled"] == 5
+    rep = {k: [r.asDict() for r in v.collect()] for k, v in out["continuum"]["reports"].items()}
     spend = {r["Year"]: r for r in rep["spend_by_class"]}
     share = {r["Year"]: r for r in rep["class_share"]}
     groups = {r["Year"]: r for r in rep["spend_by_group"]}
@@ -47,7 +47,7 @@ def test_pipeline_end_to_end_both_taxonomies(spark, tmp_root):
     total_2024 = sum(v for k, v in groups[2024].items() if k != "Year" and v is not None)
     assert total_2024 == pytest.approx(16.0)
     assert spend[2024]["Social housing"] == pytest.approx(8.0)
-    for c in HFHI.classes:
+    for c in CONTINUUM.classes:
         if spend[2024][c] is not None:
             assert share[2024][c] == pytest.approx(spend[2024][c] / total_2024)
     # residual overwritten: the reconstruction text is only "Housing in general"
@@ -55,21 +55,21 @@ def test_pipeline_end_to_end_both_taxonomies(spark, tmp_root):
     assert groups[2024]["unmapped"] == pytest.approx(7.0)
     summary = rep["selection_summary"][0]
     assert summary["n_all"] == 7 and summary["n_unlabelled_selected"] == 1
-    merged = spark.read.parquet(pl.Layout(tmp_root).merged(HFHI))
+    merged = spark.read.parquet(pl.Layout(tmp_root).merged(CONTINUUM))
     assert merged.count() == 7 and "PurposeCode_label" in merged.columns
-    assert os.path.exists(pl.Layout(tmp_root).report(HFHI, "class_share"))
+    assert os.path.exists(pl.Layout(tmp_root).report(CONTINUUM, "class_share"))
     # resume: nothing new to label
-    assert pl.label(spark, pl.Layout(tmp_root), HFHI, lambda: lb.KeywordClassifier({}), system_prompt="p") == 0
+    assert pl.label(spark, pl.Layout(tmp_root), CONTINUUM, lambda: lb.KeywordClassifier({}), system_prompt="p") == 0
 
 
 def test_incremental_stream_resumes(spark, tmp_root):
     src, out, ckpt = (os.path.join(tmp_root, n) for n in ("landing", "labels", "ckpt"))
     acts = _activities(spark).withColumn("ord", F.monotonically_increasing_id())
     schema = acts.schema
-    kw = KEYWORDS["hfhi"]
+    kw = KEYWORDS["continuum"]
 
     def label(texts):
-        return lb.keyword_labels(texts, HFHI, kw, FLD)
+        return lb.keyword_labels(texts, CONTINUUM, kw, FLD)
 
     acts.limit(3).write.mode("append").parquet(src)
     start_incremental_labelling(spark, src, schema, out, ckpt, label, FLD, order=["ord"]).awaitTermination()
