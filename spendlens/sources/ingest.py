@@ -90,8 +90,9 @@ def _to_number(s: Column, dtype: str) -> Column:
     d = s.try_cast("double")
     if dtype == "double":
         return d
-    # integral values only; '2024.5' or 'abc' give NULL instead of an error
-    return F.when(d == F.floor(d), d).try_cast(dtype)
+    # exact integer text first (no detour through double, which rounds above 2^53);
+    # then integral decimals such as '2024.0'; '2024.5' or 'abc' give NULL, never an error
+    return F.coalesce(s.try_cast(dtype), F.when(d == F.floor(d), d).try_cast(dtype))
 
 
 def to_boolean(c: ColumnOrName) -> Column:

@@ -70,3 +70,9 @@ def test_sector_lookup_map_and_frame(spark):
     dim = spark.createDataFrame([("99999", "Other")], "code string, name string")
     names = [r.sector_name for r in sector_lookup(df, "PurposeCode", source=dim).orderBy(F.col("PurposeCode").asc_nulls_last()).collect()]
     assert sorted(names) == ["", "", "", "Other"]
+
+
+def test_to_number_keeps_large_integers_exact(spark):
+    df = spark.createDataFrame([("9007199254740993",), ("-12",), ("1e3",)], "v string")
+    got = [r.v for r in df.select(ingest.to_number("v", "long").alias("v")).collect()]
+    assert got == [9007199254740993, -12, 1000]
