@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spendlens._compat import ColumnOrName, as_col, qcol
 from spendlens.fields import DEFAULT, Fields
-from spendlens.functions.text import activity_text, is_blank, text_key
+from spendlens.functions.text import INPUT_RATE, OUTPUT_RATE, TOKENS_PER_PRICE_UNIT, activity_text, is_blank, text_key, token_count
 
 
 def keep_first(df: DataFrame, key: str | Sequence[str], order: ColumnOrName | Sequence[ColumnOrName]) -> DataFrame:
@@ -102,11 +102,11 @@ def prepare_texts(
     grouped = src.groupBy(qcol(fields.key)).agg(first.alias("__first"), F.count(F.lit(1)).alias(N_ACTIVITIES))
     unique = grouped.select(qcol(fields.key), *[F.col("__first").getField(c).alias(c) for c in payload], F.col(N_ACTIVITIES))
     if observation is not None:
-        unique = unique.observe(
-            observation.unique,
-            F.count(F.lit(1)).alias("n_unique"),
-            F.count_if(is_blank(qcol(fields.text))).alias("n_blank"),
-        )
+        metrics = [F.count(F.lit(1)).alias("n_unique"), F.count_if(is_blank(qcol(fields.text))).alias("n_blank")]
+        if observation.with_tokens:
+            # blank texts have no tokens, so the sum equals that of the kept texts
+            metrics.append(F.coalesce(F.sum(token_count(qcol(fields.text))), F.lit(0)).alias("n_tokens"))
+        unique = unique.observe(observation.unique, *metrics)
     return drop_blank(unique, fields.text)
 
 
@@ -131,21 +131,28 @@ def hot_keys(
 
 
 class PrepareObservation:
-    """Funnel counts gathered by ``Observation`` while the prepared texts are written."""
+    """Funnel counts (and, with ``with_tokens``, the token proxy total and its
+    estimated price) gathered by ``Observation`` while the prepared texts are
+    written: no extra pass over the data."""
 
-    def __init__(self, name: str = "prepare"):
+    def __init__(self, name: str = "prepare", with_tokens: bool = False):
         self.start = Observation(f"{name}_start")
         self.unique = Observation(f"{name}_unique")
+        self.with_tokens = with_tokens
 
     def get(self) -> dict:
         s, u = self.start.get, self.unique.get
         n_start, n_unique, n_blank = s["n_start"], u["n_unique"], u["n_blank"]
-        return {
+        out = {
             "n_start": n_start,
             "n_duplicates": n_start - n_unique,
             "n_blank": n_blank,
             "n_end": n_unique - n_blank,
         }
+        if self.with_tokens:
+            n = u["n_tokens"]
+            out.update(input_tokens=n, output_tokens=n, est_cost=n / TOKENS_PER_PRICE_UNIT * INPUT_RATE + n / TOKENS_PER_PRICE_UNIT * OUTPUT_RATE)
+        return out
 
 
 def text_funnel(df: DataFrame, key: str, text: str) -> DataFrame:

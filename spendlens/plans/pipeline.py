@@ -68,10 +68,11 @@ def land_yearly_csv(spark: SparkSession, pattern: str, years: Iterable[int], lay
     land(ingest.normalize_nulls(raw), layout, fields)
 
 
-def prepare(spark: SparkSession, layout: Layout, fields: Fields = DEFAULT, years: Iterable[int] | None = None) -> dict:
-    """Unique non-blank texts → ``prepared``; returns the funnel counts (observed during the write)."""
+def prepare(spark: SparkSession, layout: Layout, fields: Fields = DEFAULT, years: Iterable[int] | None = None, estimate_cost: bool = True) -> dict:
+    """Unique non-blank texts → ``prepared``; returns the funnel counts and (by default)
+    the token proxy total and estimated price, all observed during the write."""
     landed = ingest.read_years(spark, layout.landed, years, fields=fields)
-    obs = PrepareObservation()
+    obs = PrepareObservation(with_tokens=estimate_cost)
     texts = prepare_texts(landed, fields, observation=obs)
     sinks.write_table(texts, layout.prepared)
     return obs.get()

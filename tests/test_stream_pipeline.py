@@ -37,7 +37,14 @@ def test_pipeline_end_to_end_both_taxonomies(spark, tmp_root):
         lambda t: (lambda kw=KEYWORDS[t.name]: lb.KeywordClassifier(kw)),
         num_partitions=2, system_prompt="test prompt",
     )
-    assert out["funnel"] == {"n_start": 7, "n_duplicates": 1, "n_blank": 1, "n_end": 5}
+    funnel = dict(out["funnel"])
+    n_tokens = funnel.pop("input_tokens")
+    assert funnel.pop("output_tokens") == n_tokens and funnel.pop("est_cost") == pytest.approx(n_tokens * 0.225 / 1e6)
+    assert funnel == {"n_start": 7, "n_duplicates": 1, "n_blank": 1, "n_end": 5}
+    # token proxy over the five prepared texts
+    texts = [r.text for r in spark.read.parquet(pl.Layout(tmp_root).prepared).collect()]
+    import regex
+    assert n_tokens == sum(len(regex.findall(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+", t)) for t in texts)
     assert out["continuum"]["labelled"] == 5 and out["subsectors"]["labelled"] == 5
     rep = {k: [r.asDict() for r in v.collect()] for k, v in out["continuum"]["reports"].items()}
     spend = {r["Year"]: r for r in rep["spend_by_class"]}
