@@ -117,7 +117,7 @@ def merge(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Field
     keep = ["summary", "reasoning", *taxonomy.vocabulary, fields.purpose_code]
     # texts shared by a large share of activities are salted in the join
     hot = hot_keys(spark.read.parquet(layout.prepared), fields)
-    sinks.write_table(attach_labels(acts, labels, fields, label_columns=keep, hot_keys=hot), layout.merged(taxonomy))
+    sinks.write_by_year(attach_labels(acts, labels, fields, label_columns=keep, hot_keys=hot), layout.merged(taxonomy), fields)
 
 
 def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, strict_nulls: bool = True) -> dict[str, DataFrame]:
@@ -127,7 +127,7 @@ def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fiel
     marked = mark(merged, taxonomy, fields)
     summary = rp.SelectionObservation(fields, f"selection{taxonomy.suffix}")
     # one scan of the merged table writes the selected activities and gathers the summary
-    sinks.write_table(select_marked(summary.attach(marked), taxonomy, fields), layout.selected(taxonomy))
+    sinks.write_by_year(select_marked(summary.attach(marked), taxonomy, fields), layout.selected(taxonomy), fields)
     sel = spark.read.parquet(layout.selected(taxonomy))
     sinks.write_table(false_negatives(marked, fields), layout.report(taxonomy, "false_negatives"))
     tables = rp.all_reports(sel, taxonomy, fields, strict_nulls)

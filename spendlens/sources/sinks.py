@@ -20,8 +20,14 @@ CSV_WRITE_OPTIONS = {
 
 
 def write_by_year(df: DataFrame, path: str, fields: Fields = DEFAULT, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Land activities once, partitioned by year (per-year files and the collated table in one write)."""
-    df.write.mode(mode).partitionBy(fields.year).format(fmt).save(path)
+    """Write partitioned by year (per-year files and the collated table in one write).
+
+    The ``rebalance`` hint lets AQE size the write tasks by year: small
+    partitions are coalesced and a year holding a large share of all rows is
+    split over several tasks, so neither one task per year nor one file per
+    (task, year) pair.
+    """
+    df.hint("rebalance", fields.year).write.mode(mode).partitionBy(fields.year).format(fmt).save(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
