@@ -34,6 +34,9 @@ from spendlens.functions.text import SECTOR_SEPARATOR, cost, request_payload, to
 from spendlens.sources.dimensions import sector_lookup
 from spendlens.taxonomy import Taxonomy
 
+# Texts per labelling task (one commit per task).
+TEXTS_PER_TASK = 500
+
 # Retry policy defaults (tries, base wait s, cap s).
 MAX_TRIES = 5
 BASE_BACKOFF = 1.0
@@ -144,9 +147,14 @@ def label_texts(
     base_backoff: float = BASE_BACKOFF,
     concurrency: int = 1,
     system_prompt: str | None = None,
+    texts_per_task: int | None = TEXTS_PER_TASK,
 ) -> DataFrame:
     """Label every row of ``texts`` (key, text, purpose code, ordinal) with ``taxonomy``.
 
+    Tasks are sized by texts, not bytes: without ``num_partitions`` the texts
+    are counted and spread over ``ceil(n / texts_per_task)`` tasks, so each
+    task commits after a bounded number of model calls and a lost executor
+    re-sends at most that many.
     ``make_classifier`` is called once per partition on the executor.
     ``on_error='raise'`` fails the task once retries are exhausted;
     ``'quarantine'`` keeps the row with status ``failed`` and the error text.
@@ -160,6 +168,8 @@ def label_texts(
     req = sector_lookup(texts, fields.purpose_code, "sector_name", sectors)
     keep = [c for c in (fields.key, fields.text, fields.purpose_code, fields.ordinal) if c in req.columns]
     req = req.select(*[qcol(c) for c in keep], F.col("sector_name"))
+    if not num_partitions and texts_per_task:
+        num_partitions = max(1, -(-texts.count() // texts_per_task))
     if num_partitions:
         req = req.repartition(num_partitions, qcol(fields.key))
     schema_in = req.select(*[qcol(c) for c in keep]).schema
