@@ -25,8 +25,20 @@ from spendlens.session import work_path
 from spendlens.sources import sinks
 
 
+def _path_exists(spark: SparkSession, path: str) -> bool | None:
+    """Hadoop FileSystem existence check (None where the JVM gateway is not available)."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(conf).exists(p))
+    except Exception:  # noqa: BLE001 - e.g. a Connect session
+        return None
+
+
 def read_if_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     """The table at ``path``, or None when nothing was committed there yet."""
+    if _path_exists(spark, path) is False:
+        return None
     try:
         return spark.read.format(fmt).load(path)
     except AnalysisException:
