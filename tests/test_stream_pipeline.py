@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -88,3 +89,28 @@ def test_incremental_stream_resumes(spark, tmp_root):
     assert labels.count() == labels.select("text_key").distinct().count() == 6
     start_incremental_labelling(spark, src, schema, out, ckpt, label, FLD, order=["ord"]).awaitTermination()
     assert spark.read.parquet(out).count() == 6
+
+
+def test_cli_stages_and_report_csv_header(spark, tmp_root):
+    import glob
+
+    from spendlens import cli
+
+    raw = os.path.join(tmp_root, "raw")
+    acts = _activities(spark)
+    for y in ("2023", "2024"):
+        acts.where(F.col("Year") == y).coalesce(1).write.options(header=True, quote='"', escape='"').csv(os.path.join(raw, f"crs_{y}.csv"))
+    root = os.path.join(tmp_root, "out")
+    cli.main(["land", "--root", root, "--csv", os.path.join(raw, "crs_{year}.csv"), "--years", "2023", "2024"])
+    assert cli.main(["prepare", "--root", root])["funnel"]["n_end"] == 5
+    rules = os.path.join(tmp_root, "rules.json")
+    with open(rules, "w") as f:
+        json.dump(KEYWORDS["continuum"], f)
+    assert cli.main(["label", "--root", root, "--keywords", rules])["labelled"] == 5
+    cli.main(["merge", "--root", root])
+    reps = cli.main(["report", "--root", root])["reports"]
+    assert reps["selection_summary"][0]["n_all"] == 7
+    header = open(glob.glob(os.path.join(root, "reports_continuum", "spend_by_class", "*.csv"))[0]).readline().strip()
+    assert header == "Year," + ",".join(CONTINUUM.classes)
+    header = open(glob.glob(os.path.join(root, "reports_continuum", "spend_by_group", "*.csv"))[0]).readline().strip()
+    assert header == "Year,ODA,OOF,Private,unmapped"
