@@ -15,10 +15,11 @@ from spendlens._compat import ColumnOrName, as_col
 # four information separators U+001C..U+001F), 29 characters.
 WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
-# Patterns and message format.
-# TOKEN is a tokenizer-free proxy: runs of letters, runs of digits, runs of other
-# non-space symbols. It is not the model's BPE count.
+# Token proxy (our own choice, not the model's BPE count): runs of letters,
+# runs of digits, runs of other non-space symbols.
 TOKEN_PATTERN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
+
+# Line that joins the sector name to the text in the user message.
 SECTOR_SEPARATOR = "\nSector: "
 
 # Price assumption, US$ per million tokens; output tokens = input tokens.

@@ -26,7 +26,8 @@ from spendlens.session import work_path
 from spendlens.sources import ingest, sinks
 from spendlens.taxonomy import CONTINUUM, SUBSECTORS
 
-# Keyword rule of the fixture classifier (frequent fragments of the test prose).
+# Test rules (chosen here, not taken from anywhere): keyword rule of the fixture
+# classifier, fragments with moderate hit rates in the generated test prose.
 FIXTURE_KEYWORDS = {
     "c1": ["tion"],
     "c2": ["ment", "eau"],
@@ -34,7 +35,7 @@ FIXTURE_KEYWORDS = {
     "urban": ["the "],
     "rural": ["ein"],
 }
-# Keyword rules standing in for the model on the two shipped taxonomies.
+# Test rules: keyword stand-ins for the model on the two shipped taxonomies.
 TAXONOMY_KEYWORDS = {
     "continuum": {
         "Homelessness": ["oir"],
