@@ -24,7 +24,7 @@ from pyspark.sql import SparkSession
 from spendlens.operators.label import KeywordClassifier
 from spendlens.plans import pipeline as pl
 from spendlens.session import configure
-from spendlens.taxonomy import TAXONOMIES
+from spendlens.taxonomy import TAXONOMIES, Taxonomy
 
 
 def _factory(spec: str):
@@ -37,6 +37,7 @@ def main(argv: list[str] | None = None) -> dict:
     ap.add_argument("stage", choices=["land", "prepare", "label", "merge", "report"])
     ap.add_argument("--root", required=True, help="output root (shared file system)")
     ap.add_argument("--taxonomy", choices=sorted(TAXONOMIES), default="continuum")
+    ap.add_argument("--taxonomy-file", help="JSON taxonomy (see Taxonomy.from_json) instead of a shipped one")
     ap.add_argument("--csv", help="yearly CSV path pattern with a {year} slot (land)")
     ap.add_argument("--years", nargs=2, type=int, metavar=("FIRST", "LAST"), help="inclusive year range (land)")
     ap.add_argument("--classifier", help="module:factory returning a classifier (label)")
@@ -48,7 +49,8 @@ def main(argv: list[str] | None = None) -> dict:
     a = ap.parse_args(argv)
 
     spark = configure(SparkSession.builder.appName(f"spendlens-{a.stage}").getOrCreate())
-    layout, tax = pl.Layout(a.root.rstrip("/")), TAXONOMIES[a.taxonomy]
+    layout = pl.Layout(a.root.rstrip("/"))
+    tax = Taxonomy.from_json(a.taxonomy_file) if a.taxonomy_file else TAXONOMIES[a.taxonomy]
     out: dict = {"stage": a.stage}
     if a.stage == "land":
         if not (a.csv and a.years):

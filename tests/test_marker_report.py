@@ -132,3 +132,15 @@ def test_continuum_taxonomy_shape():
     assert CONTINUUM.specific == ("Homelessness", "Transitional housing", "Incremental housing", "Social housing", "Market housing")
     p = CONTINUUM.system_prompt()
     assert "- Housing in general: when the text explicitly describes" in p and p.endswith("}")
+
+
+def test_taxonomy_from_json(tmp_path):
+    import json
+
+    p = tmp_path / "t.json"
+    p.write_text(json.dumps({"name": "water", "classes": ["Pipes", "Other"], "residual": "Other", "sector_codes": [14020],
+                             "definitions": {"Pipes": "mentions pipes", "Other": "is about water", "Urban": "u", "Rural": "r"}}))
+    t = Taxonomy.from_json(str(p))
+    assert t.suffix == "_water" and t.specific == ("Pipes",) and t.sector_codes == ("14020",)
+    assert t.vocabulary == ("Pipes", "Other", "Urban", "Rural")
+    assert "- Pipes: when the text mentions pipes" in t.system_prompt()
