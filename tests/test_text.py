@@ -93,3 +93,24 @@ def test_text_key_is_sha256_hex(spark):
 
     k = spark.createDataFrame([("abc",)], "t string").select(tx.text_key("t").alias("k")).first().k
     assert k == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_activity_text_rich_alphabet(spark):
+    import random
+
+    rnd = random.Random(11)
+    alphabet = ["a", "A", "é", "É", "İ", "i", "ß", "SS", "Σ", "σ", "ς", "日", " ", "\t", "\n", " ", "　", " ", "\x1f", ".", "Roof", "ROOF"]
+    rows = []
+    for _ in range(2000):
+        parts = []
+        for _ in range(3):
+            if rnd.random() < 0.15:
+                parts.append(None)
+            else:
+                parts.append("".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 6))))
+        rows.append(tuple(parts))
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    got = [r.t for r in df.select(tx.activity_text("a", "b", "c").alias("t")).collect()]
+    want = [python_reference(*r) for r in rows]
+    mismatches = [(r, g, w) for r, g, w in zip(rows, got, want) if g != w]
+    assert not mismatches, mismatches[:3]
