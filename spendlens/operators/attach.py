@@ -2,9 +2,11 @@
 
 The join key is the text's SHA-256, so neither side ships the text through the
 shuffle. Labels are unique per key, the activity side keeps its row count.
-AQE broadcasts the label side when its measured size is under the threshold,
-and splits a skewed activity partition (one text on a large share of rows)
-otherwise.
+AQE broadcasts the label side when its measured size is under the threshold.
+Otherwise the join is shuffled, and texts on a large share of rows (the empty
+text always, plus a bounded list of hot keys) are salted over several join
+partitions, since AQE's own skew split does not apply when the label side
+arrives already partitioned by its deduplication.
 """
 
 from __future__ import annotations
