@@ -76,3 +76,19 @@ def test_to_number_keeps_large_integers_exact(spark):
     df = spark.createDataFrame([("9007199254740993",), ("-12",), ("1e3",)], "v string")
     got = [r.v for r in df.select(ingest.to_number("v", "long").alias("v")).collect()]
     assert got == [9007199254740993, -12, 1000]
+
+
+def test_sector_list_from_csv_and_taxonomy_dim(spark, tmp_root):
+    from spendlens.sources.dimensions import taxonomy_dim
+    from spendlens.taxonomy import CONTINUUM
+
+    p = os.path.join(tmp_root, "sectors.csv")
+    with open(p, "w") as f:
+        f.write('code,name\n16040,"Low-cost housing"\n 43040 ,Rural development\n')
+    df = spark.createDataFrame([("43040",), ("16040",), ("1",)], "PurposeCode string")
+    got = {r.PurposeCode: r.sector_name for r in sector_lookup(df, "PurposeCode", source=p).collect()}
+    assert got == {"43040": "Rural development", "16040": "Low-cost housing", "1": ""}
+    rows = taxonomy_dim(spark, CONTINUUM).orderBy("position").collect()
+    assert [r["class"] for r in rows][:2] == ["Housing in general", "Homelessness"]
+    assert {r["class"]: r.kind for r in rows}["Housing in general"] == "residual"
+    assert {r["class"]: r.kind for r in rows}["Urban"] == "location"
