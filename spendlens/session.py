@@ -67,10 +67,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (tests,
     local runs) a fresh scratch folder is created and registered.
     """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _classic_context(spark)
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder; a machine-local one does not survive executor loss")
         root = tempfile.mkdtemp(prefix="spendlens-ckpt-")
         sc.setCheckpointDir(root)
@@ -78,6 +80,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _classic_context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
+        return None
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the checkpoint root (never reused, never cleared)."""
     return f"{checkpoint_root(spark)}/spendlens/{name}-{uuid.uuid4().hex[:12]}"
@@ -91,8 +101,8 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``spendlens`` importable in the Python workers (the ``--py-files``
     mechanism at runtime): zip the package once per application and add it with
     ``addPyFile``; Spark distributes it to every executor."""
-    sc = spark.sparkContext
-    app = sc.applicationId
+    sc = _classic_context(spark)
+    app = sc.applicationId if sc is not None else f"connect-{spark.session_id}"
     with _SHIP_LOCK:
         if app in _SHIPPED:
             return
@@ -106,5 +116,8 @@ def ship_package(spark: SparkSession) -> None:
                     if f.endswith(".py"):
                         full = os.path.join(dirpath, f)
                         z.write(full, os.path.relpath(full, root))
-        sc.addPyFile(path)
+        if sc is not None:
+            sc.addPyFile(path)
+        else:
+            spark.addArtifacts(path, pyfile=True)
         _SHIPPED.add(app)
