@@ -6,6 +6,7 @@
     python -m spendlens.cli label   --root R --keywords rules.json      # deterministic dry run, no model
     python -m spendlens.cli merge   --root R --taxonomy continuum
     python -m spendlens.cli report  --root R --taxonomy continuum
+    python -m spendlens.cli export  --root R --taxonomy continuum --table selected
 
 The session comes from ``spark-submit`` (or a local one when run directly);
 ``spark.checkpoint.dir`` must name a shared folder on a cluster. The module
@@ -34,7 +35,8 @@ def _factory(spec: str):
 
 def main(argv: list[str] | None = None) -> dict:
     ap = argparse.ArgumentParser(prog="spendlens")
-    ap.add_argument("stage", choices=["land", "prepare", "label", "merge", "report"])
+    ap.add_argument("stage", choices=["land", "prepare", "label", "merge", "report", "export"])
+    ap.add_argument("--table", choices=["merged", "selected"], default="merged", help="table to export as CSV (export)")
     ap.add_argument("--root", required=True, help="output root (shared file system)")
     ap.add_argument("--taxonomy", choices=sorted(TAXONOMIES), default="continuum")
     ap.add_argument("--taxonomy-file", help="JSON taxonomy (see Taxonomy.from_json) instead of a shipped one")
@@ -73,8 +75,10 @@ def main(argv: list[str] | None = None) -> dict:
         )
     elif a.stage == "merge":
         pl.merge(spark, layout, tax)
-    else:
+    elif a.stage == "report":
         out["reports"] = {k: [r.asDict() for r in v.collect()] for k, v in pl.report(spark, layout, tax).items()}
+    else:
+        out["path"] = pl.export_csv(spark, layout, tax, a.table)
     print(json.dumps(out, default=str))
     return out
 

@@ -137,6 +137,15 @@ def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fiel
     return tables
 
 
+def export_csv(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, table: str = "merged", out: str | None = None) -> str:
+    """Export the merged or selected activities as CSV with a header (quotes doubled,
+    texts kept byte for byte), written in parallel as part files."""
+    src = {"merged": layout.merged(taxonomy), "selected": layout.selected(taxonomy)}[table]
+    target = out or f"{layout.root}/export/{table}{taxonomy.suffix}_csv"
+    sinks.write_table(spark.read.parquet(src), target, fmt="csv")
+    return target
+
+
 def run_all(
     spark: SparkSession,
     activities: DataFrame,

@@ -114,3 +114,8 @@ def test_cli_stages_and_report_csv_header(spark, tmp_root):
     assert header == "Year," + ",".join(CONTINUUM.classes)
     header = open(glob.glob(os.path.join(root, "reports_continuum", "spend_by_group", "*.csv"))[0]).readline().strip()
     assert header == "Year,ODA,OOF,Private,unmapped"
+    path = cli.main(["export", "--root", root, "--table", "selected"])["path"]
+    from spendlens.sources import ingest
+
+    back = ingest.read_csv_strings(spark, path)
+    assert back.count() == spark.read.parquet(pl.Layout(root).selected(CONTINUUM)).count()
