@@ -90,7 +90,8 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("txt"),
         text_key(F.col("text")).alias("text_key"),
     )
-    return acts.join(docs, on="doc_id", how="inner").drop("doc_id")
+    # both sides grow with the data: sort-merge join, never a broadcast of either
+    return acts.hint("merge").join(docs, on="doc_id", how="inner").drop("doc_id")
 
 
 def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
