@@ -137,6 +137,33 @@ def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fiel
     return tables
 
 
+def label_stream(
+    spark: SparkSession,
+    layout: Layout,
+    taxonomy: Taxonomy,
+    make_classifier: Callable[[], lb.Classifier],
+    landing: str,
+    schema,
+    fields: Fields = DEFAULT,
+    available_now: bool = True,
+    **label_kw,
+):
+    """Label activity files as they land in ``landing`` (Structured Streaming):
+    each micro-batch is deduplicated, skips texts already in the label table and
+    runs the distributed labelling job; results go to the same label table the
+    batch stages use. Returns the running query (``availableNow`` stops when the
+    landed files are done)."""
+    from spendlens.streaming.incremental import start_incremental_labelling
+
+    def label_batch(texts: DataFrame) -> DataFrame:
+        return lb.label_texts(texts, taxonomy, make_classifier, fields, **label_kw)
+
+    checkpoint = f"{layout.root}/_streams/labels{taxonomy.suffix}"
+    return start_incremental_labelling(
+        spark, landing, schema, layout.labels(taxonomy), checkpoint, label_batch, fields, available_now=available_now
+    )
+
+
 def export_csv(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, table: str = "merged", out: str | None = None) -> str:
     """Export the merged or selected activities as CSV with a header (quotes doubled,
     texts kept byte for byte), written in parallel as part files."""

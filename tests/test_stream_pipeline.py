@@ -119,3 +119,21 @@ def test_cli_stages_and_report_csv_header(spark, tmp_root):
 
     back = ingest.read_csv_strings(spark, path)
     assert back.count() == spark.read.parquet(pl.Layout(root).selected(CONTINUUM)).count()
+
+
+def test_label_stream_runs_the_labelling_job(spark, tmp_root):
+    from spendlens.operators.prepare import with_activity_text
+
+    layout = pl.Layout(os.path.join(tmp_root, "root"))
+    landing = os.path.join(tmp_root, "landing")
+    acts = with_activity_text(_activities(spark), FLD).drop("text", "text_key").withColumn("ord", F.monotonically_increasing_id())
+    kw = KEYWORDS["continuum"]
+    acts.limit(4).write.mode("append").parquet(landing)
+    q = pl.label_stream(spark, layout, CONTINUUM, lambda: lb.KeywordClassifier(kw), landing, acts.schema, system_prompt="p", num_partitions=2)
+    q.awaitTermination()
+    acts.write.mode("append").parquet(landing)
+    pl.label_stream(spark, layout, CONTINUUM, lambda: lb.KeywordClassifier(kw), landing, acts.schema, system_prompt="p", num_partitions=2).awaitTermination()
+    labels = spark.read.parquet(layout.labels(CONTINUUM))
+    # six distinct non-blank texts land (no amount filter on this path), each labelled once
+    assert labels.count() == labels.select("text_key").distinct().count() == 6
+    assert set(labels.select("status").distinct().toPandas()["status"]) == {"ok"}
