@@ -147,3 +147,14 @@ def test_unprocessed_broadcast_and_shuffle_paths_agree(spark):
     assert a == b == c == {f"t{i}" for i in range(50) if i % 3}
     plan = lb.unprocessed(texts, done, "text_key", max_broadcast_keys=100)._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_on_error_raise_fails_the_job(spark):
+    texts = _texts(spark, ["a", "b"])
+
+    class Down:
+        def classify(self, system_prompt, message):
+            raise RuntimeError("service down")
+
+    with pytest.raises(Exception, match="service down"):
+        lb.label_texts(texts, T, Down, Fields(), max_tries=2, base_backoff=0.0, system_prompt="p").collect()
