@@ -42,6 +42,7 @@ def main(argv: list[str] | None = None) -> dict:
     ap.add_argument("--taxonomy-file", help="JSON taxonomy (see Taxonomy.from_json) instead of a shipped one")
     ap.add_argument("--csv", help="yearly CSV path pattern with a {year} slot (land)")
     ap.add_argument("--years", nargs=2, type=int, metavar=("FIRST", "LAST"), help="inclusive year range (land)")
+    ap.add_argument("--single-line", action="store_true", help="CSV has no quoted newlines: read files in parallel splits (land)")
     ap.add_argument("--classifier", help="module:factory returning a classifier (label)")
     ap.add_argument("--keywords", help="JSON file {class: [keywords]}: keyword classifier instead of a model (label)")
     ap.add_argument("--max-cost", type=float, help="refuse to label above this estimated price")
@@ -57,7 +58,7 @@ def main(argv: list[str] | None = None) -> dict:
     if a.stage == "land":
         if not (a.csv and a.years):
             ap.error("land needs --csv and --years")
-        pl.land_yearly_csv(spark, a.csv, range(a.years[0], a.years[1] + 1), layout)
+        pl.land_yearly_csv(spark, a.csv, range(a.years[0], a.years[1] + 1), layout, multi_line=not a.single_line)
     elif a.stage == "prepare":
         out["funnel"] = pl.prepare(spark, layout)
     elif a.stage == "label":

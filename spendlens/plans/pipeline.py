@@ -62,9 +62,10 @@ def land(activities: DataFrame, layout: Layout, fields: Fields = DEFAULT) -> Non
     sinks.write_by_year(df, layout.landed, fields)
 
 
-def land_yearly_csv(spark: SparkSession, pattern: str, years: Iterable[int], layout: Layout, fields: Fields = DEFAULT) -> None:
-    """Yearly CSV downloads (``pattern`` with a ``{year}`` slot) → landed table."""
-    raw = ingest.read_years(spark, pattern, years, fmt="csv", fields=fields)
+def land_yearly_csv(spark: SparkSession, pattern: str, years: Iterable[int], layout: Layout, fields: Fields = DEFAULT, multi_line: bool = True) -> None:
+    """Yearly CSV downloads (``pattern`` with a ``{year}`` slot) → landed table (Parquet,
+    splittable; everything downstream reads it in parallel)."""
+    raw = ingest.read_years(spark, pattern, years, fmt="csv", fields=fields, multi_line=multi_line)
     land(ingest.normalize_nulls(raw), layout, fields)
 
 

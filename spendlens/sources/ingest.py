@@ -41,10 +41,16 @@ CSV_READ_OPTIONS = {
 LEAKED_INDEX_COLUMNS = ("_c0", "Unnamed: 0")
 
 
-def read_csv_strings(spark: SparkSession, paths: str | Sequence[str], drop_index: bool = True) -> DataFrame:
-    """Every column as a string, header names kept; a leaked index column is dropped."""
+def read_csv_strings(spark: SparkSession, paths: str | Sequence[str], drop_index: bool = True, multi_line: bool = True) -> DataFrame:
+    """Every column as a string, header names kept; a leaked index column is dropped.
+
+    ``multi_line`` (default) reads quoted fields that contain newlines, but a
+    multi-line CSV file cannot be split: one task reads each file. Files known
+    to hold no embedded newlines can pass ``multi_line=False`` and are read in
+    parallel splits.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.options(**CSV_READ_OPTIONS).csv(paths)
+    df = spark.read.options(**{**CSV_READ_OPTIONS, "multiLine": "true" if multi_line else "false"}).csv(paths)
     if drop_index:
         leaked = [c for c in df.columns if c in LEAKED_INDEX_COLUMNS]
         if leaked:
@@ -130,6 +136,7 @@ def read_years(
     years: Iterable[int] | None,
     fmt: str = "parquet",
     fields: Fields = DEFAULT,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Activities of the given years.
 
@@ -138,7 +145,7 @@ def read_years(
     ``{year}`` slot, one file or folder per year, collated by name.
     """
     if "{year}" not in location:
-        df = spark.read.format(fmt).load(location) if fmt != "csv" else read_csv_strings(spark, location)
+        df = spark.read.format(fmt).load(location) if fmt != "csv" else read_csv_strings(spark, location, multi_line=multi_line)
         if years is None:
             return df
         return df.where(F.col(fields.year).isin(sorted({int(y) for y in years})))
@@ -148,7 +155,7 @@ def read_years(
     frames = []
     for y in years:
         path = location.format(year=y)
-        part = read_csv_strings(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+        part = read_csv_strings(spark, path, multi_line=multi_line) if fmt == "csv" else spark.read.format(fmt).load(path)
         if fields.year not in part.columns:
             part = part.withColumn(fields.year, F.lit(y).cast("int"))
         frames.append(part)

@@ -92,3 +92,19 @@ def test_sector_list_from_csv_and_taxonomy_dim(spark, tmp_root):
     assert [r["class"] for r in rows][:2] == ["Housing in general", "Homelessness"]
     assert {r["class"]: r.kind for r in rows}["Housing in general"] == "residual"
     assert {r["class"]: r.kind for r in rows}["Urban"] == "location"
+
+
+def test_single_line_csv_reads_in_splits(spark, tmp_root):
+    p = os.path.join(tmp_root, "big.csv")
+    with open(p, "w") as f:
+        f.write("Year,USD_Disbursement_Defl,ShortDescription\n")
+        for i in range(200_000):
+            f.write(f"2024,{i % 7},row {i}\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        split = ingest.read_csv_strings(spark, p, multi_line=False)
+        whole = ingest.read_csv_strings(spark, p)
+        assert split.rdd.getNumPartitions() > 1 and whole.rdd.getNumPartitions() == 1
+        assert split.count() == whole.count() == 200_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
