@@ -36,13 +36,20 @@ def main() -> None:
 
     reps = max(1, int(os.environ.get("BENCH_REPS", "2")))
     runs: dict[str, list[float]] = {n: [] for n in names}
+    errors: dict[str, str] = {}
     for _ in range(reps):
         for name in names:
+            if name in errors:
+                continue
             t0 = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            try:
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            except Exception as e:  # noqa: BLE001 - report the failure, keep timing the rest
+                errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
+                continue
             runs[name].append(round(time.perf_counter() - t0, 3))
     # warm time per query = best of the repetitions (JIT and codegen caches warm)
-    times = {n: min(v) for n, v in runs.items()}
+    times = {n: min(v) for n, v in runs.items() if v and n not in errors}
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     out = {
         "metric": "catalogue_total_seconds",
@@ -51,9 +58,11 @@ def main() -> None:
         "queries": times,
         "sf": float(m.group(1)) if m else sf_dir,
         "headline_seconds": round(sum(times.get(n, 0.0) for n in HEADLINE), 3),
-        "first_run_total": round(sum(v[0] for v in runs.values()), 3),
+        "first_run_total": round(sum(v[0] for n, v in runs.items() if v and n not in errors), 3),
         "reps": reps,
     }
+    if errors:
+        out["errors"] = errors
     print(json.dumps(out))
     spark.stop()
 
