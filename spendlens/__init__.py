@@ -6,7 +6,7 @@ Stages, all DataFrame in / DataFrame out:
 * ``functions`` – Column expressions (activity text, strip, tokens, response parsing)
 * ``operators`` – text preparation, labelling job, label attachment, marker logic, reports
 * ``streaming`` – incremental (resumable) labelling as a Structured Streaming query
-* ``plans``     – end-to-end pipelines and the query catalogue used for checks
+* ``plans``     – staged runs (land → report) and the query catalogue used for checks
 """
 
 from spendlens.fields import Fields

@@ -1,4 +1,4 @@
-"""Stage-by-stage command line over ``plans.pipeline``.
+"""Stage-by-stage command line over ``plans.stages``.
 
     python -m spendlens.cli land    --root R --csv 'raw/crs_{year}.csv' --years 2015 2024
     python -m spendlens.cli prepare --root R
@@ -23,7 +23,7 @@ from functools import partial
 from pyspark.sql import SparkSession
 
 from spendlens.operators.label import KeywordClassifier
-from spendlens.plans import pipeline as pl
+from spendlens.plans import stages as pl
 from spendlens.session import configure
 from spendlens.taxonomy import TAXONOMIES, Taxonomy
 

@@ -1,4 +1,4 @@
-"""Column names the pipeline reads and adds.
+"""Column names the stages read and add.
 
 Defaults are the names of the source activity files; every operator takes a
 ``Fields`` so other layouts (and the test fixtures) can map their own names.

@@ -378,14 +378,14 @@ def q_subsector_location_share(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("yr", *[_r9(F.col(f"`{c}`")).alias(c) for c in SUBSECTORS.locations])
 
 
-def q_pipeline_continuum_share(spark: SparkSession, sf: str) -> DataFrame:
-    """The staged pipeline end to end on written tables: land (year-partitioned),
+def q_staged_continuum_share(spark: SparkSession, sf: str) -> DataFrame:
+    """The staged run end to end on written tables: land (year-partitioned),
     prepare (observed funnel), label (distributed job, keyword classifier),
     merge (hot keys salted), report; the class shares are read from the written
     selected activities."""
-    from spendlens.plans import pipeline as pl
+    from spendlens.plans import stages as pl
 
-    layout = pl.Layout(work_path(spark, "pipeline"))
+    layout = pl.Layout(work_path(spark, "staged"))
     kw = TAXONOMY_KEYWORDS["continuum"]
     pl.land(fx.activities(spark, sf), layout, FIX)
     pl.prepare(spark, layout, FIX)
@@ -447,7 +447,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sum_strict": q_sum_strict,
     "spend_pivot": q_spend_pivot,
     "continuum_class_spend": q_continuum_class_spend,
-    "pipeline_continuum_share": q_pipeline_continuum_share,
+    "staged_continuum_share": q_staged_continuum_share,
     "subsector_class_share": q_subsector_class_share,
     "subsector_location_share": q_subsector_location_share,
 }

@@ -321,7 +321,7 @@ SELECT yr,
        round(sum(CASE WHEN g THEN amount END), 2) AS g
 FROM sel GROUP BY yr HAVING {ANY_CLASS}""",
     "continuum_class_spend": _continuum_spend(),
-    "pipeline_continuum_share": _continuum_share(),
+    "staged_continuum_share": _continuum_share(),
     "subsector_class_share": _subsector_share(),
     "subsector_location_share": _subsector_location(),
 }

@@ -1,4 +1,4 @@
-"""End-to-end pipeline: land → prepare → label (resumable) → merge → report.
+"""Staged run: land → prepare → label (resumable) → merge → report.
 
 Every stage reads and writes tables under one output root, so each stage can
 be re-run alone and a lost executor only costs the tasks of the running stage.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spendlens.fields import Fields
 from spendlens.functions.labels import multi_hot, parse_response
 from spendlens.operators import label as lb
-from spendlens.plans.pipeline import Layout
+from spendlens.plans.stages import Layout
 from spendlens.taxonomy import Taxonomy
 
 T = Taxonomy(name="t", suffix="_t", classes=("A", "B", "G"), residual="G", locations=("Urban", "Rural"))
@@ -107,7 +107,7 @@ def test_budget_gate(spark):
 
 def test_resume_appends_only_new(spark, tmp_root):
     # FIXTURES §3.9: 5 texts, then 8 including them -> 3 appended; third run -> 0
-    from spendlens.plans import pipeline as pl
+    from spendlens.plans import stages as pl
 
     layout = Layout(tmp_root)
     kw = {"A": ["t1"]}

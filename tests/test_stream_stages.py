@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spendlens.fields import Fields
 from spendlens.operators import label as lb
-from spendlens.plans import pipeline as pl
+from spendlens.plans import stages as pl
 from spendlens.streaming.incremental import start_incremental_labelling
 from spendlens.taxonomy import CONTINUUM, SUBSECTORS
 
@@ -32,7 +32,7 @@ def _activities(spark):
     return spark.createDataFrame(rows, "Year string, ProjectTitle string, ShortDescription string, LongDescription string, PurposeCode string, Category string, USD_Disbursement_Defl string")
 
 
-def test_pipeline_end_to_end_both_taxonomies(spark, tmp_root):
+def test_staged_run_end_to_end_both_taxonomies(spark, tmp_root):
     out = pl.run_all(
         spark, _activities(spark), tmp_root, [CONTINUUM, SUBSECTORS],
         lambda t: (lambda kw=KEYWORDS[t.name]: lb.KeywordClassifier(kw)),
