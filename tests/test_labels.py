@@ -158,3 +158,48 @@ def test_on_error_raise_fails_the_job(spark):
 
     with pytest.raises(Exception, match="service down"):
         lb.label_texts(texts, T, Down, Fields(), max_tries=2, base_backoff=0.0, system_prompt="p").collect()
+
+
+def _expected(raw, vocab):
+    """Plain-Python statement of the parse rules."""
+    if raw is None:
+        return "failed", None
+    try:
+        d = json.loads(raw)
+    except ValueError:
+        return "malformed", None
+    cl = d.get("classifications") if isinstance(d, dict) else None
+    if not isinstance(cl, list):
+        return "malformed", None
+    if any(c not in vocab for c in cl):
+        return "unknown_class", None
+    return "ok", [c in cl for c in vocab]
+
+
+def test_parse_response_randomized(spark):
+    import random
+
+    rnd = random.Random(5)
+    pool = VOCAB + ["Z", "a", ""]
+    raws = []
+    for _ in range(600):
+        k = rnd.random()
+        if k < 0.05:
+            raws.append(None)
+        elif k < 0.1:
+            raws.append(rnd.choice(["not json", "[", "{", "", "null"]))
+        elif k < 0.15:
+            raws.append(json.dumps({"summary": "s", "reasoning": "r", "classifications": rnd.choice(["A", 3, None, {"x": 1}])}))
+        elif k < 0.2:
+            raws.append(json.dumps({"summary": "s"}))
+        else:
+            n = rnd.randint(0, 4)
+            picks = [rnd.choice(pool if rnd.random() < 0.2 else VOCAB) for _ in range(n)]
+            raws.append(json.dumps({"summary": "s", "reasoning": "r", "classifications": picks}))
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, r string")
+    p = df.withColumn("p", parse_response("r", VOCAB))
+    got = p.select("i", F.col("p.status").alias("st"), *multi_hot(F.col("p.classifications"), F.col("p.status"), VOCAB)).orderBy("i").collect()
+    for row, raw in zip(got, raws):
+        st, hot = _expected(raw, VOCAB)
+        assert row.st == st, (raw, row.st, st)
+        assert [row[c] for c in VOCAB] == (hot if hot is not None else [None] * len(VOCAB)), raw
