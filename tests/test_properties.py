@@ -99,3 +99,77 @@ def test_fixture_counts_match_fixtures_md(spark, sel_small):
     assert false_negatives(m, FIX).count() == 0
     assert m.where("c1 AND c2").count() == 73
     assert m.where("any_flag AND NOT c1 AND NOT c2").count() == 7
+
+
+def _strict_sum(vals):
+    return None if any(v is None for v in vals) else sum(vals)
+
+
+def _reference_reports(rows, classes, locations):
+    """Plain-Python statement of the report rules (rows: Year, amt, Category, flags...)."""
+    groups = {"10": "ODA", "21": "OOF", "30": "Private", "60": "Private"}
+    years = sorted({r["Year"] for r in rows})
+    spend, share, stack, group, loc = {}, {}, {}, {}, {}
+    for y in years:
+        yr = [r for r in rows if r["Year"] == y]
+        total = _strict_sum([r["amt"] for r in yr])
+        present = {c: [r["amt"] for r in yr if r[c] is True] for c in classes}
+        present = {c: v for c, v in present.items() if v}
+        if present:
+            spend[y] = {c: (_strict_sum(present[c]) if c in present else None) for c in classes}
+            share[y] = {c: (None if spend[y][c] is None or total is None else spend[y][c] / total) for c in classes}
+            shares = [share[y][c] for c in present]
+            stack[y] = None if any(s is None for s in shares) else sum(shares)
+        g = {}
+        for r in yr:
+            g.setdefault(groups.get(r["Category"], "unmapped"), []).append(r["amt"])
+        group[y] = {k: sum(v for v in vals if v is not None) for k, vals in g.items()}
+        lp = {c: [r["amt"] for r in yr if r[c] is True] for c in locations}
+        lp = {c: v for c, v in lp.items() if v}
+        if lp:
+            vals = {c: _strict_sum(v) for c, v in lp.items()}
+            located = _strict_sum(list(vals.values()))
+            loc[y] = {c: (None if c not in vals or vals[c] is None or located is None else vals[c] / located) for c in locations}
+    return spend, share, stack, group, loc
+
+
+def test_report_null_rules_randomized(spark):
+    import random
+
+    rnd = random.Random(3)
+    tri = [True, False, None]
+    classes, locations = ("A", "B", "G"), ("Urban", "Rural")
+    rows = []
+    for i in range(400):
+        r = {"Year": rnd.choice([2021, 2022, 2023]), "amt": None if rnd.random() < 0.03 else round(rnd.uniform(0.5, 9.5), 3),
+             "Category": rnd.choice(["10", "21", "30", "60", "40", None])}
+        for c in classes + locations:
+            r[c] = rnd.choice(tri) if rnd.random() < 0.8 else False
+        if r["Year"] == 2023:  # a year where nothing but G and Urban is ever true
+            r["A"] = r["B"] = None
+        rows.append(r)
+    t = Taxonomy(name="r", suffix="", classes=classes, residual="G", locations=locations)
+    fx_ = Fields(year="Year", amount="amt", category="Category")
+    schema = "Year int, amt double, Category string, A boolean, B boolean, G boolean, Urban boolean, Rural boolean"
+    sel = spark.createDataFrame([tuple(r[k] for k in ["Year", "amt", "Category", *classes, *locations]) for r in rows], schema)
+    spend, share, stack, group, loc = _reference_reports(rows, classes, locations)
+
+    def rows_of(df):
+        return {r["Year"]: r.asDict() for r in df.collect()}
+
+    def close(a, b):
+        return (a is None and b is None) or (a is not None and b is not None and a == pytest.approx(b))
+
+    got = rows_of(rp.spend_by_class(sel, t, fx_))
+    assert set(got) == set(spend) and all(close(got[y][c], spend[y][c]) for y in spend for c in classes)
+    got = rows_of(rp.class_share(sel, t, fx_))
+    assert set(got) == set(share) and all(close(got[y][c], share[y][c]) for y in share for c in classes)
+    got = rows_of(rp.stack_total(sel, t, fx_))
+    assert set(got) == set(stack) and all(close(got[y]["stack_total"], stack[y]) for y in stack)
+    got = rows_of(rp.spend_by_group(sel, t, fx_))
+    assert set(got) == set(group)
+    for y in group:
+        for k in ("ODA", "OOF", "Private", "unmapped"):
+            assert close(got[y][k], group[y].get(k)), (y, k)
+    got = rows_of(rp.location_share(sel, t, fx_))
+    assert set(got) == set(loc) and all(close(got[y][c], loc[y][c]) for y in loc for c in locations)
