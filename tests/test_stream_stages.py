@@ -137,3 +137,15 @@ def test_label_stream_runs_the_labelling_job(spark, tmp_root):
     # six distinct non-blank texts land (no amount filter on this path), each labelled once
     assert labels.count() == labels.select("text_key").distinct().count() == 6
     assert set(labels.select("status").distinct().toPandas()["status"]) == {"ok"}
+
+
+def test_replayed_batch_adds_nothing(spark, tmp_root):
+    from spendlens.streaming.incremental import label_batch_fn
+
+    out = os.path.join(tmp_root, "labels")
+    acts = _activities(spark).withColumn("ord", F.monotonically_increasing_id())
+    run = label_batch_fn(out, lambda texts: lb.keyword_labels(texts, CONTINUUM, KEYWORDS["continuum"], FLD), FLD, order=["ord"])
+    run(acts, 0)
+    first = spark.read.parquet(out).count()
+    run(acts, 0)  # the same batch again, as after a crash before the stream committed it
+    assert spark.read.parquet(out).count() == first == 6
