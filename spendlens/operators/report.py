@@ -26,6 +26,17 @@ from spendlens.sources.dimensions import GROUP_ORDER, UNMAPPED, category_group
 from spendlens.taxonomy import Taxonomy
 
 
+def strict_sum(c: Column) -> Column:
+    """Aggregate: sum that is NULL as soon as one input is NULL (the reports' class
+    and total sums); partial-aggregation friendly (two counts and a sum)."""
+    return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
+
+
+def lenient_sum(c: Column) -> Column:
+    """Aggregate: sum skipping NULLs, 0 when every input is NULL (the finance-group sums)."""
+    return F.coalesce(F.sum(c), F.lit(0).cast("double"))
+
+
 def _agg_cols(prefix: str, flag: Column, amount: Column) -> list[Column]:
     return [
         F.count_if(flag).alias(f"n_{prefix}"),

@@ -402,14 +402,10 @@ def q_sum_strict(spark: SparkSession, sf: str) -> DataFrame:
     yr = F.year("o_orderdate").cast("int")
     amt = F.when((F.col("o_orderkey") % 97 == 0) & (yr % 2 == 0), F.lit(None)).otherwise(F.col("o_totalprice"))
     df = o.select(yr.alias("yr"), amt.alias("amount"))
-    g = df.groupBy("yr").agg(
-        F.count(F.lit(1)).alias("n"), F.count("amount").alias("nn"), F.sum("amount").alias("s")
-    )
-    return g.select(
-        "yr",
-        _r2(F.when(F.col("nn") == F.col("n"), F.col("s"))).alias("strict_sum"),
-        _r2("s").alias("lenient_sum"),
-        (F.col("n") - F.col("nn")).alias("n_null"),
+    return df.groupBy("yr").agg(
+        _r2(rp.strict_sum(F.col("amount"))).alias("strict_sum"),
+        _r2(rp.lenient_sum(F.col("amount"))).alias("lenient_sum"),
+        (F.count(F.lit(1)) - F.count("amount")).alias("n_null"),
     )
 
 

@@ -311,7 +311,7 @@ WITH t AS (
   FROM orders)
 SELECT yr,
        round(CASE WHEN count(amount) = count(*) THEN sum(amount) END, 2) AS strict_sum,
-       round(sum(amount), 2) AS lenient_sum,
+       round(coalesce(sum(amount), 0), 2) AS lenient_sum,
        count(*) - count(amount) AS n_null
 FROM t GROUP BY yr""",
     "spend_pivot": BASE + f"""
