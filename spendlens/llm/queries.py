@@ -9,8 +9,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.llm.byte_bpe import op3_byte_bpe
+from spendlens.llm.chat import op9_chat
 from spendlens.llm.common import table
+from spendlens.llm.html_extract import op10_html
 from spendlens.llm.packing import op4_packing
+from spendlens.llm.quality_rules import op2_quality_rules
+from spendlens.llm.sharding import op1_sharding
+
+
+def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_sharding(table(spark, sf_dir, "documents"))
+
+
+def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +33,21 @@ def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_chat(table(spark, sf_dir, "conversations"))
+
+
+def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_html(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": q_op1,
+    "op2_quality_rules": q_op2,
     "op3_byte_bpe": q_op3,
     "op4_packing": q_op4,
+    "op9_chat": q_op9,
+    "op10_html": q_op10,
 }
 
 ORACLE: dict[str, str] = {}
