@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.llm.byte_bpe import op3_byte_bpe
 from spendlens.llm.chat import op9_chat
+from spendlens.llm.classifier import op6_quality_classifier
 from spendlens.llm.common import table
 from spendlens.llm.html_extract import op10_html
 from spendlens.llm.packing import op4_packing
@@ -33,6 +34,10 @@ def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_chat(table(spark, sf_dir, "conversations"))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": q_op2,
     "op3_byte_bpe": q_op3,
     "op4_packing": q_op4,
+    "op6_quality_classifier": q_op6,
     "op9_chat": q_op9,
     "op10_html": q_op10,
 }
