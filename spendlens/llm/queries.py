@@ -12,6 +12,7 @@ from spendlens.llm.byte_bpe import op3_byte_bpe
 from spendlens.llm.chat import op9_chat
 from spendlens.llm.classifier import op6_quality_classifier
 from spendlens.llm.common import table
+from spendlens.llm.fingerprints import op8_fingerprints
 from spendlens.llm.html_extract import op10_html
 from spendlens.llm.packing import op4_packing
 from spendlens.llm.quality_rules import op2_quality_rules
@@ -38,6 +39,10 @@ def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_chat(table(spark, sf_dir, "conversations"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": q_op3,
     "op4_packing": q_op4,
     "op6_quality_classifier": q_op6,
+    "op8_fingerprints": q_op8,
     "op9_chat": q_op9,
     "op10_html": q_op10,
 }
