@@ -14,6 +14,7 @@ from spendlens.llm.classifier import op6_quality_classifier
 from spendlens.llm.common import table
 from spendlens.llm.fingerprints import op8_fingerprints
 from spendlens.llm.html_extract import op10_html
+from spendlens.llm.minhash import op5_near_duplicates
 from spendlens.llm.packing import op4_packing
 from spendlens.llm.quality_rules import op2_quality_rules
 from spendlens.llm.sharding import op1_sharding
@@ -35,6 +36,10 @@ def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def q_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": q_op2,
     "op3_byte_bpe": q_op3,
     "op4_packing": q_op4,
+    "op5_near_duplicates": q_op5,
     "op6_quality_classifier": q_op6,
     "op8_fingerprints": q_op8,
     "op9_chat": q_op9,
