@@ -14,6 +14,7 @@ from spendlens.llm.classifier import op6_quality_classifier
 from spendlens.llm.common import table
 from spendlens.llm.fingerprints import op8_fingerprints
 from spendlens.llm.html_extract import op10_html
+from spendlens.llm.lm import op7_lm_scores
 from spendlens.llm.minhash import op5_near_duplicates
 from spendlens.llm.packing import op4_packing
 from spendlens.llm.quality_rules import op2_quality_rules
@@ -44,6 +45,10 @@ def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def q_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_lm_scores(table(spark, sf_dir, "documents"))
+
+
 def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": q_op4,
     "op5_near_duplicates": q_op5,
     "op6_quality_classifier": q_op6,
+    "op7_lm_scores": q_op7,
     "op8_fingerprints": q_op8,
     "op9_chat": q_op9,
     "op10_html": q_op10,
