@@ -20,6 +20,8 @@ TRUSTED_DOCS = 20_000
 # Mean ln ratio from which a text is kept: a little under 0 (as likely among trusted texts as
 # in the corpus), since clean texts with rare words lie just below it and junk far below.
 THRESHOLD = -0.2
+# Counts that each bucket gets beforehand, on both sides in the proportion of the totals.
+PRIOR = 20.0
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
@@ -98,19 +100,16 @@ def gram_counts(df: DataFrame, trusted_flag: str, text_col: str = "text", bucket
     return grams.groupBy("gram").agg(F.count("*").alias("corpus"), F.sum("_t").alias("trusted"))
 
 
-def gram_ratios(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row: ``ratio``, the ln ratio of each bucket, both sides smoothed by one count
-    a bucket. An empty corpus gives all zeros."""
-    # buckets without rows count 0 on both sides; put in by a union of all buckets
+def gram_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+    """One row: ``ratio``, ln(p_trusted / p_corpus) of each bucket. Both sides get ``prior``
+    counts in the proportion of the totals, so a bucket seen a few times says little: a
+    clean text is not dropped because its words are rare. Without trusted or corpus
+    counts all ratios are 0."""
     every = counts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("gram"), F.lit(0).cast("bigint").alias("corpus"), F.lit(0).cast("bigint").alias("trusted"))
     full = counts.select("gram", "corpus", "trusted").union(every).groupBy("gram").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted"))
     cells = full.agg(F.array_sort(F.collect_list(F.struct("gram", "corpus", "trusted"))).alias("cells"), F.sum("corpus").alias("c"), F.sum("trusted").alias("t"))
-    return cells.select(
-        F.transform(
-            "cells",
-            lambda x: F.when(F.col("t") == 0, F.lit(0.0)).otherwise(F.log((x["trusted"] + 1) / (F.col("t") + buckets)) - F.log((x["corpus"] + 1) / (F.col("c") + buckets))),
-        ).alias("ratio")
-    )
+    share = F.col("t") / F.col("c")
+    return cells.select(F.transform("cells", lambda x: F.when(F.col("t") == 0, F.lit(0.0)).otherwise(F.log((x["trusted"] + prior * share) / (share * (x["corpus"] + prior))))).alias("ratio"))
 
 
 def mean_ratio(df: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -134,8 +133,10 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
     return good.orderBy(F.xxhash64("_id"), "_id").limit(most)
 
 
-def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with the base counts, ``llr`` and ``kept``.
+def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
+    """``df`` (its columns ``carry``; all by default) with the base counts, ``llr`` and
+    ``kept``, as a written table: a filter on the verdict that Spark pushed down into the
+    counts would work each of them out again for every word.
 
     The n-gram counts cover all rows of ``df``; nulls count as empty texts. Repeated rows
     are judged alike. Without trusted documents every ratio is 0 and only the base rules
@@ -146,9 +147,11 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratios = gram_ratios(staged(gram_counts(flagged.withColumn("_trusted", F.col("_id").isNotNull()), "_trusted"), "quality-grams"))
     own = {"_words", "_n", "llr", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"}
     scored = mean_ratio(base_counts(df.select(*[qcol(c) for c in df.columns if c not in own]), text_col), ratios)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_words", "_n")
+    scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    own -= {"_words", "_n"}
+    return staged(scored.select(*[qcol(c) for c in (df.columns if carry is None else carry) if c not in own], *sorted(own)), "quality-verdicts")
 
 
 def op2_quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Base counts and verdict of every document."""
-    return judge(documents.select("doc_id", "text"), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return judge(documents.select("doc_id", "text"), labels, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
