@@ -132,23 +132,23 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: st
     return np.frombuffer(got[0]["w"], "<f4") if got else np.zeros(1 << BITS, np.float32)
 
 
-def score(df: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``df`` with ``score``: the probability of class 1 for every whole text.
+def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
+    """``df`` with ``out``: the probability of class 1 for every whole text.
 
     Null and empty texts have only the feature for that, taught as class 0. Rows are
-    independent; a column ``score`` of the input is replaced, others pass through.
+    independent; a column of that name in the input is replaced, others pass through.
     """
-    keep = [c for c in df.columns if c != "score"]
+    keep = [c for c in df.columns if c != out]
     at, w = keep.index(text_col), np.asarray(weights, np.float32)
     bits = int(len(w) - 1).bit_length()
     d = df.select(*map(qcol, keep))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema), "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema), f"`{out}` double"])
 
     def run(batches):
         for b in slices(batches, text_col):
             ids, owner = feature_ids(*utf8(b.column(at)), bits)
             total = np.bincount(owner, w[ids], b.num_rows) / np.bincount(owner, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -60, 60))))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -60, 60))))], names=[*keep, out])
 
     return map_arrow(d, run, schema)
 
