@@ -3,10 +3,10 @@
 The join key is the text's SHA-256, so neither side ships the text through the
 shuffle. Labels are unique per key, the activity side keeps its row count.
 AQE broadcasts the label side when its measured size is under the threshold.
-Otherwise the join is shuffled, and texts on a large share of rows (the empty
-text always, plus a bounded list of hot keys) are salted over several join
-partitions, since AQE's own skew split does not apply when the label side
-arrives already partitioned by its deduplication.
+Otherwise the join is shuffled; the empty text takes no part in it, and texts on
+more rows than one task should get are salted over several join partitions, since
+AQE's own skew split does not apply when the label side arrives already
+partitioned by its deduplication.
 """
 
 from __future__ import annotations
@@ -32,12 +32,14 @@ def labels_unique(labels: DataFrame, fields: Fields = DEFAULT, order: ColumnOrNa
             return lab
         lab = lab.withColumn(fields.key, text_key(qcol(fields.text)))
     if order is None:
-        order = fields.ordinal if fields.ordinal in lab.columns else fields.key
+        if fields.ordinal in lab.columns:
+            order = fields.ordinal
+        else:  # no order to be first in: the choice must still be the same every time
+            order = [c for c in lab.columns if c != fields.key]
     return keep_first(lab, fields.key, order)
 
 
 SALT = "__salt"
-SALT_BUCKETS = 32
 # Key of the empty text: every activity without a usable description carries it,
 # which makes it the most likely hot key; it never has a label row.
 BLANK_KEY = hashlib.sha256(b"").hexdigest()
@@ -49,20 +51,17 @@ def attach_labels(
     fields: Fields = DEFAULT,
     label_columns: Sequence[str] | None = None,
     dedupe: bool = True,
-    hot_keys: Sequence[str] | None = None,
-    salt_buckets: int = SALT_BUCKETS,
+    hot_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Left join labels on the text key: every activity row kept, label columns NULL
     where unlabelled. Label columns that clash with activity columns get the
     ``fields.clash_suffix``; the label table's own text column is not carried.
 
-    ``hot_keys`` (a bounded list, see ``prepare.hot_keys``) are salted: their
-    activity rows are spread over ``salt_buckets`` join partitions by a
-    deterministic hash of the row, and their label rows are replicated once
-    per bucket, so no single task receives all rows of one text. The empty
-    text's key is always salted (it has no label row, so this costs nothing on
-    the label side). Other keys join with salt 0. Results are identical to the
-    plain join.
+    Activities with the empty text take no part in the join: they have no label.
+    ``hot_keys`` (key, buckets; see ``prepare.hot_keys``) are salted: their activity
+    rows are dealt over that many parts by a hash of the row, and their label rows are
+    repeated once for each, so no task receives all rows of one text. Other keys join
+    with salt 0; without hot keys the join is on the key alone. Results are the same.
     """
     acts = activities
     if fields.key not in acts.columns:
@@ -71,18 +70,19 @@ def attach_labels(
     if fields.key not in lab.columns:
         raise ValueError("labels need a text or text key column")
     keep = [c for c in (label_columns or lab.columns) if c not in (fields.key, fields.text)]
-    renamed = [qcol(fields.key)]
-    for c in keep:
-        out = c + fields.clash_suffix if c in acts.columns else c
-        renamed.append(qcol(c).alias(out))
-    right = lab.select(*renamed)
-    hot_list = list(dict.fromkeys([BLANK_KEY, *(hot_keys or [])]))
-    hot_act = qcol(fields.key).isin(hot_list)
-    row_id = [qcol(fields.ordinal)] if fields.ordinal in acts.columns else [qcol(c) for c in acts.columns]
-    salt = F.when(hot_act, F.pmod(F.xxhash64(*row_id), F.lit(salt_buckets))).otherwise(F.lit(0)).cast("int")
-    replicas = F.when(qcol(fields.key).isin(hot_list), F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))
-    return (
-        acts.withColumn(SALT, salt)
-        .join(right.withColumn(SALT, F.explode(replicas)), on=[fields.key, SALT], how="left")
-        .drop(SALT)
-    )
+    names = {c: c + fields.clash_suffix if c in acts.columns else c for c in keep}
+    right = lab.select(qcol(fields.key), *[qcol(c).alias(names[c]) for c in keep])
+    order = [*acts.columns, *names.values()]
+    blank = acts.where(qcol(fields.key) == BLANK_KEY).select("*", *[F.lit(None).cast(lab.schema[c].dataType).alias(names[c]) for c in keep])
+    rest = acts.where(qcol(fields.key) != BLANK_KEY)
+    if hot_keys is None:
+        joined = rest.join(right, on=fields.key, how="left")
+    else:
+        hot = F.broadcast(hot_keys.select(qcol(fields.key), F.col("buckets").alias("__buckets")))  # a bounded list
+        buckets = F.coalesce("__buckets", F.lit(1))
+        row_id = [qcol(fields.ordinal)] if fields.ordinal in acts.columns else [qcol(c) for c in acts.columns]
+        left = rest.join(hot, on=fields.key, how="left").withColumn(SALT, F.pmod(F.xxhash64(*row_id), buckets).cast("int")).drop("__buckets")
+        copies = right.join(hot, on=fields.key, how="left").withColumn(SALT, F.explode(F.sequence(F.lit(0), buckets - 1))).drop("__buckets")
+        joined = left.join(copies, on=[fields.key, SALT], how="left").drop(SALT)
+    cols = [qcol(c) for c in order]
+    return joined.select(*cols).unionByName(blank.select(*cols))

@@ -30,12 +30,14 @@ from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
 from spendlens.session import ship_package
 from spendlens.functions.labels import keyword_classes, multi_hot, parse_response
-from spendlens.functions.text import SECTOR_SEPARATOR, cost, request_payload, token_count, user_message
+from spendlens.functions.text import SECTOR_SEPARATOR, cost, token_count, user_message
 from spendlens.sources.dimensions import sector_lookup
 from spendlens.taxonomy import Taxonomy
 
-# Texts per labelling task (one commit per task).
+# Texts per labelling task: a lost executor re-sends no more than its tasks' texts.
 TEXTS_PER_TASK = 500
+# Texts that are labelled and committed together: a job that fails loses no more.
+TEXTS_PER_BATCH = 50_000
 
 # Retry policy defaults (tries, base wait s, cap s).
 MAX_TRIES = 5
@@ -58,6 +60,7 @@ def call_with_retry(
     max_tries: int = MAX_TRIES,
     base: float = BASE_BACKOFF,
     cap: float = MAX_BACKOFF,
+    jitter: float = 1.0,
     sleep: Callable[[float], None] = time.sleep,
     rng: Callable[[], float] = random.random,
 ) -> tuple[str, int]:
@@ -70,7 +73,7 @@ def call_with_retry(
         except Exception as e:  # noqa: BLE001 - any client error is retried
             last = e
             if attempt < max_tries:
-                sleep(backoff_wait(attempt, base, cap, rng=rng))
+                sleep(backoff_wait(attempt, base, cap, jitter, rng))
     assert last is not None
     raise last
 
@@ -88,6 +91,19 @@ class KeywordClassifier:
         return json.dumps({"summary": "", "reasoning": "keyword match", "classifications": hits})
 
 
+def check_response(response: str | None, vocab: Sequence[str]) -> str:
+    """The response if it is a JSON object with a list of class names of the vocabulary,
+    as ``parse_response`` accepts; raises otherwise, so that the call is tried again."""
+    parsed = json.loads(response) if response is not None else None
+    classes = parsed.get("classifications") if isinstance(parsed, dict) else None
+    if not isinstance(classes, list):
+        raise ValueError("response without a class list")
+    unknown = [c for c in classes if c not in vocab]
+    if unknown:
+        raise ValueError(f"classes outside the vocabulary: {unknown}")
+    return response
+
+
 def _partition_labeller(
     make_classifier: Callable[[], Classifier],
     system_prompt: str,
@@ -97,6 +113,8 @@ def _partition_labeller(
     max_tries: int,
     base: float,
     concurrency: int,
+    vocab: Sequence[str],
+    jitter: float,
 ):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clf = make_classifier()  # one client per partition
@@ -104,7 +122,8 @@ def _partition_labeller(
 
         def one(msg: str):
             try:
-                resp, tries = call_with_retry(lambda: clf.classify(system_prompt, msg), max_tries, base)
+                # an answer that does not parse or names an unknown class is a failed try
+                resp, tries = call_with_retry(lambda: check_response(clf.classify(system_prompt, msg), vocab), max_tries, base, jitter=jitter)
                 return resp, None, tries
             except Exception as e:  # noqa: BLE001
                 if on_error == "raise":
@@ -145,6 +164,7 @@ def label_texts(
     on_error: str = "raise",
     max_tries: int = MAX_TRIES,
     base_backoff: float = BASE_BACKOFF,
+    jitter: float = 1.0,
     concurrency: int = 1,
     system_prompt: str | None = None,
     texts_per_task: int | None = TEXTS_PER_TASK,
@@ -152,12 +172,13 @@ def label_texts(
     """Label every row of ``texts`` (key, text, purpose code, ordinal) with ``taxonomy``.
 
     Tasks are sized by texts, not bytes: without ``num_partitions`` the texts
-    are counted and spread over ``ceil(n / texts_per_task)`` tasks, so each
-    task commits after a bounded number of model calls and a lost executor
-    re-sends at most that many.
+    are counted and spread over ``ceil(n / texts_per_task)`` tasks. Output is
+    published when the job commits, so give it bounded batches (``label_batches``).
+    Every answer is validated inside the retry: bad JSON or a class outside the
+    vocabulary is tried again.
     ``make_classifier`` is called once per partition on the executor.
     ``on_error='raise'`` fails the task once retries are exhausted;
-    ``'quarantine'`` keeps the row with status ``failed`` and the error text.
+    ``'quarantine'`` keeps the row with status ``failed`` and the last error.
     Output: key, text, purpose code, [ordinal], summary, reasoning, one boolean
     per class of the vocabulary, status, error, tries.
     """
@@ -176,11 +197,30 @@ def label_texts(
     out_schema = T.StructType(list(schema_in.fields) + [
         T.StructField("response", T.StringType()), T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType())
     ])
-    fn = _partition_labeller(make_classifier, prompt, fields.text, "sector_name", on_error, max_tries, base_backoff, concurrency)
+    fn = _partition_labeller(make_classifier, prompt, fields.text, "sector_name", on_error, max_tries, base_backoff, concurrency, list(taxonomy.vocabulary), jitter)
     raw = req.mapInPandas(fn, out_schema)
     return parse_labels(raw, taxonomy, keep)
 
 
+def label_batches(
+    texts: DataFrame,
+    taxonomy: Taxonomy,
+    make_classifier: Callable[[], Classifier],
+    commit: Callable[[DataFrame], None],
+    fields: Fields = DEFAULT,
+    texts_per_batch: int = TEXTS_PER_BATCH,
+    **label_kw,
+) -> None:
+    """Label ``texts`` in batches of about ``texts_per_batch`` (by hash of the key) and
+    ``commit`` each on its own: what was paid for before a failure stays, and a re-run
+    skips it. Texts whose tries are exhausted come with status ``failed``."""
+    n = texts.count()
+    batches = -(-n // texts_per_batch)
+    for b in range(batches):
+        part = texts.where(F.pmod(F.xxhash64(qcol(fields.key)), F.lit(batches)) == b) if batches > 1 else texts
+        commit(label_texts(part, taxonomy, make_classifier, fields, **{"on_error": "quarantine", **label_kw}))
+
+
 def parse_labels(raw: DataFrame, taxonomy: Taxonomy, keep: Sequence[str], response: str = "response") -> DataFrame:
     """Raw JSON responses → summary, reasoning, multi-hot classes, status."""
     vocab = list(taxonomy.vocabulary)
@@ -210,27 +250,10 @@ def keyword_labels(texts: DataFrame, taxonomy: Taxonomy, keywords: Mapping[str,
     )
 
 
-# Keys of a batch that may be broadcast (64-character keys: about 64 MB).
-MAX_BROADCAST_KEYS = 1_000_000
-
-
-def unprocessed(texts: DataFrame, done: DataFrame, key: str, max_broadcast_keys: int | None = None) -> DataFrame:
-    """Rows of ``texts`` whose key is not in ``done`` (the label table is never collected).
-
-    Default: a plain anti-join (AQE broadcasts ``done`` only while it is small).
-    With ``max_broadcast_keys``, a batch whose key count is proven under the
-    bound (count capped at bound + 1) broadcasts its keys instead: the label
-    table, which grows with every run, is only scanned and semi-joined against
-    them — no shuffle of the whole table — and the few matches are removed with
-    a broadcast anti-join. Above the bound the plain anti-join is used.
-    """
-    done_keys = done.select(qcol(key))
-    if max_broadcast_keys:
-        keys = texts.select(qcol(key))
-        if keys.limit(max_broadcast_keys + 1).count() <= max_broadcast_keys:
-            seen = done_keys.join(F.broadcast(keys), on=key, how="left_semi")
-            return texts.join(F.broadcast(seen), on=key, how="left_anti")
-    return texts.join(done_keys, on=key, how="left_anti")
+def unprocessed(texts: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows of ``texts`` whose key is not in ``done``: one anti-join at every size (AQE
+    broadcasts the keys of ``done`` only while they measure small)."""
+    return texts.join(done.select(qcol(key)), on=key, how="left_anti")
 
 
 def sample_by_code(df: DataFrame, code_col: str, codes: Sequence[str], n: int, order: str | Sequence[str]) -> DataFrame:
@@ -276,8 +299,3 @@ def check_budget(requests: DataFrame, system_prompt: str, max_cost: float, **kw)
     if not row["within_budget"]:
         raise BudgetExceeded(f"estimated cost {row['est_cost']:.2f} exceeds {max_cost:.2f}")
     return row
-
-
-def payload_column(system_prompt: str, message: str = "user_message"):
-    """The request as the JSON the client sends."""
-    return request_payload(system_prompt, qcol(message))

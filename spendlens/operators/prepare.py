@@ -2,10 +2,9 @@
 
 Dedup is keyed by ``sha2(text)``. ``keep_first`` (J1/J2 in general form) is
 ``row_number() = 1``, planned as a partial ``WindowGroupLimit`` before the
-exchange; ``prepare_texts`` uses one ``groupBy(key)`` with ``min_by`` and
-``count`` so the same shuffle also yields how many activities carry each text.
-Both reduce a text repeated in millions of rows to one row per map task
-before anything is shuffled.
+exchange; ``prepare_texts`` adds how many activities carry each text, counted
+over the keys alone. Both reduce a text repeated in millions of rows to one row
+per map task before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -62,14 +61,6 @@ def ensure_text_key(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
 N_ACTIVITIES = "n_activities"
 
 
-def _first_order(orders: Sequence[str]):
-    """Ordering struct for min_by: ascending, NULLs last (like ``keep_first``)."""
-    parts = []
-    for o in orders:
-        parts += [qcol(o).isNull(), qcol(o)]
-    return F.struct(*parts)
-
-
 def prepare_texts(
     df: DataFrame,
     fields: Fields = DEFAULT,
@@ -80,11 +71,12 @@ def prepare_texts(
     number of activities carrying the text (``n_activities``).
 
     Output columns: key, text, purpose code, ordinal column(s), n_activities.
-    ``order`` defaults to (year, ordinal), i.e. collated file order. One
-    aggregation by key does both: the first row (``min_by``) and the count;
-    partial aggregation runs before the shuffle, so a text repeated in a large
-    share of rows leaves each map task as one row. The counts give the key
-    histogram that ``hot_keys`` reads to split skewed keys in the label join.
+    ``order`` defaults to (year, ordinal), i.e. collated file order. The first
+    row comes from ``keep_first``, the count from an aggregation of keys alone;
+    both are limited or summed in the map tasks, so a text repeated in a large
+    share of rows leaves each of them as one row, and both are dealt by key, so
+    joining them moves nothing again. The counts give the key histogram that
+    ``hot_keys`` reads to split skewed keys in the label join.
     Pass a ``PrepareObservation`` to collect the funnel during the write.
     """
     src = df
@@ -96,13 +88,11 @@ def prepare_texts(
         raise ValueError("first-wins dedup needs an ordinal column (see sources.ingest.add_ordinal)")
     payload = [fields.text, fields.purpose_code] + [c for c in order if c not in (fields.key, fields.text, fields.purpose_code)]
     src = src.select(qcol(fields.key), *[qcol(c) for c in payload])
+    counts = src.groupBy(qcol(fields.key)).agg(F.count(F.lit(1)).alias(N_ACTIVITIES))
+    unique = keep_first(src, fields.key, order).join(counts, on=fields.key)  # both dealt by key already
     if observation is not None:
-        src = src.observe(observation.start, F.count(F.lit(1)).alias("n_start"))
-    first = F.min_by(F.struct(*[qcol(c) for c in payload]), _first_order(order))
-    grouped = src.groupBy(qcol(fields.key)).agg(first.alias("__first"), F.count(F.lit(1)).alias(N_ACTIVITIES))
-    unique = grouped.select(qcol(fields.key), *[F.col("__first").getField(c).alias(c) for c in payload], F.col(N_ACTIVITIES))
-    if observation is not None:
-        metrics = [F.count(F.lit(1)).alias("n_unique"), F.count_if(is_blank(qcol(fields.text))).alias("n_blank")]
+        # observed behind the shuffle, in the stage that writes: no task counts twice
+        metrics = [F.coalesce(F.sum(N_ACTIVITIES), F.lit(0)).alias("n_start"), F.count(F.lit(1)).alias("n_unique"), F.count_if(is_blank(qcol(fields.text))).alias("n_blank")]
         if observation.with_tokens:
             # blank texts have no tokens, so the sum equals that of the kept texts
             metrics.append(F.coalesce(F.sum(token_count(qcol(fields.text))), F.lit(0)).alias("n_tokens"))
@@ -110,24 +100,19 @@ def prepare_texts(
     return drop_blank(unique, fields.text)
 
 
-def hot_keys(
-    prepared: DataFrame,
-    fields: Fields = DEFAULT,
-    share: float = 0.001,
-    min_rows: int = 1_000_000,
-    max_keys: int = 1000,
-) -> list[str]:
-    """Text keys carried by at least ``max(min_rows, share × all activities)`` rows.
-
-    At most ``1 / share`` keys can pass the threshold, and at most ``max_keys``
-    (the largest) are returned, so the list has a proven size bound. Keys left
-    out are still joined exactly, just without salting. Reads only the prepared
-    table (one row per text).
+# Rows of one key that one join task may receive.
+ROWS_PER_TASK = 1_000_000
+
+
+def hot_keys(prepared: DataFrame, fields: Fields = DEFAULT, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Text keys that more than ``rows_per_task`` activities carry, and into how many
+    parts (``buckets``) their rows have to be dealt so that none is larger.
+
+    At most (all activities / ``rows_per_task``) keys, small enough to broadcast. Reads
+    only the prepared table (one row per text).
     """
-    total = (prepared.agg(F.sum(N_ACTIVITIES)).first()[0] or 0) if share > 0 else 0
-    threshold = max(int(min_rows), int(share * total + 0.999999))
-    top = prepared.where(F.col(N_ACTIVITIES) >= threshold).orderBy(F.col(N_ACTIVITIES).desc()).limit(max_keys)
-    return [r[0] for r in top.select(qcol(fields.key)).collect()]
+    n = F.col(N_ACTIVITIES)
+    return prepared.where(n > rows_per_task).select(qcol(fields.key), F.ceil(n / F.lit(rows_per_task)).cast("int").alias("buckets"))
 
 
 class PrepareObservation:
@@ -136,13 +121,12 @@ class PrepareObservation:
     written: no extra pass over the data."""
 
     def __init__(self, name: str = "prepare", with_tokens: bool = False):
-        self.start = Observation(f"{name}_start")
         self.unique = Observation(f"{name}_unique")
         self.with_tokens = with_tokens
 
     def get(self) -> dict:
-        s, u = self.start.get, self.unique.get
-        n_start, n_unique, n_blank = s["n_start"], u["n_unique"], u["n_blank"]
+        u = self.unique.get
+        n_start, n_unique, n_blank = u["n_start"], u["n_unique"], u["n_blank"]
         out = {
             "n_start": n_start,
             "n_duplicates": n_start - n_unique,

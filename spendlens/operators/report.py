@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens._compat import qcol
@@ -81,9 +81,10 @@ def _total(strict: bool) -> Column:
 
 
 def _order(df: DataFrame, fields: Fields) -> DataFrame:
-    """Year order for a report (one row per year): a single partition sorted in
-    place, instead of a global sort's range shuffle and bound-sampling job."""
-    return df.coalesce(1).sortWithinPartitions(qcol(fields.year))
+    """Year order for a report (one row per year): the finished rows meet in a single
+    partition sorted in place, instead of a global sort's range shuffle and
+    bound-sampling job; the aggregation below stays dealt by year."""
+    return df.repartition(1).sortWithinPartitions(qcol(fields.year))
 
 
 def spend_by_class(sel: DataFrame, taxonomy: Taxonomy, fields: Fields = DEFAULT, strict_nulls: bool = True, summary: DataFrame | None = None) -> DataFrame:
@@ -171,27 +172,21 @@ def melt_flags(sel: DataFrame, flags: Sequence[str], fields: Fields = DEFAULT, v
 def spend_long(sel: DataFrame, flags: Sequence[str], fields: Fields = DEFAULT, strict_nulls: bool = True) -> DataFrame:
     """Long table (year, variable, amount, total, share) of TRUE flags.
 
-    One pass over ``sel``: the flags are unpivoted together with an always-TRUE
-    marker column, so a single ``groupBy(year, variable)`` yields the class sums
-    and the year totals; the totals are then attached within each year of the
-    (tiny) aggregate instead of re-reading ``sel`` for a join.
+    One aggregation per year over ``sel`` gives every flag's sums and the year's total;
+    only its few rows are unpivoted, not the activities.
     """
     amount = qcol(fields.amount).cast("double")
-    all_rows = "__all__"
-    src = sel.withColumn(all_rows, F.lit(True))
-    long = melt_flags(src, list(flags) + [all_rows], fields).where(F.col("flag"))
-    agg = long.groupBy(qcol(fields.year), F.col("variable")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(amount).alias("s"), F.count(amount).alias("nn")
-    )
-    value = F.when(F.col("nn") == F.col("n"), F.col("s")) if strict_nulls else F.col("s")
-    agg = agg.withColumn("v", value).withColumn("is_total", F.col("variable") == all_rows)
-    # NULL marks "no total" only through the strict rule; use a flag to pick the total row
-    per_year = Window.partitionBy(qcol(fields.year))
-    total = F.max(F.when(F.col("is_total"), F.struct(F.col("v").alias("t")))).over(per_year).getField("t")
-    out = agg.withColumn("total", total).where(~F.col("is_total"))
-    return out.select(
-        qcol(fields.year), F.col("variable"), F.col("v").alias(fields.amount), F.col("total"), F.try_divide(F.col("v"), F.col("total")).alias("share")
-    )
+    aggs = [*_agg_cols("total", F.lit(True), amount)]
+    for k, c in enumerate(flags):
+        aggs += _agg_cols(f"f{k}", F.coalesce(qcol(c), F.lit(False)), amount)
+    years = sel.groupBy(qcol(fields.year)).agg(*aggs)
+
+    def value(prefix: str) -> Column:
+        return _value(prefix, True) if strict_nulls else F.col(f"s_{prefix}")
+
+    rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"n_f{k}").alias("n"), value(f"f{k}").alias("v")) for k, c in enumerate(flags)])
+    out = years.select(qcol(fields.year), value("total").alias("total"), F.explode(rows).alias("r")).where(F.col("r.n") > 0)
+    return out.select(qcol(fields.year), F.col("r.variable").alias("variable"), F.col("r.v").alias(fields.amount), F.col("total"), F.try_divide(F.col("r.v"), F.col("total")).alias("share"))
 
 
 def pivot_long(long: DataFrame, values: Sequence[str], value_col: str, fields: Fields = DEFAULT, variable: str = "variable") -> DataFrame:

@@ -9,10 +9,12 @@ addition order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.fields import Fields
 from spendlens.functions.labels import multi_hot, parse_response
 from spendlens.functions.text import activity_text, cost, text_key, token_count, ustrip
 from spendlens.operators import label as lb
@@ -61,7 +63,8 @@ TAXONOMY_KEYWORDS = {
 SAMPLE_CODES = ["16030", "16040"]
 ABSENT_CODES = ["99999"]
 SAMPLE_SIZE = 10
-HOT_KEYS = 64
+SALT_ROWS = 20
+RESUME_BATCH = 4_000
 COLLATE_SPLIT_YEAR = 1998
 MAX_COST = 5.0
 
@@ -93,6 +96,19 @@ def q_collate_years(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.collate(parts).withColumn("Year", F.col("Year").cast("int"))
 
 
+def q_land_yearly(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders landed in separate calls, even years, odd years and one year again: each
+    call replaces its own years and keeps the others."""
+    from spendlens.plans import stages as pl
+
+    f = Fields(year="Year", amount="o_totalprice", ordinal="ord")
+    o = table(spark, sf, "orders").withColumn("Year", F.year("o_orderdate").cast("int"))
+    layout = pl.Layout(work_path(spark, "yearly"))
+    for part in (F.col("Year") % 2 == 0, F.col("Year") % 2 == 1, F.col("Year") == 1995):
+        pl.land(o.where(part), layout, f)
+    return ingest.read_years(spark, layout.landed, None, fields=f).select("o_orderkey", F.col("Year").cast("int").alias("Year"), "o_totalprice")
+
+
 def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents through the CSV exchange format: write, read all-string, null
     sentinels, typed columns."""
@@ -176,12 +192,10 @@ def q_token_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_bpe_token_count(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact-tokenizer backend over every unique text (byte-level encoding)."""
-    from spendlens.functions.tokens import bpe_token_count, byte_level_encoding
-
+    """Upper bound of any byte-level token count of every unique text: its bytes, which
+    is the count before the first merge."""
     u = _unique_doc_texts(spark, sf)
-    n = bpe_token_count("txt", "byte_level", byte_level_encoding)
-    return u.select(F.col("activity_id").alias("doc_id"), n.alias("n_tokens"))
+    return u.select(F.col("activity_id").alias("doc_id"), F.octet_length("txt").cast("bigint").alias("n_tokens"))
 
 
 def _unique_activity_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,6 +277,25 @@ def q_label_job(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("activity_id").alias("doc_id"), *LABEL_COLUMNS, "status")
 
 
+def q_label_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """Two labelling runs over all unique documents, in committed batches. On run 1 the
+    model fails for some texts until their tries are exhausted (quarantined), and for
+    others names an unknown class on the first try (tried again); run 2 labels the rest."""
+    from spendlens.plans import stages as pl
+
+    layout = pl.Layout(work_path(spark, "resume"))
+    sinks.write_table(_unique_doc_texts(spark, sf), layout.prepared)
+    for down in (True, False):
+        pl.label(
+            spark, layout, FIXTURE_TAXONOMY, partial(fx.FlakyClassifier, FIXTURE_KEYWORDS, down), FIX,
+            system_prompt="", max_tries=2, base_backoff=0.0, jitter=0.0, num_partitions=4, texts_per_batch=RESUME_BATCH,
+        )
+    rows = spark.read.parquet(layout.labels(FIXTURE_TAXONOMY))
+    tried = rows.where(F.col(sinks.OUTCOME) == sinks.QUARANTINE).groupBy("text_key").agg(F.count(F.lit(1)).alias("n"))
+    done = sinks.labelled_rows(rows).join(tried, on="text_key", how="left")
+    return done.select(F.col("activity_id").alias("doc_id"), *LABEL_COLUMNS, "tries", F.coalesce("n", F.lit(0)).alias("n_quarantined"))
+
+
 def q_unprocessed(spark: SparkSession, sf: str) -> DataFrame:
     u = _unique_doc_texts(spark, sf)
     done = fx.raw_labels(spark, sf).select("text_key")
@@ -287,13 +320,13 @@ def q_attach_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_attach_labels_salted(spark: SparkSession, sf: str) -> DataFrame:
-    """The label join with the most shared texts salted (hot keys from the prepared
-    texts' activity counts); must equal the plain join."""
+    """The label join with every text on more than SALT_ROWS activities salted (counts
+    from the prepared texts); must equal the plain join."""
     from spendlens.operators.prepare import hot_keys
 
     acts = fx.activities(spark, sf)
-    hot = hot_keys(prepare_texts(acts, FIX, order=["activity_id"]), FIX, share=0.0, min_rows=1, max_keys=HOT_KEYS)
-    a = attach_labels(acts, fx.lab(spark, sf), FIX, label_columns=LABEL_COLUMNS, dedupe=False, hot_keys=hot, salt_buckets=8)
+    hot = hot_keys(prepare_texts(acts, FIX, order=["activity_id"]), FIX, rows_per_task=SALT_ROWS)
+    a = attach_labels(acts, fx.lab(spark, sf), FIX, label_columns=LABEL_COLUMNS, dedupe=False, hot_keys=hot)
     return a.select("activity_id", *LABEL_COLUMNS)
 
 
@@ -412,6 +445,7 @@ def q_sum_strict(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "positive_amount": q_positive_amount,
     "collate_years": q_collate_years,
+    "land_yearly": q_land_yearly,
     "csv_roundtrip": q_csv_roundtrip,
     "activity_text": q_activity_text,
     "unicode_strip": q_unicode_strip,
@@ -426,6 +460,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "multi_hot": q_multi_hot,
     "keyword_label": q_keyword_label,
     "label_job": q_label_job,
+    "label_resume": q_label_resume,
     "unprocessed": q_unprocessed,
     "incremental_label": q_incremental_label,
     "labels_unique": q_labels_unique,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spendlens.fields import Fields
 from spendlens.functions.text import text_key
 from spendlens.operators.attach import attach_labels, labels_unique
+from spendlens.operators.label import KeywordClassifier
 from spendlens.operators.marker import mark, select_marked
 from spendlens.taxonomy import Taxonomy
 
@@ -42,6 +43,23 @@ FIXTURE_TAXONOMY = Taxonomy(
 LABEL_COLUMNS = ["c1", "c2", "g", "urban", "rural"]
 
 
+class FlakyClassifier:
+    """Test rule: the keyword classifier, but it names an unknown class on the first try
+    of a text whose length is a multiple of 5, and while ``down`` it fails for lengths
+    that are multiples of 7 (of the whole message)."""
+
+    def __init__(self, keywords, down: bool):
+        self.model, self.down, self.seen = KeywordClassifier(keywords), down, set()
+
+    def classify(self, system_prompt: str, message: str) -> str:
+        if self.down and len(message) % 7 == 0:
+            raise RuntimeError("no answer")
+        if len(message) % 5 == 0 and message not in self.seen:
+            self.seen.add(message)
+            return '{"summary":"","reasoning":"","classifications":["zz"]}'
+        return self.model.classify(system_prompt, message)
+
+
 # Declared schemas of the test tables the fixtures read: no schema-inference job
 # per read, and a changed file fails loudly instead of silently changing types.
 TABLE_SCHEMAS = {

@@ -156,6 +156,8 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
        CASE WHEN year(o_orderdate) < {COLLATE_SPLIT_YEAR} THEN NULL ELSE o_orderpriority END AS o_orderpriority,
        CAST(year(o_orderdate) AS INT) AS "Year"
 FROM orders WHERE o_totalprice > 0""",
+    "land_yearly": """
+SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS "Year", o_totalprice FROM orders WHERE o_totalprice > 0""",
     "csv_roundtrip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "activity_text": """
 WITH tp AS (
@@ -236,6 +238,13 @@ FROM (SELECT d.doc_id, l.quality, l.toxic, NOT (d.doc_id % 17 = 0 OR d.doc_id %
       FROM documents d JOIN labels l ON l.doc_id = d.doc_id) x""",
     "keyword_label": f"WITH {UNIQUE_DOCS}\nSELECT doc_id, {_keyword_exprs('text')} FROM u",
     "label_job": f"WITH {UNIQUE_DOCS}\nSELECT doc_id, {_keyword_exprs('text')}, 'ok' AS status FROM u",
+    # the message a model gets is the text and 9 characters of the sector line
+    "label_resume": f"""
+WITH {UNIQUE_DOCS}
+SELECT doc_id, {_keyword_exprs('text')},
+       CAST(CASE WHEN (length(text) + 9) % 5 = 0 THEN 2 ELSE 1 END AS INT) AS tries,
+       CAST(CASE WHEN (length(text) + 9) % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_quarantined
+FROM u""",
     "unprocessed": f"""
 WITH {UNIQUE_DOCS},
 done AS (SELECT DISTINCT d.text FROM documents d JOIN labels l ON l.doc_id = d.doc_id)

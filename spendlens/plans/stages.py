@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
@@ -19,10 +19,10 @@ from spendlens.operators import label as lb
 from spendlens.operators import report as rp
 from spendlens.operators.attach import attach_labels
 from spendlens.operators.marker import false_negatives, mark, select_marked
-from spendlens.operators.prepare import PrepareObservation, ensure_text_key, hot_keys, prepare_texts
+from spendlens.operators.prepare import PrepareObservation, ensure_text_key, hot_keys, prepare_texts, with_activity_text
 from spendlens.session import configure
 from spendlens.sources import ingest, sinks
-from spendlens.streaming.incremental import read_if_exists
+from spendlens.streaming.incremental import MAX_FILES_PER_TRIGGER, read_if_exists
 from spendlens.taxonomy import Taxonomy
 
 
@@ -54,8 +54,13 @@ class Layout:
 
 
 def land(activities: DataFrame, layout: Layout, fields: Fields = DEFAULT) -> None:
-    """Keep positive amounts, attach the ingest ordinal, write partitioned by year."""
-    df = ingest.positive_amount(activities, fields=fields)
+    """Keep positive amounts, attach the ingest ordinal, write partitioned by year.
+
+    The amount is stored as a number (text that is none counts as NULL, so the row is
+    dropped like other non-positive ones). Landing some years replaces them alone.
+    """
+    df = activities.withColumn(fields.amount, ingest.to_number(qcol(fields.amount), "double"))
+    df = ingest.positive_amount(df, fields=fields)
     df = ingest.add_ordinal(df, fields)
     if fields.year in df.columns:
         df = df.withColumn(fields.year, ingest.to_number(qcol(fields.year)))
@@ -69,10 +74,11 @@ def land_yearly_csv(spark: SparkSession, pattern: str, years: Iterable[int], lay
     land(ingest.normalize_nulls(raw), layout, fields)
 
 
-def prepare(spark: SparkSession, layout: Layout, fields: Fields = DEFAULT, years: Iterable[int] | None = None, estimate_cost: bool = True) -> dict:
-    """Unique non-blank texts → ``prepared``; returns the funnel counts and (by default)
-    the token proxy total and estimated price, all observed during the write."""
-    landed = ingest.read_years(spark, layout.landed, years, fields=fields)
+def prepare(spark: SparkSession, layout: Layout, fields: Fields = DEFAULT, estimate_cost: bool = True) -> dict:
+    """Unique non-blank texts of all landed years → ``prepared``; returns the funnel counts
+    and (by default) the token proxy total and estimated price, all observed during the
+    write. The texts of some years alone would lose those of the others."""
+    landed = ingest.read_years(spark, layout.landed, None, fields=fields)
     obs = PrepareObservation(with_tokens=estimate_cost)
     texts = prepare_texts(landed, fields, observation=obs)
     sinks.write_table(texts, layout.prepared)
@@ -91,7 +97,9 @@ def label(
     sectors=None,
     **label_kw,
 ) -> int:
-    """Label the prepared texts not labelled yet and append them; returns rows appended.
+    """Label the prepared texts without a label and append them, batch by batch (each a
+    commit of its own, see ``label_batches``); returns how many have a label now that had
+    none. Texts whose tries are exhausted are quarantined and offered again next time.
 
     ``sample_codes``/``sample_size`` restrict a trial run to the first matching
     texts (falling back to the first texts). ``max_cost`` gates the run on the
@@ -101,24 +109,37 @@ def label(
     if sample_size:
         texts = lb.sample_by_code(texts, fields.purpose_code, sample_codes or taxonomy.sector_codes, sample_size, [fields.ordinal])
     done = read_if_exists(spark, layout.labels(taxonomy))
-    todo = lb.unprocessed(texts, done, fields.key, max_broadcast_keys=lb.MAX_BROADCAST_KEYS) if done is not None else texts
+    known = sinks.labelled_rows(done) if done is not None else None
+    before = known.count() if known is not None else 0
+    todo = lb.unprocessed(texts, known, fields.key) if known is not None else texts
     if max_cost is not None:
         lb.check_budget(lb.request_frame(todo, fields, sectors), taxonomy.system_prompt(), max_cost)
-    labelled = lb.label_texts(todo, taxonomy, make_classifier, fields, sectors=sectors, **label_kw)
-    appended = Observation(f"labelled{taxonomy.suffix}")
-    sinks.append_table(labelled.observe(appended, F.count(F.lit(1)).alias("n")), layout.labels(taxonomy))
-    return appended.get["n"]
+    todo = todo.persist()  # split into batches; a lost part is joined again
+    try:
+        lb.label_batches(todo, taxonomy, make_classifier, partial(sinks.append_labels, path=layout.labels(taxonomy)), fields, sectors=sectors, **label_kw)
+    finally:
+        todo.unpersist()
+    now = read_if_exists(spark, layout.labels(taxonomy))
+    return (sinks.labelled_rows(now).count() if now is not None else 0) - before
 
 
 def merge(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, years: Iterable[int] | None = None) -> None:
-    """Every landed activity with its labels (NULL where unlabelled) → ``merged``."""
+    """Every landed activity with its labels (NULL where unlabelled) → ``merged``; merging
+    some years replaces them alone. A text that was built from the descriptions does not
+    pass through the join: it is built again behind it."""
     landed = ingest.read_years(spark, layout.landed, years, fields=fields)
     acts = ensure_text_key(landed, fields)
-    labels = spark.read.parquet(layout.labels(taxonomy)).where(F.col("status") == "ok")
+    built = fields.text not in landed.columns
+    if built:
+        acts = acts.drop(fields.text)
+    labels = sinks.labelled_rows(spark.read.parquet(layout.labels(taxonomy)))
     keep = ["summary", "reasoning", *taxonomy.vocabulary, fields.purpose_code]
     # texts shared by a large share of activities are salted in the join
     hot = hot_keys(spark.read.parquet(layout.prepared), fields)
-    sinks.write_by_year(attach_labels(acts, labels, fields, label_columns=keep, hot_keys=hot), layout.merged(taxonomy), fields)
+    merged = attach_labels(acts, labels, fields, label_columns=keep, hot_keys=hot)
+    if built:
+        merged = with_activity_text(merged.drop(fields.key), fields)
+    sinks.write_by_year(merged, layout.merged(taxonomy), fields)
 
 
 def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, strict_nulls: bool = True) -> dict[str, DataFrame]:
@@ -130,7 +151,8 @@ def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fiel
     # one scan of the merged table writes the selected activities and gathers the summary
     sinks.write_by_year(select_marked(summary.attach(marked), taxonomy, fields), layout.selected(taxonomy), fields)
     sel = spark.read.parquet(layout.selected(taxonomy))
-    sinks.write_table(false_negatives(marked, fields), layout.report(taxonomy, "false_negatives"))
+    # the review list is part of the selected activities
+    sinks.write_table(false_negatives(sel, fields), layout.report(taxonomy, "false_negatives"))
     tables = rp.all_reports(sel, taxonomy, fields, strict_nulls)
     tables["selection_summary"] = spark.createDataFrame([summary.get()], rp.SELECTION_SCHEMA)
     for name, df in tables.items():
@@ -147,6 +169,7 @@ def label_stream(
     schema,
     fields: Fields = DEFAULT,
     available_now: bool = True,
+    max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER,
     **label_kw,
 ):
     """Label activity files as they land in ``landing`` (Structured Streaming):
@@ -156,12 +179,13 @@ def label_stream(
     landed files are done)."""
     from spendlens.streaming.incremental import start_incremental_labelling
 
-    def label_batch(texts: DataFrame) -> DataFrame:
-        return lb.label_texts(texts, taxonomy, make_classifier, fields, **label_kw)
+    def label_parts(texts: DataFrame, commit) -> None:
+        lb.label_batches(texts, taxonomy, make_classifier, commit, fields, **label_kw)
 
     checkpoint = f"{layout.root}/_streams/labels{taxonomy.suffix}"
     return start_incremental_labelling(
-        spark, landing, schema, layout.labels(taxonomy), checkpoint, label_batch, fields, available_now=available_now
+        spark, landing, schema, layout.labels(taxonomy), checkpoint, None, fields,
+        available_now=available_now, max_files_per_trigger=max_files_per_trigger, batches=label_parts,
     )
 
 

@@ -1,8 +1,7 @@
 """Small dimensions: purpose-code names, finance category groups, taxonomy classes.
 
 Dimensions with a fixed, tiny domain are applied as literal map lookups (no join
-at all); a user-supplied sector list is joined with a broadcast only after its
-row count is checked against a bound.
+at all); a user-supplied sector list is an ordinary left join.
 """
 
 from __future__ import annotations
@@ -46,9 +45,6 @@ CATEGORY_GROUPS = {
 GROUP_ORDER = ("ODA", "OOF", "Private")
 UNMAPPED = "unmapped"
 
-# A broadcast side must stay under this many rows.
-MAX_BROADCAST_ROWS = 1_000_000
-
 
 def _literal_map(mapping: Mapping[str, str]) -> Column:
     items = []
@@ -67,11 +63,6 @@ def category_group(code: ColumnOrName) -> Column:
     return F.try_element_at(_literal_map(category_code_to_group()), F.trim(as_col(code).cast("string")))
 
 
-def category_dim(spark: SparkSession) -> DataFrame:
-    rows = [(c, n, CATEGORY_GROUPS.get(n)) for c, n in CATEGORY_NAMES.items()]
-    return spark.createDataFrame(rows, "code string, name string, group_name string")
-
-
 def sector_dim(spark: SparkSession, source: Mapping[str, str] | DataFrame | str | None = None) -> DataFrame:
     """Purpose code → name as a DataFrame (``code``, ``name``)."""
     if source is None:
@@ -93,19 +84,16 @@ def sector_lookup(
 ) -> DataFrame:
     """Attach the purpose-code name (``default`` when the code is unknown or NULL).
 
-    A mapping is applied as a literal map (no join). A DataFrame/CSV list is
-    broadcast after checking it is within ``MAX_BROADCAST_ROWS``; a larger one
-    uses an ordinary shuffled join.
+    A mapping is applied as a literal map (no join). A DataFrame or CSV list is
+    left-joined; AQE broadcasts it while it measures small. Of a code listed
+    more than once the least name counts.
     """
     code = F.trim(F.col(code_col).cast("string"))
     if source is None or isinstance(source, Mapping):
         mapping = DEFAULT_SECTOR_NAMES if source is None else source
         return df.withColumn(out_col, F.coalesce(F.try_element_at(_literal_map(mapping), code), F.lit(default)))
-    dim = sector_dim(df.sparkSession, source).dropDuplicates(["code"])
-    dim = dim.withColumnRenamed("code", "__code").withColumnRenamed("name", "__name")
-    small = dim.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    right = F.broadcast(dim) if small else dim
-    joined = df.withColumn("__jcode", code).join(right, F.col("__jcode") == F.col("__code"), "left")
+    dim = sector_dim(df.sparkSession, source).groupBy(F.col("code").alias("__code")).agg(F.min("name").alias("__name"))
+    joined = df.withColumn("__jcode", code).join(dim, F.col("__jcode") == F.col("__code"), "left")
     return joined.withColumn(out_col, F.coalesce(F.col("__name"), F.lit(default))).drop("__jcode", "__code", "__name")
 
 

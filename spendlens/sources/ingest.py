@@ -31,7 +31,8 @@ CSV_READ_OPTIONS = {
     "quote": '"',
     "escape": '"',
     "inferSchema": "false",
-    "mode": "PERMISSIVE",
+    "mode": "FAILFAST",  # a row with more cells than the header is an error, not cut off
+    "columnPruning": "false",  # so that such a row is seen whatever columns are read
     "encoding": "UTF-8",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
@@ -41,6 +42,11 @@ CSV_READ_OPTIONS = {
 LEAKED_INDEX_COLUMNS = ("_c0", "Unnamed: 0")
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The data files under a path or pattern, by name (yearly files: a handful)."""
+    return sorted(spark.read.format("binaryFile").option("pathGlobFilter", "*").option("recursiveFileLookup", "true").load(path).inputFiles())
+
+
 def read_csv_strings(spark: SparkSession, paths: str | Sequence[str], drop_index: bool = True, multi_line: bool = True) -> DataFrame:
     """Every column as a string, header names kept; a leaked index column is dropped.
 
@@ -50,7 +56,13 @@ def read_csv_strings(spark: SparkSession, paths: str | Sequence[str], drop_index
     parallel splits.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.options(**{**CSV_READ_OPTIONS, "multiLine": "true" if multi_line else "false"}).csv(paths)
+    options = {**CSV_READ_OPTIONS, "multiLine": "true" if multi_line else "false"}
+    # a reader takes one header for all its files: files are read by header, aligned by name
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        for file in _files(spark, path):
+            by_header.setdefault(tuple(spark.read.options(**options).csv(file).columns), []).append(file)
+    df = collate([spark.read.options(**options).csv(files) for files in by_header.values()]) if by_header else spark.read.options(**options).csv(paths)
     if drop_index:
         leaked = [c for c in df.columns if c in LEAKED_INDEX_COLUMNS]
         if leaked:
@@ -163,9 +175,11 @@ def read_years(
 
 
 def positive_amount(df: DataFrame, amount: str | None = None, fields: Fields = DEFAULT) -> DataFrame:
-    """Rows with a strictly positive amount (NULL, zero and negative dropped); pushed into the scan."""
+    """Rows with a strictly positive amount (NULL, zero, negative and text that is no number
+    dropped); on a numeric column the filter is pushed into the scan."""
     col = amount or fields.amount
-    return df.where(qcol(col).cast("double") > 0)
+    text = isinstance(df.schema[col].dataType, T.StringType)
+    return df.where((to_number(qcol(col), "double") if text else qcol(col).cast("double")) > 0)
 
 
 def add_ordinal(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:

@@ -11,6 +11,7 @@ what has landed and stops, which is how a scheduled resume run works.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from spendlens.fields import DEFAULT, Fields
-from spendlens.operators.label import MAX_BROADCAST_KEYS, unprocessed
+from spendlens.operators.label import unprocessed
 from spendlens.operators.prepare import prepare_texts
 from spendlens.session import work_path
 from spendlens.sources import sinks
 
+# Files of one micro-batch: a first run over a full landing folder is many batches.
+MAX_FILES_PER_TRIGGER = 64
+
 
 def _path_exists(spark: SparkSession, path: str) -> bool | None:
     """Hadoop FileSystem existence check (None where the JVM gateway is not available)."""
@@ -36,22 +40,28 @@ def _path_exists(spark: SparkSession, path: str) -> bool | None:
 
 
 def read_if_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    """The table at ``path``, or None when nothing was committed there yet."""
+    """The table at ``path``, or None when nothing was committed there yet: no such
+    path, or a folder without data files. Any other error (no access, damaged files)
+    is raised, since an unread label table would have everything labelled again."""
     if _path_exists(spark, path) is False:
         return None
     try:
         return spark.read.format(fmt).load(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def label_batch_fn(
     out_path: str,
-    label: Callable[[DataFrame], DataFrame],
+    label: Callable[[DataFrame], DataFrame] | None,
     fields: Fields = DEFAULT,
     order: Sequence[str] | None = None,
+    batches: Callable[[DataFrame, Callable[[DataFrame], None]], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: prepare → skip done keys → label → append."""
+    """foreachBatch body: prepare → skip done keys → label → append. ``batches(texts,
+    commit)`` labels in parts that are committed one by one; ``label`` in one."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -59,8 +69,12 @@ def label_batch_fn(
         try:
             done = read_if_exists(spark, out_path)
             if done is not None:
-                texts = unprocessed(texts, done, fields.key, max_broadcast_keys=MAX_BROADCAST_KEYS)
-            sinks.append_table(label(texts), out_path)
+                texts = unprocessed(texts, sinks.labelled_rows(done), fields.key)
+            commit = partial(sinks.append_labels, path=out_path)
+            if batches is not None:
+                batches(texts, commit)
+            else:
+                commit(label(texts))
         finally:
             texts.unpersist()
 
@@ -73,19 +87,21 @@ def start_incremental_labelling(
     source_schema: StructType,
     out_path: str,
     checkpoint_path: str,
-    label: Callable[[DataFrame], DataFrame],
+    label: Callable[[DataFrame], DataFrame] | None,
     fields: Fields = DEFAULT,
     order: Sequence[str] | None = None,
     fmt: str = "parquet",
     available_now: bool = True,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER,
+    batches: Callable[[DataFrame, Callable[[DataFrame], None]], None] | None = None,
 ) -> StreamingQuery:
-    """Start the stream; with ``available_now`` it processes everything landed and stops."""
+    """Start the stream; with ``available_now`` it processes everything landed, in
+    micro-batches of at most ``max_files_per_trigger`` files, and stops."""
     reader = spark.readStream.schema(source_schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source_path)
-    writer = stream.writeStream.foreachBatch(label_batch_fn(out_path, label, fields, order)).option(
+    writer = stream.writeStream.foreachBatch(label_batch_fn(out_path, label, fields, order, batches)).option(
         "checkpointLocation", checkpoint_path
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
@@ -117,4 +133,4 @@ def run_incremental_fixture(spark: SparkSession, sf_dir: str, keywords: dict) ->
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out).select("text_key", *LABEL_COLUMNS)
+    return sinks.labelled_rows(spark.read.parquet(out)).select("text_key", *LABEL_COLUMNS)

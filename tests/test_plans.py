@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spendlens.fields import Fields
 from spendlens.operators import report as rp
+from spendlens.operators.label import unprocessed
 from spendlens.operators.prepare import keep_first, prepare_texts
 from spendlens.plans import fixtures as fx
 from spendlens.plans.catalog import QUERIES
@@ -29,7 +30,14 @@ def test_keep_first_limits_before_the_shuffle(spark):
 
 def test_prepare_aggregates_partially_before_the_shuffle(spark):
     p = plan(prepare_texts(fx.activities(spark, SF_SMALL), fx.FIX, order=["activity_id"]))
-    assert "partial_min_by" in p and "partial_count" in p
+    assert "WindowGroupLimit" in p and "Partial" in p and "partial_count" in p
+    assert "SortAggregate" not in p  # texts are not sorted to be counted
+
+
+def test_no_size_switch_and_no_forced_broadcast_of_labels(spark):
+    d = fx.table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    p = plan(unprocessed(d, d.where("doc_id < 5"), "doc_id"))
+    assert "LeftAnti" in p and "Limit" not in p
 
 
 def test_filters_reach_the_parquet_scan(spark, tmp_root):

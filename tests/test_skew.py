@@ -21,11 +21,11 @@ def _data(spark, n=30_000):
     return acts, prepared, labels
 
 
-def test_hot_keys_bounded_and_found(spark):
+def test_hot_keys_are_all_keys_above_the_rows_of_a_task(spark):
     acts, prepared, _ = _data(spark)
-    hot = hot_keys(prepared, FX, share=0.1, min_rows=1)
-    assert len(hot) == 1  # only the boilerplate text carries >= 10% of rows
-    assert len(hot_keys(prepared, FX, share=0.0, min_rows=1, max_keys=5)) == 5
+    hot = hot_keys(prepared, FX, rows_per_task=3000).collect()
+    assert [r.buckets for r in hot] == [4]  # only the boilerplate text: 10,000 rows
+    assert hot_keys(prepared, FX, rows_per_task=5).count() == prepared.where("n_activities > 5").count() > 600
 
 
 def test_salted_join_equals_plain_and_spreads(spark):
@@ -33,15 +33,15 @@ def test_salted_join_equals_plain_and_spreads(spark):
 
     acts, prepared, labels = _data(spark)
     keyed = with_activity_text(acts, FX)
-    hot = hot_keys(prepared, FX, share=0.1, min_rows=1)
+    hot = hot_keys(prepared, FX, rows_per_task=1250)
     plain = keyed.join(labels, "text_key", "left").select("ord", "flag")
-    salted = attach_labels(keyed, labels, FX, label_columns=["flag"], dedupe=False, hot_keys=hot, salt_buckets=8).select("ord", "flag")
+    salted = attach_labels(keyed, labels, FX, label_columns=["flag"], dedupe=False, hot_keys=hot).select("ord", "flag")
     assert salted.count() == keyed.count()
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
     # the hot text's rows land in several shuffle partitions of the join
     spread = (
-        keyed.where(F.col("text_key").isin(hot))
-        .withColumn(SALT, F.pmod(F.xxhash64("ord"), F.lit(8)))
+        keyed.join(hot, "text_key")
+        .withColumn(SALT, F.pmod(F.xxhash64("ord"), F.col("buckets")))
         .repartition(16, "text_key", SALT)
         .select(F.spark_partition_id().alias("p"))
         .distinct()
@@ -50,7 +50,7 @@ def test_salted_join_equals_plain_and_spreads(spark):
     assert spread > 4
 
 
-def test_blank_text_key_is_salted(spark):
+def test_blank_texts_take_no_part_in_the_join(spark):
     from spendlens.functions.text import text_key
     from spendlens.operators.attach import BLANK_KEY
 
