@@ -50,10 +50,9 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             break
         jumps.append(waiting.select("tree", "node", "up"))
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
-        state = state.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
-        )
-        state = staged(state, f"tree-{len(jumps)}")
+        # only nodes that have not arrived take part: few threads are deep
+        moved = waiting.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).alias("total"))
+        state = staged(state.filter("up is null").union(moved), f"tree-{len(jumps)}")
     return state.filter("up is null").select("tree", "node", (F.col("steps") - 1).alias("depth"), F.col("total").alias("path_score")), jumps
 
 
