@@ -33,9 +33,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package made importable on the executors."""
+    """``mapInArrow`` with the package made importable on the executors. Columns may have
+    any names: they go there by place (``mapInArrow`` takes a dot for a field)."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    names = df.columns
+
+    def run(batches):
+        return fn(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,9 +136,15 @@ def word_hashes(starts: np.ndarray, ends: np.ndarray, raw: np.ndarray, lower: bo
     """64-bit hashes of all words (runs of bytes that are not white space) of the
     texts in order, and the number of words of each text. ``lower`` folds A-Z.
     Equal words have equal hashes; different words differ up to the 64-bit chance."""
+    return word_spans(starts, ends, raw, lower)[:2]
+
+
+def word_spans(starts: np.ndarray, ends: np.ndarray, raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``word_hashes`` and each word's first and past-the-end byte in ``raw``."""
     n = len(raw)
     if n == 0:
-        return np.zeros(0, U64), np.zeros(len(starts), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(len(starts), np.int64), none, none
     word = _WORD_BYTE[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -149,7 +161,7 @@ def word_hashes(starts: np.ndarray, ends: np.ndarray, raw: np.ndarray, lower: bo
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[raw] * powers[:n], out=total[1:])
     h = (total[e] - total[s]) * inverse[s]
     counts = np.searchsorted(s, ends) - np.searchsorted(s, starts)
-    return mix64(h + (e - s).astype(U64)), counts
+    return mix64(h + (e - s).astype(U64)), counts, s, e
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
