@@ -19,7 +19,7 @@ BUCKETS = 1 << 16
 TRUSTED_DOCS = 20_000
 # Mean ln ratio from which a text is kept: a little under 0 (as likely among trusted texts as
 # in the corpus), since clean texts with rare words lie just below it and junk far below.
-THRESHOLD = -0.2
+THRESHOLD = -0.15
 # Counts that each bucket gets beforehand, on both sides in the proportion of the totals.
 PRIOR = 20.0
 WINDOW = 5
