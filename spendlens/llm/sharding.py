@@ -53,17 +53,20 @@ def cut_buckets(sized: DataFrame, shards: int) -> DataFrame:
                            named_struct('alone', array_append(a.alone, c.bucket), 'rest', a.rest - c.bytes, 'open', true),
                            named_struct('alone', a.alone, 'rest', a.rest, 'open', false))) as top""",
     )
-    one = one.selectExpr(
+    # the written one-row tables keep each step from being worked out again inside the next
+    one = staged(one, "shard-top").selectExpr(
         "top.alone as alone",
         "filter(cells, c -> not array_contains(top.alone, c.bucket)) as cells",
         f"{shards} - size(top.alone) as runs",
         "top.rest as rest",
-    ).selectExpr(
+    )
+    one = staged(one, "shard-rest").selectExpr(
         "*",
         "transform(cells, c -> c.bytes) as sizes",
         "ceil(rest / runs) as even",
         "coalesce(array_max(transform(cells, c -> c.bytes)), 0L) as most",
     )
+    one = staged(one, "shard-bounds")
     needed = "aggregate(sizes, named_struct('n', 1, 'fill', 0L), (b, s) -> if(b.fill + s <= {c}, named_struct('n', b.n, 'fill', b.fill + s), named_struct('n', b.n + 1, 'fill', s)), b -> b.n)"
     middle = "(r.low + (r.high - r.low) div 2)"
     one = one.selectExpr(
@@ -76,7 +79,8 @@ def cut_buckets(sized: DataFrame, shards: int) -> DataFrame:
                               named_struct('low', r.low, 'high', {middle}),
                               named_struct('low', {middle} + 1L, 'high', r.high))),
               r -> r.high) as capacity""",
-    ).selectExpr(
+    )
+    one = staged(one, "shard-capacity").selectExpr(
         "*",
         """aggregate(sizes, named_struct('at', 0, 'fill', 0L, 'cuts', cast(array() as array<int>)),
               (b, s) -> if(b.fill + s <= capacity,
@@ -84,6 +88,7 @@ def cut_buckets(sized: DataFrame, shards: int) -> DataFrame:
                            named_struct('at', b.at + 1, 'fill', s, 'cuts', array_append(b.cuts, b.at))),
               b -> b.cuts) as cuts""",
     )
+    one = staged(one, "shard-cuts")
     runs = one.selectExpr("alone", "cuts", "posexplode(cells) as (at, cell)").selectExpr("cell.bucket as bucket", "size(alone) + size(filter(cuts, k -> k <= at)) as shard")
     return runs.union(one.selectExpr("posexplode(alone) as (shard, bucket)").select("bucket", "shard"))
 
