@@ -26,6 +26,8 @@ PERCENT, ESTIMATE = 85, 0.70
 BLOCK = 1024
 # A key with a share of all rows above 1 / HOT is joined by broadcast: fewer than HOT keys are.
 HOT = 4096
+# Hash values that a filter before a shuffle tells apart.
+FILTER = 1 << 18
 
 
 def distinct_elements(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +55,7 @@ def signatures(elements: np.ndarray, counts: np.ndarray, places: int = PLACES) -
             place = pick
         else:
             if taken is None:  # the first round swapped place 0 with its pick
-                taken = np.tile(np.arange(places, dtype=np.uint16), (len(h), 1))
+                taken = np.tile(np.arange(places, dtype=np.uint8 if places <= 256 else np.uint16), (len(h), 1))
                 row = np.arange(len(h))
                 taken[row, first] = 0
                 taken[row, 0] = first
@@ -85,7 +87,8 @@ def summaries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits that stand for the set), sig, one row a document."""
 
     def run(batches):
-        for b in slices(batches, "text"):
+        # an element's permutation takes PLACES bytes: small slices
+        for b in slices(batches, "text", 1 << 20):
             elements, counts = shingle_sets(b, 1, width)
             ends = np.cumsum(counts)
             keys = []
@@ -102,11 +105,17 @@ def summaries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_arrow(docs, run, "doc_id bigint, n_shingles bigint, set_key binary, sig binary")
 
 
+def maybe_in(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``big`` without most rows whose key is not in ``small``: a table of at most FILTER
+    hash values of the keys is broadcast. Whatever the sizes, no row of a key in it goes."""
+    part = F.pmod(F.xxhash64(key), F.lit(FILTER))
+    return big.withColumn("_part", part).join(F.broadcast(small.select(part.alias("_part")).distinct()), "_part", "left_semi").drop("_part")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, elements) for the documents in ``ids`` (doc_id), and maybe some others:
-    a filter of at most 2**18 hash values is broadcast before the texts are read whole."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18))
-    near = docs.withColumn("_part", part).join(F.broadcast(ids.select(part.alias("_part")).distinct()), "_part", "left_semi").select("doc_id", "text")
+    texts that cannot be among them are left out before they are read whole."""
+    near = maybe_in(docs, ids, "doc_id").select("doc_id", "text")
 
     def run(batches):
         for b in slices(batches, "text"):
@@ -123,14 +132,17 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, count: str, total: int)
     broadcast, so that no task receives all rows of a frequent key."""
     hot = small.filter(F.col(count) * HOT > total)
     cold = small.filter(F.col(count) * HOT <= total)
-    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = maybe_in(big.join(F.broadcast(hot.select(key)), key, "left_anti"), cold, key)
     return big.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
+def _band_keys():
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * ROWS + 1, F.lit(ROWS))))
+
+
 def banded(reps: DataFrame, *columns: str) -> DataFrame:
     """One row for each band of each signature: key and the columns."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * ROWS + 1, F.lit(ROWS))))
-    return reps.select(*columns, F.explode(keys).alias("key"))
+    return reps.select(*columns, F.explode(_band_keys()).alias("key"))
 
 
 def overlap(a: bytes, b: bytes) -> bool:
@@ -223,8 +235,9 @@ def cross_links(docs: DataFrame, reps: DataFrame, width: int, block: int = BLOCK
     total = keys.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     if not total:
         return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    wide = reps.select("doc_id", "n", "sig", "comp", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * ROWS + 1, F.lit(ROWS))))).alias("band", "key"))
-    rows = join_hot(wide, keys, "key", "c", total).withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
+    # signatures join the few rows of mixed buckets only
+    narrow = reps.select("doc_id", F.posexplode(_band_keys()).alias("band", "key"))
+    rows = join_hot(narrow, keys, "key", "c", total).join(reps, "doc_id").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "doc_id", "n", "sig", "band")
