@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean() -> None:
+    """Python workers outlive their tasks: freed arrays go back to the system at once,
+    not into the worker's own store, where idle workers would hold them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: larger blocks are mapped one by one
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with the package made importable on the executors. Columns may have
     any names: they go there by place (``mapInArrow`` takes a dot for a field)."""
@@ -39,7 +52,9 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     names = df.columns
 
     def run(batches):
-        return fn(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+        lean()
+        yield from fn(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+        lean()
 
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
 
