@@ -20,17 +20,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import id_text, map_arrow, slices, staged, utf8
+from spendlens.llm.byte_bpe import byte_chars
+from spendlens.llm.common import id_text, map_arrow, slices, staged, utf8, word_spans
 
 # Words whose ids a worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 500_000
 # Groups of equal cardinality that large lengths are rounded up in.
-GROUPS = 48
-# Lengths above this share of a sequence are large.
-LARGE = 1 / 6
+GROUPS = 96
+# Lengths above this share of a sequence are large. Rounding wastes room that only small
+# lengths can fill, so most lengths are left to best fit: on 8,000 pieces, whose bound is
+# 2,538 sequences, a share of 1/6 takes 2,573, of 1/3 2,565, of 0.45 2,540.
+LARGE = 0.45
 # Parts that the pieces of one length are numbered in.
 PARTS = 32
-_WORDS = re.compile(r"[^ \t-\r]+")
+# Words that normalizer and pattern treat alike in any Unicode version: Latin letters up to
+# U+024F (but U+0130, which lower-cases to two characters) and marks after them.
+_PLAIN = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([.,!?;:*$%&#]*)")
+_SLICE = 6 << 20
 _open: dict = {}
 
 
@@ -44,17 +50,53 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.bare = Tokenizer(self.library.model)  # for pre-tokens that are normalised and mapped already
+        self.char_of = {b: c for b, c in enumerate(byte_chars()) if chr(b) != c and b != 10}
+        self.kept: dict[int, bytes] = {}  # by the word's hash
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of new words. A plain word is a run of letters and maybe a tail, a pre-token
+        each; the run's ids are kept apart from the word, since it comes with many tails."""
+        cut = [m.groups() if (m := _PLAIN.fullmatch(w)) else None for w in words]
+        stems = list({p[0].lower() for p in cut if p}.difference(self.stems))
+        if stems:
+            shown = "\n".join(stems).encode().decode("latin-1").translate(self.char_of).split("\n")
+            for stem, done in zip(stems, self.bare.encode_batch_fast(shown, add_special_tokens=False), strict=True):
+                self.stems[stem] = pack("<%dI" % len(ids := done.ids), *ids)
+        other = list({p[1] for p in cut if p}.difference(self.tails).union(w for w, p in zip(words, cut, strict=True) if not p))
+        done = {}
+        if other:
+            for word, x in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                done[word] = pack("<%dI" % len(x.ids), *x.ids)
+            self.tails.update((p[1], done[p[1]]) for p in cut if p and p[1] in done)
+        return [self.stems[p[0].lower()] + self.tails[p[1]] if p else done[w] for w, p in zip(words, cut, strict=True)]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where each text's ids end."""
+        if len(self.kept) > KEPT_WORDS:
+            self.kept, self.stems, self.tails = {}, {}, {"": b""}
+        starts, ends, raw = utf8(texts)
+        hashes, counts, begin, stop = word_spans(starts, ends, raw, lower=True)
+        own, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        own = own.tolist()
+        found = list(map(self.kept.get, own))
+        new = [k for k, x in enumerate(found) if x is None]
+        data = raw.tobytes() if new else b""
+        spans = zip(begin[first[new]].tolist(), stop[first[new]].tolist(), strict=True)
+        for k, ids in zip(new, self._ids([data[a:b].decode() for a, b in spans]), strict=True):
+            found[k] = self.kept[own[k]] = ids
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, place = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n
+        many = n[at]
+        after = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])
+        ids = flat[np.repeat(place[at] - after[:-1], many) + np.arange(after[-1])]
+        return ids, after[np.cumsum(counts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_WORDS.findall(t) for t in texts]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept = {}
-        kept = self.kept
-        new = list({w for words in cut for w in words if w not in kept})
-        for word, done in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            kept[word] = pack("<%dI" % len(done.ids), *done.ids)
-        return [b"".join(map(kept.__getitem__, words)) for words in cut]
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if texts else []
 
 
 def _words(path: str) -> WordIds:
@@ -73,11 +115,11 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
 
     def run(batches):
         tool, end = _words(path), pack("<I", end_id)
-        for b in slices(batches, "text"):
-            ids, docs = tool.encode(b.column(1).to_pylist()), b.column(0).to_pylist()
+        for b in slices(batches, "text", _SLICE):
+            ids, ends = tool.encode_array(b.column(1))
             rows: list[tuple] = []
-            for doc, text in zip(docs, ids, strict=True):
-                text += end
+            for doc, a, z in zip(b.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                text = ids[a:z].tobytes() + end
                 for k in range(0, len(text), 4 * capacity):
                     part = text[k : k + 4 * capacity]
                     rows.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
