@@ -31,10 +31,10 @@ SHARE, TOP_SHARE, PAIR_SHARE = 1 << 18, 1 << 14, 1 << 17
 # fold whose counts the weights are learned on.
 FOLDS, UNSEEN, DELETED = 7, 2, 3
 # Tokens that one counting partition gets, about.
-PART_TOKENS = 2_500_000
+PART_TOKENS = 1_500_000
 STEPS = 60
 _ID_BITS = 20
-_SLICE = 6 << 20
+_SLICE = 3 << 20
 
 
 class Model:
