@@ -38,8 +38,8 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each near-duplicate group."""
-    groups = minhash.near_groups(docs)
+    """One document, the least id, of each near-duplicate group (similarity from 0.80 on)."""
+    groups = minhash.near_groups(docs, near=minhash.AT_80)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -8,6 +8,8 @@ stops as soon as every place is taken, since later rounds only bid more.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,12 +18,27 @@ from pyspark.sql import functions as F
 from spendlens.llm.common import U64, id_text, map_arrow, mix64, shingle_hashes, slices, staged, utf8, word_hashes
 
 WIDTH = 5
-BANDS, ROWS = 36, 7
-PLACES = BANDS * ROWS
 _STEP = 0x9E3779B97F4A7C15
-# Links: PERCENT * union <= 100 * intersection. Signatures that agree on fewer places
-# than this share are not verified (over six standard errors below the threshold).
-PERCENT, ESTIMATE = 85, 0.70
+
+
+class Search(NamedTuple):
+    """What counts as near, and how it is looked for. Links: percent * union <= 100 *
+    intersection. A pair at the threshold shares none of the bands with a chance of at most
+    10^-6. Signatures that agree on a smaller share of places than ``estimate`` are not
+    verified (six standard errors below the threshold)."""
+
+    percent: int
+    bands: int
+    rows: int
+    estimate: float
+
+    @property
+    def places(self) -> int:
+        return self.bands * self.rows
+
+
+AT_85 = Search(85, 36, 7, 0.70)
+AT_80 = Search(80, 36, 5, 0.62)
 # Members of a bucket that are compared in one group; larger buckets are compared block by block.
 BLOCK = 1024
 # A key with a share of all rows above 1 / HOT is joined by broadcast: fewer than HOT keys are.
@@ -40,7 +57,7 @@ def distinct_elements(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
     return h[new], np.bincount(o[new], minlength=len(counts))
 
 
-def signatures(elements: np.ndarray, counts: np.ndarray, places: int = PLACES) -> np.ndarray:
+def signatures(elements: np.ndarray, counts: np.ndarray, places: int = AT_85.places) -> np.ndarray:
     """One row of ``places`` bytes a text: eight random bits of each place's least bid.
     A text without elements has a row of zeros."""
     n = len(counts)
@@ -83,11 +100,11 @@ def shingle_sets(b: pa.RecordBatch, at: int, width: int) -> tuple[np.ndarray, np
     return distinct_elements(*shingle_hashes(*word_hashes(*utf8(b.column(at)), lower=True), width))
 
 
-def summaries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def summaries(docs: DataFrame, width: int, places: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits that stand for the set), sig, one row a document."""
 
     def run(batches):
-        # an element's permutation takes PLACES bytes: small slices
+        # an element's permutation takes a byte a place: small slices
         for b in slices(batches, "text", 1 << 20):
             elements, counts = shingle_sets(b, 1, width)
             ends = np.cumsum(counts)
@@ -96,7 +113,7 @@ def summaries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 total = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(elements ^ U64(salt)), dtype=U64)])
                 keys.append(total[ends] - total[ends - counts])
             pair = np.stack(keys, axis=1).astype("<u8")
-            sig = signatures(elements, counts)
+            sig = signatures(elements, counts, places)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(counts.astype(np.int64)), pa.array([r.tobytes() for r in pair], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())],
                 names=["doc_id", "n_shingles", "set_key", "sig"],
@@ -136,24 +153,24 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, count: str, total: int)
     return big.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
-def _band_keys():
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * ROWS + 1, F.lit(ROWS))))
+def _band_keys(near: Search):
+    return F.transform(F.sequence(F.lit(0), F.lit(near.bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * near.rows + 1, F.lit(near.rows))))
 
 
-def banded(reps: DataFrame, *columns: str) -> DataFrame:
+def banded(reps: DataFrame, near: Search, *columns: str) -> DataFrame:
     """One row for each band of each signature: key and the columns."""
-    return reps.select(*columns, F.explode(_band_keys()).alias("key"))
+    return reps.select(*columns, F.explode(_band_keys(near)).alias("key"))
 
 
-def overlap(a: bytes, b: bytes) -> bool:
+def overlap(a: bytes, b: bytes, percent: int) -> bool:
     x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def star_links(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def star_links(docs: DataFrame, pairs: DataFrame, width: int, near: Search) -> DataFrame:
     """The pairs (hub, doc_id) whose full sets are similar enough.
 
     Members of a hub are dealt by a salt, and the hub's set goes to each salt in use:
@@ -174,7 +191,7 @@ def star_links(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
                     group, hubs = (hub, salt), []
                 if role == 0:
                     hubs.append(elements)
-                elif any(overlap(h, elements) for h in hubs):
+                elif any(overlap(h, elements, near.percent) for h in hubs):
                     found.append((hub, doc))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -195,12 +212,12 @@ def _groups(batches, n_keys: int):
         yield rows
 
 
-def _compare(rows: list[tuple]) -> list[tuple[float, int, int]]:
+def _compare(rows: list[tuple], near: Search) -> list[tuple[float, int, int]]:
     """Pairs of a group (key, i, j, block, comp, doc_id, n, sig, ...) worth verifying: of
     different components, similar by estimate and size, in their first shared band (so
     that each pair is looked at in one bucket), and not both of one block if i <> j."""
     i, j = rows[0][1], rows[0][2]
-    sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), PLACES)
+    sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), near.places)
     comp, n, block = (np.array([r[k] for r in rows]) for k in (4, 6, 3))
     band = rows[0][8]
     out = []
@@ -209,19 +226,19 @@ def _compare(rows: list[tuple]) -> list[tuple[float, int, int]]:
         ok = comp[rest] != comp[k]
         if i != j:
             ok &= block[rest] != block[k]
-        ok &= 100 * np.minimum(n[rest], n[k]) >= PERCENT * np.maximum(n[rest], n[k])
+        ok &= 100 * np.minimum(n[rest], n[k]) >= near.percent * np.maximum(n[rest], n[k])
         at = np.flatnonzero(ok) + k + 1
         if not len(at):
             continue
         same = sig[at] == sig[k]
         like = same.mean(axis=1)
-        first = same.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
-        hit = (like >= ESTIMATE) & (first == band)
+        first = same.reshape(len(at), near.bands, near.rows).all(axis=2).argmax(axis=1)
+        hit = (like >= near.estimate) & (first == band)
         out += [(-float(like[x]), k, int(at[x])) for x in np.flatnonzero(hit)]
     return sorted(out)
 
 
-def cross_links(docs: DataFrame, reps: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
+def cross_links(docs: DataFrame, reps: DataFrame, width: int, near: Search, block: int = BLOCK) -> DataFrame:
     """Links (a, b: component ids) between documents of different components that share
     a bucket. ``reps``: doc_id, n, sig, comp.
 
@@ -230,13 +247,13 @@ def cross_links(docs: DataFrame, reps: DataFrame, width: int, block: int = BLOCK
     signature; only members with such a partner are then fetched and verified on their
     full sets. Groups return links and members, never their pairs.
     """
-    every = banded(reps, "doc_id", "comp")
+    every = banded(reps, near, "doc_id", "comp")
     keys = staged(every.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "c"), "near-mixed")
     total = keys.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     if not total:
         return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     # signatures join the few rows of mixed buckets only
-    narrow = reps.select("doc_id", F.posexplode(_band_keys()).alias("band", "key"))
+    narrow = reps.select("doc_id", F.posexplode(_band_keys(near)).alias("band", "key"))
     rows = join_hot(narrow, keys, "key", "c", total).join(reps, "doc_id").withColumn("blocks", F.ceil(F.col("c") / block).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -245,7 +262,7 @@ def cross_links(docs: DataFrame, reps: DataFrame, width: int, block: int = BLOCK
 
     def members(batches):
         for group in _groups(batches, 3):
-            hit = sorted({x for _, a, b in _compare(group) for x in (a, b)})
+            hit = sorted({x for _, a, b in _compare(group, near) for x in (a, b)})
             if hit:
                 yield pa.RecordBatch.from_arrays([pa.array([group[h][c] for h in hit], t) for c, t in zip(range(9), kinds, strict=True)], names=names)
 
@@ -266,9 +283,9 @@ def cross_links(docs: DataFrame, reps: DataFrame, width: int, block: int = BLOCK
                 return x
 
             found = []
-            for _, a, b in _compare(group):
+            for _, a, b in _compare(group, near):
                 x, y = find(group[a][4]), find(group[b][4])
-                if x != y and overlap(group[a][9], group[b][9]):
+                if x != y and overlap(group[a][9], group[b][9], near.percent):
                     root[max(x, y)] = min(x, y)
                     found.append((group[a][4], group[b][4]))
             if found:
@@ -297,7 +314,7 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(seen)
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, near: Search = AT_85) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) a row.
 
     Documents with equal sets are one class, stood for by its least id. A null, empty or
@@ -306,7 +323,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     component. An empty table gives an empty one.
     """
     docs = id_text(df, id_col, text_col)
-    known = staged(summaries(docs, width), "near-summaries")
+    known = staged(summaries(docs, width, near.places), "near-summaries")
     linked = known.filter("n_shingles > 0 and doc_id is not null")
     classes = staged(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "near-classes")
     # one row a class and, of documents with one id but several texts, one row a text
@@ -314,14 +331,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     reps = linked.join(stand, ["set_key", "doc_id"]).dropDuplicates(["set_key"]).select("doc_id", F.col("n_shingles").alias("n"), "sig")
     reps = staged(reps, "near-reps")
 
-    rows = banded(reps, "doc_id")
+    rows = banded(reps, near, "doc_id")
     hubs = staged(rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).filter("c > 1"), "near-hubs")
     total = hubs.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     stars = staged(join_hot(rows, hubs, "key", "c", total).filter("doc_id <> hub").select("hub", "doc_id").distinct(), "near-stars")
-    first = components(star_links(docs, stars, width))
+    first = components(star_links(docs, stars, width, near))
     # links of documents that have one id join their classes by themselves
     marked = staged(reps.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root"), "near-marked")
-    second = components(cross_links(docs, marked, width))
+    second = components(cross_links(docs, marked, width, near))
     root = marked.select("doc_id", "comp").distinct().join(second.withColumnRenamed("node", "comp"), "comp", "left").select(F.col("doc_id").alias("rep"), F.coalesce("root", "comp").alias("component_id"))
     named = classes.join(root, "rep").select("set_key", "component_id", "c")
     total = linked.count()
@@ -332,5 +349,5 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 def op5_near_duplicates(documents: DataFrame) -> DataFrame:
     """Component of every document; the least id of each stays."""
-    out = near_groups(documents)
+    out = near_groups(documents, near=AT_85)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from spendlens.llm import classifier, common, packing, quality_rules
+from spendlens.llm import classifier, common, minhash, packing, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -119,3 +119,21 @@ def test_columns_that_clash_pass_through(spark, folder):
     for _, stage in cp.STAGES[:-1]:
         docs = common.staged(stage(spark, docs, folder), "clash")
         assert docs.columns[-6:] == ["llr", "kept", "score", "_n", "component_id", "a.b"] and docs.count()
+
+
+def test_near_copies_from_080_on_go(spark):
+    import corpus_pipeline as cp
+
+    def changed(k, n):  # n of 200 words, far apart: each is in 5 of the 196 windows
+        return " ".join(f"d{k}x{i}" + ("changed" if i in range(10, 10 + 20 * n, 20) else "") for i in range(200))
+
+    near = {2 * k: (changed(k, 0), changed(k, 4)) for k in range(8)}  # 176 / 216 = 0.815
+    far = {100 + 2 * k: (changed(100 + k, 0), changed(100 + k, 6)) for k in range(8)}  # 166 / 226 = 0.735
+    rows = [(i + j, t) for i, pair in {**near, **far}.items() for j, t in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r.doc_id for r in cp.keep_one_of_near(spark, docs, "").collect()}
+    assert left == {i for i, _ in rows} - {i + 1 for i in near}
+    assert {r.doc_id for r in minhash.op5_near_duplicates(docs).collect() if r.kept} == {i for i, _ in rows}
+    for s in (minhash.AT_80, minhash.AT_85):  # a pair at the threshold is found
+        p = s.percent / 100
+        assert (1 - p**s.rows) ** s.bands <= 1.1e-6 and s.estimate <= p - 6 * math.sqrt(p * (1 - p) / s.places)
