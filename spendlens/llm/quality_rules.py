@@ -15,8 +15,6 @@ from spendlens._compat import qcol
 from spendlens.llm.common import WHITE, WORD_BREAK, staged
 
 BUCKETS = 1 << 16
-# Documents in the trusted set: a curated sample, bounded so that its ids can be broadcast.
-TRUSTED_DOCS = 20_000
 # Mean ln ratio from which a text is kept: a little under 0 (as likely among trusted texts as
 # in the corpus), since clean texts with rare words lie just below it and junk far below.
 THRESHOLD = -0.15
@@ -126,11 +124,21 @@ def mean_ratio(df: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> Data
     return df.withColumn("llr", F.when(F.col("_n") == 0, 0.0).otherwise(total / (2 * F.col("_n") - 1)))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
-    """The trusted set: at most ``most`` documents labelled good, in the order of a hash
-    of their ids (a documented bound on a curated set, so it can be broadcast)."""
-    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("_id")).filter("_id is not null").distinct()
-    return good.orderBy(F.xxhash64("_id"), "_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The trusted set: the different ids of all documents labelled good."""
+    return labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("_id")).filter("_id is not null").distinct()
+
+
+def flag_trusted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text and _trusted of every row. The join is by id, broadcast only where the ids
+    measure small; rows without id are dealt by a salt that no trusted id has, so that they
+    do not meet in one task."""
+    own = qcol(id_col).cast("bigint")
+    rows = df.select(own.alias("_id0"), qcol(text_col).alias("text"))
+    rows = rows.withColumn("_salt", F.when(F.col("_id0").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20))).otherwise(F.lit(-1).cast("bigint")))
+    rows = rows.withColumn("_id0", F.coalesce("_id0", "_salt"))
+    ids = trusted_ids(labels).withColumn("_good", F.lit(-1).cast("bigint"))
+    return rows.join(ids, (F.col("_id0") == F.col("_id")) & (F.col("_salt") == F.col("_good")), "left").select("text", F.col("_id").isNotNull().alias("_trusted"))
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
@@ -138,13 +146,11 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ``kept``, as a written table: a filter on the verdict that Spark pushed down into the
     counts would work each of them out again for every word.
 
-    The n-gram counts cover all rows of ``df``; nulls count as empty texts. Repeated rows
+    The n-gram counts cover all rows of ``df`` and, as trusted, all labelled good; nulls count as empty texts. Repeated rows
     are judged alike. Without trusted documents every ratio is 0 and only the base rules
     decide. Columns of the input named like the results are replaced.
     """
-    ids = F.broadcast(trusted_ids(labels))
-    flagged = df.select(qcol(id_col).cast("bigint").alias("_id0"), qcol(text_col).alias("text")).join(ids, F.col("_id0") == F.col("_id"), "left")
-    ratios = gram_ratios(staged(gram_counts(flagged.withColumn("_trusted", F.col("_id").isNotNull()), "_trusted"), "quality-grams"))
+    ratios = gram_ratios(staged(gram_counts(flag_trusted(df, labels, id_col, text_col), "_trusted"), "quality-grams"))
     own = {"_words", "_n", "llr", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"}
     scored = mean_ratio(base_counts(df.select(*[qcol(c) for c in df.columns if c not in own]), text_col), ratios)
     scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))

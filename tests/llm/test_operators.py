@@ -106,6 +106,16 @@ def test_quality_rules(spark, docs, nothing):
     assert set(docs.columns) <= set(filtered.columns) and filtered.count() == sum(r.kept for r in got)
 
 
+def test_quality_rules_trust_every_good_document(spark):
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id")).alias("text"))
+    nameless = spark.createDataFrame([(None, "alone"), (None, "word1")], "doc_id bigint, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    grams = quality_rules.gram_counts(quality_rules.flag_trusted(docs.union(nameless), labels.union(labels)), "_trusted")
+    assert tuple(grams.agg(F.sum("corpus"), F.sum("trusted")).first()) == (21_002, 21_000)
+    # all documents are trusted: no word is likelier on either side
+    assert quality_rules.op2_quality_rules(docs, labels).filter("llr <> 0").count() == 0
+
+
 def test_byte_bpe(docs, nothing):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     rows = byte_bpe.op3_byte_bpe(docs, path, pattern).collect()
