@@ -10,7 +10,10 @@ Words are 64-bit hashes. Frequent words (a share of all tokens above 1 / SHARE:
 than SHARE of them) and hot pairs (above 1 / PAIR_SHARE) are broadcast and scored where
 the text is. All other words and pairs are sent by key to the partition that counts
 them, packed in arrays, and only sums per document come back: no key there has more than
-a small share of the rows. Contexts that are not frequent have no bigram estimate.
+a small share of the rows. What follows a rare word goes by the hash of that word, so its
+pairs and itself are counted in one place; of these, the rare words then go on, with the
+counts, to where the word itself is counted. Every context seen in training has a bigram
+estimate.
 """
 
 from __future__ import annotations
@@ -54,10 +57,10 @@ class Model:
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1) / (self.totals["n"] + self.totals["v"] + 1))
 
-    def log10(self, context: np.ndarray, n_context: np.ndarray, n_pair: np.ndarray, n_word: np.ndarray) -> np.ndarray:
-        """Mixed log10 probability; ``context`` is False where there is no bigram estimate."""
-        w = self.weights[np.where(context, bucket_of(n_context), 0)]
-        two = np.where(context, n_pair / np.maximum(n_context, 1), 0.0)
+    def log10(self, n_context: np.ndarray, n_pair: np.ndarray, n_word: np.ndarray) -> np.ndarray:
+        """Mixed log10 probability; a context never seen has no bigram estimate."""
+        w = self.weights[bucket_of(n_context)]
+        two = n_pair / np.maximum(n_context, 1)
         return np.log10(w[:, 0] * two + w[:, 1] * n_word / max(self.totals["n"], 1) + w[:, 2] / (self.totals["v"] + 1))
 
 
@@ -70,8 +73,8 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(n: np.ndarray) -> np.ndarray:
-    """The context-frequency bucket: 1 + floor(log2 n); 0 is for contexts without estimate."""
-    return np.frexp(np.maximum(n, 1))[1]
+    """The context-frequency bucket: 1 + floor(log2 n); 0 is for contexts never seen."""
+    return np.where(n > 0, np.frexp(np.maximum(n, 1))[1], 0)
 
 
 def tokens(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,12 +169,42 @@ def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-KINDS = ["<u8", "<u2", "<u4", "<i4"]  # key, text in the slice, how often, context (rare words)
+# What an entry is: a pair of frequent words that is not hot; a rare word after a frequent
+# one; any word after a rare one; a rare word after a rare one whose context is counted.
+MID, RARE, AFTER_RARE, COUNTED = range(4)
+# Columns: key, text in the slice, how often, then the context (RARE), the word's hash
+# (AFTER_RARE), or the counts of context and pair, training and deleted (COUNTED).
+KINDS = {
+    MID: ["<u8", "<u2", "<u4"],
+    RARE: ["<u8", "<u2", "<u4", "<i4"],
+    AFTER_RARE: ["<u8", "<u2", "<u4", "<u8"],
+    COUNTED: ["<u8", "<u4", "<u4", "<u4", "<u4", "<u4", "<u4"],
+}
+ENTRIES = "part int, kind int, docs binary, folds binary, data binary"
 
 
-def send_entries(rows: DataFrame, model: Model, parts: int) -> DataFrame:
-    """(part, rare, docs, folds, data): for each slice and counting partition, the texts'
-    rare words (with their context) or their pairs of frequent words that are not hot."""
+def _entry_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["part", "kind", "docs", "folds", "data"])
+
+
+def _dealt(kind: int, parts: int, row: np.ndarray, fold: np.ndarray, cols: list[np.ndarray]):
+    """Entries (the key first, ascending, then their text and others) by the partition of
+    their key. ``row`` and ``fold`` are those of the texts."""
+    part = (mix64(cols[0]) % U64(parts)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    edge = np.searchsorted(part[by], np.arange(parts + 1))
+    for p in np.flatnonzero(edge[1:] > edge[:-1]):
+        own = by[edge[p] : edge[p + 1]]
+        used, local = np.unique(cols[1][own], return_inverse=True)
+        packed = [c[own].astype(k) for c, k in zip([cols[0], None, *cols[2:]], KINDS[kind], strict=True) if c is not None]
+        packed.insert(1, local.astype(KINDS[kind][1]))
+        yield int(p), kind, row[used].astype("<i8").tobytes(), fold[used].tobytes(), _pack(packed)
+
+
+def send_entries(rows: DataFrame, model: Model, parts: int, kinds: tuple) -> DataFrame:
+    """(part, kind, docs, folds, data): for each slice and counting partition, the texts'
+    entries of ``kinds``, of MID, RARE and AFTER_RARE."""
 
     def run(batches):
         for b in slices(batches, "text", _SLICE):
@@ -182,40 +215,38 @@ def send_entries(rows: DataFrame, model: Model, parts: int) -> DataFrame:
             mid = (w >= 0) & (u >= 0)
             mid[mid] = _find(model.pair_key, pair[mid]) < 0
             out = []
-            for rare, at in ((0, np.flatnonzero(mid)), (1, np.flatnonzero(w < 0))):
-                key = token[at] if rare else pair[at].astype(U64)
-                order = np.lexsort((u[at], owner[at], key))
-                key, text, ctx = key[order], owner[at][order], u[at][order]
+            for kind in kinds:
+                at = np.flatnonzero({MID: mid, RARE: (w < 0) & (u >= 0), AFTER_RARE: u < 0}[kind])
+                key = {MID: pair, RARE: token, AFTER_RARE: context}[kind][at].astype(U64)
+                more = {MID: np.zeros(len(at), np.int8), RARE: u[at], AFTER_RARE: token[at]}[kind]
+                order = np.lexsort((more, owner[at], key))
+                key, text, more = key[order], owner[at][order], more[order]
                 new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (ctx[1:] != ctx[:-1])
+                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (more[1:] != more[:-1])
                 start = np.flatnonzero(new)
                 n = np.diff(np.append(start, len(key)))
-                key, text, ctx = key[start], text[start], ctx[start]
-                part = (mix64(key) % U64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                edge = np.searchsorted(part[by], np.arange(parts + 1))
-                for p in np.flatnonzero(edge[1:] > edge[:-1]):
-                    own = by[edge[p] : edge[p + 1]]
-                    used, local = np.unique(text[own], return_inverse=True)
-                    cols = [key[own], local.astype("<u2"), n[own].astype("<u4"), ctx[own].astype("<i4")]
-                    out.append((int(p), rare, row[used].astype("<i8").tobytes(), fold[used].tobytes(), _pack(cols)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "rare", "docs", "folds", "data"])
+                cols = [key[start], text[start], n] + ([] if kind == MID else [more[start]])
+                out += _dealt(kind, parts, row, fold, cols)
+            yield _entry_batch(out)
 
-    return map_arrow(rows, run, "part int, rare int, docs binary, folds binary, data binary")
+    return map_arrow(rows, run, ENTRIES)
 
 
 def _parts(batches):
-    """Entries of one counting partition after another: (rare, key, row, fold, n, context)."""
+    """Entries of one counting partition after another, one kind or one group of kinds that
+    is counted together at a time: (kind -> key, row, fold, n, more...)."""
     now, held = None, []
 
     def joined(rows):
-        cols = {0: [], 1: []}
-        for rare, docs, folds, data in rows:
-            key, local, n, ctx = _unpack(data, KINDS)
-            cols[rare].append((key, np.frombuffer(docs, "<i8")[local], np.frombuffer(folds, np.uint8)[local], n.astype(np.int64), ctx.astype(np.int64)))
-        for rare, own in cols.items():
+        cols = {}
+        for kind, docs, folds, data in rows:
+            key, local, n, *more = _unpack(data, KINDS[kind])
+            cols.setdefault(kind, []).append((key, np.frombuffer(docs, "<i8")[local], np.frombuffer(folds, np.uint8)[local], n.astype(np.int64), *more))
+        rows.clear()
+        for kinds in ((MID,), (AFTER_RARE,), (RARE, COUNTED)):
+            own = {k: [np.concatenate(c) for c in zip(*cols.pop(k), strict=True)] for k in kinds if k in cols}
             if own:
-                yield rare, [np.concatenate(c) for c in zip(*own, strict=True)]
+                yield own
 
     for b in batches:
         for part, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -228,29 +259,70 @@ def _parts(batches):
         yield from joined(held)
 
 
-def _count_part(model: Model, rare: int, cols: list[np.ndarray]):
-    """Counts that go with each entry: (has context, context, pair, word), each as a pair
-    of arrays (training, deleted)."""
-    key, _, fold, n, ctx = cols
-    learn, gone = n * (fold != UNSEEN), n * (fold == DELETED)
-
-    def sums(at: np.ndarray, size: int):
-        return [np.bincount(at, x, size).astype(np.int64)[at] for x in (learn, gone)]
-
-    found, word = np.unique(key, return_inverse=True)
-    if rare:
-        of_word = sums(word, len(found))
-        both = word.astype(np.int64) << (_ID_BITS + 1) | (ctx + 1)
-        pairs, at = np.unique(both, return_inverse=True)
-        of_pair = sums(at, len(pairs))
-        u, known = ctx, ctx >= 0
-    else:
-        of_pair = sums(word, len(found))
+def _sums(at: np.ndarray, size: int, fold: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The training and the deleted count of each entry's group."""
+    return [np.bincount(at, x, size).astype(np.int64)[at] for x in (n * (fold != UNSEEN), n * (fold == DELETED))]
+
+
+def _pairs_of(at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers of the different (at, more), and how many there are."""
+    order = np.lexsort((more, at))
+    new = np.ones(len(at), bool)
+    new[1:] = (at[order][1:] != at[order][:-1]) | (more[order][1:] != more[order][:-1])
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out, int(new.sum())
+
+
+def _after_rare(cols: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Counts of context and pair of AFTER_RARE entries: all that follows a context is here."""
+    key, _, fold, n, token = cols
+    found, at = np.unique(key, return_inverse=True)
+    return _sums(at, len(found), fold, n), _sums(*_pairs_of(at, token), fold, n)
+
+
+def forward_entries(sent: DataFrame, model: Model, parts: int) -> DataFrame:
+    """The COUNTED entries: rare words after rare words, with the counts of context and pair."""
+
+    def run(batches):
+        for own in _parts(batches):
+            cols = own[AFTER_RARE]
+            context, pair = _after_rare(cols)
+            at = np.flatnonzero(model.ids(cols[4]) < 0)
+            at = at[np.argsort(cols[4][at], kind="stable")]
+            docs, first, text = np.unique(cols[1][at], return_index=True, return_inverse=True)
+            out = list(_dealt(COUNTED, parts, docs, cols[2][at][first], [cols[4][at], text, cols[3][at], *(x[at] for x in (*context, *pair))]))
+            if out:
+                yield _entry_batch(out)
+
+    return map_arrow(sent.filter(F.col("kind") == AFTER_RARE), run, ENTRIES)
+
+
+def _count_part(model: Model, own: dict[int, list[np.ndarray]]):
+    """The entries that are scored here (row, fold, n) and the counts that go with each:
+    context, pair, word, each as a pair of arrays (training, deleted)."""
+    if MID in own:
+        key, row, fold, n = own[MID]
+        found, at = np.unique(key, return_inverse=True)
         u, w = (key >> U64(_ID_BITS)).astype(np.int64), (key & U64((1 << _ID_BITS) - 1)).astype(np.int64)
-        of_word = [model.n[w], model.deleted[w]]
-        known = np.ones(len(key), bool)
-    safe = np.where(known, u, 0)
-    return known, [model.n[safe], model.deleted[safe]], of_pair, of_word
+        return (row, fold, n), [model.n[u], model.deleted[u]], _sums(at, len(found), fold, n), [model.n[w], model.deleted[w]]
+    if AFTER_RARE in own:
+        context, pair = _after_rare(own[AFTER_RARE])
+        w = model.ids(own[AFTER_RARE][4])
+        at = np.flatnonzero(w >= 0)
+        w = w[at]
+        return tuple(x[at] for x in own[AFTER_RARE][1:4]), [x[at] for x in context], [x[at] for x in pair], [model.n[w], model.deleted[w]]
+    none = [np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint8)] + [np.zeros(0, np.int64)] * 5
+    key, row, fold, n, ctx = own.get(RARE, none[:5])
+    far = own.get(COUNTED, none)
+    found, at = np.unique(np.concatenate([key, far[0]]), return_inverse=True)
+    row, n = (np.concatenate([a, b]) for a, b in ((row, far[1]), (n, far[3])))
+    near_pair = _sums(*_pairs_of(at[: len(key)], ctx), fold, n[: len(key)])
+    fold = np.concatenate([fold, far[2]])
+    ctx = ctx.astype(np.int64)
+    context = [np.concatenate([x[ctx], y.astype(np.int64)]) for x, y in zip((model.n, model.deleted), far[4:6], strict=True)]
+    pair = [np.concatenate([x, y.astype(np.int64)]) for x, y in zip(near_pair, far[6:8], strict=True)]
+    return (row, fold, n), context, pair, _sums(at, len(found), fold, n)
 
 
 def _levels(p: np.ndarray) -> np.ndarray:
@@ -258,14 +330,14 @@ def _levels(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.rint(8 * np.log2(np.where(p > 0, p, 1.0))), 1).astype(np.int32)
 
 
-def _events(model: Model, known, context, pair, word, n) -> np.ndarray:
+def _events(model: Model, context, pair, word, n) -> np.ndarray:
     """Held-out events as a bounded table: bucket, levels of the bigram and the unigram
-    estimate from the counts without the deleted fold, how many."""
+    estimate, all from the counts without the deleted fold, how many."""
     t = model.totals
     kept_u, kept_p, kept_w = (x[0] - x[1] for x in (context, pair, word))
-    two = np.where(known, kept_p / np.maximum(kept_u, 1), 0.0)
+    two = kept_p / np.maximum(kept_u, 1)
     one = kept_w / max(t["n"] - t["deleted"], 1)
-    cells = np.stack([np.where(known, bucket_of(context[0]), 0), _levels(two), _levels(one)], axis=1)
+    cells = np.stack([bucket_of(kept_u), _levels(two), _levels(one)], axis=1)
     found, at = np.unique(cells, axis=0, return_inverse=True)
     return np.column_stack([found, np.bincount(at.reshape(-1), n, len(found)).astype(np.int64)])
 
@@ -314,38 +386,42 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     count_hot_pairs(rows, model)
     parts = max(24, int(every // PART_TOKENS))
 
-    sent = send_entries(rows, model, parts).repartition(parts, "part").sortWithinPartitions("part").select("part", "rare", "docs", "folds", "data")
-    sent = sent.persist(StorageLevel.DISK_ONLY)  # read twice; a lost part is sent again
+    def dealt(entries):  # read twice; a lost part is sent again
+        return entries.repartition(parts, "part").sortWithinPartitions("part").select("part", "kind", "docs", "folds", "data").persist(StorageLevel.DISK_ONLY)
+
+    here = dealt(send_entries(rows, model, parts, (MID, AFTER_RARE)))
+    words = dealt(send_entries(rows, model, parts, (RARE,)).union(forward_entries(here, model, parts)))
 
     def far_events(batches):
-        for rare, cols in _parts(batches):
-            known, context, pair, word = _count_part(model, rare, cols)
-            at = cols[2] == DELETED
+        for own in _parts(batches):
+            (_, fold, n), *counts = _count_part(model, own)
+            at = fold == DELETED
             if at.any():
-                yield _event_batch(_events(model, known[at], *([x[at] for x in c] for c in (context, pair, word)), cols[3][at]))
+                yield _event_batch(_events(model, *([x[at] for x in c] for c in counts), n[at]))
 
-    def near_events(batches):  # frequent words after rare contexts, and hot pairs
+    def near_events(batches):  # hot pairs
         for b in slices(batches, "text", _SLICE):
             token, context, _ = tokens(b, 3)
             w, u = model.ids(token), model.ids(context)
             hot = np.where((w >= 0) & (u >= 0), _find(model.pair_key, u << _ID_BITS | w), -1)
-            at = np.flatnonzero((w >= 0) & ((u < 0) | (hot >= 0)))
+            at = np.flatnonzero(hot >= 0)
             if len(at):
-                known, h, c = hot[at] >= 0, np.maximum(hot[at], 0), np.maximum(u[at], 0)
-                pair = [x[h] if len(x) else np.zeros(len(at), np.int64) for x in (model.pair_n, model.pair_deleted)]
-                yield _event_batch(_events(model, known, [model.n[c], model.deleted[c]], pair, [model.n[w[at]], model.deleted[w[at]]], np.ones(len(at), np.int64)))
+                h, c, w = hot[at], u[at], w[at]
+                yield _event_batch(_events(model, *([x[k] for x in pair] for pair, k in (((model.n, model.deleted), c), ((model.pair_n, model.pair_deleted), h), ((model.n, model.deleted), w))), np.ones(len(at), np.int64)))
 
     kind = "bucket int, two int, one int, n bigint"
-    seen = map_arrow(sent, far_events, kind).union(map_arrow(rows.filter(F.col("fold") == DELETED), near_events, kind))
+    seen = map_arrow(here.unionAll(words), far_events, kind).union(map_arrow(rows.filter(F.col("fold") == DELETED), near_events, kind))
     cells = seen.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).toPandas().sort_values(["bucket", "two", "one"])
     model.weights = learn_weights(cells.to_numpy(np.int64).reshape(-1, 4), model.totals["v"])
 
     def far(batches):
-        for rare, cols in _parts(batches):
-            known, context, pair, word = _count_part(model, rare, cols)
-            key, row, fold, n, _ = cols
+        for own in _parts(batches):
+            (row, _, n), context, pair, word = _count_part(model, own)
+            rare = RARE in own or COUNTED in own
+            if not len(row):
+                continue
             docs, at = np.unique(row, return_inverse=True)
-            lm = np.bincount(at, n * model.log10(known, context[0], pair[0], word[0]), len(docs))
+            lm = np.bincount(at, n * model.log10(context[0], pair[0], word[0]), len(docs))
             zero = np.zeros(len(docs))
             base = np.bincount(at, n * model.base(word[0]), len(docs)) if rare else zero
             seen = np.bincount(at, n * (word[0] > 0), len(docs)) if rare else zero
@@ -359,22 +435,22 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             size = b.num_rows
             frequent = w >= 0
             hot = np.where(frequent & (u >= 0), _find(model.pair_key, u << _ID_BITS | w), -1)
-            here = np.flatnonzero(frequent & ((u < 0) | (hot >= 0)))
-            known, h, c = hot[here] >= 0, np.maximum(hot[here], 0), np.maximum(u[here], 0)
-            pair = model.pair_n[h] if len(model.pair_n) else np.zeros(len(here), np.int64)
-            lm = np.bincount(owner[here], model.log10(known, model.n[c], pair, model.n[w[here]]), size)
+            at = np.flatnonzero(hot >= 0)
+            pair = model.pair_n[hot[at]] if len(at) else np.zeros(0, np.int64)
+            lm = np.bincount(owner[at], model.log10(model.n[u[at]], pair, model.n[w[at]]), size).astype(float)
             own = np.flatnonzero(frequent)
             n = model.n[w[own]]
-            base = np.bincount(owner[own], model.base(n), size)
+            base = np.bincount(owner[own], model.base(n), size).astype(float)
             seen = np.bincount(owner[own], n > 0, size).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2), pa.array(np.ones(size, np.int64)), pa.array(seen), pa.array(np.bincount(owner, minlength=size).astype(np.int64)), pa.array(base), pa.array(lm)], names=names)
 
     names = ["row", "doc_id", "fold", "copies", "n_known", "n_tokens", "base_score", "score"]
     kind = "row bigint, doc_id bigint, fold int, copies bigint, n_known bigint, n_tokens bigint, base_score double, score double"
-    both = map_arrow(sent, far, kind).union(map_arrow(rows, near, kind))
+    both = map_arrow(here.unionAll(words), far, kind).union(map_arrow(rows, near, kind))
     total = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("fold").alias("fold"), *[F.sum(c).alias(c) for c in names[3:]])
     total = staged(total, "lm-scores")
-    sent.unpersist()
+    here.unpersist()
+    words.unpersist()
     # equal rows were summed together: each has an equal part
     return total.select(
         "doc_id",

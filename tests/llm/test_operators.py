@@ -199,6 +199,59 @@ def test_lm(docs, nothing):
     assert lm.op7_lm_scores(nothing).count() == 0
 
 
+def plain_lm(rows):
+    """Deleted interpolation word by word: weights by EM, scores of (id, text) rows."""
+    import math
+
+    import numpy as np
+
+    def fold(i):
+        return zlib.crc32(("" if i is None else str(i)).encode()) % lm.FOLDS
+
+    def counts(keep):
+        one, ctx, two = Counter(), Counter(), Counter()
+        for i, seq in seqs:
+            if keep(fold(i)):
+                one.update(seq[1:])
+                ctx.update(seq[:-1])
+                two.update(zip(seq, seq[1:]))
+        return one, ctx, two
+
+    seqs = [(i, ["<s>", *WORD.findall((t or "").translate(LOWER)), "</s>"]) for i, t in rows]
+    one, ctx, two = counts(lambda f: f != lm.UNSEEN)
+    kept = counts(lambda f: f not in (lm.UNSEEN, lm.DELETED))
+    v, level = len(one), lambda p: round(8 * math.log2(p)) if p else 1
+    events = Counter()
+    for i, seq in seqs:
+        if fold(i) == lm.DELETED:
+            for a, b in zip(seq, seq[1:]):
+                n = kept[1][a]
+                events[n.bit_length(), level(kept[2][a, b] / n if n else 0), level(kept[0][b] / max(sum(kept[0].values()), 1))] += 1
+    w = lm.learn_weights(np.array(sorted((*k, n) for k, n in events.items()), np.int64).reshape(-1, 4), v)
+    total = max(sum(one.values()), 1)
+    out = []
+    for i, seq in seqs:
+        s = 0.0
+        for a, b in zip(seq, seq[1:]):
+            x = w[ctx[a].bit_length()]
+            s += math.log10(x[0] * two[a, b] / max(ctx[a], 1) + x[1] * one[b] / total + x[2] / (v + 1))
+        out.append((i, s))
+    return out
+
+
+@pytest.mark.parametrize("share", [1 << 18, 64, 8])  # all words frequent, some, hardly any
+def test_lm_scores_against_plain_interpolation(spark, docs, monkeypatch, share):
+    import random
+
+    monkeypatch.setattr(lm, "SHARE", share)
+    monkeypatch.setattr(lm, "TOP_SHARE", share)
+    monkeypatch.setattr(lm, "PAIR_SHARE", share)
+    rng = random.Random(5)
+    rows = DOCS + [(100 + k, " ".join(f"v{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(1, 60)))) for k in range(80)]
+    got = lm.op7_lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, round(r.score, 5)) for r in got) == Counter((i, round(x, 5)) for i, x in plain_lm(rows))
+
+
 def test_fingerprints(docs, nothing, spark):
     rows = fingerprints.op8_fingerprints(docs).collect()
     assert len(rows) == len(DOCS)
