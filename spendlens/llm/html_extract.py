@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,6 +29,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Their content is no text of the page.
 SILENT_TAGS = frozenset("script style template head title noscript iframe object svg math select option textarea button datalist canvas audio video".split())
+# What a head may hold; any other start tag, or text of its own, ends a head left open.
+HEAD_TAGS = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An open one of these ends where another begins.
 IMPLIED_END = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
@@ -71,8 +73,9 @@ class Block:
 
 
 def _words(value: str | None) -> set[str]:
-    # navBar, nav-bar and nav_bar are the same words
-    return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value or "").lower()))
+    # navBar, nav-bar and nav_bar are the same words; has-sidebar says nothing of the element itself
+    own = re.sub(r"(?<!\S)(?:has|with|without|no)[-_]\S+", " ", value or "")
+    return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", own).lower()))
 
 
 class _Reader(HTMLParser):
@@ -86,7 +89,21 @@ class _Reader(HTMLParser):
         self.count = 0
         self.now: Block | None = None
 
+    def _end_head(self, tag: str):
+        """Ends an open head, and what is open in it, where the body must have begun. What a
+        noscript or template of the head holds does not end it, nor do inline tags of a title."""
+        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == "head"), -1)
+        if at < 0 or tag in HEAD_TAGS:
+            return
+        inside = self.open[at + 1 :]
+        if tag != "body" and any(x[0] != "title" for x in inside):
+            return
+        if not inside or tag == "body" or tag in BLOCK_TAGS:
+            del self.open[at:]
+            self.now = None
+
     def handle_starttag(self, tag, attrs):
+        self._end_head(tag)
         if tag in VOID_TAGS:
             if tag in BLOCK_TAGS:
                 self.now = None
@@ -100,21 +117,27 @@ class _Reader(HTMLParser):
         a = dict(attrs)
         words = _words(a.get("class")) | _words(a.get("id"))
         role = (a.get("role") or "").lower()
+        inner = main  # inside a main element or an article
         if tag in MAIN_TAGS or role in ("main", "article") or a.get("itemprop") == "articleBody":
             if aside == "form":  # a form around the whole page
                 aside = False
+            elif aside is not True and tag != "article":  # a layout named after its sidebar
+                aside = False
             main = True
         if tag == "header":
             if main:
                 header = True
             else:
                 aside = True
-        elif tag == "form" and not aside:
-            aside = "form"
+        elif tag == "form" and aside is not True:
+            aside = aside or "form"
         elif tag in ASIDE_TAGS or role in ASIDE_ROLES or "hidden" in a or a.get("aria-hidden") == "true":
             aside = True
-        if tag not in ("html", "body") and words & ASIDE_WORDS:
-            aside = True
+        named = words & ASIDE_WORDS
+        if tag in ("html", "body", "main") or role == "main" or (tag == "section" and inner and len(named) == 1):
+            named = set()  # a section of an article may be about any of these words
+        if named and aside is not True:  # the outermost element outside an article, by its number
+            aside = "word" if main else aside if type(aside) is int else -(self.count + 1)
         elif words & MAIN_WORDS:
             word = True
             if aside == "form":
@@ -151,6 +174,8 @@ class _Reader(HTMLParser):
                 return  # a stray end of an inline tag
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._end_head("")
         if self.open and self.open[-1][3]:
             return
         if self.now is None:
@@ -176,7 +201,19 @@ def read_blocks(html: str | None) -> list[Block]:
     reader = _Reader()
     reader.feed(page)
     reader.close()
-    return [b for b in reader.blocks if b.text()]
+    blocks = [b for b in reader.blocks if b.text()]
+    # Articles in an element that words call an aside are the page's own if they are the most
+    # text: more than in other such elements and than what is in none.
+    size, plain = Counter(), [b for b in blocks if not b.aside]
+    for b in blocks:
+        if b.main and type(b.aside) is int:
+            size[b.aside] += b.chars
+    own = max(size, key=size.get, default=None)
+    if size[own] <= sum(b.chars for b in [b for b in plain if b.main] or plain):
+        own = None
+    for b in blocks:
+        b.aside = bool(b.aside) and not (b.main and own is not None and b.aside == own)
+    return blocks
 
 
 def features(block: Block) -> list[float]:

@@ -156,5 +156,29 @@ def test_main_text():
     assert html_extract.main_text(plain, w) == "A long sentence, with commas, stands here.\nShort."
 
 
+def test_main_text_without_the_end_of_the_head():
+    body = "<article><p>The whole text, of this page.</p></article><nav>Menu</nav>"
+    for head in ("<meta charset=utf-8><title>T</title>", "<title>T <b>x</b></title><script>var a;</script>", "<noscript><img src=x><p>No script.</p></noscript><title>T</title>", "<title>T"):
+        for page in (f"<html><head>{head}<body>{body}</body></html>", f"<head>{head}{body}", f"<html><head>{head}</head><body>{body}"):
+            assert html_extract.main_text(page, html_extract.PRIOR) == "The whole text, of this page.", page
+    assert html_extract.main_text("<head><title>T</title>A bare text, of one long sentence.", html_extract.PRIOR) == "A bare text, of one long sentence."
+
+
+def test_main_text_in_layouts_named_after_their_sidebar():
+    prose = "<p>A first sentence of the article, with commas.</p><p>A second sentence, which is as long.</p>"
+    want = "A first sentence of the article, with commas.\nA second sentence, which is as long."
+    side = "<div class=sidebar><article><p>A teaser, of another one.</p></article></div>"
+    for page in (
+        f'<div class="content-sidebar-wrap"><article>{prose}</article></div>{side}',
+        f'<div class="has-sidebar"><main>{prose}</main>{side}</div>',
+        f'<form><div class="sidebar-layout"><main class="widget">{prose}</main></div></form>',
+        f'<div class="sidebar-layout"><form><article>{prose}</article></form></div>',
+        f'<div class="no-sidebar"><p class=x>{prose}</div>',
+    ):
+        assert html_extract.main_text(page, html_extract.PRIOR) == want, page
+    page = f'<article>{prose}<section id="discussion"><p>The findings, as said, agree.</p></section><div class=share><p>Share this, now.</p></div><section class="comments reply"><p>I liked it, a lot.</p></section></article>'
+    assert html_extract.main_text(page, html_extract.PRIOR) == want + "\nThe findings, as said, agree."
+
+
 def test_chat_escapes_are_one_to_one():
     assert re.search(r"\\#", chat.TURN_END) is None
