@@ -10,9 +10,6 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from spendlens.session import ENGINE_CONF  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -6,7 +6,7 @@ from spendlens.plans.catalog import QUERIES
 from spendlens.plans.check import compare, duck
 from spendlens.plans.oracle import ORACLE
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -29,4 +29,5 @@ def test_entry_smoke(spark):
 
     df = e.entry(spark)
     assert df.columns == ["yr", "c1", "c2", "g"] and df.count() > 0
-    assert set(e.oracle_sql()) == set(e.queries())
+    # training-data queries that SQL cannot express have their brute-force tests instead
+    assert set(QUERIES) <= set(e.oracle_sql()) <= set(e.queries())

@@ -12,7 +12,7 @@ from spendlens.plans import fixtures as fx
 from spendlens.plans.catalog import QUERIES
 from spendlens.sources import ingest, sinks
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def plan(df) -> str:

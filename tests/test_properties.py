@@ -13,7 +13,7 @@ from spendlens.plans import fixtures as fx
 from spendlens.plans.fixtures import FIX, FIXTURE_TAXONOMY as T
 from spendlens.taxonomy import Taxonomy
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 T4 = Taxonomy(name="p", suffix="", classes=("A", "B", "G"), residual="G", locations=("Urban", "Rural"))
 FX = Fields(year="Year", amount="amt", purpose_code="code")
