@@ -125,6 +125,8 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
+# Bytes of the terms of a lexical search: ASCII letters and digits, and all beyond ASCII.
+TERM_BYTE = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 _powers: list[np.ndarray] = []
 
 
@@ -147,20 +149,21 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(starts: np.ndarray, ends: np.ndarray, raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs of bytes that are not white space) of the
-    texts in order, and the number of words of each text. ``lower`` folds A-Z.
-    Equal words have equal hashes; different words differ up to the 64-bit chance."""
-    return word_spans(starts, ends, raw, lower)[:2]
+def word_hashes(starts: np.ndarray, ends: np.ndarray, raw: np.ndarray, lower: bool, inside: np.ndarray = _WORD_BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of bytes that are not white space; else of the bytes
+    that ``inside`` marks) of the texts in order, and the number of words of each text.
+    ``lower`` folds A-Z. Equal words have equal hashes; different words differ up to the
+    64-bit chance."""
+    return word_spans(starts, ends, raw, lower, inside)[:2]
 
 
-def word_spans(starts: np.ndarray, ends: np.ndarray, raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(starts: np.ndarray, ends: np.ndarray, raw: np.ndarray, lower: bool, inside: np.ndarray = _WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``word_hashes`` and each word's first and past-the-end byte in ``raw``."""
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, U64), np.zeros(len(starts), np.int64), none, none
-    word = _WORD_BYTE[raw]
+    word = inside[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = starts[starts < n]

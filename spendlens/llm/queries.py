@@ -14,10 +14,13 @@ from spendlens.llm.classifier import op6_quality_classifier
 from spendlens.llm.common import table
 from spendlens.llm.fingerprints import op8_fingerprints
 from spendlens.llm.html_extract import op10_html
+from spendlens.llm.licenses import op13_license_scans
 from spendlens.llm.lm import op7_lm_scores
 from spendlens.llm.minhash import op5_near_duplicates
 from spendlens.llm.packing import op4_packing
 from spendlens.llm.quality_rules import op2_quality_rules
+from spendlens.llm.runs import op12_word_runs
+from spendlens.llm.search import op11_ranked_search
 from spendlens.llm.sharding import op1_sharding
 
 
@@ -61,6 +64,18 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_html(table(spark, sf_dir, "pages"))
 
 
+def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_word_runs(table(spark, sf_dir, "documents"))
+
+
+def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_license_scans(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": q_op1,
     "op2_quality_rules": q_op2,
@@ -72,6 +87,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": q_op8,
     "op9_chat": q_op9,
     "op10_html": q_op10,
+    "op11_ranked_search": q_op11,
+    "op12_word_runs": q_op12,
+    "op13_license_scans": q_op13,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_ranked_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+d1 AS (SELECT doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+z AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d1),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d1) t GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM p, z GROUP BY term, big_n),
+s AS (
+  SELECT q.item_id, p.doc_id,
+         CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * p.n * z.big_n) // z.big_l)))) AS BIGINT) AS score
+  FROM q JOIN p ON p.term = q.term JOIN w ON w.term = q.term CROSS JOIN z
+  GROUP BY q.item_id, p.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) r
+WHERE rank <= 50""",
+}
