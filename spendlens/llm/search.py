@@ -31,9 +31,9 @@ TERMS = 1 << 13
 ITEMS = 1 << 12
 # Cells (documents x terms) of one segment, and documents of it, at most.
 CELLS = 1 << 24
-SEGMENT = 4096
+SEGMENT = 2048
 # Members of a posting list that share a summary, about.
-BLOCK = 64
+BLOCK = 16
 # Width of the sketches that posting lists are clustered by.
 SKETCH = 32
 # Groups that the tasks' rankings are merged in first, so that no task gets all of them.
@@ -51,7 +51,8 @@ class Query(NamedTuple):
 
 
 class Posting(NamedTuple):
-    blocks: list[np.ndarray]  # documents of each block
+    members: np.ndarray  # the list's documents, block after block
+    block: np.ndarray  # the block of each
     terms: np.ndarray  # terms that occur in any of them
     summary: np.ndarray  # maximum over a block's documents, by block and term
 
@@ -184,12 +185,16 @@ class Segment:
             members, cut = members[order], np.flatnonzero(np.diff(nearest[order])) + 1
         size = edge[members + 1] - edge[members]
         at = np.repeat(edge[members] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        terms, column = np.unique(term[at], return_inverse=True)
+        inside = np.zeros(len(self.weight), bool)
+        inside[term[at]] = True
+        terms = np.flatnonzero(inside)
+        column = (np.cumsum(inside) - 1)[term[at]]
         of_block = np.zeros(len(members), np.int64)
         of_block[cut] = 1
+        of_block = np.cumsum(of_block)
         summary = np.zeros((len(cut) + 1, len(terms)), self.share.dtype)
-        np.maximum.at(summary.reshape(-1), np.repeat(np.cumsum(of_block), size) * len(terms) + column, value[at])
-        return Posting(np.split(members, cut), terms, summary)
+        np.maximum.at(summary.reshape(-1), np.repeat(of_block, size) * len(terms) + column, value[at])
+        return Posting(members, of_block, terms, summary)
 
     def bounds(self, posting: Posting, query: Query) -> np.ndarray:
         """What the item can score in any document of each block, at most."""
@@ -207,19 +212,18 @@ class Segment:
             if posting is None:
                 continue
             bound = self.bounds(posting, query)
-            first = int(np.argmax(bound))
-            rest = np.delete(np.arange(len(bound)), first)
-            for part in ([first], rest):
-                open_ = [k for k in part if bound[k] >= top.least]
+            # the most promising block first, so that the others meet a higher least score
+            first = np.arange(len(bound)) == np.argmax(bound)
+            for part in (first, ~first):
+                open_ = part & (bound >= top.least)
                 if tally is not None:
-                    tally[0] += len(part)
-                    tally[1] += len(part) - len(open_)
-                if not open_:
-                    continue
-                docs = np.concatenate([posting.blocks[k] for k in open_])
+                    tally[0] += int(part.sum())
+                    tally[1] += int(part.sum() - open_.sum())
+                docs = posting.members[open_[posting.block]]
                 docs = docs[~seen[docs]]
-                seen[docs] = True
-                top.add(self.share[np.ix_(docs, query.terms)].astype(np.int64) @ weight, self.ids[docs])
+                if len(docs):
+                    seen[docs] = True
+                    top.add(self.share[docs[:, None], query.terms].astype(np.int64) @ weight, self.ids[docs])
 
 
 class Top:
@@ -245,8 +249,12 @@ class Top:
 def shares(n: list[int], counts: np.ndarray, docs: int, total: int) -> np.ndarray:
     """The part of a score that a term's weight multiplies, by document and term: at most
     10^6. ``n``: terms of each document; ``counts``: occurrences."""
-    m = np.array([50 + 50 * x * docs // max(total, 1) for x in n], np.int64)[:, None]
-    return (1_000_000_000 * counts // np.maximum(1000 * counts + 20 * m, 1)).astype(np.int32)
+    m = np.array([50 + 50 * x * docs // max(total, 1) for x in n], np.int64)
+    out = np.zeros(counts.shape, np.int32)
+    doc, term = np.nonzero(counts)
+    tf = counts[doc, term].astype(np.int64)
+    out[doc, term] = 1_000_000_000 * tf // (1000 * tf + 20 * m[doc])
+    return out
 
 
 def search_segments(forward: DataFrame, queries: list[Query], weight: np.ndarray, docs: int, total: int, k: int, segment: int, block: int) -> DataFrame:
@@ -255,7 +263,7 @@ def search_segments(forward: DataFrame, queries: list[Query], weight: np.ndarray
     most = max(1, min(segment, CELLS // max(width, 1)))
 
     def read(batches):
-        ids, n, counts = [], [], np.zeros((most, width), np.int64)
+        ids, n, counts = [], [], np.zeros((most, width), np.uint32)
         for b in batches:
             for doc_id, size, terms, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 counts[len(ids), np.frombuffer(terms, "<u4")] = np.frombuffer(count, "<u4")
