@@ -3,10 +3,11 @@
 The join key is the text's SHA-256, so neither side ships the text through the
 shuffle. Labels are unique per key, the activity side keeps its row count.
 AQE broadcasts the label side when its measured size is under the threshold.
-Otherwise the join is shuffled; the empty text takes no part in it, and texts on
-more rows than one task should get are salted over several join partitions, since
-AQE's own skew split does not apply when the label side arrives already
-partitioned by its deduplication.
+Otherwise the join is shuffled on a place: the key, or for a hot key the key and a salt.
+The empty text, which has no label, gets places that no label row has, so its rows spread
+over all tasks and pass through the same join; texts on more rows than one task should get
+are salted over several places, since AQE's own skew split does not apply when the label
+side arrives already partitioned by its deduplication. The activities are read once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from spendlens._compat import ColumnOrName, qcol
 from spendlens.fields import DEFAULT, Fields
 from spendlens.functions.text import text_key
-from spendlens.operators.prepare import keep_first
+from spendlens.operators.prepare import keep_first, with_text_key
 
 
 def labels_unique(labels: DataFrame, fields: Fields = DEFAULT, order: ColumnOrName | Sequence[ColumnOrName] | None = None) -> DataFrame:
@@ -39,10 +40,12 @@ def labels_unique(labels: DataFrame, fields: Fields = DEFAULT, order: ColumnOrNa
     return keep_first(lab, fields.key, order)
 
 
-SALT = "__salt"
+PLACE = "__place"
 # Key of the empty text: every activity without a usable description carries it,
 # which makes it the most likely hot key; it never has a label row.
 BLANK_KEY = hashlib.sha256(b"").hexdigest()
+# Places that the rows of the empty text are dealt over.
+BLANK_PLACES = 1 << 20
 
 
 def attach_labels(
@@ -57,32 +60,31 @@ def attach_labels(
     where unlabelled. Label columns that clash with activity columns get the
     ``fields.clash_suffix``; the label table's own text column is not carried.
 
-    Activities with the empty text take no part in the join: they have no label.
+    Activities with the empty text have no label, and are dealt over places of their own.
     ``hot_keys`` (key, buckets; see ``prepare.hot_keys``) are salted: their activity
-    rows are dealt over that many parts by a hash of the row, and their label rows are
-    repeated once for each, so no task receives all rows of one text. Other keys join
-    with salt 0; without hot keys the join is on the key alone. Results are the same.
+    rows are dealt over that many places by a hash of the row, and their label rows are
+    repeated once for each, so no task receives all rows of one text. Without hot keys
+    a label's place is its key. Results are the same.
     """
-    acts = activities
-    if fields.key not in acts.columns:
-        acts = acts.withColumn(fields.key, text_key(qcol(fields.text)))
+    acts = with_text_key(activities, fields)
     lab = labels_unique(labels, fields) if dedupe else labels
     if fields.key not in lab.columns:
         raise ValueError("labels need a text or text key column")
     keep = [c for c in (label_columns or lab.columns) if c not in (fields.key, fields.text)]
     names = {c: c + fields.clash_suffix if c in acts.columns else c for c in keep}
-    right = lab.select(qcol(fields.key), *[qcol(c).alias(names[c]) for c in keep])
-    order = [*acts.columns, *names.values()]
-    blank = acts.where(qcol(fields.key) == BLANK_KEY).select("*", *[F.lit(None).cast(lab.schema[c].dataType).alias(names[c]) for c in keep])
-    rest = acts.where(qcol(fields.key) != BLANK_KEY)
+    key = qcol(fields.key)
+    right = lab.select(key, *[qcol(c).alias(names[c]) for c in keep])
+    row = F.xxhash64(*([qcol(fields.ordinal)] if fields.ordinal in acts.columns else [qcol(c) for c in activities.columns]))
+    place = F.when(key == BLANK_KEY, F.concat(F.lit("blank-"), F.pmod(row, F.lit(BLANK_PLACES)).cast("string")))
     if hot_keys is None:
-        joined = rest.join(right, on=fields.key, how="left")
+        left = acts.withColumn(PLACE, place.otherwise(key))
+        right = right.withColumnRenamed(fields.key, PLACE)
     else:
-        hot = F.broadcast(hot_keys.select(qcol(fields.key), F.col("buckets").alias("__buckets")))  # a bounded list
-        buckets = F.coalesce("__buckets", F.lit(1))
-        row_id = [qcol(fields.ordinal)] if fields.ordinal in acts.columns else [qcol(c) for c in acts.columns]
-        left = rest.join(hot, on=fields.key, how="left").withColumn(SALT, F.pmod(F.xxhash64(*row_id), buckets).cast("int")).drop("__buckets")
-        copies = right.join(hot, on=fields.key, how="left").withColumn(SALT, F.explode(F.sequence(F.lit(0), buckets - 1))).drop("__buckets")
-        joined = left.join(copies, on=[fields.key, SALT], how="left").drop(SALT)
-    cols = [qcol(c) for c in order]
-    return joined.select(*cols).unionByName(blank.select(*cols))
+        hot = F.broadcast(hot_keys.select(key, F.col("buckets").alias("__buckets")))  # a bounded list
+        left = acts.join(hot, on=fields.key, how="left")
+        salt = F.pmod(row, F.col("__buckets")).cast("string")
+        left = left.withColumn(PLACE, place.when(F.col("__buckets").isNotNull(), F.concat_ws("-", key, salt)).otherwise(key)).drop("__buckets")
+        places = F.when(F.col("__buckets").isNull(), F.array(key)).otherwise(F.transform(F.sequence(F.lit(0), F.col("__buckets") - 1), lambda s: F.concat_ws("-", key, s.cast("string"))))
+        right = right.join(hot, on=fields.key, how="left").withColumn(PLACE, F.explode(places)).drop("__buckets", fields.key)
+    joined = left.join(right, on=PLACE, how="left")
+    return joined.select(*[qcol(c) for c in (*acts.columns, *names.values())])

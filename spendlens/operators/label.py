@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
-from spendlens.session import ship_package
+from spendlens.session import ship_package, work_path
 from spendlens.functions.labels import keyword_classes, multi_hot, parse_response
 from spendlens.functions.text import SECTOR_SEPARATOR, cost, token_count, user_message
 from spendlens.sources.dimensions import sector_lookup
@@ -78,6 +79,39 @@ def call_with_retry(
     raise last
 
 
+class RateLimit:
+    """Token bucket: ``rate`` calls a second on the average, and at most ``burst`` at once.
+    Threads that share it wait their turn."""
+
+    def __init__(self, rate: float, burst: float = 1.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        if rate <= 0 or burst < 1:
+            raise ValueError("rate must be positive and burst at least 1")
+        self.rate, self.burst, self.clock, self.sleep = rate, burst, clock, sleep
+        self.tokens, self.seen, self.lock = burst, clock(), threading.Lock()
+
+    def take(self) -> None:
+        """Wait for a token and take it. The token is taken before the wait, so whoever
+        comes next waits for the one after it."""
+        with self.lock:
+            now = self.clock()
+            self.tokens = min(self.burst, self.tokens + (now - self.seen) * self.rate)
+            self.seen = now
+            self.tokens -= 1
+            wait = max(0.0, -self.tokens / self.rate)
+        if wait:
+            self.sleep(wait)
+
+
+def rate_shares(max_rate: float, tasks: int) -> tuple[int, float]:
+    """(tasks, calls a second of each): all tasks together, even if all run at once, stay
+    within ``max_rate``, and no task gets less than one call a second (below one call a
+    second in all there is one task)."""
+    if max_rate <= 0:
+        raise ValueError("max_rate must be positive")
+    tasks = max(1, min(tasks, int(max_rate)))
+    return tasks, max_rate / tasks
+
+
 class KeywordClassifier:
     """Deterministic classifier: a class matches when one of its keywords occurs
     (case-insensitive substring). Returns the same JSON a model would."""
@@ -115,15 +149,22 @@ def _partition_labeller(
     concurrency: int,
     vocab: Sequence[str],
     jitter: float,
+    rate: float | None = None,
 ):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clf = make_classifier()  # one client per partition
         pool = ThreadPoolExecutor(max_workers=concurrency) if concurrency > 1 else None
+        limit = RateLimit(rate) if rate is not None else None
+
+        def call(msg: str) -> str:
+            if limit is not None:
+                limit.take()
+            # an answer that does not parse or names an unknown class is a failed try
+            return check_response(clf.classify(system_prompt, msg), vocab)
 
         def one(msg: str):
             try:
-                # an answer that does not parse or names an unknown class is a failed try
-                resp, tries = call_with_retry(lambda: check_response(clf.classify(system_prompt, msg), vocab), max_tries, base, jitter=jitter)
+                resp, tries = call_with_retry(lambda: call(msg), max_tries, base, jitter=jitter)
                 return resp, None, tries
             except Exception as e:  # noqa: BLE001
                 if on_error == "raise":
@@ -168,12 +209,15 @@ def label_texts(
     concurrency: int = 1,
     system_prompt: str | None = None,
     texts_per_task: int | None = TEXTS_PER_TASK,
+    n_texts: int | None = None,
+    max_rate: float | None = None,
 ) -> DataFrame:
     """Label every row of ``texts`` (key, text, purpose code, ordinal) with ``taxonomy``.
 
-    Tasks are sized by texts, not bytes: without ``num_partitions`` the texts
-    are counted and spread over ``ceil(n / texts_per_task)`` tasks. Output is
-    published when the job commits, so give it bounded batches (``label_batches``).
+    Tasks are sized by texts, not bytes: without ``num_partitions`` the texts (``n_texts``;
+    counted if not given) are spread over ``ceil(n / texts_per_task)`` tasks. With
+    ``max_rate``, calls a second of the whole job, there are no more tasks than the rate has
+    calls, each with its share of it (see ``RateLimit``); tries count, too. Output is published when the job commits, so give it bounded batches (``label_batches``).
     Every answer is validated inside the retry: bad JSON or a class outside the
     vocabulary is tried again.
     ``make_classifier`` is called once per partition on the executor.
@@ -190,18 +234,46 @@ def label_texts(
     keep = [c for c in (fields.key, fields.text, fields.purpose_code, fields.ordinal) if c in req.columns]
     req = req.select(*[qcol(c) for c in keep], F.col("sector_name"))
     if not num_partitions and texts_per_task:
-        num_partitions = max(1, -(-texts.count() // texts_per_task))
+        num_partitions = max(1, -(-(texts.count() if n_texts is None else n_texts) // texts_per_task))
+    rate = None
+    if max_rate is not None:
+        num_partitions, rate = rate_shares(max_rate, num_partitions or 1)
     if num_partitions:
         req = req.repartition(num_partitions, qcol(fields.key))
     schema_in = req.select(*[qcol(c) for c in keep]).schema
     out_schema = T.StructType(list(schema_in.fields) + [
         T.StructField("response", T.StringType()), T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType())
     ])
-    fn = _partition_labeller(make_classifier, prompt, fields.text, "sector_name", on_error, max_tries, base_backoff, concurrency, list(taxonomy.vocabulary), jitter)
+    fn = _partition_labeller(make_classifier, prompt, fields.text, "sector_name", on_error, max_tries, base_backoff, concurrency, list(taxonomy.vocabulary), jitter, rate)
     raw = req.mapInPandas(fn, out_schema)
     return parse_labels(raw, taxonomy, keep)
 
 
+BATCH = "__batch"
+
+
+def work_table(texts: DataFrame, fields: Fields, texts_per_batch: int, expected: int | None = None) -> list[tuple[DataFrame, int]]:
+    """``texts`` written once, partitioned into batches of about ``texts_per_batch`` by a
+    hash of the key: (rows, number of rows) of each batch that is not empty. A batch reads
+    its own partition only, and the numbers come from the files' footers.
+
+    ``expected`` is how many texts there are at most; if not given, the texts are written
+    before they are counted, and once more if they are more than one batch.
+    """
+    spark = texts.sparkSession
+    path = work_path(spark, "label-work")
+    if expected is None:
+        texts.write.parquet(f"{path}/all")
+        texts = spark.read.schema(texts.schema).parquet(f"{path}/all")
+        expected = texts.count()
+    batches = max(1, -(-expected // texts_per_batch))
+    batch = F.pmod(F.xxhash64(qcol(fields.key)), F.lit(batches)).cast("int")
+    texts.withColumn(BATCH, batch).hint("rebalance", BATCH).write.partitionBy(BATCH).parquet(f"{path}/batches")
+    whole = spark.read.schema(T.StructType([*texts.schema.fields, T.StructField(BATCH, T.IntegerType())])).parquet(f"{path}/batches")
+    sizes = sorted((r[BATCH], r["count"]) for r in whole.groupBy(BATCH).count().collect())
+    return [(spark.read.schema(texts.schema).parquet(f"{path}/batches/{BATCH}={b}"), n) for b, n in sizes]
+
+
 def label_batches(
     texts: DataFrame,
     taxonomy: Taxonomy,
@@ -209,16 +281,15 @@ def label_batches(
     commit: Callable[[DataFrame], None],
     fields: Fields = DEFAULT,
     texts_per_batch: int = TEXTS_PER_BATCH,
+    expected: int | None = None,
     **label_kw,
 ) -> None:
-    """Label ``texts`` in batches of about ``texts_per_batch`` (by hash of the key) and
+    """Label ``texts`` in batches of about ``texts_per_batch`` (see ``work_table``) and
     ``commit`` each on its own: what was paid for before a failure stays, and a re-run
-    skips it. Texts whose tries are exhausted come with status ``failed``."""
-    n = texts.count()
-    batches = -(-n // texts_per_batch)
-    for b in range(batches):
-        part = texts.where(F.pmod(F.xxhash64(qcol(fields.key)), F.lit(batches)) == b) if batches > 1 else texts
-        commit(label_texts(part, taxonomy, make_classifier, fields, **{"on_error": "quarantine", **label_kw}))
+    skips it. ``texts`` is evaluated once, however many batches there are. Texts whose
+    tries are exhausted come with status ``failed``."""
+    for part, n in work_table(texts, fields, texts_per_batch, expected):
+        commit(label_texts(part, taxonomy, make_classifier, fields, **{"on_error": "quarantine", "n_texts": n, **label_kw}))
 
 
 def parse_labels(raw: DataFrame, taxonomy: Taxonomy, keep: Sequence[str], response: str = "response") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from spendlens._compat import ColumnOrName, as_col, qcol
@@ -33,29 +33,40 @@ def drop_blank(df: DataFrame, text: str) -> DataFrame:
     return df.where(~is_blank(qcol(text)))
 
 
-def with_activity_text(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
-    """Add ``text`` (title/short/long composition) and its content key.
+def _built_text(df: DataFrame, fields: Fields) -> Column:
+    """Title and descriptions composed; a missing column counts as all-NULL."""
+    parts = [qcol(p) if p in df.columns else F.lit(None).cast("string") for p in (fields.title, fields.short_description, fields.long_description)]
+    return activity_text(*parts)
 
-    A missing description column counts as all-NULL instead of failing.
-    """
-    parts = [fields.title, fields.short_description, fields.long_description]
-    src = df
-    for p in parts:
-        if p not in src.columns:
-            src = src.withColumn(p, F.lit(None).cast("string"))
-    t = activity_text(qcol(fields.title), qcol(fields.short_description), qcol(fields.long_description))
-    src = src.withColumn(fields.text, t)
-    return src.withColumn(fields.key, text_key(qcol(fields.text)))
+
+def _text(df: DataFrame, fields: Fields) -> Column:
+    """The text column if there is one, else the composed text. In a row whose text is NULL
+    the text is composed again, so an empty column counts as none."""
+    if fields.text not in df.columns:
+        return _built_text(df, fields)
+    if not {fields.title, fields.short_description, fields.long_description} & set(df.columns):
+        return qcol(fields.text)
+    return F.coalesce(qcol(fields.text), _built_text(df, fields))
+
+
+def with_text_key(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
+    """Add the content key of the activity text (unless there); the text itself is not added."""
+    return df if fields.key in df.columns else df.withColumn(fields.key, text_key(_text(df, fields)))
 
 
 def ensure_text_key(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
-    """Keep an existing text column (adding its key if missing); otherwise build the
-    activity text from the title and descriptions."""
-    if fields.text not in df.columns:
-        return with_activity_text(df, fields)
-    if fields.key not in df.columns:
-        return df.withColumn(fields.key, text_key(qcol(fields.text)))
-    return df
+    """``df`` with the activity text and its key. A key that is there is kept and not
+    worked out again, so a plan that reads only the key need not read the texts."""
+    return with_text_key(df, fields).withColumn(fields.text, _text(df, fields))
+
+
+def with_activity_text(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
+    """Add ``text`` (title/short/long composition) and its content key, over what the
+    columns of these names hold.
+
+    A missing description column counts as all-NULL instead of failing.
+    """
+    return ensure_text_key(df.drop(fields.text, fields.key), fields)
 
 
 N_ACTIVITIES = "n_activities"

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
@@ -19,9 +20,10 @@ from spendlens.operators import label as lb
 from spendlens.operators import report as rp
 from spendlens.operators.attach import attach_labels
 from spendlens.operators.marker import false_negatives, mark, select_marked
-from spendlens.operators.prepare import PrepareObservation, ensure_text_key, hot_keys, prepare_texts, with_activity_text
+from spendlens.operators.prepare import PrepareObservation, ensure_text_key, hot_keys, prepare_texts, with_text_key
 from spendlens.session import configure
-from spendlens.sources import ingest, sinks
+from spendlens.sources import csv_records, ingest, sinks
+from spendlens.sources.evolve import drop_partitions
 from spendlens.streaming.incremental import MAX_FILES_PER_TRIGGER, read_if_exists
 from spendlens.taxonomy import Taxonomy
 
@@ -36,6 +38,10 @@ class Layout:
     def landed(self) -> str:
         return f"{self.root}/activities"
 
+    @property
+    def rejected(self) -> str:
+        return f"{self.root}/rows_rejected"
+
     @property
     def prepared(self) -> str:
         return f"{self.root}/texts_prepared"
@@ -54,24 +60,55 @@ class Layout:
 
 
 def land(activities: DataFrame, layout: Layout, fields: Fields = DEFAULT) -> None:
-    """Keep positive amounts, attach the ingest ordinal, write partitioned by year.
+    """Keep positive amounts, attach the ingest ordinal and the text key, write partitioned
+    by year.
 
     The amount is stored as a number (text that is none counts as NULL, so the row is
-    dropped like other non-positive ones). Landing some years replaces them alone.
+    dropped like other non-positive ones). Landing some years replaces them alone. The key
+    of the activity text is stored, so later counts and joins need not read the texts.
     """
     df = activities.withColumn(fields.amount, ingest.to_number(qcol(fields.amount), "double"))
     df = ingest.positive_amount(df, fields=fields)
     df = ingest.add_ordinal(df, fields)
     if fields.year in df.columns:
         df = df.withColumn(fields.year, ingest.to_number(qcol(fields.year)))
-    sinks.write_by_year(df, layout.landed, fields)
+    sinks.write_by_year(with_text_key(df, fields), layout.landed, fields)
 
 
-def land_yearly_csv(spark: SparkSession, pattern: str, years: Iterable[int], layout: Layout, fields: Fields = DEFAULT, multi_line: bool = True) -> None:
+def land_yearly_csv(spark: SparkSession, pattern: str, years: Iterable[int], layout: Layout, fields: Fields = DEFAULT, multi_line: bool = True, reject: bool = True) -> int:
     """Yearly CSV downloads (``pattern`` with a ``{year}`` slot) → landed table (Parquet,
-    splittable; everything downstream reads it in parallel)."""
-    raw = ingest.read_years(spark, pattern, years, fmt="csv", fields=fields, multi_line=multi_line)
-    land(ingest.normalize_nulls(raw), layout, fields)
+    splittable; everything downstream reads it in parallel). Returns the rows put aside.
+
+    Rows keep file order (the ordinal: files by name, then the place in the file). A row with
+    more cells than its header does not end the landing: it goes, as it stands in the file,
+    to the ``rejected`` table of its year (``reject=False``: it is an error). Files without
+    quoted line breaks can be read with ``multi_line=False``: then such a row is an error, too,
+    and the ordinal is the order of Spark's partitions.
+    """
+    years = sorted({int(y) for y in years})
+    if not multi_line or not reject:
+        raw = ingest.read_years(spark, pattern, years, fmt="csv", fields=fields, multi_line=multi_line)
+        land(ingest.normalize_nulls(raw), layout, fields)
+        return 0
+    record = csv_records.RECORD
+    frames = []
+    for y in years:
+        part = ingest.read_csv_records(spark, pattern.format(year=y))
+        year = F.coalesce(ingest.to_number(qcol(fields.year)), F.lit(y)) if fields.year in part.columns else F.lit(y)
+        frames.append(part.withColumn(fields.year, year.cast("int")).withColumn("__file_year", F.lit(y)))
+    parsed = ingest.collate(frames)
+    seen = Observation("rejected")
+    rows = parsed.observe(seen, F.count_if(F.col(f"{record}.surplus")).alias("n"))
+    rows = rows.withColumn(fields.ordinal, F.col(f"{record}.ordinal")).where(~F.col(f"{record}.surplus")).drop(record, "__file_year")
+    land(ingest.normalize_nulls(rows), layout, fields)
+    n = seen.get["n"]
+    # rejected rows of these years from an earlier landing go; only if there are new ones
+    # the files are read again
+    drop_partitions(spark, layout.rejected, fields.year, years)
+    if n:
+        bad = csv_records.rejected(parsed, ["__file_year"]).withColumnRenamed("__file_year", fields.year)
+        bad.write.mode("append").partitionBy(fields.year).parquet(layout.rejected)
+    return n
 
 
 def prepare(spark: SparkSession, layout: Layout, fields: Fields = DEFAULT, estimate_cost: bool = True) -> dict:
@@ -114,42 +151,38 @@ def label(
     todo = lb.unprocessed(texts, known, fields.key) if known is not None else texts
     if max_cost is not None:
         lb.check_budget(lb.request_frame(todo, fields, sectors), taxonomy.system_prompt(), max_cost)
-    todo = todo.persist()  # split into batches; a lost part is joined again
-    try:
-        lb.label_batches(todo, taxonomy, make_classifier, partial(sinks.append_labels, path=layout.labels(taxonomy)), fields, sectors=sectors, **label_kw)
-    finally:
-        todo.unpersist()
+    # the prepared table's footers tell how many texts there are at most
+    lb.label_batches(todo, taxonomy, make_classifier, partial(sinks.append_labels, path=layout.labels(taxonomy)), fields, expected=texts.count(), sectors=sectors, **label_kw)
     now = read_if_exists(spark, layout.labels(taxonomy))
     return (sinks.labelled_rows(now).count() if now is not None else 0) - before
 
 
 def merge(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, years: Iterable[int] | None = None) -> None:
     """Every landed activity with its labels (NULL where unlabelled) → ``merged``; merging
-    some years replaces them alone. A text that was built from the descriptions does not
-    pass through the join: it is built again behind it."""
+    some years replaces them alone, merging all replaces the table. A text that was built
+    from the descriptions does not pass through the join: it is built again behind it."""
     landed = ingest.read_years(spark, layout.landed, years, fields=fields)
-    acts = ensure_text_key(landed, fields)
     built = fields.text not in landed.columns
-    if built:
-        acts = acts.drop(fields.text)
+    acts = with_text_key(landed, fields) if built else ensure_text_key(landed, fields)
     labels = sinks.labelled_rows(spark.read.parquet(layout.labels(taxonomy)))
     keep = ["summary", "reasoning", *taxonomy.vocabulary, fields.purpose_code]
     # texts shared by a large share of activities are salted in the join
     hot = hot_keys(spark.read.parquet(layout.prepared), fields)
     merged = attach_labels(acts, labels, fields, label_columns=keep, hot_keys=hot)
     if built:
-        merged = with_activity_text(merged.drop(fields.key), fields)
-    sinks.write_by_year(merged, layout.merged(taxonomy), fields)
+        merged = ensure_text_key(merged, fields)
+    sinks.write_by_year(merged, layout.merged(taxonomy), fields, replace=years is None)
 
 
 def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, strict_nulls: bool = True) -> dict[str, DataFrame]:
     """Selected activities, review list and the yearly report tables (CSV, one row per
-    year). Returns the report DataFrames (backed by the checkpointed per-year summary)."""
-    merged = spark.read.parquet(layout.merged(taxonomy))
+    year), each replaced as a whole: a year without selected activities is in none of them,
+    whatever an earlier report found. Returns the report DataFrames (backed by the checkpointed per-year summary)."""
+    merged = ingest.read_years(spark, layout.merged(taxonomy), None, fields=fields)
     marked = mark(merged, taxonomy, fields)
     summary = rp.SelectionObservation(fields, f"selection{taxonomy.suffix}")
     # one scan of the merged table writes the selected activities and gathers the summary
-    sinks.write_by_year(select_marked(summary.attach(marked), taxonomy, fields), layout.selected(taxonomy), fields)
+    sinks.write_by_year(select_marked(summary.attach(marked), taxonomy, fields), layout.selected(taxonomy), fields, replace=True)
     sel = spark.read.parquet(layout.selected(taxonomy))
     # the review list is part of the selected activities
     sinks.write_table(false_negatives(sel, fields), layout.report(taxonomy, "false_negatives"))

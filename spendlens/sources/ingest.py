@@ -8,7 +8,7 @@ the yearly downloads and for files exchanged with other tools.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from spendlens._compat import ColumnOrName, as_col, qcol
 from spendlens.fields import DEFAULT, Fields
+from spendlens.sources import csv_records
+from spendlens.sources.evolve import collate, read_landed
 
 # Strings that a default pandas CSV read turns into missing values.
 NA_SENTINELS = (
@@ -38,36 +40,67 @@ CSV_READ_OPTIONS = {
     "ignoreTrailingWhiteSpace": "false",
 }
 
+# Headers asked for at a time: each is a small job that reads one line.
+HEADERS_AT_ONCE = 16
+
 # Name Spark gives to a blank header cell, i.e. a leaked row-index column.
 LEAKED_INDEX_COLUMNS = ("_c0", "Unnamed: 0")
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    """The data files under a path or pattern, by name (yearly files: a handful)."""
-    return sorted(spark.read.format("binaryFile").option("pathGlobFilter", "*").option("recursiveFileLookup", "true").load(path).inputFiles())
+def _files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """The data files under the paths or patterns, by name: path → address, as a scan's
+    ``_metadata.file_path`` gives it. Only the listing is read."""
+    found = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p).select("path", F.col("_metadata.file_path").alias("address")).collect() for p in paths]
+    return {path: address for rows in found for path, address in sorted(map(tuple, rows))}
+
+
+def _by_header(spark: SparkSession, files: Sequence[str], options: dict[str, str]) -> dict[tuple[str, ...], list[str]]:
+    """The files grouped by their header: a reader takes one header for all its files."""
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        headers = list(pool.map(lambda f: tuple(spark.read.options(**options).csv(f).columns), files))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(headers, files, strict=True):
+        out.setdefault(header, []).append(file)
+    return out
+
+
+def _without_index(df: DataFrame, drop_index: bool) -> DataFrame:
+    leaked = [c for c in df.columns if c in LEAKED_INDEX_COLUMNS] if drop_index else []
+    return df.drop(*leaked) if leaked else df
+
+
+def read_csv_records(spark: SparkSession, paths: str | Sequence[str], drop_index: bool = True) -> DataFrame:
+    """Every record of the files, all columns as strings, aligned by header name, and
+    ``csv_records.RECORD``: where the record stands in file order, its raw form, and whether
+    it has surplus cells (``csv_records.sound`` and ``rejected`` tell them apart). Quoted
+    line breaks are read right, and each file is still read by many tasks."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    files = _files(spark, paths)
+    groups = _by_header(spark, list(files), CSV_READ_OPTIONS)
+    if not groups:
+        raise ValueError(f"no CSV files at {paths}")
+    parsed = [csv_records.parse(spark, group, header, CSV_READ_OPTIONS, list(files.values())) for header, group in groups.items()]
+    return _without_index(collate(parsed), drop_index)
 
 
 def read_csv_strings(spark: SparkSession, paths: str | Sequence[str], drop_index: bool = True, multi_line: bool = True) -> DataFrame:
-    """Every column as a string, header names kept; a leaked index column is dropped.
+    """Every column as a string, header names kept, files aligned by name; a leaked index
+    column is dropped. A row with more cells than its header is an error.
 
-    ``multi_line`` (default) reads quoted fields that contain newlines, but a
-    multi-line CSV file cannot be split: one task reads each file. Files known
-    to hold no embedded newlines can pass ``multi_line=False`` and are read in
-    parallel splits.
+    ``multi_line`` (default) reads quoted fields that contain newlines, in parallel (see
+    ``csv_records``). Files known to hold none can pass ``multi_line=False``, which saves
+    the shuffles that put records together.
     """
+    if multi_line:
+        df = read_csv_records(spark, paths, drop_index)
+        r = F.col(csv_records.RECORD)
+        fail = F.raise_error(F.concat(F.lit("more cells than the header in "), r["file"], F.lit(": "), F.substring(r["record"], 1, 200)))
+        return df.where(F.when(r["surplus"], fail.cast("boolean")).otherwise(F.lit(True))).drop(csv_records.RECORD)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    options = {**CSV_READ_OPTIONS, "multiLine": "true" if multi_line else "false"}
-    # a reader takes one header for all its files: files are read by header, aligned by name
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        for file in _files(spark, path):
-            by_header.setdefault(tuple(spark.read.options(**options).csv(file).columns), []).append(file)
-    df = collate([spark.read.options(**options).csv(files) for files in by_header.values()]) if by_header else spark.read.options(**options).csv(paths)
-    if drop_index:
-        leaked = [c for c in df.columns if c in LEAKED_INDEX_COLUMNS]
-        if leaked:
-            df = df.drop(*leaked)
-    return df
+    options = {**CSV_READ_OPTIONS, "multiLine": "false"}
+    groups = _by_header(spark, list(_files(spark, paths)), options)
+    frames = [spark.read.options(**options).csv(files) for files in groups.values()]
+    return _without_index(collate(frames) if frames else spark.read.options(**options).csv(paths), drop_index)
 
 
 def normalize_nulls(df: DataFrame, columns: Iterable[str] | None = None, sentinels: Sequence[str] = NA_SENTINELS) -> DataFrame:
@@ -135,13 +168,6 @@ def scan_typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
-def collate(frames: Sequence[DataFrame]) -> DataFrame:
-    """Union-all by column name; a column missing from some frames is NULL there."""
-    if not frames:
-        raise ValueError("nothing to collate")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def read_years(
     spark: SparkSession,
     location: str,
@@ -153,10 +179,13 @@ def read_years(
     """Activities of the given years.
 
     ``location`` is either a year-partitioned table root (``.../Year=2024/``
-    layout, read once with partition pruning) or a path pattern with a
-    ``{year}`` slot, one file or folder per year, collated by name.
+    layout, read with partition pruning and the columns of all its years, see
+    ``evolve.read_landed``) or a path pattern with a ``{year}`` slot, one file or folder
+    per year, collated by name.
     """
     if "{year}" not in location:
+        if fmt == "parquet":
+            return read_landed(spark, location, years, fields)
         df = spark.read.format(fmt).load(location) if fmt != "csv" else read_csv_strings(spark, location, multi_line=multi_line)
         if years is None:
             return df
@@ -184,8 +213,9 @@ def positive_amount(df: DataFrame, amount: str | None = None, fields: Fields = D
 
 def add_ordinal(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
     """Attach an ingest ordinal once, at landing time, so first-wins dedup has a
-    stable order afterwards (rows of a file keep their file order; the value is
-    persisted with the landed table and never recomputed)."""
+    stable order afterwards; it is persisted with the landed table and never recomputed.
+    Rows read from CSV files have one already, in file order (``csv_records.ordinal``);
+    for any other input it is the order of Spark's partitions."""
     if fields.ordinal in df.columns:
         return df
     return df.withColumn(fields.ordinal, F.monotonically_increasing_id())

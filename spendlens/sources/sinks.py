@@ -18,16 +18,17 @@ CSV_WRITE_OPTIONS = {
 }
 
 
-def write_by_year(df: DataFrame, path: str, fields: Fields = DEFAULT, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_by_year(df: DataFrame, path: str, fields: Fields = DEFAULT, fmt: str = "parquet", mode: str = "overwrite", replace: bool = False) -> None:
     """Write partitioned by year (per-year files and the collated table in one write).
-    Overwriting replaces the years in ``df`` and keeps all others.
+    Overwriting replaces the years in ``df`` and keeps all others; with ``replace`` the
+    whole table is replaced, so that years without rows in ``df`` go (derived tables).
 
     The ``rebalance`` hint lets AQE size the write tasks by year: small
     partitions are coalesced and a year holding a large share of all rows is
     split over several tasks, so neither one task per year nor one file per
     (task, year) pair.
     """
-    df.hint("rebalance", fields.year).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(fields.year).format(fmt).save(path)
+    df.hint("rebalance", fields.year).write.mode(mode).option("partitionOverwriteMode", "static" if replace else "dynamic").partitionBy(fields.year).format(fmt).save(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None) -> None:

@@ -4,7 +4,7 @@ join and spreads that text's rows over several join tasks."""
 from pyspark.sql import functions as F
 
 from spendlens.fields import Fields
-from spendlens.operators.attach import SALT, attach_labels
+from spendlens.operators.attach import attach_labels
 from spendlens.operators.prepare import hot_keys, prepare_texts
 
 FX = Fields()
@@ -41,8 +41,8 @@ def test_salted_join_equals_plain_and_spreads(spark):
     # the hot text's rows land in several shuffle partitions of the join
     spread = (
         keyed.join(hot, "text_key")
-        .withColumn(SALT, F.pmod(F.xxhash64("ord"), F.col("buckets")))
-        .repartition(16, "text_key", SALT)
+        .withColumn("salt", F.pmod(F.xxhash64("ord"), F.col("buckets")))
+        .repartition(16, "text_key", "salt")
         .select(F.spark_partition_id().alias("p"))
         .distinct()
         .count()
