@@ -1,10 +1,12 @@
 """Incremental, resumable labelling as a Structured Streaming query.
 
-New activity files landing in a folder are picked up by a file stream; each
-micro-batch keeps the first row per text, drops blanks, skips texts already in
-the label table (anti-join on the text key, never collected) and appends the
-new labels. The stream checkpoint records which files were processed; the
-anti-join makes a replayed batch add nothing twice. ``availableNow`` drains
+New activity files landing in a folder are picked up by a file stream. A state store keeps
+every text key seen: a key's first row (by the order, within a micro-batch) goes on to be
+labelled, and no later row of it ever does. The state starts with the keys that the label
+table has when the stream first runs, and lives with the stream's checkpoint, so a restart
+goes on where it stopped and no micro-batch reads the label table. Each micro-batch leaves
+a mark before it labels; one that finds its mark was cut off before the stream committed
+it, and only then the texts it had already labelled are looked up. ``availableNow`` drains
 what has landed and stops, which is how a scheduled resume run works.
 """
 
@@ -13,20 +15,24 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import partial
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
+from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
 from spendlens.operators.label import unprocessed
-from spendlens.operators.prepare import prepare_texts
-from spendlens.session import work_path
+from spendlens.operators.prepare import drop_blank, ensure_text_key, prepare_texts
+from spendlens.session import ship_package, work_path
 from spendlens.sources import sinks
 
 # Files of one micro-batch: a first run over a full landing folder is many batches.
 MAX_FILES_PER_TRIGGER = 64
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool | None:
@@ -53,30 +59,86 @@ def read_if_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
         raise
 
 
+class FirstSeen(StatefulProcessor):
+    """Per key: the first row by ``order`` of the first micro-batch that has the key."""
+
+    def __init__(self, order: Sequence[str], columns: Sequence[str]):
+        self.order, self.columns = list(order), list(columns)
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N803 - Spark's names
+        self.seen.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N803 - Spark's names
+        if self.seen.exists():
+            return
+        self.seen.update((True,))
+        best = None
+        for part in rows:  # a key's rows come in parts: one of them is kept
+            part = part if best is None else pd.concat([best, part])
+            best = part.sort_values(self.order, kind="stable").iloc[:1]
+        if best is not None:
+            yield best[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def first_seen(texts: DataFrame, known: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The first row of every key of a stream, except the keys in ``known`` (key).
+
+    Before the rows are dealt by key, each Arrow batch keeps one row of a key, so a text
+    on a large share of all rows leaves its tasks as few rows.
+    """
+    ship_package(texts.sparkSession)
+    columns, order = texts.columns, list(order)
+
+    def thin(parts):
+        for part in parts:
+            yield part.sort_values(order, kind="stable").drop_duplicates(key)
+
+    thinned = texts.mapInPandas(thin, texts.schema)
+    return thinned.groupBy(key).transformWithStateInPandas(
+        FirstSeen(order, columns), texts.schema, outputMode="append", timeMode="none", initialState=known.select(key).distinct().groupBy(key)
+    )
+
+
 def label_batch_fn(
     out_path: str,
     label: Callable[[DataFrame], DataFrame] | None,
     fields: Fields = DEFAULT,
     order: Sequence[str] | None = None,
     batches: Callable[[DataFrame, Callable[[DataFrame], None]], None] | None = None,
+    marks: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: prepare → skip done keys → label → append. ``batches(texts,
-    commit)`` labels in parts that are committed one by one; ``label`` in one."""
+    """foreachBatch body: label → append. ``batches(texts, commit)`` labels in parts that are
+    committed one by one; ``label`` in one.
+
+    With ``marks`` (a folder) the rows are new texts, and the label table is read only for
+    a batch that was begun before. Without, the rows are activities as they landed: they
+    are prepared, and the texts that the label table has are skipped.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        texts = prepare_texts(batch, fields, order=order).persist()
-        try:
-            done = read_if_exists(spark, out_path)
-            if done is not None:
-                texts = unprocessed(texts, sinks.labelled_rows(done), fields.key)
-            commit = partial(sinks.append_labels, path=out_path)
-            if batches is not None:
-                batches(texts, commit)
-            else:
-                commit(label(texts))
-        finally:
-            texts.unpersist()
+        texts, again = batch, True
+        if marks is None:
+            texts = prepare_texts(batch, fields, order=order)
+        else:
+            mark = f"{marks}/{batch_id}"
+            again = read_if_exists(spark, mark) is not None
+            if not again:
+                spark.range(1).write.mode("overwrite").parquet(mark)
+        done = read_if_exists(spark, out_path) if again else None
+        if done is not None:
+            texts = unprocessed(texts, sinks.labelled_rows(done), fields.key)
+        commit = partial(sinks.append_labels, path=out_path)
+        if batches is not None:
+            batches(texts, commit)
+        else:
+            commit(label(texts))
 
     return run
 
@@ -96,21 +158,45 @@ def start_incremental_labelling(
     batches: Callable[[DataFrame, Callable[[DataFrame], None]], None] | None = None,
 ) -> StreamingQuery:
     """Start the stream; with ``available_now`` it processes everything landed, in
-    micro-batches of at most ``max_files_per_trigger`` files, and stops."""
+    micro-batches of at most ``max_files_per_trigger`` files, and stops.
+
+    Texts whose tries are exhausted are quarantined; the stream does not offer them again,
+    the batch stage (``plans.stages.label``) does.
+    """
     reader = spark.readStream.schema(source_schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.load(source_path)
-    writer = stream.writeStream.foreachBatch(label_batch_fn(out_path, label, fields, order, batches)).option(
-        "checkpointLocation", checkpoint_path
-    )
+    acts = reader.load(source_path)
+    if fields.purpose_code not in acts.columns:
+        acts = acts.withColumn(fields.purpose_code, F.lit(None).cast("string"))
+    order = list(order) if order is not None else [c for c in (fields.year, fields.ordinal) if c in acts.columns]
+    if not order:
+        raise ValueError("first-wins dedup needs an ordinal column (see sources.ingest.add_ordinal)")
+    names = [fields.key, fields.text, fields.purpose_code]
+    texts = drop_blank(ensure_text_key(acts, fields), fields.text)
+    texts = texts.select(*[qcol(c) for c in (*names, *[o for o in order if o not in names])])
+    # the state begins with the labelled texts; Spark asks for them in the first micro-batch only
+    done = None if _path_exists(spark, f"{checkpoint_path}/commits") else read_if_exists(spark, out_path)
+    known = sinks.labelled_rows(done).select(qcol(fields.key)) if done is not None else spark.createDataFrame([], f"`{fields.key}` string")
+    new = first_seen(texts, known, fields.key, order)
+    body = label_batch_fn(out_path, label, fields, order, batches, marks=f"{checkpoint_path.rstrip('/')}-begun")
+    writer = new.writeStream.outputMode("append").foreachBatch(body).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)  # state on disk: it grows with the texts
+    try:
+        return writer.start()  # the query keeps the settings it was started with
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 def run_incremental_fixture(spark: SparkSession, sf_dir: str, keywords: dict) -> DataFrame:
-    """Documents land in two drops (even ids, then the rest); the stream runs after
-    each drop with one checkpoint. Result: the label table, one row per distinct text."""
+    """Documents land in three drops (even ids, the rest, and all of them again); the
+    stream is started anew after each with one checkpoint. Result: the label table, one row
+    per distinct text."""
     from spendlens.operators.label import keyword_labels
     from spendlens.plans.fixtures import FIX, FIXTURE_TAXONOMY, LABEL_COLUMNS, table
 
@@ -121,7 +207,7 @@ def run_incremental_fixture(spark: SparkSession, sf_dir: str, keywords: dict) ->
     )
     root = work_path(spark, "stream")
     src, out, ckpt = f"{root}/landing", f"{root}/labels", f"{root}/checkpoint"
-    drops = [docs.where(F.col("activity_id") % 2 == 0), docs.where(F.col("activity_id") % 2 == 1)]
+    drops = [docs.where(F.col("activity_id") % 2 == 0), docs.where(F.col("activity_id") % 2 == 1), docs]
     schema = docs.schema
 
     def label(texts: DataFrame) -> DataFrame:
