@@ -31,7 +31,7 @@ from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
 from spendlens.session import ship_package, work_path
 from spendlens.functions.labels import keyword_classes, multi_hot, parse_response
-from spendlens.functions.text import SECTOR_SEPARATOR, cost, token_count, user_message
+from spendlens.functions.text import SECTOR_SEPARATOR, cost, request_payload, token_count, user_message
 from spendlens.sources.dimensions import sector_lookup
 from spendlens.taxonomy import Taxonomy
 
@@ -344,15 +344,20 @@ def budget(
     input_rate: float | None = None,
     output_rate: float | None = None,
     max_cost: float | None = None,
+    as_json: bool = False,
 ) -> DataFrame:
-    """One row: requests, input tokens (prompt + message per request), output tokens
-    (assumed equal), estimated cost and whether it is within ``max_cost``."""
+    """One row: requests, input tokens (prompt + message per request; ``as_json``: the JSON
+    of both, as it is sent), output tokens (assumed equal), estimated cost and whether it
+    is within ``max_cost``."""
     from spendlens.functions import text as tx
 
     ir = tx.INPUT_RATE if input_rate is None else input_rate
     orr = tx.OUTPUT_RATE if output_rate is None else output_rate
-    prompt_tokens = token_count(F.lit(system_prompt))  # folded to a constant by the optimizer
-    per_row = prompt_tokens + token_count(qcol(message))
+    if as_json:
+        per_row = token_count(request_payload(system_prompt, qcol(message)))
+    else:
+        prompt_tokens = token_count(F.lit(system_prompt))  # folded to a constant by the optimizer
+        per_row = prompt_tokens + token_count(qcol(message))
     agg = requests.agg(F.count(F.lit(1)).alias("n_requests"), F.coalesce(F.sum(per_row), F.lit(0)).cast("long").alias("input_tokens"))
     agg = agg.withColumn("output_tokens", F.col("input_tokens"))
     agg = agg.withColumn("est_cost", cost(F.col("input_tokens"), ir, orr))

@@ -189,6 +189,23 @@ def spend_long(sel: DataFrame, flags: Sequence[str], fields: Fields = DEFAULT, s
     return out.select(qcol(fields.year), F.col("r.variable").alias("variable"), F.col("r.v").alias(fields.amount), F.col("total"), F.try_divide(F.col("r.v"), F.col("total")).alias("share"))
 
 
+_TOTAL = "__total"
+
+
+def spend_melted(sel: DataFrame, flags: Sequence[str], fields: Fields = DEFAULT, strict_nulls: bool = True) -> DataFrame:
+    """The table of ``spend_long`` by the molten route: flags unpivoted (with one that is
+    always TRUE, for the totals), TRUE rows summed by year and flag, and the sums joined
+    with their year's total. The sums, a few rows a year, are checkpointed, so the
+    activities are read once for both sides of the join."""
+    checkpoint_root(sel.sparkSession)
+    long = melt_flags(sel.withColumn(_TOTAL, F.lit(True)), [*flags, _TOTAL], fields).where(F.col("flag"))
+    amount = qcol(fields.amount).cast("double")
+    sums = long.groupBy(qcol(fields.year), F.col("variable")).agg((strict_sum(amount) if strict_nulls else F.sum(amount)).alias("__sum")).checkpoint(eager=True)
+    totals = sums.where(F.col("variable") == _TOTAL).select(qcol(fields.year), F.col("__sum").alias("total"))
+    joined = sums.where(F.col("variable") != _TOTAL).join(totals, on=fields.year)
+    return joined.select(qcol(fields.year), "variable", F.col("__sum").alias(fields.amount), "total", F.try_divide("__sum", "total").alias("share"))
+
+
 def pivot_long(long: DataFrame, values: Sequence[str], value_col: str, fields: Fields = DEFAULT, variable: str = "variable") -> DataFrame:
     """Long (year, variable, value) → one row per year, one column per value in the
     given order (explicit values: no extra job to discover them). ``(year, variable)``

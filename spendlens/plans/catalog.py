@@ -23,6 +23,7 @@ from spendlens.operators.attach import attach_labels
 from spendlens.operators.marker import false_negatives, residual
 from spendlens.operators.prepare import keep_first, prepare_texts, text_funnel
 from spendlens.plans import fixtures as fx
+from spendlens.plans import stage_queries
 from spendlens.plans.fixtures import FIX, FIXTURE_TAXONOMY, LABEL_COLUMNS, table
 from spendlens.session import work_path
 from spendlens.sources import ingest, sinks
@@ -378,7 +379,7 @@ def q_location_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_spend_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    """The molten route: unpivot flags, keep TRUE, sum per (year, class), pivot back."""
+    """The long table (conditional sums) pivoted back to one column a class."""
     long = rp.spend_long(fx.selected(spark, sf), list(FIXTURE_TAXONOMY.classes), FIX)
     wide = rp.pivot_long(long, list(FIXTURE_TAXONOMY.classes), "amount", FIX)
     return wide.select("yr", *[_r2(c).alias(c) for c in FIXTURE_TAXONOMY.classes])
@@ -481,4 +482,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "staged_continuum_share": q_staged_continuum_share,
     "subsector_class_share": q_subsector_class_share,
     "subsector_location_share": q_subsector_location_share,
+    **stage_queries.QUERIES,
 }

@@ -16,6 +16,7 @@ from spendlens.plans.catalog import (
     SAMPLE_SIZE,
     TAXONOMY_KEYWORDS,
 )
+from spendlens.plans import stage_queries
 from spendlens.sources.dimensions import DEFAULT_SECTOR_NAMES
 from spendlens.taxonomy import CONTINUUM, SUBSECTORS
 
@@ -333,4 +334,6 @@ FROM sel GROUP BY yr HAVING {ANY_CLASS}""",
     "staged_continuum_share": _continuum_share(),
     "subsector_class_share": _subsector_share(),
     "subsector_location_share": _subsector_location(),
+    **stage_queries.oracle(BASE, ACTIVITIES, LAB, TOKEN, _cost),
 }
+ORACLE["spend_melted"] = ORACLE["spend_long"]

@@ -12,10 +12,12 @@ what has landed and stops, which is how a scheduled resume run works.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 from functools import partial
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,9 +102,16 @@ def first_seen(texts: DataFrame, known: DataFrame, key: str, order: Sequence[str
             yield part.sort_values(order, kind="stable").drop_duplicates(key)
 
     thinned = texts.mapInPandas(thin, texts.schema)
-    return thinned.groupBy(key).transformWithStateInPandas(
-        FirstSeen(order, columns), texts.schema, outputMode="append", timeMode="none", initialState=known.select(key).distinct().groupBy(key)
-    )
+    # Spark also starts a Python process beside the driver for this operator, which does not
+    # get shipped files: the processor goes there whole
+    here = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(here)
+    try:
+        return thinned.groupBy(key).transformWithStateInPandas(
+            FirstSeen(order, columns), texts.schema, outputMode="append", timeMode="none", initialState=known.select(key).distinct().groupBy(key)
+        )
+    finally:
+        cloudpickle.unregister_pickle_by_value(here)
 
 
 def label_batch_fn(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from spendlens.fields import Fields
 from spendlens.operators import report as rp
 from spendlens.operators.label import unprocessed
-from spendlens.operators.prepare import keep_first, prepare_texts
+from spendlens.operators.attach import attach_labels
+from spendlens.operators.prepare import keep_first, prepare_texts, with_text_key
 from spendlens.plans import fixtures as fx
 from spendlens.plans.catalog import QUERIES
 from spendlens.sources import ingest, sinks
@@ -70,3 +71,20 @@ def test_label_join_moves_keys_not_texts(spark):
     exchanges = [l for l in p.splitlines() if "Exchange hashpartitioning(text_key" in l]
     assert exchanges  # the join shuffles on the key ...
     assert "txt" not in optimized(QUERIES["class_share"](spark, SF_SMALL))  # ... the text is read only to be hashed
+
+
+def test_attach_reads_the_activities_once(spark):
+    p = plan(QUERIES["attach_labels"](spark, SF_SMALL))
+    assert p.count("/orders.parquet") == 1 and "Union" not in p
+    hot = spark.createDataFrame([("k", 3)], "text_key string, buckets int")
+    salted = attach_labels(fx.activities(spark, SF_SMALL), fx.lab(spark, SF_SMALL), fx.FIX, fx.LABEL_COLUMNS, dedupe=False, hot_keys=hot)
+    assert plan(salted).count("/orders.parquet") == 1
+
+
+def test_stored_keys_are_counted_without_the_texts(spark, tmp_root):
+    df = spark.createDataFrame([(1, 2024, "a text")], "ord long, Year int, LongDescription string")
+    sinks.write_by_year(with_text_key(df), tmp_root)
+    o = optimized(prepare_texts(ingest.read_years(spark, tmp_root, None)))
+    assert "sha2" not in o  # no text is hashed again
+    counted = [l for l in plan(prepare_texts(ingest.read_years(spark, tmp_root, None))).splitlines() if "ReadSchema: struct<text_key:string>" in l]
+    assert counted
