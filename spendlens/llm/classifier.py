@@ -9,13 +9,16 @@ number a bucket: the vector's product with the output's difference of classes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens._compat import qcol
-from spendlens.llm.common import U64, _BYTE, _power_tables, crc_mod, id_text, map_arrow, slices, utf8, word_hashes
+from spendlens.llm.common import U64, _BYTE, _power_tables, crc_mod, id_text, lean, map_arrow, slices, utf8, word_hashes
+from spendlens.session import ship_package
 
 BITS = 17
 DIM = 8
@@ -136,21 +139,28 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", out: str =
     """``df`` with ``out``: the probability of class 1 for every whole text.
 
     Null and empty texts have only the feature for that, taught as class 0. Rows are
-    independent; a column of that name in the input is replaced, others pass through.
+    independent; a column of that name in the input is replaced, others pass through. Only
+    the text goes to Python, and only the score comes back, whatever the other columns
+    hold; very long texts are scored whole, a slice of a batch at a time.
     """
-    keep = [c for c in df.columns if c != out]
-    at, w = keep.index(text_col), np.asarray(weights, np.float32)
+    ship_package(df.sparkSession)
+    w = np.asarray(weights, np.float32)
     bits = int(len(w) - 1).bit_length()
-    d = df.select(*map(qcol, keep))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema), f"`{out}` double"])
-
-    def run(batches):
-        for b in slices(batches, text_col):
-            ids, owner = feature_ids(*utf8(b.column(at)), bits)
-            total = np.bincount(owner, w[ids], b.num_rows) / np.bincount(owner, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -60, 60))))], names=[*keep, out])
 
-    return map_arrow(d, run, schema)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean()
+        for t in texts:
+            parts = []
+            for b in slices([pa.RecordBatch.from_arrays([t], names=["text"])], "text"):
+                ids, owner = feature_ids(*utf8(b.column(0)), bits)
+                total = np.bincount(owner, w[ids], b.num_rows) / np.bincount(owner, minlength=b.num_rows)
+                parts.append(1 / (1 + np.exp(-np.clip(total, -60, 60))))
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+        lean()
+
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    scored = F.arrow_udf(run, "double")(F.coalesce(qcol(text_col), F.lit("")))
+    return df.select(*[qcol(c) for c in df.columns if c != out], scored.alias(out))
 
 
 def op6_quality_classifier(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

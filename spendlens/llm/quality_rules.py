@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spendlens._compat import qcol
 from spendlens.llm.common import WHITE, WORD_BREAK, staged
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # a power of two
 # Mean ln ratio from which a text is kept: a little under 0 (as likely among trusted texts as
 # in the corpus), since clean texts with rare words lie just below it and junk far below.
 THRESHOLD = -0.15
@@ -41,27 +41,27 @@ def _chars(text: Column) -> Column:
 
 def _with_words(df: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(qcol(text_col), F.lit(""))
-    return df.withColumn("_text", text).withColumn("_words", words_of(F.col("_text"))).withColumn("_n", F.size("_words"))
+    words = df.withColumn("_text", text).withColumn("_words", words_of(F.col("_text"))).withColumn("_n", F.size("_words"))
+    return words.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))  # once for all that follows
 
 
-def _one(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+def _one(word_hash: Column, buckets: int) -> Column:
+    return word_hash.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
 def _two(a: Column, b: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")
+    return F.xxhash64(a, b).bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
 def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
     A null or blank text has all counts 0 (symbols of a blank text: 0 too) and fails.
-    Equal 5-word windows are found by their 64-bit hashes within the text; texts of any
+    Equal 5-word windows are found by 64-bit hashes of their words' hashes; texts of any
     length are taken whole, in one row, without a shuffle.
     """
     d = _with_words(df, text_col)
-    word = F.col("_words")
-    at = lambda i: F.get(word, i)
+    at = lambda i: F.get(F.col("_hashes"), i)
     d = d.withColumn("_win", F.transform(_indexes(F.col("_n") - (WINDOW - 1)), lambda i: F.xxhash64(*[at(i + k) for k in range(WINDOW)])))
     repeated = F.size(F.array_distinct("_win")) < F.size("_win")
     # windows in the order of their hashes, so that equal ones are neighbours
@@ -79,7 +79,7 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return (
         d.withColumn("n_words", F.col("_n").cast("bigint"))
         .withColumn("word_chars", _chars(F.translate("_text", WHITE, "")))
-        .withColumn("n_symbols", _chars(F.col("_text")) - _chars(F.translate("_text", SYMBOLS, "")))
+        .withColumn("n_symbols", _chars(F.col("_text")) - _chars(F.regexp_replace("_text", f"[{SYMBOLS}]+", "")))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
         .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint"))
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
@@ -92,7 +92,7 @@ def gram_counts(df: DataFrame, trusted_flag: str, text_col: str = "text", bucket
     each task before the shuffle."""
     d = _with_words(df, text_col)
     word = F.col("_words")
-    singles = F.transform(word, lambda w: _one(w, buckets))
+    singles = F.transform("_hashes", lambda h: _one(h, buckets))
     pairs = F.transform(_indexes(F.col("_n") - 1), lambda i: _two(F.get(word, i), F.get(word, i + 1), buckets))
     grams = d.select(F.col(trusted_flag).cast("int").alias("_t"), F.explode(F.concat(singles, pairs)).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("corpus"), F.sum("_t").alias("trusted"))
@@ -111,16 +111,14 @@ def gram_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR)
 
 
 def mean_ratio(df: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` (with _words and _n) with ``llr``: the mean ln ratio of the text's n-grams,
+    """``df`` (with _words, _hashes and _n) with ``llr``: the mean ln ratio of the text's n-grams,
     0 for a text without words. ``ratios`` is one row of ``buckets`` numbers, put in as a
     constant array."""
     known = ratios.select(F.to_json(F.transform("ratio", lambda r: F.round(r, 5)))).first()[0]
     word, ratio = F.col("_words"), F.from_json(F.lit(known), "array<double>")
-    total = F.aggregate(
-        _indexes(F.col("_n")),
-        F.lit(0.0),
-        lambda a, i: a + F.get(ratio, _one(F.get(word, i), buckets)) + F.when(i + 1 < F.col("_n"), F.get(ratio, _two(F.get(word, i), F.get(word, i + 1), buckets))).otherwise(0.0),
-    )
+    singles = F.aggregate("_hashes", F.lit(0.0), lambda a, h: a + F.get(ratio, _one(h, buckets)))
+    pairs = F.aggregate(_indexes(F.col("_n") - 1), F.lit(0.0), lambda a, i: a + F.get(ratio, _two(F.get(word, i), F.get(word, i + 1), buckets)))
+    total = singles + pairs
     return df.withColumn("llr", F.when(F.col("_n") == 0, 0.0).otherwise(total / (2 * F.col("_n") - 1)))
 
 
@@ -130,15 +128,15 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def flag_trusted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text and _trusted of every row. The join is by id, broadcast only where the ids
-    measure small; rows without id are dealt by a salt that no trusted id has, so that they
+    """text and _trusted of every row. The join is by id and moves the texts once, at every
+    size alike; rows without id are dealt by a salt that no trusted id has, so that they
     do not meet in one task."""
     own = qcol(id_col).cast("bigint")
     rows = df.select(own.alias("_id0"), qcol(text_col).alias("text"))
     rows = rows.withColumn("_salt", F.when(F.col("_id0").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20))).otherwise(F.lit(-1).cast("bigint")))
     rows = rows.withColumn("_id0", F.coalesce("_id0", "_salt"))
     ids = trusted_ids(labels).withColumn("_good", F.lit(-1).cast("bigint"))
-    return rows.join(ids, (F.col("_id0") == F.col("_id")) & (F.col("_salt") == F.col("_good")), "left").select("text", F.col("_id").isNotNull().alias("_trusted"))
+    return rows.join(ids.hint("merge"), (F.col("_id0") == F.col("_id")) & (F.col("_salt") == F.col("_good")), "left").select("text", F.col("_id").isNotNull().alias("_trusted"))
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
@@ -151,10 +149,10 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     decide. Columns of the input named like the results are replaced.
     """
     ratios = gram_ratios(staged(gram_counts(flag_trusted(df, labels, id_col, text_col), "_trusted"), "quality-grams"))
-    own = {"_words", "_n", "llr", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"}
+    own = {"_words", "_hashes", "_n", "llr", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"}
     scored = mean_ratio(base_counts(df.select(*[qcol(c) for c in df.columns if c not in own]), text_col), ratios)
     scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    own -= {"_words", "_n"}
+    own -= {"_words", "_hashes", "_n"}
     return staged(scored.select(*[qcol(c) for c in (df.columns if carry is None else carry) if c not in own], *sorted(own)), "quality-verdicts")
 
 

@@ -137,3 +137,36 @@ def test_near_copies_from_080_on_go(spark):
     for s in (minhash.AT_80, minhash.AT_85):  # a pair at the threshold is found
         p = s.percent / 100
         assert (1 - p**s.rows) ** s.bands <= 1.1e-6 and s.estimate <= p - 6 * math.sqrt(p * (1 - p) / s.places)
+
+
+def test_repeated_and_missing_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    text = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, text), (3, other), (3, "third text of its own " * 3), (None, other + " end"), (None, "alone with no id " * 4), (None, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, `a.b` string")
+    left = [(r.doc_id, r.text) for r in cp.keep_one_of_near(spark, docs, "").collect()]
+    assert Counter(t for _, t in left if t in (text, other, other + " end")) in (Counter([text, other]), Counter([text, other + " end"]))
+    assert (2, text) in left  # the one id that one row has
+    assert (3, "third text of its own " * 3) in left and (None, "alone with no id " * 4) in left
+    assert sorted(left, key=str).count((4, "")) == 2 and (None, None) in left and len(left) == 7
+
+
+def test_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    none = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = cp.run(spark, str(tmp_path))
+    assert out.count() == 0 and "sequence_id" in out.columns
+
+
+def test_scores_come_back_alone(spark):
+    """The texts are not part of what Python returns, and odd columns pass through."""
+    docs = spark.createDataFrame([(1, "some text", b"x", [1]), (2, None, None, None)], "doc_id bigint, text string, `b.c` binary, score array<int>")
+    w = np.linspace(-1, 1, 1 << classifier.BITS).astype(np.float32)
+    out = classifier.score(docs, w)
+    assert out.columns == ["doc_id", "text", "b.c", "score"] and "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert all(0 <= r.score <= 1 for r in out.collect())
