@@ -3,7 +3,8 @@ near-duplicate group stays, and the rest is packed into training sequences.
 
 Each stage works on all rows that the one before kept, as written Parquet. All but the
 last return the columns of ``documents`` as they came, extra ones included. Rows with
-null texts are judged as empty texts; rows with null ids are linked with nothing.
+null texts are judged as empty texts. Repeated rows and ties are judged alike, very long
+texts are read whole, and an empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -38,10 +39,25 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each near-duplicate group (similarity from 0.80 on)."""
-    groups = minhash.near_groups(docs, near=minhash.AT_80)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each near-duplicate group (similarity from 0.80 on): that of its least id.
+
+    Rows without id, and rows that share one, take part each by itself: of copies of one
+    text under one id, or under none, one row stays. They get numbers above all ids, so in a
+    group of such rows and others the least id of the others stays; in a group of such rows
+    alone, any of them. Empty and blank texts are linked with nothing and all stay; very
+    long texts are compared whole. An empty table stays empty.
+    """
+    rows = docs.withColumn("_row", F.col("doc_id").cast("bigint"))
+    odd = staged(docs.groupBy(F.col("doc_id").alias("_odd")).agg(F.count("*").alias("_n")).filter("_n > 1 or _odd is null").select("_odd"), "pipeline-odd-ids")
+    if not odd.isEmpty():
+        above = max(docs.agg(F.max("doc_id")).first()[0] or 0, 0) + 1
+        same = F.col("doc_id").eqNullSafe(F.col("_odd"))
+        again = docs.join(odd, same, "left_semi").withColumn("_row", F.lit(above) + F.monotonically_increasing_id())
+        # numbered once and written, so that they are the same wherever they are read
+        rows = rows.join(odd, same, "left_anti").unionByName(staged(again, "pipeline-odd-rows"))
+    groups = minhash.near_groups(rows, id_col="_row", near=minhash.AT_80)
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
