@@ -29,6 +29,8 @@ EPOCHS = 6
 RATE = 30.0
 # Buckets of the features that are not hashed.
 EMPTY, AGAIN = 0, 1
+# Bytes of text that are worked on at a time: a worker holds some fifty times as many.
+_SLICE = 1 << 19
 _SPREAD = U64(0x9FB21C651E98DF25)
 
 
@@ -116,7 +118,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: st
     rows = id_text(df, id_col, text_col).join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "text")
 
     def read(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", _SLICE):
             found = bags(*utf8(b.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([x.astype("<i4").tobytes() for x, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())],
@@ -151,7 +153,7 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", out: str =
         lean()
         for t in texts:
             parts = []
-            for b in slices([pa.RecordBatch.from_arrays([t], names=["text"])], "text"):
+            for b in slices([pa.RecordBatch.from_arrays([t], names=["text"])], "text", _SLICE):
                 ids, owner = feature_ids(*utf8(b.column(0)), bits)
                 total = np.bincount(owner, w[ids], b.num_rows) / np.bincount(owner, minlength=b.num_rows)
                 parts.append(1 / (1 + np.exp(-np.clip(total, -60, 60))))

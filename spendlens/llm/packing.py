@@ -105,17 +105,18 @@ def _words(path: str) -> WordIds:
     return _open[path]
 
 
-def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = _SLICE) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32.
 
     A document is its text's ids and ``end_id``, so a null or empty text has one piece
     of length 1. Only documents longer than ``capacity`` are cut, every ``capacity``
-    ids. Repeated rows have pieces of their own.
+    ids. Repeated rows have pieces of their own. A worker takes ``slice_bytes`` of text at
+    a time, and some sixty times as many of memory.
     """
 
     def run(batches):
         tool, end = _words(path), pack("<I", end_id)
-        for b in slices(batches, "text", _SLICE):
+        for b in slices(batches, "text", slice_bytes):
             ids, ends = tool.encode_array(b.column(1))
             rows: list[tuple] = []
             for doc, a, z in zip(b.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
@@ -338,7 +339,7 @@ def pack_pieces(cut: DataFrame, capacity: int = 2048, groups: int = GROUPS) -> D
     return map_arrow(ranked.select(*cut.columns, F.col("length").alias("_length"), F.col("rank").cast("bigint").alias("_rank")), run, schema)
 
 
-def op4_packing(documents: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
+def op4_packing(documents: DataFrame, path: str, capacity: int = 2048, slice_bytes: int = _SLICE) -> DataFrame:
     """All documents in sequences of at most ``capacity`` tokens: one row a piece.
     An empty table has no pieces and no sequences; equal documents are all packed."""
-    return pack_pieces(staged(pieces(documents, path, capacity), "pack-pieces"), capacity)
+    return pack_pieces(staged(pieces(documents, path, capacity, slice_bytes=slice_bytes), "pack-pieces"), capacity)

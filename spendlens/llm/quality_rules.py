@@ -65,9 +65,9 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.withColumn("_win", F.transform(_indexes(F.col("_n") - (WINDOW - 1)), lambda i: F.xxhash64(*[at(i + k) for k in range(WINDOW)])))
     repeated = F.size(F.array_distinct("_win")) < F.size("_win")
     # windows in the order of their hashes, so that equal ones are neighbours
-    d = d.withColumn("_sorted", F.when(repeated, F.array_sort(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    d = d.withColumn("_sorted", F.when(repeated, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda k, x: F.coalesce(F.get(F.col("_sorted"), k)["h"] == x["h"], F.lit(False))
-    d = d.withColumn("_places", F.array_sort(F.filter(F.transform("_sorted", lambda x, k: F.when(same(k - 1, x) | same(k + 1, x), x["i"])), lambda p: p.isNotNull())))
+    d = d.withColumn("_places", F.sort_array(F.filter(F.transform("_sorted", lambda x, k: F.when(same(k - 1, x) | same(k + 1, x), x["i"])), lambda p: p.isNotNull())))
     covered = F.aggregate(
         "_places",
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
@@ -136,7 +136,7 @@ def flag_trusted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     rows = rows.withColumn("_salt", F.when(F.col("_id0").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20))).otherwise(F.lit(-1).cast("bigint")))
     rows = rows.withColumn("_id0", F.coalesce("_id0", "_salt"))
     ids = trusted_ids(labels).withColumn("_good", F.lit(-1).cast("bigint"))
-    return rows.join(ids.hint("merge"), (F.col("_id0") == F.col("_id")) & (F.col("_salt") == F.col("_good")), "left").select("text", F.col("_id").isNotNull().alias("_trusted"))
+    return rows.join(ids.hint("shuffle_hash"), (F.col("_id0") == F.col("_id")) & (F.col("_salt") == F.col("_good")), "left").select("text", F.col("_id").isNotNull().alias("_trusted"))
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from spendlens.llm.byte_bpe import op3_byte_bpe
 from spendlens.llm.chat import op9_chat
 from spendlens.llm.classifier import op6_quality_classifier
 from spendlens.llm.common import table
-from spendlens.llm.fingerprints import op8_fingerprints
+from spendlens.llm.fingerprints import fingerprint_groups, op8_fingerprints
 from spendlens.llm.html_extract import op10_html
 from spendlens.llm.licenses import op13_license_scans
 from spendlens.llm.lm import op7_lm_scores
@@ -56,6 +56,11 @@ def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def q_fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op8: groups of near texts by banded, verified fingerprints."""
+    return fingerprint_groups(table(spark, sf_dir, "documents"))
+
+
 def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_chat(table(spark, sf_dir, "conversations"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": q_op6,
     "op7_lm_scores": q_op7,
     "op8_fingerprints": q_op8,
+    "fingerprint_groups": q_fingerprint_groups,
     "op9_chat": q_op9,
     "op10_html": q_op10,
     "op11_ranked_search": q_op11,

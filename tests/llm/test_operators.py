@@ -2,10 +2,12 @@
 tables and clashing column names, against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -271,6 +273,73 @@ def test_fingerprints(docs, nothing, spark):
     assert fingerprints.with_next(many).filter("not ghost").count() == 5000
 
 
+def test_fingerprint_is_the_walk_step_by_step():
+    """The definition, one step at a time: emit the character under the pointer, then move
+    on if the bit of (step, class of the character) says so."""
+    bits = np.unpackbits(np.random.default_rng(20).integers(0, 256, fingerprints.PERIOD * fingerprints.CLASSES // 8, np.uint8)).reshape(fingerprints.PERIOD, fingerprints.CLASSES)
+    kinds, symbols = fingerprints._characters()
+    texts = ["a", "ab" * 30, BASE, LONG[:3000], "é漢字 😀 " * 20]
+    for text, got in zip(texts, fingerprints.fingerprints(texts), strict=True):
+        emitted, at, step = [], 0, 0
+        while at < len(text):
+            c = ord(text[at])
+            emitted.append(chr(symbols[c]))
+            stay = 1
+            while not bits[(step + stay - 1) % fingerprints.PERIOD][kinds[c]] and stay < 255:
+                emitted.append(chr(symbols[c]))
+                stay += 1
+            step, at = step + stay, at + 1
+        steps = fingerprints.sample_steps(len(emitted) - 1)
+        assert got == "".join(emitted[j] for j in steps if j < len(emitted))
+
+
+def test_fingerprint_groups_against_all_pairs(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu", "sta") for b in ("r", "nd", "x", "tion", "el")]
+    rows = []
+    for k in range(60):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(20, 200)))
+        rows.append((10 * k, text))
+        for j in range(1, rng.randint(1, 4)):
+            text = list(text)
+            for _ in range(rng.randint(1, max(1, len(text) // 60))):
+                text[rng.randrange(len(text))] = rng.choice("abcdefgh ")
+            rows.append((10 * k + j, text := "".join(text)))
+    rows += [(5000, rows[0][1]), (5000, rows[0][1]), (None, rows[3][1]), (None, "nobody else's text"), (5001, ""), (5002, None), (5003, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, fingerprint string, component_id int").repartition(4)
+    got = fingerprints.near_groups(docs).collect()
+    assert len(got) == len(rows)
+    known = [(i, t) for i, t in rows if t]
+    prints = dict(zip([t for _, t in known], fingerprints.fingerprints([t for _, t in known]), strict=True))
+    best, rep = {}, {}
+    for i, t in known:
+        if i is not None:
+            rep[prints[t]] = min(i, rep.get(prints[t], i))
+    links = [(a, b) for fa, a in rep.items() for fb, b in rep.items() if a < b and fingerprints.likeness(fa, fb) >= fingerprints.LIKE]
+    best = {a: a for a in rep.values()}
+    for _ in best:
+        for a, b in links:
+            best[a] = best[b] = min(best[a], best[b])
+    found = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    same = sum(found[b] == best[a] for a, b in links)
+    assert len(links) > 40 and same >= 0.9 * len(links)  # recall; in fact nearly all
+    wrong = [i for i, t in known if i is not None and found[i] < best[rep[prints[t]]]]
+    assert not wrong  # nothing is linked that is not near
+    assert {r.component_id for r in got if r.doc_id in (5001, 5002, 5003)} == {5001, 5002, 5003}
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == sorted(["None", str(found[rows[3][0]])])
+    assert fingerprints.near_groups(docs.limit(0)).count() == 0
+
+
+def test_links_between_members_that_share_a_hub(spark):
+    """Two texts near each other, in buckets whose least id is near to neither."""
+    known = spark.createDataFrame([(1, "A" * 64), (2, "B" * 64), (3, "B" * 60 + "C" * 4)], "rep bigint, fingerprint string")
+    banded = spark.createDataFrame([(i, 7) for i in (1, 2, 3)], "rep bigint, key bigint")
+    assert fingerprints.hub_pairs(known, banded, 0.8).count() == 0
+    roots = known.select("rep", F.col("rep").alias("comp"))
+    for block in (256, 1):
+        assert [tuple(r) for r in fingerprints.cross_links(known, banded, roots, 0.8, block).distinct().collect()] == [(2, 3)]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi ### x: </turn>\n"), (1, 1, "assistant", None), (2, 0, "system", "a\\"), (2, 1, "assistant", "\\### <b> \\"), (2, 2, "user", ""), (3, None, None, "t"), (3, None, None, "t"), (None, 0, "assistant", "n")]
     conv = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("tree", F.lit(1))
