@@ -19,6 +19,9 @@ from spendlens.llm.common import staged, table
 # Classifier score from which a document is kept, as in its own query.
 MIN_SCORE = 0.3
 SEQUENCE = 2048
+# Text that a packing worker takes at a time; smaller than in its own query, since the
+# earlier stages have grown the executors.
+SLICE_BYTES = 1 << 19
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that stay, in sequences of at most SEQUENCE tokens."""
-    return packing.op4_packing(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE)
+    return packing.op4_packing(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE, SLICE_BYTES)
 
 
 STAGES = [
