@@ -28,7 +28,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Their content is no text of the page.
-SILENT_TAGS = frozenset("script style template head title noscript iframe object svg math select option textarea button datalist canvas audio video".split())
+SILENT_TAGS = frozenset("script style template head title noscript iframe object svg annotation annotation-xml select option textarea button datalist canvas audio video".split())
 # What a head may hold; any other start tag, or text of its own, ends a head left open.
 HEAD_TAGS = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -44,6 +44,8 @@ ASIDE_WORDS = frozenset(
     "subscribe subscription signup login register search share sharing social related recommended recommendations comment comments commentlist disqus reply replies "
     "discussion respond pagination pager toolbar copyright legal skip hidden".split()
 )
+# Of these, the words that a section of an article may be about.
+TOPIC_WORDS = frozenset("discussion legal register search notice notices copyright promotion consent".split())
 MAIN_WORDS = frozenset("article articlebody content main post entry story body text".split())
 # Evidence of the page's structure, in the classifier's units (ln odds).
 ASIDE, MAIN, OUTSIDE, ARTICLE_HEADER, MAIN_WORD, PROSE = -12.0, 6.0, -6.0, -1.0, 2.0, 1.5
@@ -134,8 +136,8 @@ class _Reader(HTMLParser):
         elif tag in ASIDE_TAGS or role in ASIDE_ROLES or "hidden" in a or a.get("aria-hidden") == "true":
             aside = True
         named = words & ASIDE_WORDS
-        if tag in ("html", "body", "main") or role == "main" or (tag == "section" and inner and len(named) == 1):
-            named = set()  # a section of an article may be about any of these words
+        if tag in ("html", "body", "main") or role == "main" or (tag == "section" and inner and len(named) == 1 and named <= TOPIC_WORDS):
+            named = set()
         if named and aside is not True:  # the outermost element outside an article, by its number
             aside = "word" if main else aside if type(aside) is int else -(self.count + 1)
         elif words & MAIN_WORDS:
@@ -343,7 +345,10 @@ def main_text(html: str | None, weights) -> str:
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = FIT_PAGES) -> np.ndarray:
     """The block classifier, from at most ``most`` pages: blocks in an article against
     blocks in menus, footers and other asides. Without such pages: the prior weights."""
-    sample = pages.select(qcol(id_col).alias("page_id"), qcol(html_col).alias("html")).filter("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(most)
+    rows = pages.select(qcol(id_col).alias("page_id"), qcol(html_col).alias("html")).filter("html is not null").withColumn("k", F.xxhash64("page_id", "html"))
+    # the sample is drawn from hashes; only its pages are then read whole, once each
+    drawn = F.broadcast(rows.select("k").distinct().orderBy("k").limit(most))
+    sample = rows.join(drawn, "k", "left_semi").dropDuplicates(["k"]).select("page_id", "html")
     k = len(PRIOR)
 
     def run(batches):

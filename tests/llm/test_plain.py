@@ -182,3 +182,17 @@ def test_main_text_in_layouts_named_after_their_sidebar():
 
 def test_chat_escapes_are_one_to_one():
     assert re.search(r"\\#", chat.TURN_END) is None
+
+
+@pytest.mark.parametrize("name", ["comments", "related", "newsletter", "share", "advert", "comment", "sidebar"])
+def test_sections_of_forbidden_kinds_go(name):
+    prose = "".join(f"<p>The main text goes on, as it does, in sentence {i} of this article.</p>" for i in range(6))
+    page = f'<html><body><article>{prose}<section id="{name}"><p>I liked this text, a lot, as I said before.</p></section></article></body></html>'
+    text = html_extract.main_text(page, html_extract.PRIOR)
+    assert "sentence 5" in text and "liked" not in text
+
+
+def test_formulas_stay():
+    page = "<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b in TeX</annotation></math> is what we look for, as said.</p></article>"
+    text = html_extract.main_text(page, html_extract.PRIOR)
+    assert "a+b is what we look for" in text and "TeX" not in text
