@@ -99,6 +99,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_near_duplicates": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+win AS (
+  SELECT doc_id, i, n, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle
+  FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+full_sets AS (SELECT doc_id, list_sort(list(DISTINCT shingle)) AS shingles FROM win WHERE i <= greatest(n - 4, 1) GROUP BY doc_id),
+s AS (SELECT doc_id, coalesce(shingles, []) AS shingles FROM documents LEFT JOIN full_sets USING (doc_id)),
+class AS (SELECT shingles, min(doc_id) AS rep, CAST(len(shingles) AS BIGINT) AS n FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+place AS (SELECT rep, n, unnest(shingles) AS shingle FROM class),
+link AS (
+  SELECT a.rep AS x, b.rep AS y FROM place a JOIN place b
+    ON a.shingle = b.shingle AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (
+  SELECT rep, rep AS other FROM class
+  UNION
+  SELECT reach.rep, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.other),
+component AS (SELECT rep, min(other) AS component_id FROM reach GROUP BY rep),
+named AS (SELECT class.shingles, component.component_id FROM class JOIN component ON class.rep = component.rep)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(named.component_id, s.doc_id) AS component_id,
+       coalesce(named.component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN named ON s.shingles = named.shingles""",
+    "op9_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM c),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns,
+         coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss,
+         sum(length('### ' || regexp_replace(role, '([\\#<:])', '\\\1', 'g') || ': ' || regexp_replace(text, '([\\#<])', '\\\1', 'g') || ' </turn>' || chr(10))) AS chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(chars AS BIGINT) AS formatted_chars
+FROM g""",
     "op11_ranked_search": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
