@@ -11,6 +11,9 @@ and the whole fingerprints verify them.
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,10 @@ LIKE = 0.8
 # Members of a bucket that are compared in one group; larger ones go block by block.
 BLOCK = 256
 SLICE_CHARS = 6_000_000
+# Ranges of ids at most; of more than RANGES * 2000 rows, each range holds more.
+RANGES = 1 << 16
+# The least long: the place of a null id, and where the hashes begin.
+NO_HASH = -(1 << 63)
 _tables: dict = {}
 
 
@@ -115,30 +122,43 @@ def likeness(a: str, b: str) -> float:
 # ------------------------------------------------------------------- next documents
 
 
+def _cuts(ids: DataFrame, n: int, k: int) -> list[tuple[int, int]]:
+    """k - 1 ascending places (id, text hash) that cut the rows into about equal ranges. An
+    id so frequent that several quantiles fall on it is cut by its texts' hashes."""
+    found = sorted(int(c) for c in ids.approxQuantile("k", [i / k for i in range(1, k)], 0.2 / k)) if n and k > 1 else []
+    cuts = []
+    for c in sorted(set(found)):
+        times = bisect_right(found, c) - bisect_left(found, c)
+        cuts += [(c, NO_HASH + (i << 64) // times) for i in range(times)]
+    return cuts
+
+
 def with_next(df: DataFrame, buckets: int | None = None) -> DataFrame:
     """``df`` (doc_id, text) dealt into ranges of doc_id, each followed by a copy (ghost)
-    of the row that comes next after it: columns bucket, ghost, doc_id, text.
+    of the row that comes next after it: columns bucket, ghost, k, h, doc_id, text, where
+    (k, h) is the order of the rows: the id (a null id first), then a hash of the text.
 
-    The ranges come from quantiles of the ids, a bounded number; only ids are read for
-    them. The last range is followed by the first row of all. A null id comes first.
+    The ranges come from quantiles of the ids, RANGES at most; rows of one frequent id lie
+    in several ranges. The last range is followed by the first row of all.
     """
-    low = -(1 << 63)
-    ids = df.select(F.coalesce("doc_id", F.lit(low)).alias("k"))
-    n = ids.count()
-    k = buckets or min(1024, 1 << max(0, (n // 2000).bit_length()))
-    cuts = sorted({int(c) for c in ids.approxQuantile("k", [i / k for i in range(1, k)], 0.2 / k)}) if n and k > 1 else []
-    cuts = (cuts + [(1 << 63) - 1] * k)[: k - 1]
+    rows = df.select(F.coalesce("doc_id", F.lit(NO_HASH)).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    n = rows.count()
+    k = buckets or min(RANGES, 1 << max(0, (n // 2000).bit_length()))
+    cuts = (_cuts(rows.select("k"), n, k) + [(-NO_HASH - 1, -NO_HASH - 1)] * k)[: k - 1]
     bucket = F.lit(0)
-    if k > 1:  # binary search: how many cuts lie at or below the id
+    if k > 1:  # binary search: how many cuts lie at or below the row
         steps = F.array(*[F.lit(k >> (i + 1)) for i in range(k.bit_length() - 1)])
-        array = F.from_json(F.lit(str(cuts)), "array<bigint>")
-        bucket = F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.get(array, p + s - 1) <= F.col("k"), p + s).otherwise(p))
-    firsts = sorted((r["k"], r["bucket"]) for r in ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.min("k").alias("k")).collect())
-    before = {first: firsts[i - 1][1] for i, (first, _) in enumerate(firsts)}  # the first's is the last bucket
-    d = df.select(F.col("doc_id"), "text", F.coalesce("doc_id", F.lit(low)).alias("k")).withColumn("bucket", bucket)
-    follow = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(low), F.lit(0))
-    places = F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("ghost")), F.when(follow[F.col("k")].isNotNull(), F.struct(follow[F.col("k")].alias("bucket"), F.lit(True).alias("ghost")))))
-    return d.select("k", "doc_id", "text", F.explode(places).alias("at")).select("at.bucket", "at.ghost", "k", "doc_id", "text")
+        places = F.from_json(F.lit(json.dumps([{"k": c, "h": h} for c, h in cuts])), "array<struct<k: bigint, h: bigint>>")
+        bucket = F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.get(places, p + s - 1) <= F.struct("k", "h"), p + s).otherwise(p))
+    rows = rows.withColumn("bucket", bucket)
+    firsts = sorted((r["first"]["k"], r["first"]["h"], r["bucket"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("k", "h")).alias("first")).collect())
+    known: list[dict | None] = [None] * k
+    for i, (first, h, own) in enumerate(firsts):
+        known[own] = {"k": first, "h": h, "before": firsts[i - 1][2]}  # before the first is the last range
+    first = F.get(F.from_json(F.lit(json.dumps(known)), "array<struct<k: bigint, h: bigint, before: int>>"), F.col("bucket"))
+    begins = (first["k"] == F.col("k")) & (first["h"] == F.col("h"))
+    places = F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("ghost")), F.when(begins, F.struct(first["before"].alias("bucket"), F.lit(True).alias("ghost")))))
+    return rows.select("k", "h", "doc_id", "text", F.explode(places).alias("at")).select("at.bucket", "at.ghost", "k", "h", "doc_id", "text")
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,12 +166,12 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     start of the next document's), fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts count as empty; the empty text has the empty fingerprint. Rows of one id
-    go by text, so the next document of a repeated row is the repetition. A single
+    go by a hash of their text, so the next document of a repeated row is the repetition. A single
     document is its own next one. Very long texts are walked whole.
     """
     d = df.select(qcol(id_col).cast("bigint").alias("doc_id"), F.coalesce(qcol(text_col), F.lit("")).alias("text"))
     dealt = with_next(d)
-    rows = dealt.repartition("bucket").sortWithinPartitions("bucket", "ghost", "k", "text").select("bucket", "ghost", "doc_id", "text")
+    rows = dealt.repartition("bucket").sortWithinPartitions("bucket", "ghost", "k", "h", "text").select("bucket", "ghost", "doc_id", "text")
 
     def told(block: list[tuple]) -> pa.RecordBatch:
         pairs = [(a, b) for a, b in zip(block[:-1], block[1:], strict=True) if not a[1] and a[0] == b[0]]

@@ -133,6 +133,9 @@ def test_packing(docs, nothing):
     whole = packing.WordIds(path).encode([t or "" for _, t in DOCS])
     assert sum(r.length for r in rows) == sum(len(w) // 4 + 1 for w in whole)
     by = {}
+    ids = [np.append(np.frombuffer(w, "<u4"), 0).astype("<u4") for w in whole]
+    cut = Counter((i, k // 256, zlib.crc32(x[k : k + 256].tobytes())) for (i, _), x in zip(DOCS, ids, strict=True) for k in range(0, len(x), 256))
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in rows) == cut
     for r in rows:
         assert r.start == 256 * r.piece and r.length <= 256
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -273,6 +276,19 @@ def test_fingerprints(docs, nothing, spark):
     assert fingerprints.with_next(many).filter("not ghost").count() == 5000
 
 
+def test_rows_of_one_id_lie_in_several_ranges(spark):
+    same = spark.range(9000).select(F.when(F.col("id") >= 3000, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    twin = same.withColumn("doc_id", F.coalesce("doc_id", F.lit(5000)))
+    for df in (same, twin):
+        rows = fingerprints.with_next(df, 32).collect()
+        own = sorted((r.k, r.h, r.bucket, r.text) for r in rows if not r.ghost)
+        assert len(own) == 9000
+        assert max(Counter(r[2] for r in own).values()) < 3 * 9000 / 32
+        assert [r[2] for r in own] == sorted(r[2] for r in own)  # ranges follow the order
+        follow = {r[2]: own[(i + 1) % len(own)][3] for i, r in enumerate(own)}  # the row after each range
+        assert {r.bucket: r.text for r in rows if r.ghost} == follow and sum(r.ghost for r in rows) == len(follow)
+
+
 def test_fingerprint_is_the_walk_step_by_step():
     """The definition, one step at a time: emit the character under the pointer, then move
     on if the bit of (step, class of the character) says so."""

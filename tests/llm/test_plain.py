@@ -111,6 +111,56 @@ def test_classifier_learns_and_rejects_empty_texts():
     assert (score[:30] > 0).all() and (score[30:] < 0).all()
 
 
+def test_classifier_features_are_words_repeats_and_ngrams():
+    """Features listed in plain Python and buckets (so many that none is shared) have the
+    same counts over the texts."""
+    texts = ["the river the river", "a a a", "", "ab", " \n", "x", "é漢 river", "go go!! go go", "   "]
+    ids, owner = classifier.feature_ids(*common.utf8(pa.array(texts)), bits=40)
+    told = {}
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        words = raw.split()
+        own = [("word", w) for w in words] + ["again"] * sum(a == b for a, b in itertools.pairwise(words))
+        own += [("ngram", raw[i : i + n]) for n in classifier.NGRAMS for i in range(len(raw) - n + 1)]
+        for feature in own or ["empty"]:
+            told.setdefault(feature, [0] * len(texts))[k] += 1
+    found = {}
+    for bucket, k in zip(ids.tolist(), owner.tolist(), strict=True):
+        found.setdefault(bucket, [0] * len(texts))[k] += 1
+    assert sorted(found.values()) == sorted(told.values())
+    assert found[classifier.EMPTY] == told["empty"] and found[classifier.AGAIN] == told["again"]
+
+
+def test_classifier_training_step_by_step():
+    """The same descent on the softmax loss, one number at a time."""
+    rng = random.Random(3)
+    bits, docs, y = 5, [], []
+    for _ in range(12):
+        buckets = sorted(rng.sample(range(1 << bits), 4))
+        n = [rng.randint(1, 5) for _ in buckets]
+        docs.append((np.array(buckets), np.array(n) / sum(n)))
+        y.append(rng.randint(0, 1) if len(y) > 1 else len(y))
+    got = classifier.train(docs, np.array(y), bits)
+    order, dim = np.random.default_rng(1), classifier.DIM
+    vector = order.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).tolist()
+    out = [[0.0] * dim, [0.0] * dim]
+    step = 0
+    for _ in range(classifier.EPOCHS):
+        for k in order.permutation(len(docs)):
+            rate = classifier.RATE * (1 - step / (classifier.EPOCHS * len(docs)))
+            step += 1
+            mean = [sum(s * vector[b][d] for b, s in zip(*docs[k])) for d in range(dim)]
+            odds = [math.exp(sum(o * m for o, m in zip(out[c], mean))) for c in (0, 1)]
+            error = [(odds[c] / sum(odds) - (c == y[k])) * len(y) / (2 * y.count(y[k])) for c in (0, 1)]
+            back = [sum(error[c] * out[c][d] for c in (0, 1)) for d in range(dim)]
+            for c in (0, 1):
+                out[c] = [o - rate * 0.01 * error[c] * m for o, m in zip(out[c], mean)]
+            for b, s in zip(*docs[k]):
+                vector[b] = [v - rate * s * x for v, x in zip(vector[b], back)]
+    want = [sum(v * (p - q) for v, p, q in zip(row, out[1], out[0])) for row in vector]
+    assert np.abs(got).max() > 0.01 and np.allclose(got, want, atol=1e-3, rtol=1e-2)
+
+
 def test_lm_weights_are_shares():
     events = np.array([[3, -8, -40, 50], [3, 1, -40, 10], [0, 1, -30, 5], [0, 1, 1, 2]])
     w = lm.learn_weights(events, 1000)
