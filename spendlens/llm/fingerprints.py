@@ -224,20 +224,34 @@ def fingerprint(df: DataFrame, text_col: str = "text") -> DataFrame:
     return map_arrow(d, run, schema)
 
 
-def band_keys():
-    """The band keys of a fingerprint: BANDS samples of PLACES places in each of the two
-    highest step ranges that it has all samples of (a shorter text: of what it has). Texts
-    of a likeness that counts share one of these ranges at least, since their walks are of
-    about one length."""
+def band_keys(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of the fingerprints, in order, and how many each has: BANDS samples of
+    PLACES places in each of the two highest step ranges that it has all samples of (a
+    shorter text: of what it has). Texts of a likeness that counts share one of these
+    ranges at least, since their walks are of about one length. A key is a bijective mix
+    of the sampled symbols, to which the number of range and band is added."""
     rng = np.random.default_rng(8)
-    places = [[int(p) for p in np.sort(rng.permutation(SAMPLES)[:PLACES])] for _ in range(BANDS)]
-    full = F.greatest(F.floor(F.char_length("fingerprint") / SAMPLES).cast("int"), F.lit(1))
-    ranges = F.sequence(F.greatest(full - 2, F.lit(0)), full - 1)
+    places = np.array([np.sort(rng.permutation(SAMPLES)[:PLACES]) for _ in range(BANDS)])
+    full = np.array([max(1, len(f) // SAMPLES) for f in prints], np.int64)
+    ranges = np.minimum(full, 2)
+    data = b"".join(f[(n - r) * SAMPLES : n * SAMPLES].ljust(r * SAMPLES, PAD).encode() for f, n, r in zip(prints, full.tolist(), ranges.tolist(), strict=True))
+    symbols = np.frombuffer(data, np.uint8).reshape(-1, SAMPLES)
+    level = np.repeat(full - ranges, ranges) + np.arange(len(symbols)) - np.repeat(np.cumsum(ranges) - ranges, ranges)
+    sampled = np.ascontiguousarray(symbols[:, places]).view("<u8").reshape(len(symbols), BANDS)  # PLACES bytes each
+    number = (level[:, None] * BANDS + np.arange(BANDS)).astype(U64)
+    return mix64(sampled + mix64(number + U64(1))).reshape(-1), ranges * BANDS
 
-    def band(r, b, own):
-        return F.xxhash64(r, F.lit(b), *[F.substring(F.col("fingerprint"), r * SAMPLES + (p + 1), F.lit(1)) for p in own])
 
-    return F.flatten(F.transform(ranges, lambda r: F.array(*[band(r, b, own) for b, own in enumerate(places)])))
+def banded_rows(classes: DataFrame) -> DataFrame:
+    """(rep, key): the band keys of each class, as a written table, since they are read by
+    each of the following steps."""
+
+    def run(batches):
+        for b in slices(batches, "fingerprint"):
+            keys, n = band_keys(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(keys.view(np.int64))], names=["rep", "key"])
+
+    return staged(map_arrow(classes.select("rep", "fingerprint"), run, "rep bigint, key bigint").distinct(), "fingerprint-bands")
 
 
 def _matrix(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -344,8 +358,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str):
     least = staged(some.select("doc_id", *key).groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("rep is not null"), "fingerprint-classes")
     stand = some.select("doc_id", "fingerprint", *key).join(least.select("h", "g", F.col("rep").alias("doc_id")), ["h", "g", "doc_id"])
     classes = staged(stand.dropDuplicates(["h", "g"]).select(F.col("doc_id").alias("rep"), "fingerprint"), "fingerprint-reps")
-    banded = classes.select("rep", F.explode(band_keys()).alias("key")).distinct()
-    return known, least, classes, banded, key
+    return known, least, classes, banded_rows(classes), key
 
 
 def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
