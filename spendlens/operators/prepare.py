@@ -4,7 +4,8 @@ Dedup is keyed by ``sha2(text)``. ``keep_first`` (J1/J2 in general form) is
 ``row_number() = 1``, planned as a partial ``WindowGroupLimit`` before the
 exchange; ``prepare_texts`` adds how many activities carry each text, counted
 over the keys alone. Both reduce a text repeated in millions of rows to one row
-per map task before anything is shuffled.
+per map task before anything is shuffled. The limit sorts its rows, so texts are
+first reduced in a hash table (``_least_of_equal``): repeats are never sorted.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens._compat import ColumnOrName, as_col, qcol
 from spendlens.fields import DEFAULT, Fields
@@ -28,6 +30,21 @@ def keep_first(df: DataFrame, key: str | Sequence[str], order: ColumnOrName | Se
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
+# Types that a hash aggregation keeps in place; an aggregate of others sorts its input.
+_IN_PLACE = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _least_of_equal(df: DataFrame, order: Sequence[str], payload: Sequence[str]) -> DataFrame:
+    """``df`` with one row, the least by the last order column, for rows that are equal in
+    all others: none that ``keep_first`` would choose goes. The texts are grouping keys of a
+    hash aggregation, so a map task holds each of its texts once, however often repeated."""
+    last = order[-1]
+    if last in payload or last in order[:-1] or not isinstance(df.schema[last].dataType, _IN_PLACE):
+        return df
+    least = df.groupBy(*[qcol(c) for c in df.columns if c != last]).agg(F.min(qcol(last)).alias(last))
+    return least.select(*[qcol(c) for c in df.columns])
+
+
 def drop_blank(df: DataFrame, text: str) -> DataFrame:
     """Keep rows whose text is non-empty after a Unicode strip."""
     return df.where(~is_blank(qcol(text)))
@@ -83,10 +100,10 @@ def prepare_texts(
 
     Output columns: key, text, purpose code, ordinal column(s), n_activities.
     ``order`` defaults to (year, ordinal), i.e. collated file order. The first
-    row comes from ``keep_first``, the count from an aggregation of keys alone;
-    both are limited or summed in the map tasks, so a text repeated in a large
-    share of rows leaves each of them as one row, and both are dealt by key, so
-    joining them moves nothing again. The counts give the key histogram that
+    row comes from ``keep_first`` over the least rows of equal texts, the count from
+    an aggregation of keys alone; both are limited or summed in the map tasks, so a
+    text repeated in a large share of rows leaves each of them as one row, and both
+    are dealt by key, so joining them moves nothing again. The counts give the key histogram that
     ``hot_keys`` reads to split skewed keys in the label join.
     Pass a ``PrepareObservation`` to collect the funnel during the write.
     """
@@ -100,7 +117,8 @@ def prepare_texts(
     payload = [fields.text, fields.purpose_code] + [c for c in order if c not in (fields.key, fields.text, fields.purpose_code)]
     src = src.select(qcol(fields.key), *[qcol(c) for c in payload])
     counts = src.groupBy(qcol(fields.key)).agg(F.count(F.lit(1)).alias(N_ACTIVITIES))
-    unique = keep_first(src, fields.key, order).join(counts, on=fields.key)  # both dealt by key already
+    few = _least_of_equal(src, order, (fields.key, fields.text, fields.purpose_code))
+    unique = keep_first(few, fields.key, order).join(counts, on=fields.key)  # both dealt by key already
     if observation is not None:
         # observed behind the shuffle, in the stage that writes: no task counts twice
         metrics = [F.coalesce(F.sum(N_ACTIVITIES), F.lit(0)).alias("n_start"), F.count(F.lit(1)).alias("n_unique"), F.count_if(is_blank(qcol(fields.text))).alias("n_blank")]

@@ -45,3 +45,23 @@ def test_prepare_counts_activities_per_text(spark):
     df = spark.createDataFrame(rows, "LongDescription string, ord long")
     got = {r.text: (r.ord, r.n_activities) for r in prepare_texts(df, F_, order=["ord"]).collect()}
     assert got == {"a": (0, 3), "b": (1, 1)}
+
+
+def test_repeated_texts_are_reduced_before_any_sort(spark):
+    # one text under two codes, NULL ordinals, and a text that only blank rows carry
+    rows = [("a", "2", 5), ("a", "1", 3), ("a", "2", None), ("b", None, None), ("a", "1", 9), (None, "7", 1), ("", "8", 0)]
+    df = spark.createDataFrame(rows, "LongDescription string, PurposeCode string, ord long")
+    out = prepare_texts(df, F_, order=["ord"])
+    assert {r.text: (r.PurposeCode, r.ord, r.n_activities) for r in out.collect()} == {"a": ("1", 3, 4), "b": (None, None, 1)}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    # below the sorted limit, whose rows may spill, there is a hash aggregation with the texts as keys
+    below = plan[plan.rindex("WindowGroupLimit"):]
+    assert "HashAggregate(keys=[text_key" in below and "min(ord" in below
+
+
+def test_first_rows_by_two_columns_and_by_text(spark):
+    rows = [("a", "x", 2, 1), ("a", "y", 1, 2), ("a", "z", 1, 3), ("b", "w", 3, 0)]
+    df = spark.createDataFrame(rows, "LongDescription string, PurposeCode string, yr int, ord long")
+    got = {r.text: r.PurposeCode for r in prepare_texts(df, F_, order=["yr", "ord"]).collect()}
+    assert got == {"a": "y", "b": "w"}
+    assert {r.text: r.PurposeCode for r in prepare_texts(df, F_, order=["PurposeCode"]).collect()} == {"a": "x", "b": "w"}
