@@ -151,8 +151,9 @@ def label(
     todo = lb.unprocessed(texts, known, fields.key) if known is not None else texts
     if max_cost is not None:
         lb.check_budget(lb.request_frame(todo, fields, sectors), taxonomy.system_prompt(), max_cost)
-    # the prepared table's footers tell how many texts there are at most
-    lb.label_batches(todo, taxonomy, make_classifier, partial(sinks.append_labels, path=layout.labels(taxonomy)), fields, expected=texts.count(), sectors=sectors, **label_kw)
+    # batches are sized by the texts still to label: counted by their keys, or in the prepared table's footers
+    left = texts.count() if known is None else lb.unprocessed(texts.select(qcol(fields.key)), known, fields.key).count()
+    lb.label_batches(todo, taxonomy, make_classifier, partial(sinks.append_labels, path=layout.labels(taxonomy)), fields, expected=left, sectors=sectors, **label_kw)
     now = read_if_exists(spark, layout.labels(taxonomy))
     return (sinks.labelled_rows(now).count() if now is not None else 0) - before
 

@@ -136,3 +136,17 @@ def test_a_new_batch_does_not_read_the_label_table(spark, tmp_root, monkeypatch)
     run(_texts(spark, 3), 0)
     run(_texts(spark, 5).where("ord > 2"), 1)
     assert out not in asked and spark.read.parquet(out).count() == 5
+
+
+def test_a_resumed_run_sizes_its_batches_by_what_is_left(spark, tmp_root, monkeypatch):
+    from spendlens.plans import stages as pl
+
+    layout, seen = pl.Layout(tmp_root), []
+    work = lb.work_table
+    monkeypatch.setattr(lb, "work_table", lambda texts, fields, size, expected=None: seen.append(expected) or work(texts, fields, size, expected))
+    _texts(spark, 40).write.parquet(layout.prepared)
+    kw = {"system_prompt": "p", "num_partitions": 1}
+    assert pl.label(spark, layout, CONTINUUM, lambda: lb.KeywordClassifier({}), FLD, **kw) == 40
+    _texts(spark, 45).write.mode("overwrite").parquet(layout.prepared)
+    assert pl.label(spark, layout, CONTINUUM, lambda: lb.KeywordClassifier({}), FLD, **kw) == 5
+    assert seen == [40, 5]
