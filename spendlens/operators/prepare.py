@@ -86,6 +86,26 @@ def with_activity_text(df: DataFrame, fields: Fields = DEFAULT) -> DataFrame:
     return ensure_text_key(df.drop(fields.text, fields.key), fields)
 
 
+# A text kept aside is named by its key and a second, short hash: rows whose key came with
+# them, and does not tell all texts apart, still get their own text back.
+TEXT_HASH = "text_hash"
+
+
+def text_hash(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
+def with_texts(df: DataFrame, texts: DataFrame | None, fields: Fields = DEFAULT) -> DataFrame:
+    """``df`` with the texts that were kept aside (``texts``: key, ``TEXT_HASH``, text; each
+    pair once). Rows that carry their text themselves keep it."""
+    if texts is None or TEXT_HASH not in df.columns:
+        return df
+    t = texts.select(qcol(fields.key).alias("__key"), F.col(TEXT_HASH).alias("__hash"), qcol(fields.text).alias("__text"))
+    found = df.join(t, qcol(fields.key).eqNullSafe(F.col("__key")) & (F.col(TEXT_HASH) == F.col("__hash")), "left")
+    text = F.coalesce(qcol(fields.text), F.col("__text")) if fields.text in df.columns else F.col("__text")
+    return found.withColumn(fields.text, text).drop("__key", "__hash", "__text", TEXT_HASH)
+
+
 N_ACTIVITIES = "n_activities"
 
 
@@ -94,6 +114,7 @@ def prepare_texts(
     fields: Fields = DEFAULT,
     order: Sequence[str] | None = None,
     observation: "PrepareObservation | None" = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Unique, non-blank texts with the purpose code of their first activity and the
     number of activities carrying the text (``n_activities``).
@@ -105,20 +126,26 @@ def prepare_texts(
     text repeated in a large share of rows leaves each of them as one row, and both
     are dealt by key, so joining them moves nothing again. The counts give the key histogram that
     ``hot_keys`` reads to split skewed keys in the label join.
-    Pass a ``PrepareObservation`` to collect the funnel during the write.
+    Pass a ``PrepareObservation`` to collect the funnel during the write. With ``texts``
+    (see ``with_texts``) ``df`` names its texts, and only those of first rows are fetched.
     """
     src = df
     if fields.purpose_code not in src.columns:
         src = src.withColumn(fields.purpose_code, F.lit(None).cast("string"))
-    src = ensure_text_key(src, fields)
+    aside = texts is not None and TEXT_HASH in src.columns
+    src = src if aside else ensure_text_key(src, fields)
     order = list(order) if order is not None else [c for c in (fields.year, fields.ordinal) if c in src.columns]
     if not order:
         raise ValueError("first-wins dedup needs an ordinal column (see sources.ingest.add_ordinal)")
-    payload = [fields.text, fields.purpose_code] + [c for c in order if c not in (fields.key, fields.text, fields.purpose_code)]
+    text = [c for c in (fields.text, TEXT_HASH) if c in src.columns] if aside else [fields.text]
+    rest = [fields.purpose_code] + [c for c in order if c not in (fields.key, *text, fields.purpose_code)]
+    payload = [*text, *rest]
     src = src.select(qcol(fields.key), *[qcol(c) for c in payload])
     counts = src.groupBy(qcol(fields.key)).agg(F.count(F.lit(1)).alias(N_ACTIVITIES))
-    few = _least_of_equal(src, order, (fields.key, fields.text, fields.purpose_code))
+    few = src if aside else _least_of_equal(src, order, (fields.key, fields.text, fields.purpose_code))
     unique = keep_first(few, fields.key, order).join(counts, on=fields.key)  # both dealt by key already
+    if aside:
+        unique = with_texts(unique, texts, fields).select(*[qcol(c) for c in (fields.key, fields.text, *rest, N_ACTIVITIES)])
     if observation is not None:
         # observed behind the shuffle, in the stage that writes: no task counts twice
         metrics = [F.coalesce(F.sum(N_ACTIVITIES), F.lit(0)).alias("n_start"), F.count(F.lit(1)).alias("n_unique"), F.count_if(is_blank(qcol(fields.text))).alias("n_blank")]

@@ -20,7 +20,7 @@ from spendlens.operators import label as lb
 from spendlens.operators import report as rp
 from spendlens.operators.attach import attach_labels
 from spendlens.operators.marker import false_negatives, mark, select_marked
-from spendlens.operators.prepare import PrepareObservation, ensure_text_key, hot_keys, prepare_texts, with_text_key
+from spendlens.operators.prepare import TEXT_HASH, PrepareObservation, ensure_text_key, hot_keys, prepare_texts, text_hash, with_text_key, with_texts
 from spendlens.session import configure
 from spendlens.sources import csv_records, ingest, sinks
 from spendlens.sources.evolve import drop_partitions
@@ -38,6 +38,10 @@ class Layout:
     def landed(self) -> str:
         return f"{self.root}/activities"
 
+    @property
+    def texts(self) -> str:
+        return f"{self.root}/texts"
+
     @property
     def rejected(self) -> str:
         return f"{self.root}/rows_rejected"
@@ -65,14 +69,32 @@ def land(activities: DataFrame, layout: Layout, fields: Fields = DEFAULT) -> Non
 
     The amount is stored as a number (text that is none counts as NULL, so the row is
     dropped like other non-positive ones). Landing some years replaces them alone. The key
-    of the activity text is stored, so later counts and joins need not read the texts.
+    of the activity text is stored, so later counts and joins need not read the texts. A
+    text column is kept aside: each text once, in ``texts``, however many activities carry
+    it; the landed, merged and selected tables name it (``prepare.with_texts``).
     """
     df = activities.withColumn(fields.amount, ingest.to_number(qcol(fields.amount), "double"))
     df = ingest.positive_amount(df, fields=fields)
     df = ingest.add_ordinal(df, fields)
     if fields.year in df.columns:
         df = df.withColumn(fields.year, ingest.to_number(qcol(fields.year)))
-    sinks.write_by_year(with_text_key(df, fields), layout.landed, fields)
+    df = with_text_key(df, fields)
+    if fields.text in df.columns and not {fields.title, fields.short_description, fields.long_description} & set(df.columns):
+        df = df.withColumn(TEXT_HASH, text_hash(qcol(fields.text)))
+        _keep_texts(df, layout, fields)
+        df = df.drop(fields.text)
+    sinks.write_by_year(df, layout.landed, fields)
+
+
+def _keep_texts(df: DataFrame, layout: Layout, fields: Fields) -> None:
+    """Append the texts of ``df`` that ``layout.texts`` does not have."""
+    names = [F.col(TEXT_HASH), qcol(fields.key)]
+    new = df.where(F.col(TEXT_HASH).isNotNull()).select(qcol(fields.key), F.col(TEXT_HASH), qcol(fields.text)).distinct()
+    have = read_if_exists(df.sparkSession, layout.texts)
+    if have is not None:
+        have = have.select(*[c.alias(n) for c, n in zip(names, ("__hash", "__key"), strict=True)])
+        new = new.join(have, qcol(fields.key).eqNullSafe(F.col("__key")) & (F.col(TEXT_HASH) == F.col("__hash")), "left_anti")
+    sinks.append_table(new, layout.texts)
 
 
 def land_yearly_csv(spark: SparkSession, pattern: str, years: Iterable[int], layout: Layout, fields: Fields = DEFAULT, multi_line: bool = True, reject: bool = True) -> int:
@@ -117,7 +139,7 @@ def prepare(spark: SparkSession, layout: Layout, fields: Fields = DEFAULT, estim
     write. The texts of some years alone would lose those of the others."""
     landed = ingest.read_years(spark, layout.landed, None, fields=fields)
     obs = PrepareObservation(with_tokens=estimate_cost)
-    texts = prepare_texts(landed, fields, observation=obs)
+    texts = prepare_texts(landed, fields, observation=obs, texts=read_if_exists(spark, layout.texts))
     sinks.write_table(texts, layout.prepared)
     return obs.get()
 
@@ -161,10 +183,12 @@ def label(
 def merge(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fields = DEFAULT, years: Iterable[int] | None = None) -> None:
     """Every landed activity with its labels (NULL where unlabelled) → ``merged``; merging
     some years replaces them alone, merging all replaces the table. A text that was built
-    from the descriptions does not pass through the join: it is built again behind it."""
+    from the descriptions does not pass through the join: it is built again behind it. One
+    that is kept aside stays there."""
     landed = ingest.read_years(spark, layout.landed, years, fields=fields)
-    built = fields.text not in landed.columns
-    acts = with_text_key(landed, fields) if built else ensure_text_key(landed, fields)
+    aside = TEXT_HASH in landed.columns
+    built = fields.text not in landed.columns and not aside
+    acts = with_text_key(landed, fields) if built or aside else ensure_text_key(landed, fields)
     labels = sinks.labelled_rows(spark.read.parquet(layout.labels(taxonomy)))
     keep = ["summary", "reasoning", *taxonomy.vocabulary, fields.purpose_code]
     # texts shared by a large share of activities are salted in the join
@@ -186,7 +210,7 @@ def report(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, fields: Fiel
     sinks.write_by_year(select_marked(summary.attach(marked), taxonomy, fields), layout.selected(taxonomy), fields, replace=True)
     sel = spark.read.parquet(layout.selected(taxonomy))
     # the review list is part of the selected activities
-    sinks.write_table(false_negatives(sel, fields), layout.report(taxonomy, "false_negatives"))
+    sinks.write_table(with_texts(false_negatives(sel, fields), read_if_exists(spark, layout.texts), fields), layout.report(taxonomy, "false_negatives"))
     tables = rp.all_reports(sel, taxonomy, fields, strict_nulls)
     tables["selection_summary"] = spark.createDataFrame([summary.get()], rp.SELECTION_SCHEMA)
     for name, df in tables.items():
@@ -223,12 +247,13 @@ def label_stream(
     )
 
 
-def export_csv(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, table: str = "merged", out: str | None = None) -> str:
+def export_csv(spark: SparkSession, layout: Layout, taxonomy: Taxonomy, table: str = "merged", out: str | None = None, fields: Fields = DEFAULT) -> str:
     """Export the merged or selected activities as CSV with a header (quotes doubled,
     texts kept byte for byte), written in parallel as part files."""
     src = {"merged": layout.merged(taxonomy), "selected": layout.selected(taxonomy)}[table]
     target = out or f"{layout.root}/export/{table}{taxonomy.suffix}_csv"
-    sinks.write_table(spark.read.parquet(src), target, fmt="csv")
+    rows = with_texts(spark.read.parquet(src), read_if_exists(spark, layout.texts), fields)
+    sinks.write_table(rows, target, fmt="csv")
     return target
 
 

@@ -190,3 +190,34 @@ def test_replacing_drops_years_without_rows(spark, tmp_root):
     assert spark.read.parquet(tmp_root).count() == 4
     sinks.write_by_year(rows.where("Year = 2001"), tmp_root, replace=True)
     assert {r.Year for r in spark.read.parquet(tmp_root).collect()} == {2001}
+
+
+def test_texts_are_landed_once_and_come_back(spark, tmp_root):
+    from spendlens.operators import label as lb
+    from spendlens.operators.prepare import with_texts
+    from spendlens.taxonomy import CONTINUUM
+
+    f = Fields(year="yr", amount="amount", ordinal="ord", text="txt", purpose_code="code")
+    # a key that two texts share, a NULL and an empty text, a row without key
+    rows = [(2000 + i % 3, 1.0, i, f"text {i % 4}", "k" if i % 4 < 2 else f"k{i % 4}", "16030") for i in range(40)]
+    rows += [(2000, 1.0, 40, None, "", "1"), (2000, 1.0, 41, "", "", "1"), (2001, 1.0, 42, "no key", None, "1")]
+    acts = spark.createDataFrame(rows, "yr int, amount double, ord long, txt string, text_key string, code string")
+    layout = pl.Layout(tmp_root)
+    pl.land(acts, layout, f)
+    pl.land(acts.where("yr = 2001"), layout, f)  # its texts are there already
+    assert spark.read.parquet(layout.texts).count() == 6
+    landed = ingest.read_years(spark, layout.landed, None, fields=f)
+    assert "txt" not in landed.columns
+    want = {r[2]: (r[3], r[4]) for r in rows}
+    back = with_texts(landed, spark.read.parquet(layout.texts), f)
+    assert back.count() == 43 and {r.ord: (r.txt, r.text_key) for r in back.collect()} == want
+    funnel = pl.prepare(spark, layout, f, estimate_cost=False)
+    prepared = {r.text_key: (r.txt, r.ord, r.n_activities) for r in spark.read.parquet(layout.prepared).collect()}
+    assert prepared == {"k": ("text 0", 0, 20), "k2": ("text 2", 6, 10), "k3": ("text 3", 3, 10)}
+    assert funnel == {"n_start": 42, "n_duplicates": 38, "n_blank": 1, "n_end": 3}
+    pl.label(spark, layout, CONTINUUM, lambda: lb.KeywordClassifier({"Urban": ["text 2"]}), f, system_prompt="p", num_partitions=1)
+    pl.merge(spark, layout, CONTINUUM, f)
+    pl.report(spark, layout, CONTINUUM, f)
+    out = ingest.read_csv_strings(spark, pl.export_csv(spark, layout, CONTINUUM, fields=f))
+    assert {int(r.ord): (r.txt or None) for r in out.collect()} == {o: t or None for o, (t, _) in want.items()}
+    assert {r.txt for r in spark.read.parquet(layout.report(CONTINUUM, "false_negatives")).collect()} <= {t for t, _ in want.values()}
