@@ -150,3 +150,41 @@ def test_a_resumed_run_sizes_its_batches_by_what_is_left(spark, tmp_root, monkey
     _texts(spark, 45).write.mode("overwrite").parquet(layout.prepared)
     assert pl.label(spark, layout, CONTINUUM, lambda: lb.KeywordClassifier({}), FLD, **kw) == 5
     assert seen == [40, 5]
+
+
+def test_the_state_of_seen_texts_is_asked_once_a_bucket():
+    import pandas as pd
+
+    from spendlens.streaming import incremental as inc
+
+    class Kept:
+        def __init__(self):
+            self.rows, self.asked = [], 0
+
+        def get(self):
+            self.asked += 1
+            return iter(list(self.rows))
+
+        def appendValue(self, row):  # noqa: N802 - Spark's name
+            self.asked += 1
+            self.rows.append(row)
+
+    class Handle:
+        kept = Kept()
+
+        def getListState(self, name, schema):  # noqa: N802 - Spark's name
+            return self.kept
+
+    p = inc.FirstSeen("text_key", ["ord"], ["text_key", "ord"])
+    p.init(Handle())
+    p.handleInitialState((0,), pd.DataFrame({"text_key": ["k0"], "ord": [0]}), None)
+    before = Handle.kept.asked
+
+    def frame(keys, at):
+        return pd.DataFrame({"text_key": keys, "ord": range(at, at + len(keys))})
+
+    keys = [f"k{i}" for i in range(500)]
+    out = pd.concat(p.handleInputRows((0,), iter([frame(keys, 500), frame([*keys, None], 0)]), None))
+    assert dict(zip(out.text_key, out.ord, strict=True)) == {**{f"k{i}": i for i in range(1, 500)}, None: 500}
+    assert Handle.kept.asked - before == 2
+    assert list(p.handleInputRows((0,), iter([frame([*keys, None], 0)]), None)) == []
