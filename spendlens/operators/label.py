@@ -1,7 +1,7 @@
 """Labelling job: one structured classification per unique text.
 
 Plan: unique texts → skip keys already labelled (anti-join) → sector name and
-user message (native expressions) → ``repartition(n, key)`` → ``mapInPandas``
+user message (native expressions) → ``repartition(n, key)`` → ``mapInArrow``
 calling the classifier (client opened once per partition, calls retried with
 exponential backoff, optionally concurrent) → ``from_json`` parse + vocabulary
 check + multi-hot (native) → written before anything reads it, so a re-planned
@@ -22,7 +22,8 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,8 @@ from spendlens.taxonomy import Taxonomy
 TEXTS_PER_TASK = 500
 # Texts that are labelled and committed together: a job that fails loses no more.
 TEXTS_PER_BATCH = 50_000
+# Texts, and their bytes, that a task holds as messages at a time.
+SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
 
 # Retry policy defaults (tries, base wait s, cap s).
 MAX_TRIES = 5
@@ -138,6 +141,21 @@ def check_response(response: str | None, vocab: Sequence[str]) -> str:
     return response
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches again in slices of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES``
+    of text (one row at least): messages and answers are held for one slice at a time,
+    however many rows an Arrow batch has."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        ends, at = size.cumsum(), 0
+        while at < b.num_rows:
+            stop = int(ends.searchsorted(ends[at] - size[at] + SLICE_BYTES, side="right"))
+            stop = min(max(stop, at + 1), at + SLICE_ROWS)
+            yield b.slice(at, min(stop, b.num_rows) - at)
+            at = stop
+        pa.default_memory_pool().release_unused()
+
+
 def _partition_labeller(
     make_classifier: Callable[[], Classifier],
     system_prompt: str,
@@ -151,7 +169,7 @@ def _partition_labeller(
     jitter: float,
     rate: float | None = None,
 ):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clf = make_classifier()  # one client per partition
         pool = ThreadPoolExecutor(max_workers=concurrency) if concurrency > 1 else None
         limit = RateLimit(rate) if rate is not None else None
@@ -172,16 +190,15 @@ def _partition_labeller(
                 return None, f"{type(e).__name__}: {e}", max_tries
 
         try:
-            for pdf in batches:
+            for batch in _slices(batches, text):
                 # same message as functions.text.user_message; built here so the
                 # text crosses to Python once instead of twice
-                msgs = (pdf[text].fillna("") + SECTOR_SEPARATOR + pdf[sector].fillna("")).tolist()
+                pairs = zip(batch.column(text).to_pylist(), batch.column(sector).to_pylist(), strict=True)
+                msgs = [(t or "") + SECTOR_SEPARATOR + (s or "") for t, s in pairs]
                 results = list(pool.map(one, msgs)) if pool else [one(m) for m in msgs]
-                out = pdf.drop(columns=[sector])
-                out["response"] = [r[0] for r in results]
-                out["error"] = [r[1] for r in results]
-                out["tries"] = [r[2] for r in results]
-                yield out
+                kept = [c for c in batch.schema.names if c != sector]
+                answers = [pa.array([r[k] for r in results], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *answers], names=[*kept, "response", "error", "tries"])
         finally:
             if pool:
                 pool.shutdown()
@@ -245,7 +262,7 @@ def label_texts(
         T.StructField("response", T.StringType()), T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType())
     ])
     fn = _partition_labeller(make_classifier, prompt, fields.text, "sector_name", on_error, max_tries, base_backoff, concurrency, list(taxonomy.vocabulary), jitter, rate)
-    raw = req.mapInPandas(fn, out_schema)
+    raw = req.mapInArrow(fn, out_schema)
     return parse_labels(raw, taxonomy, keep)
 
 

@@ -188,3 +188,27 @@ def test_the_state_of_seen_texts_is_asked_once_a_bucket():
     assert dict(zip(out.text_key, out.ord, strict=True)) == {**{f"k{i}": i for i in range(1, 500)}, None: 500}
     assert Handle.kept.asked - before == 2
     assert list(p.handleInputRows((0,), iter([frame([*keys, None], 0)]), None)) == []
+
+
+def test_a_task_holds_one_slice_of_an_arrow_batch_at_a_time():
+    import pyarrow as pa
+
+    calls = []
+
+    class Model:
+        def classify(self, prompt, message):
+            calls.append(message)
+            return '{"classifications":[]}'
+
+    n, long = 2 * lb.SLICE_ROWS + 10, "x" * (lb.SLICE_BYTES // 2 + 1)
+    texts = [None, "", *["short"] * (n - 5), long, long, long * 3]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(n)), "text": texts, "sector": [None, "s"] * (n // 2)})
+    run = lb._partition_labeller(Model, "p", "text", "sector", "raise", 1, 0.0, 1, [], 0.0)
+    sizes, kept = [], []
+    for out in run(iter([batch.slice(0, 0), batch.slice(0, 7), batch.slice(7)])):
+        assert out.schema.names == ["k", "text", "response", "error", "tries"]
+        sizes.append(out.num_rows)
+        kept += zip(out.column("k").to_pylist(), out.column("text").to_pylist(), strict=True)
+        assert len(calls) == sum(sizes)  # nothing behind the slice was asked yet
+    assert sizes == [7, 1000, 1000, 1, 1, 1] and kept == list(enumerate(texts))
+    assert calls == [(t or "") + "\nSector: " + ("s" if k % 2 else "") for k, t in enumerate(texts)]
