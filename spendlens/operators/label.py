@@ -23,7 +23,6 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +30,7 @@ from pyspark.sql import types as T
 from spendlens._compat import qcol
 from spendlens.fields import DEFAULT, Fields
 from spendlens.session import ship_package, work_path
+from spendlens.functions.arrow import slices
 from spendlens.functions.labels import keyword_classes, multi_hot, parse_response
 from spendlens.functions.text import SECTOR_SEPARATOR, cost, request_payload, token_count, user_message
 from spendlens.sources.dimensions import sector_lookup
@@ -141,21 +141,6 @@ def check_response(response: str | None, vocab: Sequence[str]) -> str:
     return response
 
 
-def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches again in slices of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES``
-    of text (one row at least): messages and answers are held for one slice at a time,
-    however many rows an Arrow batch has."""
-    for b in batches:
-        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype("int64")
-        ends, at = size.cumsum(), 0
-        while at < b.num_rows:
-            stop = int(ends.searchsorted(ends[at] - size[at] + SLICE_BYTES, side="right"))
-            stop = min(max(stop, at + 1), at + SLICE_ROWS)
-            yield b.slice(at, min(stop, b.num_rows) - at)
-            at = stop
-        pa.default_memory_pool().release_unused()
-
-
 def _partition_labeller(
     make_classifier: Callable[[], Classifier],
     system_prompt: str,
@@ -190,7 +175,7 @@ def _partition_labeller(
                 return None, f"{type(e).__name__}: {e}", max_tries
 
         try:
-            for batch in _slices(batches, text):
+            for batch in slices(batches, text, SLICE_ROWS, SLICE_BYTES):  # messages and answers of one slice at a time
                 # same message as functions.text.user_message; built here so the
                 # text crosses to Python once instead of twice
                 pairs = zip(batch.column(text).to_pylist(), batch.column(sector).to_pylist(), strict=True)

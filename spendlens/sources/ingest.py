@@ -43,15 +43,18 @@ CSV_READ_OPTIONS = {
 # Headers asked for at a time: each is a small job that reads one line.
 HEADERS_AT_ONCE = 16
 
+# Bytes of CSV files that are not worth a task of their own.
+SMALL_SPLIT = 8 << 20
+
 # Name Spark gives to a blank header cell, i.e. a leaked row-index column.
 LEAKED_INDEX_COLUMNS = ("_c0", "Unnamed: 0")
 
 
-def _files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+def _files(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, int]]:
     """The data files under the paths or patterns, by name: path → address, as a scan's
-    ``_metadata.file_path`` gives it. Only the listing is read."""
-    found = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p).select("path", F.col("_metadata.file_path").alias("address")).collect() for p in paths]
-    return {path: address for rows in found for path, address in sorted(map(tuple, rows))}
+    ``_metadata.file_path`` gives it, and bytes. Only the listing is read."""
+    found = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p).select("path", F.col("_metadata.file_path").alias("address"), "length").collect() for p in paths]
+    return {path: (address, length) for rows in found for path, address, length in sorted(map(tuple, rows))}
 
 
 def _by_header(spark: SparkSession, files: Sequence[str], options: dict[str, str]) -> dict[tuple[str, ...], list[str]]:
@@ -79,8 +82,10 @@ def read_csv_records(spark: SparkSession, paths: str | Sequence[str], drop_index
     groups = _by_header(spark, list(files), CSV_READ_OPTIONS)
     if not groups:
         raise ValueError(f"no CSV files at {paths}")
-    parsed = [csv_records.parse(spark, group, header, CSV_READ_OPTIONS, list(files.values())) for header, group in groups.items()]
-    return _without_index(collate(parsed), drop_index)
+    parsed = [csv_records.parse(spark, group, header, CSV_READ_OPTIONS, [address for address, _ in files.values()]) for header, group in groups.items()]
+    # splits below this size are read one after another in a task
+    tasks = max(1, -(-sum(length for _, length in files.values()) // SMALL_SPLIT))
+    return _without_index(collate(parsed), drop_index).coalesce(tasks)
 
 
 def read_csv_strings(spark: SparkSession, paths: str | Sequence[str], drop_index: bool = True, multi_line: bool = True) -> DataFrame:

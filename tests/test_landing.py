@@ -221,3 +221,33 @@ def test_texts_are_landed_once_and_come_back(spark, tmp_root):
     out = ingest.read_csv_strings(spark, pl.export_csv(spark, layout, CONTINUUM, fields=f))
     assert {int(r.ord): (r.txt or None) for r in out.collect()} == {o: t or None for o, (t, _) in want.items()}
     assert {r.txt for r in spark.read.parquet(layout.report(CONTINUUM, "false_negatives")).collect()} <= {t for t, _ in want.values()}
+
+
+def test_no_line_is_shuffled_and_odd_bytes_stay(spark, tmp_root, small_splits):
+    path = os.path.join(tmp_root, "y.csv")
+    rows = [["id", "text"]] + [[str(k), f"line {k}\nsays \"{k}\"" if k % 3 else "x"] for k in range(100)]
+    last = b'100,"caf\xe9\nbar"'
+    with open(path, "wb") as f:
+        f.write(_csv(rows, "\n").encode() + last + b"\n")
+    parsed = ingest.read_csv_records(spark, path)
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    # from the files to the records, and from there on
+    behind, before = plan.split("MapInArrow", 1)
+    assert "Exchange" not in behind and "Exchange" not in before[: before.index("FileScan")]
+    r = F.col(csv_records.RECORD)
+    kept = parsed.select("id", "text", F.hex(r["record"]).alias("record")).orderBy(r["ordinal"]).collect()
+    assert [[k.id, k.text] for k in kept[:-1]] == rows[1:]
+    assert bytes.fromhex(kept[-1].record).decode() == last.decode(errors="replace")
+
+
+def test_splits_that_change_between_two_reads_are_an_error():
+    import pyarrow as pa
+
+    def cut(n_lines, rank=0):
+        b = pa.RecordBatch.from_pydict({"rank": pa.array([rank] * 3, pa.int64()), "split": [0] * 3, "open": [False] * 3, "n_lines": [n_lines] * 3, "line": [b"a", b'"b', b'c"']})
+        return [x for out in csv_records._cut(iter([b.slice(0, 2), b.slice(2)])) for x in out.to_pylist()]
+
+    assert [(x["row"], x["last"], x["record"]) for x in cut(3)] == [(1, False, b"a"), (2, True, b'"b\nc"')]
+    for bad in ((2,), (4,), (3, None)):
+        with pytest.raises(ValueError, match="changed"):
+            cut(*bad)
