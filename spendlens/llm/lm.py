@@ -9,18 +9,24 @@ against the counts of the others; the final estimates use all training documents
 Words are 64-bit hashes. Frequent words (a share of all tokens above 1 / SHARE: fewer
 than SHARE of them) and hot pairs (above 1 / PAIR_SHARE) are broadcast and scored where
 the text is. All other words and pairs are sent by key to the partition that counts
-them, packed in arrays, and only sums per document come back: no key there has more than
-a small share of the rows. What follows a rare word goes by the hash of that word, so its
-pairs and itself are counted in one place; of these, the rare words then go on, with the
-counts, to where the word itself is counted. Every context seen in training has a bigram
-estimate.
+them, packed in arrays by slices of the texts, and only sums per text come back to the
+slice: no key there has more than a small share of the rows. A rare word goes by its hash
+with the words before and after it, so itself and its pairs with frequent words are counted
+in one place; a rare word after a rare one then goes on, with the counts, to where it is
+counted itself. Every context seen in training has a bigram estimate.
+
+Texts are numbered within their slice, in two bytes, and slices by task and place in the
+task. The weights and the scores are one query, whose exchanges are reused: what was sent
+is on disk once and is read twice.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +96,7 @@ def tokens(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _fit_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key, text = qcol(id_col).cast("bigint"), F.coalesce(qcol(text_col), F.lit(""))
-    return df.select(key.alias("doc_id"), F.xxhash64(key, text).alias("row"), crc_mod(key, FOLDS).cast("int").alias("fold"), text.alias("text"))
+    return df.select(key.alias("doc_id"), crc_mod(key, FOLDS).cast("int").alias("fold"), text.alias("text"))
 
 
 def _counted(keys: np.ndarray, fold: np.ndarray) -> pa.RecordBatch:
@@ -110,8 +116,8 @@ def count_words(rows: DataFrame) -> tuple[Model, float]:
 
     def run(batches):
         for b in slices(batches, "text", _SLICE):
-            token, _, owner = tokens(b, 3)
-            yield _counted(token, b.column(2).to_numpy()[owner])
+            token, _, owner = tokens(b, 2)
+            yield _counted(token, b.column(1).to_numpy()[owner])
 
     words = staged(_sum_counts(rows, run), "lm-words")
     t = words.agg(F.coalesce(F.sum("every"), F.lit(0)).alias("every"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
@@ -136,10 +142,10 @@ def count_hot_pairs(rows: DataFrame, model: Model) -> None:
 
     def run(batches):
         for b in slices(batches, "text", _SLICE):
-            token, context, owner = tokens(b, 3)
+            token, context, owner = tokens(b, 2)
             w, u = model.ids(token), model.ids(context)
             both = is_top[w] & is_top[u]
-            yield _counted((u[both] << _ID_BITS | w[both]).astype(np.int64), b.column(2).to_numpy()[owner[both]])
+            yield _counted((u[both] << _ID_BITS | w[both]).astype(np.int64), b.column(1).to_numpy()[owner[both]])
 
     hot = _sum_counts(rows, run).filter(F.col("every") * PAIR_SHARE > model.totals["every"]).toPandas().sort_values("k")
     model.pair_key, model.pair_n, model.pair_deleted = (hot[c].to_numpy(np.int64) for c in ("k", "n", "deleted"))
@@ -149,119 +155,172 @@ def count_hot_pairs(rows: DataFrame, model: Model) -> None:
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of one length as bytes: the first, ascending, as differences; all with
-    their bytes side by side, which compresses."""
+    """Columns as bytes, each after its length: the first as differences; all with their
+    bytes side by side, which compresses."""
     first = columns[0].astype("<u8")
     first[1:] = first[1:] - first[:-1]
-    parts = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in [first, *columns[1:]]]
-    return len(first).to_bytes(8, "little") + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+    parts = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() if len(c) else b"" for c in [first, *columns[1:]]]
+    return np.array([len(c) for c in columns], "<u4").tobytes() + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
-    n = int.from_bytes(data[:8], "little")
-    widths = [np.dtype(k).itemsize for k in kinds]
-    raw = np.frombuffer(pa.decompress(data[8:], n * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    head = 4 * len(kinds)
+    sizes, widths = np.frombuffer(data[:head], "<u4").astype(np.int64), [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.decompress(data[head:], int(sizes @ widths), codec="zstd", asbytes=True), np.uint8)
     out, at = [], 0
-    for k, w in zip(kinds, widths, strict=True):
+    for k, n, w in zip(kinds, sizes, widths, strict=True):
         out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k).reshape(n))
         at += n * w
     out[0] = np.cumsum(out[0], dtype=U64)
     return out
 
 
-# What an entry is: a pair of frequent words that is not hot; a rare word after a frequent
-# one; any word after a rare one; a rare word after a rare one whose context is counted.
-MID, RARE, AFTER_RARE, COUNTED = range(4)
-# Columns: key, text in the slice, how often, then the context (RARE), the word's hash
-# (AFTER_RARE), or the counts of context and pair, training and deleted (COUNTED).
+# What an entry is: a pair of frequent words that is not hot; a rare word with the words
+# beside it; a rare word after a rare one whose context is counted; a rare word's counts;
+# what is known of the slice's texts without other partitions.
+MID, RARE, COUNTED, WORD, NEAR = range(5)
+# Columns: key, text in the slice, then how often (MID), or the words before and after by
+# their ids and the hashes of the rare ones after (RARE), or the slice (before the text), the
+# text's group and the counts of context and pair, training and deleted (COUNTED). A word's
+# own counts (WORD). Text, number and times of hot pairs, then for each text id, whether it is
+# null, fold, tokens, known frequent words and their base score (NEAR).
 KINDS = {
     MID: ["<u8", "<u2", "<u4"],
-    RARE: ["<u8", "<u2", "<u4", "<i4"],
-    AFTER_RARE: ["<u8", "<u2", "<u4", "<u8"],
-    COUNTED: ["<u8", "<u4", "<u4", "<u4", "<u4", "<u4", "<u4"],
+    RARE: ["<u8", "<u2", "<i4", "<i4", "<u8"],
+    COUNTED: ["<u8", "<u8", "<u2", "u1", "<u4", "<u4", "<u4", "<u4"],
+    WORD: ["<u8", "<u4", "<u4"],
+    NEAR: ["<u8", "<u4", "<u4", "<i8", "u1", "u1", "<u4", "<u4", "<f8"],
 }
-ENTRIES = "part int, kind int, docs binary, folds binary, data binary"
+# The texts of a slice are numbered by groups: learned from, the deleted fold from the first
+# of ``cuts`` on, not learned from the second on.
+ENTRIES = "part int, kind int, slice bigint, cut1 int, cut2 int, data binary"
+LEARNED, HELD, NOT_LEARNED = range(3)
+REORDERED = "rows came in another order when a lost task was run again: write the table first"
+# Ids of the word after a rare one if it is rare or there is none.
+_FAR, _NONE = -1, -2
 
 
-def _entry_batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["part", "kind", "docs", "folds", "data"])
+def _batch(out: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[f[1]]) for k, f in enumerate(fields)], names=[f[0] for f in fields])
 
 
-def _dealt(kind: int, parts: int, row: np.ndarray, fold: np.ndarray, cols: list[np.ndarray]):
-    """Entries (the key first, ascending, then their text and others) by the partition of
-    their key. ``row`` and ``fold`` are those of the texts."""
+def _dealt(kind: int, parts: int, cols: list[np.ndarray]):
+    """Rows of the columns (the key first, ascending) by the partition of their key, packed."""
     part = (mix64(cols[0]) % U64(parts)).astype(np.int64)
     by = np.argsort(part, kind="stable")
     edge = np.searchsorted(part[by], np.arange(parts + 1))
     for p in np.flatnonzero(edge[1:] > edge[:-1]):
         own = by[edge[p] : edge[p + 1]]
-        used, local = np.unique(cols[1][own], return_inverse=True)
-        packed = [c[own].astype(k) for c, k in zip([cols[0], None, *cols[2:]], KINDS[kind], strict=True) if c is not None]
-        packed.insert(1, local.astype(KINDS[kind][1]))
-        yield int(p), kind, row[used].astype("<i8").tobytes(), fold[used].tobytes(), _pack(packed)
+        packed = [c[own].astype(k) for c, k in zip(cols, KINDS[kind], strict=False)]
+        if kind == RARE:  # the last column has only the rare words after
+            packed[4] = packed[4][packed[3] == _FAR]
+        yield int(p), kind, _pack(packed)
 
 
-def send_entries(rows: DataFrame, model: Model, parts: int, kinds: tuple) -> DataFrame:
-    """(part, kind, docs, folds, data): for each slice and counting partition, the texts'
-    entries of ``kinds``, of MID, RARE and AFTER_RARE."""
+def send_entries(rows: DataFrame, model: Model, parts: int) -> DataFrame:
+    """The texts' entries of MID, RARE and NEAR for each slice and counting partition."""
 
     def run(batches):
-        for b in slices(batches, "text", _SLICE):
-            token, context, owner = tokens(b, 3)
-            row, fold = b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.uint8)
+        task = TaskContext.get().partitionId()
+        for number, b in enumerate(slices(batches, "text", _SLICE)):
+            token, context, owner = tokens(b, 2)
+            ids, fold, size = b.column(0), b.column(1).to_numpy().astype(np.uint8), b.num_rows
+            # A slice's number tells if a lost task found its rows in another order.
+            name = task << 36 | number << 16 | zlib.crc32(utf8(b.column(2))[2]) & 0xFFFF
+            group = np.where(fold == UNSEEN, NOT_LEARNED, np.where(fold == DELETED, HELD, LEARNED))
+            order = np.argsort(group, kind="stable")
+            cuts = [int(x) for x in np.searchsorted(group[order], [HELD, NOT_LEARNED])]
+            place = np.empty(size, np.int64)
+            place[order] = np.arange(size)
+            text = place[owner]
+
             w, u = model.ids(token), model.ids(context)
-            pair = u << _ID_BITS | w
-            mid = (w >= 0) & (u >= 0)
-            mid[mid] = _find(model.pair_key, pair[mid]) < 0
-            out = []
-            for kind in kinds:
-                at = np.flatnonzero({MID: mid, RARE: (w < 0) & (u >= 0), AFTER_RARE: u < 0}[kind])
-                key = {MID: pair, RARE: token, AFTER_RARE: context}[kind][at].astype(U64)
-                more = {MID: np.zeros(len(at), np.int8), RARE: u[at], AFTER_RARE: token[at]}[kind]
-                order = np.lexsort((more, owner[at], key))
-                key, text, more = key[order], owner[at][order], more[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (more[1:] != more[:-1])
-                start = np.flatnonzero(new)
-                n = np.diff(np.append(start, len(key)))
-                cols = [key[start], text[start], n] + ([] if kind == MID else [more[start]])
-                out += _dealt(kind, parts, row, fold, cols)
-            yield _entry_batch(out)
+            frequent = w >= 0
+            both = np.flatnonzero(frequent & (u >= 0))
+            pair = u[both] << _ID_BITS | w[both]
+            hot = _find(model.pair_key, pair)
+            mid = np.flatnonzero(hot < 0)
+            key, owners, n = _times(pair[mid], text[both[mid]])
+            out = list(_dealt(MID, parts, [key.astype(U64), owners, n]))
+
+            rare = np.flatnonzero(~frequent)
+            rare = rare[np.argsort(token[rare], kind="stable")]
+            last = np.append(owner[1:] != owner[:-1], True)
+            after, far = np.append(w[1:], 0), np.append(token[1:], U64(0))
+            after = np.where(last, _NONE, after)[rare]
+            out += _dealt(RARE, parts, [token[rare], text[rare], u[rare], after, far[rare]])
+
+            at = np.flatnonzero(hot >= 0)
+            owners, pairs, n = _times(text[both[at]], hot[at])
+            known = model.n[w[frequent]]
+            base = np.bincount(text[frequent], model.base(known), size).astype(float)
+            seen = np.bincount(text[frequent], known > 0, size)
+            null = np.asarray(ids.is_null())[order]
+            doc = ids.fill_null(0).to_numpy()[order]
+            count = np.bincount(text, minlength=size)
+            near = [c.astype(k) for c, k in zip([owners, pairs, n, doc, null, fold[order], count, seen, base], KINDS[NEAR], strict=True)]
+            out.append((int(mix64(np.array([name], U64))[0] % U64(parts)), NEAR, _pack(near)))
+            yield _batch([(p, kind, name, *cuts, data) for p, kind, data in out], ENTRIES)
 
     return map_arrow(rows, run, ENTRIES)
 
 
-def _parts(batches):
-    """Entries of one counting partition after another, one kind or one group of kinds that
-    is counted together at a time: (kind -> key, row, fold, n, more...)."""
-    now, held = None, []
+def _times(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, ascending, and how often each is there."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    start = np.flatnonzero(new)
+    return a[start], b[start], np.diff(np.append(start, len(a)))
+
 
-    def joined(rows):
-        cols = {}
-        for kind, docs, folds, data in rows:
-            key, local, n, *more = _unpack(data, KINDS[kind])
-            cols.setdefault(kind, []).append((key, np.frombuffer(docs, "<i8")[local], np.frombuffer(folds, np.uint8)[local], n.astype(np.int64), *more))
-        rows.clear()
-        for kinds in ((MID,), (AFTER_RARE,), (RARE, COUNTED)):
-            own = {k: [np.concatenate(c) for c in zip(*cols.pop(k), strict=True)] for k in kinds if k in cols}
+def _parts(batches, kinds: tuple):
+    """Entries of one counting partition after another, those that are counted together at
+    a time, each NEAR block by itself: kind -> [slice, group, columns...] (WORD: columns)."""
+    now, held = None, {}
+
+    def joined():
+        for together in ((MID,), (RARE,), (COUNTED, WORD)):
+            own = {k: [np.concatenate(c) for c in zip(*(_block(k, *x) for x in held.pop(k)), strict=True)] for k in together if k in held}
             if own:
                 yield own
+        for x in held.pop(NEAR, ()):
+            yield {NEAR: _block(NEAR, *x)}
 
     for b in batches:
-        for part, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if part != now and held:
-                yield from joined(held)
-                held = []
+        for part, kind, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if part != now:
+                yield from joined()
             now = part
-            held.append(rest)
-    if held:
-        yield from joined(held)
-
-
-def _sums(at: np.ndarray, size: int, fold: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+            if kind in kinds:
+                held.setdefault(kind, []).append(rest)
+    yield from joined()
+
+
+def _block(kind: int, name: int, cut1: int, cut2: int, data: bytes) -> list[np.ndarray]:
+    cols = _unpack(data, KINDS[kind])
+    if kind == COUNTED:
+        key, names, text, group, *counts = cols
+        return [names.astype(np.int64), group, key, text, *counts]
+    if kind == WORD:
+        return cols
+    text = cols[0 if kind == NEAR else 1]
+    group = (text >= cut1).astype(np.uint8) + (text >= cut2)
+    if kind == NEAR:
+        return [name, group, *cols]
+    if kind == RARE:  # each word's place among all rare words after
+        far = np.zeros(len(cols[0]), U64)
+        far[cols[3] == _FAR] = cols[4]
+        cols[4] = far
+    return [np.full(len(text), name, np.int64), group, *cols]
+
+
+def _sums(at: np.ndarray, size: int, group: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """The training and the deleted count of each entry's group."""
-    return [np.bincount(at, x, size).astype(np.int64)[at] for x in (n * (fold != UNSEEN), n * (fold == DELETED))]
+    return [np.bincount(at, x, size).astype(np.int64)[at] for x in (n * (group != NOT_LEARNED), n * (group == HELD))]
 
 
 def _pairs_of(at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, int]:
@@ -274,55 +333,68 @@ def _pairs_of(at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, int]:
     return out, int(new.sum())
 
 
-def _after_rare(cols: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Counts of context and pair of AFTER_RARE entries: all that follows a context is here."""
-    key, _, fold, n, token = cols
-    found, at = np.unique(key, return_inverse=True)
-    return _sums(at, len(found), fold, n), _sums(*_pairs_of(at, token), fold, n)
-
-
 def forward_entries(sent: DataFrame, model: Model, parts: int) -> DataFrame:
-    """The COUNTED entries: rare words after rare words, with the counts of context and pair."""
+    """The COUNTED entries: rare words after rare words, with the counts of context and pair;
+    and the counts of the words that such entries wait for, as WORD."""
 
     def run(batches):
-        for own in _parts(batches):
-            cols = own[AFTER_RARE]
-            context, pair = _after_rare(cols)
-            at = np.flatnonzero(model.ids(cols[4]) < 0)
-            at = at[np.argsort(cols[4][at], kind="stable")]
-            docs, first, text = np.unique(cols[1][at], return_index=True, return_inverse=True)
-            out = list(_dealt(COUNTED, parts, docs, cols[2][at][first], [cols[4][at], text, cols[3][at], *(x[at] for x in (*context, *pair))]))
+        for own in _parts(batches, (RARE,)):
+            name, group, key, text, before, after, far = own[RARE]
+            found, at = np.unique(key, return_inverse=True)
+            word = _sums(at, len(found), group, np.ones(len(at), np.int64))
+            to = np.flatnonzero(after == _FAR)
+            to = to[np.argsort(far[to], kind="stable")]
+            pair = _sums(*_pairs_of(at[to], far[to]), group[to], np.ones(len(to), np.int64))
+            out = list(_dealt(COUNTED, parts, [far[to], name[to], text[to], group[to], *(x[to] for x in word), *pair]))
+            _, first = np.unique(np.where(before < 0, at, -1), return_index=True)
+            first = first[before[first] < 0]
+            out += _dealt(WORD, parts, [key[first], *(x[first] for x in word)])
             if out:
-                yield _entry_batch(out)
+                yield _batch([(p, kind, 0, 0, 0, data) for p, kind, data in out], ENTRIES)
+
+    return map_arrow(sent, run, ENTRIES)
 
-    return map_arrow(sent.filter(F.col("kind") == AFTER_RARE), run, ENTRIES)
 
+def _counted_parts(model: Model, own: dict[int, list[np.ndarray]]):
+    """What is scored here: which entries, how often, and the counts that go with each:
+    context, pair, word, each as a pair of arrays (training, deleted). RARE also has the
+    counts of each entry's own word."""
 
-def _count_part(model: Model, own: dict[int, list[np.ndarray]]):
-    """The entries that are scored here (row, fold, n) and the counts that go with each:
-    context, pair, word, each as a pair of arrays (training, deleted)."""
+    def of(ids):
+        return [model.n[ids], model.deleted[ids]]
+
+    if NEAR in own:
+        _, _, _, hot, n, *_ = own[NEAR]
+        pair = model.pair_key[hot]
+        return [(slice(None), n.astype(np.int64), of(pair >> _ID_BITS), [model.pair_n[hot], model.pair_deleted[hot]], of(pair & ((1 << _ID_BITS) - 1)))], None
     if MID in own:
-        key, row, fold, n = own[MID]
+        _, group, key, _, n = own[MID]
+        found, at = np.unique(key, return_inverse=True)
+        n = n.astype(np.int64)
+        u, w = (found >> U64(_ID_BITS)).astype(np.int64)[at], (found & U64((1 << _ID_BITS) - 1)).astype(np.int64)[at]
+        return [(slice(None), n, of(u), _sums(at, len(found), group, n), of(w))], None
+    if RARE in own:
+        _, group, key, _, before, after, _ = own[RARE]
         found, at = np.unique(key, return_inverse=True)
-        u, w = (key >> U64(_ID_BITS)).astype(np.int64), (key & U64((1 << _ID_BITS) - 1)).astype(np.int64)
-        return (row, fold, n), [model.n[u], model.deleted[u]], _sums(at, len(found), fold, n), [model.n[w], model.deleted[w]]
-    if AFTER_RARE in own:
-        context, pair = _after_rare(own[AFTER_RARE])
-        w = model.ids(own[AFTER_RARE][4])
-        at = np.flatnonzero(w >= 0)
-        w = w[at]
-        return tuple(x[at] for x in own[AFTER_RARE][1:4]), [x[at] for x in context], [x[at] for x in pair], [model.n[w], model.deleted[w]]
-    none = [np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint8)] + [np.zeros(0, np.int64)] * 5
-    key, row, fold, n, ctx = own.get(RARE, none[:5])
-    far = own.get(COUNTED, none)
-    found, at = np.unique(np.concatenate([key, far[0]]), return_inverse=True)
-    row, n = (np.concatenate([a, b]) for a, b in ((row, far[1]), (n, far[3])))
-    near_pair = _sums(*_pairs_of(at[: len(key)], ctx), fold, n[: len(key)])
-    fold = np.concatenate([fold, far[2]])
-    ctx = ctx.astype(np.int64)
-    context = [np.concatenate([x[ctx], y.astype(np.int64)]) for x, y in zip((model.n, model.deleted), far[4:6], strict=True)]
-    pair = [np.concatenate([x, y.astype(np.int64)]) for x, y in zip(near_pair, far[6:8], strict=True)]
-    return (row, fold, n), context, pair, _sums(at, len(found), fold, n)
+        one = np.ones(len(at), np.int64)
+        word = _sums(at, len(found), group, one)
+        out = []
+        for ids, is_context in ((before, False), (after, True)):
+            to = np.flatnonzero(ids >= 0)
+            counts = [of(ids[to]), _sums(*_pairs_of(at[to], ids[to]), group[to], one[to]), [x[to] for x in word]]
+            out.append((to, one[to], *(counts[::-1] if is_context else counts)))
+        return out, word
+    if COUNTED not in own:
+        return [], None
+    _, _, key, _, *counts = own[COUNTED]
+    words, n, deleted = own[WORD]
+    order = np.argsort(words, kind="stable")
+    at = _find(words[order], key)
+    if (at < 0).any():
+        raise RuntimeError(REORDERED)
+    at = order[at]
+    counts = [x.astype(np.int64) for x in counts]
+    return [(slice(None), np.ones(len(key), np.int64), counts[:2], counts[2:], [n[at].astype(np.int64), deleted[at].astype(np.int64)])], None
 
 
 def _levels(p: np.ndarray) -> np.ndarray:
@@ -373,93 +445,123 @@ def learn_weights(events: np.ndarray, v: int) -> np.ndarray:
     return out
 
 
+# What the counting partitions send back to a slice: sums by its texts of the scores, of
+# the rare words' base scores (both in parts of 1 / ONE) and of the rare words known; for
+# NEAR what was sent, and the score of the hot pairs.
+REPLIES = "slice bigint, kind int, data binary"
+ONE = 1 << 32
+SUMS, OWN = ["<u8", "<i8", "<i8", "<u4"], ["<u8", *KINDS[NEAR][4:], "<f8"]
+SCORES = "doc_id bigint, fold int, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _totals(batches):
+    """The scores of each slice's texts, from all that was sent back to it."""
+    now, near = None, None
+
+    def scores():
+        if near is None or any(x[len(near[0]) :].any() for x in sums):
+            raise RuntimeError(REORDERED)
+        doc, null, fold, count, known, base, lm = near
+        size = len(doc)
+        cols = [pa.array(doc.view(np.int64), mask=null > 0), fold.astype(np.int32), count.astype(np.int64), known + sums[2][:size], base + sums[1][:size] / ONE, lm + sums[0][:size] / ONE]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in SCORES.split(", ")])
+
+    for b in batches:
+        for name, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if name != now:
+                if now is not None:
+                    yield scores()
+                now, near, sums = name, None, np.zeros((3, 1 << 16), np.int64)
+            if kind == NEAR:
+                near = _unpack(data, OWN)
+            else:
+                text, *parts = _unpack(data, SUMS)
+                for total, part in zip(sums, parts, strict=True):
+                    total[text.astype(np.int64)] += part
+    if now is not None:
+        yield scores()
+
+
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fold, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     A null or empty text is one END. Documents of remainder UNSEEN are scored but not
     learned from. Repeated rows are all counted and all scored. With no training
     documents every token is unknown and both scores come from the uniform part. Texts
-    of any length are read whole, a slice of a batch at a time.
+    of any length are read whole, a slice of a batch at a time. A lost task that finds its
+    rows in another order (never so for files) ends the query with an error.
     """
     rows = _fit_rows(df, id_col, text_col)
     model, every = count_words(rows)
     count_hot_pairs(rows, model)
     parts = max(24, int(every // PART_TOKENS))
 
-    def dealt(entries):  # read twice; a lost part is sent again
-        return entries.repartition(parts, "part").sortWithinPartitions("part").select("part", "kind", "docs", "folds", "data").persist(StorageLevel.DISK_ONLY)
-
-    here = dealt(send_entries(rows, model, parts, (MID, AFTER_RARE)))
-    words = dealt(send_entries(rows, model, parts, (RARE,)).union(forward_entries(here, model, parts)))
-
-    def far_events(batches):
-        for own in _parts(batches):
-            (_, fold, n), *counts = _count_part(model, own)
-            at = fold == DELETED
-            if at.any():
-                yield _event_batch(_events(model, *([x[at] for x in c] for c in counts), n[at]))
-
-    def near_events(batches):  # hot pairs
-        for b in slices(batches, "text", _SLICE):
-            token, context, _ = tokens(b, 3)
-            w, u = model.ids(token), model.ids(context)
-            hot = np.where((w >= 0) & (u >= 0), _find(model.pair_key, u << _ID_BITS | w), -1)
-            at = np.flatnonzero(hot >= 0)
-            if len(at):
-                h, c, w = hot[at], u[at], w[at]
-                yield _event_batch(_events(model, *([x[k] for x in pair] for pair, k in (((model.n, model.deleted), c), ((model.pair_n, model.pair_deleted), h), ((model.n, model.deleted), w))), np.ones(len(at), np.int64)))
-
-    kind = "bucket int, two int, one int, n bigint"
-    seen = map_arrow(here.unionAll(words), far_events, kind).union(map_arrow(rows.filter(F.col("fold") == DELETED), near_events, kind))
-    cells = seen.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).toPandas().sort_values(["bucket", "two", "one"])
-    model.weights = learn_weights(cells.to_numpy(np.int64).reshape(-1, 4), model.totals["v"])
-
-    def far(batches):
-        for own in _parts(batches):
-            (row, _, n), context, pair, word = _count_part(model, own)
-            rare = RARE in own or COUNTED in own
-            if not len(row):
+    def dealt(entries):
+        return entries.repartition(parts, "part").sortWithinPartitions("part")
+
+    # Read for the weights and for the scores in one query, which shuffles them once.
+    sent = dealt(send_entries(rows, model, parts))
+    sent = sent.unionAll(dealt(forward_entries(sent, model, parts)))
+
+    def events(batches):
+        for own in _parts(batches, (MID, RARE, COUNTED, WORD, NEAR)):
+            group = next(iter(own.values()))[1]
+            for which, n, *counts in _counted_parts(model, own)[0]:
+                at = np.flatnonzero(group[which] == HELD)
+                if len(at):
+                    yield _event_batch(_events(model, *([x[at] for x in c] for c in counts), n[at]))
+
+    def learned(batches):
+        cells = np.concatenate([np.zeros((0, 4), np.int64), *(np.column_stack([c.to_numpy().astype(np.int64) for c in b.columns]) for b in batches)])
+        cells = cells[cells[:, 3] > 0]
+        weights = learn_weights(cells[np.lexsort(cells[:, 2::-1].T)], model.totals["v"])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary())], names=["weights"])
+
+    seen = map_arrow(sent, events, "bucket int, two int, one int, n bigint")
+    some = df.sparkSession.range(1).select(*[F.lit(0).cast(t).alias(c) for c, t in (("bucket", "int"), ("two", "int"), ("one", "int"), ("n", "bigint"))])
+    cells = seen.unionAll(some).groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    weights = map_arrow(cells.coalesce(1), learned, "weights binary")
+    first = F.monotonically_increasing_id() % F.lit(1 << 33) == 0  # of a partition's rows
+    asked = sent.crossJoin(F.broadcast(weights)).select(*sent.columns, F.when(first, F.col("weights")).alias("weights"))
+
+    def entries(batches):
+        for k, b in enumerate(batches):
+            if not k:
+                model.weights = np.frombuffer(b.column(6)[0].as_py(), "<f8").reshape(-1, 3)
+            yield b.select(range(6))
+
+    def scored(batches):
+        for own in _parts(entries(b for b in batches if b.num_rows), (MID, RARE, COUNTED, WORD, NEAR)):
+            found, words = _counted_parts(model, own)
+            if not found:
                 continue
-            docs, at = np.unique(row, return_inverse=True)
-            lm = np.bincount(at, n * model.log10(context[0], pair[0], word[0]), len(docs))
-            zero = np.zeros(len(docs))
-            base = np.bincount(at, n * model.base(word[0]), len(docs)) if rare else zero
-            seen = np.bincount(at, n * (word[0] > 0), len(docs)) if rare else zero
-            nothing = pa.array(np.zeros(len(docs), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), pa.int32()), nothing, pa.array(seen.astype(np.int64)), nothing, pa.array(base), pa.array(lm)], names=names)
-
-    def near(batches):
-        for b in slices(batches, "text", _SLICE):
-            token, context, owner = tokens(b, 3)
-            w, u = model.ids(token), model.ids(context)
-            size = b.num_rows
-            frequent = w >= 0
-            hot = np.where(frequent & (u >= 0), _find(model.pair_key, u << _ID_BITS | w), -1)
-            at = np.flatnonzero(hot >= 0)
-            pair = model.pair_n[hot[at]] if len(at) else np.zeros(0, np.int64)
-            lm = np.bincount(owner[at], model.log10(model.n[u[at]], pair, model.n[w[at]]), size).astype(float)
-            own = np.flatnonzero(frequent)
-            n = model.n[w[own]]
-            base = np.bincount(owner[own], model.base(n), size).astype(float)
-            seen = np.bincount(owner[own], n > 0, size).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), b.column(2), pa.array(np.ones(size, np.int64)), pa.array(seen), pa.array(np.bincount(owner, minlength=size).astype(np.int64)), pa.array(base), pa.array(lm)], names=names)
-
-    names = ["row", "doc_id", "fold", "copies", "n_known", "n_tokens", "base_score", "score"]
-    kind = "row bigint, doc_id bigint, fold int, copies bigint, n_known bigint, n_tokens bigint, base_score double, score double"
-    both = map_arrow(here.unionAll(words), far, kind).union(map_arrow(rows, near, kind))
-    total = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("fold").alias("fold"), *[F.sum(c).alias(c) for c in names[3:]])
-    total = staged(total, "lm-scores")
-    here.unpersist()
-    words.unpersist()
-    # equal rows were summed together: each has an equal part
-    return total.select(
+            kind = next(iter(own))
+            name, text = own[kind][0], own[kind][2 if kind == NEAR else 3].astype(np.int64)
+            lm = np.zeros(len(text))
+            for which, n, context, pair, word in found:
+                lm[which] += n * model.log10(context[0], pair[0], word[0])
+            if kind == NEAR:
+                own = own[NEAR][5:]
+                lm = np.bincount(text, lm, len(own[0])).astype("<f8")
+                yield _batch([(name, kind, _pack([*own, lm]))], REPLIES)
+                continue
+            base, seen = (model.base(words[0]), words[0] > 0) if words else (np.zeros(len(text)),) * 2
+            names, at = np.unique(name, return_inverse=True)
+            docs, at = np.unique(at << 16 | text, return_inverse=True)
+            cols = [np.rint(np.bincount(at, x, len(docs)) * one).astype(t) for x, one, t in ((lm, ONE, "<i8"), (base, ONE, "<i8"), (seen, 1, "<u4"))]
+            edge = np.searchsorted(docs >> 16, np.arange(len(names) + 1))
+            yield _batch([(int(x), kind, _pack([docs[i:j] & 0xFFFF, *(c[i:j] for c in cols)])) for x, i, j in zip(names, edge, edge[1:], strict=False)], REPLIES)
+
+    total = map_arrow(map_arrow(asked, scored, REPLIES).repartition(parts, "slice").sortWithinPartitions("slice"), _totals, SCORES)
+    return staged(total, "lm-scores").select(
         "doc_id",
         "fold",
-        *[(F.col(c) / F.col("copies")).cast("bigint").alias(c) for c in ("n_tokens", "n_known")],
+        "n_tokens",
+        "n_known",
         F.lit(model.totals["n"]).cast("bigint").alias("train_tokens"),
-        *[(F.col(c) / F.col("copies")).alias(c) for c in ("base_score", "score")],
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"),
-    ).drop("_copy")
+        "base_score",
+        "score",
+    )
 
 
 def op7_lm_scores(documents: DataFrame) -> DataFrame:

@@ -257,6 +257,53 @@ def test_lm_scores_against_plain_interpolation(spark, docs, monkeypatch, share):
     assert Counter((r.doc_id, round(r.score, 5)) for r in got) == Counter((i, round(x, 5)) for i, x in plain_lm(rows))
 
 
+def test_lm_entries_are_made_once_and_not_kept(docs, monkeypatch):
+    made, asked, send = docs.sparkSession.sparkContext.accumulator(0), [], lm.send_entries
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    def watched(*args):
+        asked.append(args)
+        return lm.map_arrow(send(*args), counted, lm.ENTRIES)
+
+    def kept(*_):
+        raise AssertionError("a second copy of the entries")
+
+    monkeypatch.setattr(lm, "send_entries", watched)
+    monkeypatch.setattr(type(docs), "persist", kept)
+    assert lm.op7_lm_scores(docs).count() == len(DOCS)
+    (args,) = asked
+    assert made.value == send(*args).count()
+
+
+def test_lm_scores_of_many_slices_and_repeated_rows(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(lm, "SHARE", 64)
+    monkeypatch.setattr(lm, "_SLICE", 300)
+    monkeypatch.setattr(lm, "PART_TOKENS", 100)
+    rng = random.Random(7)
+    rows = DOCS + [(100 + k // 2, " ".join(f"v{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(0, 60)))) for k in range(80)]
+    rows += rows[:20] + [(None, None), (None, "v1 v2")]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, round(r.score, 5)) for r in got) == Counter((i, round(x, 5)) for i, x in plain_lm(rows))
+    assert all(r.fold == zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % lm.FOLDS for r in got)
+
+
+def test_lm_slices_without_their_texts_fail():
+    import pyarrow as pa
+
+    sums = lm._pack([np.array(c, t) for c, t in zip(([0, 2], [5, 6], [0, 0], [1, 1]), lm.SUMS, strict=True)])
+    near = lm._pack([np.zeros(0 if k < 3 else 2, t) for k, t in enumerate(lm.KINDS[lm.NEAR])][3:] + [np.zeros(2)])
+    for blocks in ([(1, lm.MID, sums)], [(1, lm.MID, sums), (1, lm.NEAR, near)]):
+        with pytest.raises(RuntimeError):
+            list(lm._totals([lm._batch(blocks, lm.REPLIES)]))
+    assert isinstance(next(lm._totals([lm._batch([(1, lm.NEAR, near)], lm.REPLIES)])), pa.RecordBatch)
+
+
 def test_fingerprints(docs, nothing, spark):
     rows = fingerprints.op8_fingerprints(docs).collect()
     assert len(rows) == len(DOCS)
